@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import secret_scan
+from . import chat_format, pii, quality_rules, secret_scan, source_mix, token_counts
 
 
 def queries() -> dict:
-    return {"op1_secret_scan": secret_scan.op1_secret_scan}
+    return {
+        "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op4_chat_format": chat_format.op4_chat_format,
+        "op5_pii": pii.op5_pii,
+        "op6_token_counts": token_counts.op6_token_counts,
+        "op7_source_mix": source_mix.op7_source_mix,
+        "op10_quality_rules": quality_rules.op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan.oracle()}
+    return {"op1_secret_scan": secret_scan.oracle(), "op4_chat_format": chat_format.oracle(), "op7_source_mix": source_mix.oracle()}
