@@ -44,6 +44,11 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return left.join(right, on, how)
 
 
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with value as a column that the optimizer doesn't put in place of its name again: inside a lambda it would be computed once for each element."""
+    return df.select(*[c for c in df.columns if c != name], F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def words(text: Column) -> Column:
     """Words are runs of characters other than white space; null or blank text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS), lambda w: w != "")

@@ -134,6 +134,18 @@ def digest(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["rule"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """text with each run of overlapping spans (sorted by start) replaced by the mark."""
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all rules, with a ledger of its own that begins empty."""
     ledger = Ledger(spark, scratch_path(spark, "secret-ledger"))
