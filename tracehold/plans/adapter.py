@@ -39,7 +39,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/:]+)", 1).alias("host"))
     n = pages.count()
     k = F.coalesce(F.regexp_extract("props", r'"k": *([0-9]+)', 1).try_cast("int"), F.lit(0))
-    e = events.withColumn("k", k).withColumnRenamed("user_id", "asset_id")
+    e = events.withColumns({"k": k, "ts": F.col("ts").cast("timestamp")}).withColumnRenamed("user_id", "asset_id")
     kind = F.col("event_type")
     bought, clicked = kind == "purchase", kind == "click"
     before = e.where(bought).select("event_id", F.lag("event_id").over(Window.partitionBy("asset_id").orderBy("ts", "event_id")).alias("p"))
