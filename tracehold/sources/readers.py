@@ -29,7 +29,7 @@ def read_events(spark: SparkSession, path: str, frm: Column | None = None, to: C
 def stream_records(spark: SparkSession, fmt: str, schema: str | None = None, **options: str) -> DataFrame:
     """A streaming source: files, or any format whose connector is installed. The checkpoint's offsets make it at-least-once; the sinks are idempotent."""
     reader = spark.readStream.format(fmt).options(**options)
-    return (reader.schema(schema) if schema else reader).load(options.get("path"))
+    return (reader.schema(schema) if schema else reader).load()
 
 
 def stream_envelopes(spark: SparkSession, path: str, **options: str) -> DataFrame:
