@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs inside: what a Python worker and the JVM hold of texts or sets at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", max_rows: int = 50_000) -> DataFrame:
     """Joins a stored right side; it is broadcast only if it was counted to be at most max_rows rows, else joined by shuffle."""
     if right.limit(max_rows + 1).count() <= max_rows:

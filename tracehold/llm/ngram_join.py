@@ -30,7 +30,6 @@ component; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, small_join, stored, words
+from .common import ascii_lower, documents, small_batches, small_join, stored, words
 
 BUCKETS, FREQUENT_SHARE = 1 << 16, 2000
 BAND_RATIO, BLOCK = 1.5, 1000
@@ -313,6 +312,11 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
 def ngram_links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id), one row for each row of docs. id_col is a whole number or a string."""
+    with small_batches(docs.sparkSession):
+        return _links(docs, n, percent, id_col, text_col)
+
+
+def _links(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col), F.col(text_col))
     frequent = frequent_buckets(docs, text_col)
     base = stored(index_sets(docs, frequent, n, percent, id_col, text_col), "ngram-sets")
