@@ -6,24 +6,24 @@ marginals hold. The ratio of a cell's fitted share to its present one is what it
 is kept with a probability in proportion to it (at most 1), decided by a hash of its id, so that a rerun keeps the
 same documents.
 
-Only cell sums move: each turn aggregates the cells by one of the three keys and joins the factor back. Documents
+Only cell sums move: each turn sums the cells by one of the three keys. Documents
 are joined to their cell's probability, by broadcast while the cells were counted to be few.
 
 Defined results: null and blank texts weigh nothing and are kept with their cell's probability; null source,
-language or topic are values of their own; a value without a target keeps its present share (targets are scaled to
-sum to 1 over the values present); an empty table gives an empty result; repeated rows share one fate; other columns
+language or topic are values of their own; a value without a target keeps its present share (given targets are shares;
+they are scaled to sum to 1 over the values present); an empty table gives an empty result; repeated rows share one fate; other columns
 are carried through (working columns start with ``_``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, small_join, stored, unit_hash, words
 
 KEYS = ("_source", "_lang", "_topic")
-TURNS = 12
+TURNS, FEW_CELLS = 12, 100_000
 
 
 def topic_of(text: Column) -> Column:
@@ -33,32 +33,35 @@ def topic_of(text: Column) -> Column:
 
 
 def tempered(cells: DataFrame, key: str, power: float) -> DataFrame:
-    """Targets (key, target): present shares raised to a power below 1, which lifts small values and lowers large ones."""
-    total = F.sum(F.pow("_w", F.lit(power)))
-    sums = cells.groupBy(key).agg(F.sum("_w").alias("_w"))
-    return sums.crossJoin(sums.agg(total.alias("_all"))).select(key, (F.pow("_w", F.lit(power)) / F.col("_all")).alias("target"))
+    """Targets (key, target), up to a factor: present shares raised to a power below 1, which lifts small values and lowers large ones."""
+    return cells.groupBy(key).agg(F.pow(F.sum("_w"), F.lit(power)).alias("target"))
 
 
-def fit(cells: DataFrame, targets: dict[str, DataFrame], turns: int = TURNS, tolerance: float = 1e-6) -> DataFrame:
-    """cells (stored): the three keys and _w, positive. targets: (key, target) for some keys. Adds _fit, shares that meet the targets.
+def _scaled(cells: DataFrame, key: str, target: DataFrame) -> DataFrame:
+    """(key, key_target) for all values present, summing to 1; a value without a target has its present share."""
+    total = F.broadcast(cells.agg(F.sum("_w").alias("_all")))  # one row
+    sums = cells.groupBy(key).agg(F.sum("_w").alias("_now")).join(target, key, "left").crossJoin(total)
+    want = sums.select(key, F.coalesce("target", F.col("_now") / F.col("_all")).alias("_t"))
+    one = F.broadcast(want.agg(F.sum("_t").alias("_sum")))  # one row
+    return stored(want.crossJoin(one).select(key, (F.col("_t") / F.col("_sum")).alias(key + "_target")), "mix-targets")
 
-    A turn is three aggregations of the cells; every second turn is written, and fitting ends once no factor of a
-    turn was off 1 by more than `tolerance`.
+
+def fit(cells: DataFrame, targets: dict[str, DataFrame], turns: int = TURNS) -> DataFrame:
+    """cells (stored): the three keys and _w, positive. targets: (key, target) for each key. Adds _fit, shares that meet the targets.
+
+    A turn scales the cells to each of the three in order; their sums are window sums over the cells. Up to
+    FEW_CELLS cells, counted, are taken as one partition, so that no turn shuffles.
     """
-    total = cells.agg(F.sum("_w").alias("_all"))
-    state = cells.crossJoin(F.broadcast(total)).withColumn("_fit", F.col("_w") / F.col("_all")).drop("_all").withColumn("_off", F.lit(0.0))
-    for turn in range(turns):
-        state = state.withColumn("_off", F.lit(0.0))
-        for key, target in targets.items():
-            sums = state.groupBy(key).agg(F.sum("_fit").alias("_now"))
-            want = sums.join(target, key, "left").withColumn("target", F.coalesce("target", "_now"))
-            scale = want.agg(F.sum("target").alias("_sum"))
-            factor = want.crossJoin(F.broadcast(scale)).select(key, (F.col("target") / F.col("_sum") / F.col("_now")).alias("_factor"))
-            state = state.join(factor, key).withColumn("_fit", F.col("_fit") * F.col("_factor")).withColumn("_off", F.greatest("_off", F.abs(F.col("_factor") - 1))).drop("_factor")
-        state = stored(state.select(*cells.columns, "_fit", "_off"), "mix-cells")
-        if turn % 2 and (state.agg(F.max("_off")).head()[0] or 0.0) <= tolerance:
-            break
-    return state.drop("_off")
+    state = cells.withColumn("_fit", F.col("_w"))
+    for key, target in targets.items():
+        state = small_join(state, _scaled(cells, key, target), [key])
+    state = stored(state, "mix-cells")
+    if state.count() <= FEW_CELLS:
+        state = state.coalesce(1)
+    for _ in range(turns):
+        for key in targets:
+            state = state.withColumn("_fit", F.col("_fit") * F.col(key + "_target") / F.sum("_fit").over(Window.partitionBy(key)))
+    return stored(state.select(*cells.columns, "_fit"), "mix-fit")
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = 0.8, seed: int = 7, least: float = 0.0, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
@@ -72,7 +75,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: flo
     keyed = docs.withColumns({"_source": F.coalesce(F.col(source_col).cast("string"), null), "_lang": F.coalesce(F.col(lang_col).cast("string"), null), "_topic": F.coalesce(topic.cast("string"), null), "_weight": F.size(words(F.col(text_col))).cast("double")})
     cells = stored(keyed.groupBy(*KEYS).agg(F.sum("_weight").alias("_w")).where("_w > 0"), "mix-weights")
     given = {f"_{name}": t.select(F.coalesce(F.col(t.columns[0]).cast("string"), null).alias(f"_{name}"), F.col(t.columns[1]).cast("double").alias("target")) for name, t in (targets or {}).items()}
-    wanted = {key: stored(given.get(key, tempered(cells, key, power)), "mix-targets") for key in KEYS}
+    wanted = {key: given[key] if key in given else tempered(cells, key, power) for key in KEYS}
     fitted = fit(cells, wanted)
     ratio = fitted.crossJoin(F.broadcast(fitted.agg(F.sum("_w").alias("_all")))).withColumn("_ratio", F.col("_fit") / (F.col("_w") / F.col("_all"))).drop("_all")
     best = ratio.agg(F.max("_ratio").alias("_best"))
