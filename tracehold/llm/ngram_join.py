@@ -322,7 +322,10 @@ def _links(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
     base = stored(index_sets(docs, frequent, n, percent, id_col, text_col), "ngram-sets")
     groups = base.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"))
     chosen = groups.groupBy("rep").agg(F.min("key").alias("key")).where(F.col("rep").isNotNull())
-    sets = base.join(chosen.withColumnRenamed("rep", "id").hint("shuffle_hash"), ["id", "key"], "left_semi")
+    # What isn't chosen is told by short rows; while it was counted to be little, the sets themselves don't move.
+    named = base.where("n > 0").select("id", "key").join(chosen.withColumnRenamed("key", "own"), F.col("id") == F.col("rep"), "left")
+    others = stored(named.where(F.col("own").isNull() | (F.col("own") != F.col("key"))).select("id", "key").distinct(), "ngram-others")
+    sets = small_join(base.where("n > 0 and id is not null"), others, ["id", "key"], "left_anti", CANDIDATE_IDS)
     entries = stored(sets.select(F.explode("entries").alias("entry"), "id", "n"), "ngram-entries")
 
     # First pass: every set against the first one of each of its entries.
@@ -331,8 +334,7 @@ def _links(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
     star = stored(star.select("entry", "members", "id", F.col("first.id").alias("first"), "n", F.col("first.n").alias("first_n")), "ngram-star")
     close = (F.col("id") != F.col("first")) & (F.least("n", "first_n") * 100 >= F.greatest("n", "first_n") * percent)
     pairs = star.where(close).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    slim = base.where("n > 0").select("id", "key", "n", "bitmap").join(chosen.withColumnRenamed("rep", "id").hint("shuffle_hash"), ["id", "key"], "left_semi").drop("key").where(F.length("bitmap") > 0)
-    slim = stored(slim, "ngram-bitmaps")
+    slim = stored(sets.where(F.length("bitmap") > 0).select("id", "n", "bitmap"), "ngram-bitmaps")
     may = stored(_may_link(_with_sets(pairs, slim, percent), percent), "ngram-pairs")
     links = stored(verify(may, docs, frequent, n, percent, id_col, text_col), "ngram-links")
     labels = components(links)
