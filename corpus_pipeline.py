@@ -9,6 +9,7 @@ from tracehold.llm import decontamination, ngram_join, quality_rules, secret_sca
 from tracehold.llm.common import documents, scratch_path, small_join, stored
 
 IDS = 1_000_000  # so many decisions are broadcast, more are joined by shuffle
+MIX_SHARE = 0.5  # the last stage's budget: this share of the words it is given
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -48,8 +49,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample that meets the tempered shares of sources, languages and lengths, with its words and probability."""
-    return source_mix.mix(docs).where("_kept").select(*docs.columns, F.col("_weight").cast("long").alias("n_words"), F.round("_p", 6).alias("p"))
+    """A sample of MIX_SHARE of the words, by the tempered shares of sources, languages and lengths, with its words and probability; want above 1 marks cells kept whole that fall short."""
+    mixed = source_mix.mix(docs, share=MIX_SHARE)
+    return mixed.where("_kept").select(*docs.columns, F.col("_weight").cast("long").alias("n_words"), F.round("_p", 6).alias("p"), F.round("_want", 6).alias("want"))
 
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminate), ("secret scans", redact_secrets), ("source mix", mix_sources)]

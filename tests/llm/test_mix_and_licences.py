@@ -35,3 +35,22 @@ def test_licences(spark):
     assert got[1, "mit"] == (1.0, "paragraph") and got[2, "mit"][0] > 0.9 and got[3, "mit-line"] == (1.0, "line")
     assert set(got) == {(1, "mit"), (2, "mit"), (3, "mit-line")}
     assert license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
+
+
+def test_one_rare_document_does_not_shrink_the_mix(spark):
+    rows = [(k, "word " * 50, "en" if k % 2 else "de", "s1" if k % 3 else "s2") for k in range(600)]
+    rare = [*rows, (600, "word " * 5, "xx", "s9")]
+    kept = {}
+    for name, table in (("plain", rows), ("rare", rare)):
+        docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string")
+        mixed = source_mix.mix(docs, share=0.5)
+        words = {r.k: r.w for r in mixed.groupBy(F.col("_kept").alias("k")).agg(F.sum("_weight").alias("w")).collect()}
+        kept[name] = words[True] / sum(words.values())
+        expected = mixed.agg(F.sum(F.col("_weight") * F.col("_p")) / F.sum("_weight")).head()[0]
+        assert expected == pytest.approx(0.5, abs=1e-6)
+    assert kept["plain"] == pytest.approx(0.5, abs=0.1) and kept["rare"] == pytest.approx(0.5, abs=0.1)
+    short = source_mix.shortfall(mixed).collect()
+    assert [r._source for r in short] == ["s9"] and short[0].words == 5 and short[0].missing > 0
+    assert mixed.where("doc_id = 600 and _kept").count() == 1
+    assert source_mix.mix(docs, share=1.0).where("not _kept").count() == 0
+    assert source_mix.mix(docs.limit(0), share=0.5).count() == 0

@@ -4,7 +4,8 @@ Documents are counted into cells of source, language and topic by their number o
 raked: scaled to the source targets, then to those of languages, then of topics, again and again, until all three
 marginals hold. The ratio of a cell's fitted share to its present one is what its documents are worth; each document
 is kept with a probability in proportion to it (at most 1), decided by a hash of its id, so that a rerun keeps the
-same documents.
+same documents. The factor follows from a budget of words, so that no single cell sets the size of the sample; cells
+worth more than they hold are kept whole, and `shortfall` tells what they lack.
 
 Only cell sums move: each turn sums the cells by one of the three keys. Documents
 are joined to their cell's probability, by broadcast while the cells were counted to be few.
@@ -64,11 +65,35 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame], turns: int = TURNS) ->
     return stored(state.select(*cells.columns, "_fit"), "mix-fit")
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = 0.8, seed: int = 7, least: float = 0.0, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
-    """docs with _weight (words), _p (probability) and _kept. targets: {"source" | "lang" | "topic": (value, target)}; those not given are tempered shares.
+def budget_scale(ratio: DataFrame, share: float) -> float | None:
+    """The factor c at which the sum of _w * min(1, c * _ratio) over the stored cells is `share` of all words; None where that is everything.
 
-    The cell worth most is kept whole and the others in proportion, so the kept weights meet the targets in
-    expectation; `least` is a floor under the probabilities, which trades closeness for size.
+    Newton's steps from below on a concave sum: each only adds to the cells that are kept whole, so they end.
+    """
+    c, before = 0.0, -1
+    while True:
+        whole = F.col("_ratio") * F.lit(c) >= 1
+        now = ratio.agg(F.sum("_w").alias("all"), F.coalesce(F.sum(F.when(whole, F.col("_w"))), F.lit(0.0)).alias("whole"), F.sum(F.when(~whole, F.col("_w") * F.col("_ratio"))).alias("rest"), F.count_if(whole).alias("n")).head()
+        if now["all"] is None or share >= 1:
+            return None
+        if now["n"] == before or not now["rest"]:
+            return c
+        c, before = (share * now["all"] - now["whole"]) / now["rest"], now["n"]
+
+
+def shortfall(mixed: DataFrame) -> DataFrame:
+    """(source, language, topic, words, wanted, missing) for the cells of `mix` that hold fewer words than the budget asks of them."""
+    cells = mixed.where("_want > 1").groupBy(*KEYS).agg(F.sum("_weight").alias("words"), F.sum(F.col("_weight") * F.col("_want")).alias("wanted"))
+    return cells.withColumn("missing", F.col("wanted") - F.col("words"))
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = 0.8, seed: int = 7, least: float = 0.0, share: float | None = None, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
+    """docs with _weight (words), _want (copies asked for), _p (probability) and _kept. targets: {"source" | "lang" | "topic": (value, target)}; those not given are tempered shares.
+
+    share: the budget as a share of all words, met in expectation; cells with _want above 1 are kept whole and fall
+    short. Without a budget the cell worth most is kept whole and the others in proportion, so the kept weights meet
+    the targets in expectation, but one small cell can shrink the sample. `least` is a floor under the probabilities,
+    which trades closeness for size.
     """
     topic = F.col(topic_col) if topic_col else topic_of(F.col(text_col))
     null = F.lit("\x00null")
@@ -78,14 +103,19 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: flo
     wanted = {key: given[key] if key in given else tempered(cells, key, power) for key in KEYS}
     fitted = fit(cells, wanted)
     ratio = fitted.crossJoin(F.broadcast(fitted.agg(F.sum("_w").alias("_all")))).withColumn("_ratio", F.col("_fit") / (F.col("_w") / F.col("_all"))).drop("_all")
-    best = ratio.agg(F.max("_ratio").alias("_best"))
-    chance = stored(ratio.crossJoin(F.broadcast(best)).select(*KEYS, F.greatest(F.lit(least), F.col("_ratio") / F.col("_best")).alias("_p")), "mix-chances")
-    out = small_join(keyed, chance, list(KEYS), "left").withColumn("_p", F.coalesce("_p", F.lit(1.0)))
+    if share is None:
+        worth = ratio.crossJoin(F.broadcast(ratio.agg(F.max("_ratio").alias("_best")))).withColumn("_want", F.col("_ratio") / F.col("_best"))
+    else:
+        ratio = stored(ratio, "mix-ratios")
+        scale = budget_scale(ratio, share)
+        worth = ratio.withColumn("_want", F.lit(1.0) if scale is None else F.col("_ratio") * F.lit(scale))
+    chance = stored(worth.select(*KEYS, "_want", F.greatest(F.lit(least), F.least(F.lit(1.0), F.col("_want"))).alias("_p")), "mix-chances")
+    out = small_join(keyed, chance, list(KEYS), "left").withColumns({"_want": F.coalesce("_want", F.lit(1.0)), "_p": F.coalesce("_p", F.lit(1.0))})
     return out.withColumn("_kept", unit_hash(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))) < F.col("_p"))
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of the mix with their weight and probability."""
+    """The documents of the mix with their weight and probability; without a budget, as its SQL has it."""
     mixed = mix(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     return mixed.where("_kept").select("doc_id", F.col("_weight").cast("long").alias("n_words"), F.round("_p", 6).alias("p"))
 
