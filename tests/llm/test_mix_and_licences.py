@@ -54,3 +54,16 @@ def test_one_rare_document_does_not_shrink_the_mix(spark):
     assert mixed.where("doc_id = 600 and _kept").count() == 1
     assert source_mix.mix(docs, share=1.0).where("not _kept").count() == 0
     assert source_mix.mix(docs.limit(0), share=0.5).count() == 0
+
+
+def test_licences_of_several_paragraphs_inside_longer_files(spark):
+    body = " ".join(license_scan.TEMPLATES["mit"].split())
+    at, end = body.index("The above"), body.index("THE SOFTWARE IS")
+    blank_lines = "\n\n".join((body[:at], body[at:end], body[end:]))
+    code = "\n".join(f"value{k} = call{k}(other{k}, {k})" for k in range(80))
+    notice = license_scan.TEMPLATES["apache-2.0-notice"]
+    touching = "import os\n# " + notice.replace("\n", "\n# ") + "\n" + code
+    rows = [(1, f"Copyright 2020 Someone\n\n{blank_lines}\n\n{code}"), (2, touching), (3, code), (None, f"{code}\n\n{blank_lines}")]
+    got = {(r.doc_id, r.license): (r.dice, r.unit) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, "mit"] == (1.0, "window") and got[None, "mit"] == (1.0, "window") and got[2, "apache-2.0-notice"] == (1.0, "window")
+    assert not any(k[0] == 3 for k in got)

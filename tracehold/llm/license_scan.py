@@ -1,6 +1,8 @@
 """Operator 3: licence scans by the Dice coefficient over word bigrams.
 
-A text's units are its lines, its paragraphs (between blank lines) and the whole text. A unit and a template, both
+A text's units are its lines, its paragraphs (between blank lines), the whole text, and windows of as many words as a
+template has, cut where a chosen bigram of that template occurs (its place less its offset), so that licences of several
+paragraphs and headers that touch code are found inside longer files. A unit and a template, both
 normalised to lower-case runs of letters and digits, match if the sets of their word bigrams have a Dice
 coefficient of at least `threshold`. Candidates are pruned twice before that: a match must hold one of a few
 chosen bigrams of its template (so many that no match can lack them all), and its size must lie within the bounds
@@ -69,34 +71,68 @@ def bigrams(words: str) -> Column:
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("body")) for k, v in templates.items()]))
-    return spark.range(1).select(rows.alias("t")).select("t.license", normal_words(F.col("t.body")).alias("w")).select("license", bigrams("w").alias("template")).where(F.size("template") > 0)
+    return spark.range(1).select(rows.alias("t")).select("t.license", normal_words(F.col("t.body")).alias("w")).select("license", "w", bigrams("w").alias("template")).where(F.size("template") > 0)
+
+
+def all_bigrams(words: str) -> Column:
+    """Hashes of neighbouring words, one for each place, repeated ones too."""
+    w = F.col(words)
+    pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))
+    return F.when(F.size(w) >= 2, pairs).otherwise(F.array().cast("array<bigint>"))
+
+
+def windows(docs: DataFrame, offsets: list) -> DataFrame:
+    """docs (w, pairs: all_bigrams of w, other columns) once for each distinct window (words): offsets are (bigram, offset, words) of the templates."""
+    by_bigram: dict[int, list[tuple[int, int]]] = {}
+    for r in offsets:
+        by_bigram.setdefault(r["bigram"], []).append((r["offset"], r["len"]))
+    spots = F.create_map(*[x for b, places in by_bigram.items() for x in (F.lit(b), F.array(*[F.struct(F.lit(o).alias("offset"), F.lit(n).alias("len")) for o, n in places]))])
+    hits = F.filter(F.transform("pairs", lambda h, i: F.struct(h.alias("h"), i.alias("at"))), lambda p: F.array_contains(F.array(*[F.lit(b) for b in by_bigram]), p["h"]))
+    cut = F.flatten(F.transform("hits", lambda p: F.transform(F.element_at(F.col("spots"), p["h"]), lambda t: F.struct(F.greatest(p["at"] - t["offset"], F.lit(0)).alias("start"), t["len"].alias("len")))))
+    docs = bound(bound(docs, "hits", hits).withColumn("spots", spots), "cut", F.array_distinct(cut)).drop("hits", "spots", "pairs")
+    at = docs.withColumn("at", F.explode("cut")).drop("cut")
+    return at.withColumn("words", F.slice("w", F.col("at.start") + 1, F.col("at.len"))).drop("w", "at")
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, license, dice, unit, n_units): the best unit of each document for each licence that matches; unit is `line`, `paragraph` or `text`."""
-    table = stored(template_table(docs.sparkSession, templates or TEMPLATES), "licence-templates")
+    """(id_col, license, dice, unit, n_units): the best unit of each document for each licence that matches; unit is `line`, `paragraph`, `text` or `window`.
+
+    n_units counts lines, paragraphs and the text; windows, which overlap each other and the rest, only where none of those matches.
+    """
+    whole = stored(template_table(docs.sparkSession, templates or TEMPLATES), "licence-templates")
+    table = whole.drop("w")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     # A match shares at least low * size of the template's bigrams, so it holds one of any size - that + 1.
     lacks = F.size("template") - F.ceil(F.size("template") * low).cast("int") + 1
     chosen = stored(table.select("license", F.explode(F.slice("template", F.lit(1), lacks)).alias("bigram")), "licence-bigrams")
 
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    looked_for = F.array(*[F.lit(r["bigram"]) for r in chosen.select("bigram").distinct().collect()])  # of the templates only
-    some = bound(docs, "w", normal_words(F.col("text"))).where(F.arrays_overlap(bigrams("w"), looked_for)).drop("w")
+    places = bound(whole, "pairs", all_bigrams("w")).select("license", F.size("w").alias("len"), F.posexplode("pairs").alias("offset", "bigram"))
+    offsets = places.join(chosen, ["license", "bigram"]).select("bigram", "offset", "len").distinct().collect()  # of the templates only
+    looked_for = F.array(*[F.lit(b) for b in sorted({r["bigram"] for r in offsets})])
+    some = bound(bound(docs, "w", normal_words(F.col("text"))), "pairs", all_bigrams("w")).where(F.arrays_overlap("pairs", looked_for))
+    cut = bound(windows(some.select("id", "w", "pairs"), offsets).withColumn("kind", F.lit("window")).withColumnRenamed("words", "w"), "unit", bigrams("w"))
     of = lambda kind, parts: F.transform(F.array_distinct(parts), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("body")))
     parts = F.concat(of("line", F.split("text", "\n")), of("paragraph", F.split("text", r"\n[\x20\x09-\x0D]*\n")), of("text", F.array("text")))
     units = bound(some.select("id", F.explode(parts).alias("u")).select("id", "u.kind", "u.body"), "w", normal_words(F.col("body")))
-    units = bound(units.select("id", "kind", "w"), "unit", bigrams("w")).select("id", "kind", "unit").where(F.size("unit") > 0)
+    units = bound(units.select("id", "kind", "w"), "unit", bigrams("w")).select("id", "kind", "unit").union(cut.select("id", "kind", "unit")).where(F.size("unit") > 0)
     sizes = table.agg(F.min(F.size("template")).alias("lo"), F.max(F.size("template")).alias("hi")).head()
     units = units.where((F.size("unit") >= F.lit((sizes["lo"] or 0) * low)) & (F.size("unit") <= F.lit((sizes["hi"] or 0) * high)))
-    units = stored(units.distinct(), "licence-units").withColumn("hash", F.xxhash64("unit"))
 
-    met = small_join(units.withColumn("bigram", F.explode("unit")), chosen, ["bigram"]).drop("bigram").distinct()
-    both = small_join(met, table, ["license"])
+    # Licences of which a unit holds a chosen bigram, told within the row: only matches are made distinct, units don't move.
+    licences: dict[int, list[str]] = {}
+    for r in chosen.collect():
+        licences.setdefault(r["bigram"], []).append(r["license"])
+    of_bigram = F.create_map(*[x for b, names in licences.items() for x in (F.lit(b), F.array(*[F.lit(n) for n in names]))])
+    met = F.array_distinct(F.flatten(F.transform("held", lambda b: F.element_at(F.col("of_bigram"), b))))
+    held = bound(units, "held", F.array_intersect("unit", looked_for)).where(F.size("held") > 0).withColumn("of_bigram", of_bigram)
+    both = small_join(held.withColumn("license", F.explode(met)).drop("held", "of_bigram"), table, ["license"])
     fits = (F.size("unit") >= F.size("template") * low) & (F.size("unit") <= F.size("template") * high)
     dice = 2 * F.size(F.array_intersect("unit", "template")) / (F.size("unit") + F.size("template"))
-    matches = both.where(fits).select("id", "kind", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
-    best = matches.groupBy("id", "license").agg(F.max("dice").alias("dice"), F.min(F.struct(-F.col("dice"), "kind"))["kind"].alias("unit"), F.count("*").alias("n_units"))
+    matches = both.where(fits).select("id", "kind", "license", "unit", dice.alias("dice")).where(F.col("dice") >= threshold).distinct()
+    is_window = F.col("kind") == "window"
+    n_units = F.when(F.count_if(~is_window) > 0, F.count_if(~is_window)).otherwise(F.count("*"))
+    best = matches.groupBy("id", "license").agg(F.max("dice").alias("dice"), F.min(F.struct(-F.col("dice"), "kind"))["kind"].alias("unit"), n_units.alias("n_units"))
     return best.select(F.col("id").alias(id_col), "license", F.round("dice", 6).alias("dice"), "unit", "n_units")
 
 
