@@ -369,3 +369,33 @@ def test_quality_outliers(spark):
     assert all(got[k] == (False, True) for k in range(200)) and all(got[1000 + k] == (False, False) for k in range(10))
     assert got[2000] == (False, True) and got[2001] == (True, False) and got[2002] == (True, False)
     assert quality_rules.judge(docs.limit(0)).count() == 0
+
+
+def test_hot_windows_are_never_gathered(spark, monkeypatch):
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, hot = noise(260), 20
+    rows = [(k, noise(rng.randint(60, 200)) + passage + noise(rng.randint(60, 200))) for k in range(60)]
+    values = lambda limit: {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs_df(spark, rows), hot=limit).collect()}
+    want = values(10_000)
+    assert sum(v[0] for v in want.values()) >= 59 * len(passage)
+    inner = suffix_dedup._repeats
+
+    def bounded(width):
+        solve = inner(width)
+
+        def run(batches):
+            def counted():
+                sizes = {}
+                for batch in batches:
+                    for h in batch.column(0).to_pylist():
+                        sizes[h] = sizes.get(h, 0) + 1
+                    yield batch
+                assert max(sizes.values(), default=0) <= hot
+
+            yield from solve(counted())
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_repeats", bounded)
+    assert values(hot) == want

@@ -8,14 +8,15 @@ left). The suffix array of the whole corpus is never built; it is only needed wh
     equal anchors at equal offsets. The windows of one anchor place form a context of at most 2 * width - 32 bytes.
     Contexts are sorted by anchor and content. A context seen before goes with all its windows; an anchor with a
     single content has no other repeats.
-3.  What remains, first contexts whose anchor has several contents, is dealt by anchor (by window where an anchor has
-    very many contents) and gets suffix arrays in blocks: suffixes smaller than their successor are sorted directly, the
+3.  What remains, first contexts whose anchor has several contents, is dealt by anchor and gets suffix arrays in
+    blocks (where an anchor has very many contents, its windows are grouped by digest instead, and all but the first
+    of each go): suffixes smaller than their successor are sorted directly, the
     rest is induced by scanning the buckets of first bytes, and adjacent common prefixes of `width` bytes or more mark
     windows that repeat across contexts. The first place of each keeps its bytes.
 4.  The windows that go are united for each document.
 
 Texts are written once to a table bucketed by id, so that the later joins move short rows to the texts and not texts.
-Contexts are told apart by 128 bits of hash; windows in step 3 are compared in full.
+Contexts, and windows of very common anchors, are told apart by 128 bits of hash; other windows in step 3 are compared in full.
 
 Defined results: null text is empty; texts shorter than `width` lose nothing; rows of one id and equal text count as
 one document (an id with several texts is not told apart: its rows may lose each other's windows); a null id
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, small_join, stored
 
 GRAM = 32
 HOT, BLOCK_BYTES = 20_000, 2_000_000
@@ -288,8 +289,13 @@ def repeated_windows(contexts: list[bytes], windows: list[int], width: int) -> l
     return [np.flatnonzero(gone[s : s + k]) for s, k in zip(starts, windows, strict=False)]
 
 
+def _span(at: int) -> tuple[int, int]:
+    """(first window, last window) of a packed place."""
+    return (at >> 16) - ((at >> 8) & 255), (at >> 16) - (at & 255)
+
+
 def _cut(width: int):
-    """(doc, data, marks) to one row for each open context, or for each of its windows if its anchor has very many contexts."""
+    """(doc, data, marks) to one row for each open context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,20 +303,35 @@ def _cut(width: int):
             for doc, text, marks in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 data, doc_id = text.as_py(), doc.as_py()
                 for mark in marks.as_py():
-                    at, key = mark["at"], mark["h"]
-                    place, first, last = at >> 16, (at >> 16) - ((at >> 8) & 255), (at >> 16) - (at & 255)
-                    if not mark["hot"]:
-                        pieces = [(key, first, last - first + 1, data[first : last + width])]
-                    else:
-                        pieces = [(int.from_bytes(hashlib.blake2b(data[p : p + width], digest_size=8).digest(), "little", signed=True), p, 1, data[p : p + width]) for p in range(first, last + 1)]
-                    for key, start, count, piece in pieces:
-                        for column, x in zip(out, (key, doc_id, start, count, piece), strict=True):
-                            column.append(x)
+                    first, last = _span(mark["at"])
+                    for column, x in zip(out, (mark["h"], doc_id, first, last - first + 1, data[first : last + width]), strict=True):
+                        column.append(x)
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out[:4]], pa.array(out[4], pa.binary())], ["h", "doc", "start", "count", "piece"])
 
     return run
 
 
+def _hot_windows(width: int):
+    """(doc, data, marks) to the 128-bit digest and place of each window of the marked contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, marks in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                data = text.as_py()
+                places = sorted({p for mark in marks.as_py() for first, last in [_span(mark["at"])] for p in range(first, min(last, len(data) - width) + 1)})
+                digests = [hashlib.blake2b(data[p : p + width], digest_size=16).digest() for p in places]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([doc.as_py()] * len(places), pa.int64()), pa.array(places, pa.int64())], ["digest", "doc", "start"])
+
+    return run
+
+
+def all_but_first(windows: DataFrame) -> DataFrame:
+    """windows (stored): digest, doc, start. (doc, low, high) for all but the first place of each digest; no group is held as a list."""
+    firsts = windows.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last")).where("first <> last")
+    firsts = stored(firsts.select("digest", "first"), "suffix-firsts")
+    return small_join(windows, firsts, ["digest"]).where(F.struct("doc", "start") != F.col("first")).select("doc", F.col("start").alias("low"), F.col("start").alias("high"))
+
+
 def _repeats(width: int):
     """Rows sorted by h, doc, start; whole groups of one h go into blocks of about BLOCK_BYTES. Gives (doc, from, to): places of windows that go."""
 
@@ -378,10 +399,17 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     marks = stored(sorted_places.mapInArrow(_sort_out, "doc long, at long, h long, gone boolean"), "suffix-marks")
 
     still_open = marks.where("not gone")
-    crowded = stored(still_open.groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("hot")), "suffix-crowded")
-    per_doc = still_open.join(crowded, "h", "left").groupBy("doc").agg(F.collect_list(F.struct("at", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("marks"))
-    pieces = texts.select("doc", "data", "sha").join(owners.hint("shuffle_hash"), ["doc", "sha"], "left_semi").join(per_doc, "doc").select("doc", "data", "marks").mapInArrow(_cut(width), "h long, doc long, start long, count long, piece binary")
+    crowded = stored(still_open.groupBy("h").count().where(F.col("count") > hot).select("h"), "suffix-crowded")
+    own_texts = texts.select("doc", "data", "sha").join(owners.hint("shuffle_hash"), ["doc", "sha"], "left_semi")
+
+    def marked(open_marks: DataFrame) -> DataFrame:
+        return own_texts.join(open_marks.groupBy("doc").agg(F.collect_list(F.struct("at", "h")).alias("marks")), "doc").select("doc", "data", "marks")
+
+    pieces = marked(small_join(still_open, crowded, ["h"], "left_anti")).mapInArrow(_cut(width), "h long, doc long, start long, count long, piece binary")
     found = pieces.repartition("h").sortWithinPartitions("h", "doc", "start").mapInArrow(_repeats(width), "doc long, low long, high long")
+    if crowded.limit(1).count():
+        hot_windows = marked(small_join(still_open, crowded, ["h"], "left_semi")).mapInArrow(_hot_windows(width), "digest binary, doc long, start long")
+        found = found.union(all_but_first(stored(hot_windows, "suffix-windows")))
 
     place = F.shiftright("at", 16)
     seen = marks.where("gone").select("doc", (place - F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("low"), (place - F.col("at").bitwiseAND(F.lit(255))).alias("high"))
