@@ -12,27 +12,54 @@ IDS = 1_000_000  # so many decisions are broadcast, more are joined by shuffle
 MIX_SHARE = 0.5  # the last stage's budget: this share of the words it is given
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but those whose id is in ids; a null id equals a null id."""
-    key = F.to_json(F.struct("doc_id"))
-    gone = stored(ids.select(key.alias("_key")).distinct(), "pipeline-dropped")
-    return small_join(docs.withColumn("_key", key), gone, ["_key"], "left_anti", IDS).drop("_key")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(docs with row_key, a whole number for each row; the renumbered rows or None).
+
+    An id that one row alone has is its key. Rows whose id is null or repeated get numbers below all ids and are
+    written once, so that their numbers hold.
+    """
+    shared = stored(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "pipeline-shared-ids")
+    if not shared.limit(1).count():
+        return docs.withColumn("row_key", F.col("doc_id").cast("long")), None
+    some, named = shared.where("doc_id is not null"), docs.where("doc_id is not null")
+    odd = docs.where("doc_id is null").unionByName(small_join(named, some, ["doc_id"], "left_semi", IDS).select(*docs.columns))
+    below = min(docs.agg(F.min("doc_id")).head()[0] or 0, 0) - 1
+    odd = stored(odd.withColumn("row_key", F.lit(below).cast("long") - F.monotonically_increasing_id()), "pipeline-odd-rows")
+    own = small_join(named, some, ["doc_id"], "left_anti", IDS).select(*docs.columns).withColumn("row_key", F.col("doc_id").cast("long"))
+    return own.unionByName(odd), odd
+
+
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows but those whose row_key is in keys."""
+    gone = stored(keys.select("row_key"), "pipeline-dropped")
+    return small_join(rows, gone, ["row_key"], "left_anti", IDS).drop("row_key")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return _without(docs, quality_rules.judge(docs).where("not kept"))
+    rows, _ = _keyed(docs)
+    return _without(rows, quality_rules.judge(rows).where("not kept")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose sets of five-word shingles have a Jaccard similarity of 0.8, and what is linked through others, the one with the smallest id stays; documents without words all stay."""
-    linked = ngram_join.ngram_links(docs, n=5, percent=80)
-    return _without(docs, linked.where(F.col("doc_id") != F.col("component_id")))
+    """Of documents whose sets of five-word shingles have a Jaccard similarity of 0.8, and what is linked through others, the one with the smallest id stays (null after all ids); documents without words all stay."""
+    rows, odd = _keyed(docs)
+    linked = ngram_join.ngram_links(rows, n=5, percent=80, id_col="row_key")
+    if odd is None:
+        return _without(rows, linked.where(F.col("row_key") != F.col("component_id"))).select(*docs.columns)
+    # Made-up numbers don't rank rows: the first of each component is chosen by the ids themselves.
+    linked = stored(linked, "pipeline-linked")
+    ids = odd.select("row_key", F.col("doc_id").alias("_id"), F.lit(True).alias("_odd"))
+    ranked = small_join(linked, stored(ids, "pipeline-odd-ids"), ["row_key"], "left", IDS).withColumn("_id", F.when(F.col("_odd"), F.col("_id")).otherwise(F.col("row_key")))
+    ranked = ranked.select("row_key", "component_id", F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), (-F.col("row_key")).alias("at")).alias("rank"))
+    first = ranked.groupBy("component_id").agg(F.min("rank").alias("first"))
+    return _without(rows, ranked.join(first, "component_id").where(F.col("rank.at") != F.col("first.at"))).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a near copy of a benchmark item go."""
-    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows, _ = _keyed(docs)
+    return decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row_key").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +77,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of MIX_SHARE of the words, by the tempered shares of sources, languages and lengths, with its words and probability; want above 1 marks cells kept whole that fall short."""
-    mixed = source_mix.mix(docs, share=MIX_SHARE)
+    draw = F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))  # null ids draw by their text
+    mixed = source_mix.mix(docs.withColumn("_draw", draw), share=MIX_SHARE, id_col="_draw")
     return mixed.where("_kept").select(*docs.columns, F.col("_weight").cast("long").alias("n_words"), F.round("_p", 6).alias("p"), F.round("_want", 6).alias("want"))
 
 

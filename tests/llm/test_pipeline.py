@@ -42,3 +42,21 @@ def test_stages(spark, tmp_path):
     assert "[secret]" in clean.text and not re.search("[0-9a-f]{16}", clean.text) and clean.n_chars == len(clean.text)
     same = spark.read.parquet(str(tmp_path / "stage3")).where("doc_id <> 11").join(docs.select("doc_id", F.col("text").alias("t")), "doc_id").where("text <> t")
     assert same.count() == 0
+
+
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    item, clean, copied, shared = text(30), text(120), text(120), text(120)
+    leaked = text(100) + " " + item
+    rows = [(None, "short"), (None, clean), (None, copied), (None, copied), (7, "tiny"), (7, shared), (None, leaked), (3, clean + " tail"), *((100 + k, text(120)) for k in range(20))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    table, left = docs, []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        table = stage(spark, table, str(tmp_path))
+        left.append(sorted((r.doc_id or -1, r.text) for r in table.where("doc_id is null or doc_id < 100").collect()))
+    assert left[0] == sorted([(-1, clean), (-1, copied), (-1, copied), (7, shared), (-1, leaked), (3, clean + " tail")])
+    assert left[1] == sorted([(-1, copied), (7, shared), (-1, leaked), (3, clean + " tail")])
+    assert left[2] == sorted([(-1, copied), (7, shared), (3, clean + " tail")])
