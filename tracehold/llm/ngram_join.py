@@ -4,16 +4,20 @@ A document is the set of its distinct n-word shingles, each a 64-bit hash (sets
 100 * intersection >= percent * union. Links are found without comparing all pairs:
 
 1.  Equal sets collapse to one representative, the smallest id.
-2.  All sets share one order of tokens: rare class first, then frequent class. A token is frequent if all its words
-    fall in frequent buckets; buckets of words are counted over all documents, and a frequent bucket holds at least
-    1/2000 of all words, so there are at most 2000. A set of n tokens may miss t = n - ceil(n * percent / 100) of them in
+2.  All sets share one order of tokens: rare class first, then frequent class. Words are counted over all documents in
+    65536 hashed buckets, and so are shingles. A token's rarity is the product of its words' shares, in 63 classes from
+    rare to common, which come in that order. A token is frequent if all its words fall in buckets of at least 1/2000 of all
+    words, or if its own bucket holds HOT_TIMES the mean or more; so a rare token is in few documents, however many share a
+    passage. A set of n tokens may miss t = n - ceil(n * percent / 100) of them in
     a partner. Its prefix is extended until it covers t + 1 misses: a rare token covers one and is indexed alone; the
     frequent class is cut into subclasses, c prefix tokens of a subclass cover c - 1, and their pairs are indexed. Of two
     linked sets the one whose prefix ends first keeps a token, or two of one subclass, that its partner's prefix has too.
-    So every link shares an index entry. Sizes fall into bands, each with its own number of subclasses; a set that may
-    have a partner in the next band is indexed there as well.
-3.  First pass: each set against the first set of each of its entries, one row per entry. Second pass: within
-    entries whose sets are still in several components, the pairs across components, in blocks of bounded size.
+    So every link shares an index entry. Sizes fall into bands, each with its own number of subclasses; the pairs of a set
+    that may have a partner in the next band are indexed there as well.
+3.  First pass: rows of an entry of one rare token are sorted by size, and each set meets the one before it; entries of
+    pairs, which may be held by a large part of all sets, are aggregated before they move, and each set meets the
+    first. Second pass: within entries whose sets are still in several components, the pairs across components, in
+    blocks of bounded size.
     A parity bitmap of each set bounds the size of the symmetric difference from below and drops nearly all pairs
     that don't link; it never drops one that does. What is left is verified on the full sets.
 4.  Components of the verified links, by label propagation over tables.
@@ -31,15 +35,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, documents, small_batches, small_join, stored, words
 
-BUCKETS, FREQUENT_SHARE = 1 << 16, 2000
+BUCKETS, FREQUENT_SHARE, HOT_TIMES = 1 << 16, 2000, 4
+RARITY_BITS = 20  # a word's rarity, as bits: what is rarer than a share of 2^-20 counts as that
 BAND_RATIO, BLOCK = 1.5, 1000
 CANDIDATE_IDS = 2_000_000  # so many ids are broadcast to pick texts out of the scan, else they are joined by shuffle
 
@@ -56,18 +62,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_sets(lists: pa.ListArray, n: int, frequent: np.ndarray) -> Iterator[np.ndarray]:
-    """For each list of word hashes its sorted distinct shingle hashes; the lowest bit is set if all words are frequent."""
+@dataclass(frozen=True)
+class TokenOrder:
+    """What the counts say, by bucket: bits of rarity and whether it is frequent for words, whether it is hot for shingles."""
+
+    rarity: np.ndarray
+    frequent: np.ndarray
+    hot: np.ndarray
+
+
+def word_hashes(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all lists, where each list begins and the last ends)."""
     offsets = lists.offsets.to_numpy().astype(np.int64)
-    w = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    often = frequent[(w % np.uint64(BUCKETS)).astype(np.int64)]
-    count = max(len(w) - n + 1, 0)
-    h, all_often = np.zeros(count, np.uint64), np.ones(count, bool)
+    return lists.values.to_numpy(zero_copy_only=False).view(np.uint64)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def shingle_hashes(w: np.ndarray, n: int) -> np.ndarray:
+    h = np.zeros(max(len(w) - n + 1, 0), np.uint64)
     for k in range(n):
-        h = mix(h * np.uint64(31) + w[k : k + count])
-        all_often &= often[k : k + count]
-    h = (h & ~np.uint64(1)) | all_often.astype(np.uint64)
+        h = mix(h * np.uint64(31) + w[k : k + len(h)])
+    return h
+
+
+def bucket_of(x: np.ndarray) -> np.ndarray:
+    return (x % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def shingle_sets(lists: pa.ListArray, n: int, order: TokenOrder) -> Iterator[np.ndarray]:
+    """For each list of word hashes its sorted distinct tokens: six bits of class, rarest first, then hash; the lowest bit is set if the token is frequent."""
+    w, offsets = word_hashes(lists)
+    h = shingle_hashes(w, n)
+    bucket = bucket_of(w)
+    rarity, often = np.zeros(len(h), np.float32), np.ones(len(h), bool)
+    for k in range(n):
+        rarity += order.rarity[bucket[k : k + len(h)]]
+        often &= order.frequent[bucket[k : k + len(h)]]
+    hot = order.hot[bucket_of(h)]
+    kind = 62 - np.minimum(rarity * np.float32(62 / (n * RARITY_BITS)), 62).astype(np.uint64)
+    kind = np.where(hot, np.uint64(63), kind)
+    h = (kind << np.uint64(58)) | ((h >> np.uint64(6)) & ~np.uint64(1)) | (often | hot).astype(np.uint64)
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         if b - a >= n:
             yield np.unique(h[a : b - n + 1])
@@ -94,27 +127,24 @@ def band_edges(percent: int, top: int = 1 << 40) -> list[int]:
 
 
 def entries_of(u: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
-    """Index entries of the set u, for its band and, where a partner may be there, the next one."""
+    """Index entries of the set u: even ones of rare tokens; odd ones of pairs of frequent tokens, for its band and, where a partner may be there, the next one."""
     n = len(u)
     if n < edges[0]:
         return np.zeros(0, np.uint64)
-    band = int(np.searchsorted(edges, n, "right")) - 1
+    one = np.uint64(1)
     need = n - least_partner(n, percent) + 1
-    out = []
-    for b in (band, band + 1):
+    rare, frequent = u[(u & one) == 0], u[(u & one) == 1]
+    out = [mix(rare[:need]) & ~one]
+    band = int(np.searchsorted(edges, n, "right")) - 1
+    for b in (band, band + 1) if len(rare) < need else ():
         if b > band and least_partner(edges[b], percent) > n:
             break
         salt = np.uint64(2 * b + 1)
-        rare = u[(u & np.uint64(1)) == 0]
-        out.append(mix(rare[:need] + salt))
-        if len(rare) >= need:
-            continue
         # With so many subclasses at most, even one token each of them leaves cover enough.
         classes = max(1, least_partner(least_partner(edges[b], percent), percent) - 1)
-        often = u[(u & np.uint64(1)) == 1]
-        group = ((often >> np.uint64(1)) % np.uint64(classes)).astype(np.int64)
+        group = ((frequent >> one) % np.uint64(classes)).astype(np.int64)
         order = np.argsort(group, kind="stable")
-        often, group = often[order], group[order]
+        often, group = frequent[order], group[order]
         sizes = np.bincount(group, minlength=classes)
         cover = np.cumsum(np.maximum(sizes - 1, 0))
         last = int(np.searchsorted(cover, need - len(rare)))
@@ -124,7 +154,7 @@ def entries_of(u: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
         often, group = often[:stop], group[:stop]
         for d in range(1, int(sizes[: last + 1].max())):
             pair = group[d:] == group[:-d]
-            out.append(mix(mix(often[:-d][pair] + salt) * np.uint64(31) + often[d:][pair]))
+            out.append(mix(mix(often[:-d][pair] + salt) * np.uint64(31) + often[d:][pair]) | one)
     return np.unique(np.concatenate(out))
 
 
@@ -153,33 +183,41 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), hashes.alias("w"))
 
 
-def frequent_buckets(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Whether each bucket of words holds at least 1/FREQUENT_SHARE of all words; at most BUCKETS counts leave a task."""
+def token_order(docs: DataFrame, n: int, text_col: str = "text") -> TokenOrder:
+    """Counts of words and of n-word shingles by bucket, over all documents; at most 2 * BUCKETS counts leave a task, and reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(2 * BUCKETS, np.int64)
         for batch in batches:
-            w = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            total += np.bincount((w % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            w, offsets = word_hashes(batch.column(0))
+            total[:BUCKETS] += np.bincount(bucket_of(w), minlength=BUCKETS)
+            h = shingle_hashes(w, n)
+            inside = np.ones(len(h), bool)  # not those that reach into the next document
+            for k in range(1, n):
+                at = offsets[1:-1] - k
+                inside[at[(at >= 0) & (at < len(h))]] = False
+            total[BUCKETS:] += np.bincount(bucket_of(h[inside]), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["b", "n"])
 
     hashed = docs.select(F.transform(words(ascii_lower(F.col(text_col))), lambda w: F.xxhash64(w)).alias("w"))
-    counts = stored(hashed.mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")), "ngram-words")
-    total = counts.agg(F.sum("n")).head()[0] or 0
-    often = np.zeros(BUCKETS, bool)
-    often[[r["b"] for r in counts.where(F.col("n") * FREQUENT_SHARE >= total).select("b").collect()]] = True  # FREQUENT_SHARE rows at most
-    return often
+    counts = np.zeros(2 * BUCKETS, np.int64)
+    for r in hashed.mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
+        counts[r["b"]] = r["n"]
+    word, shingle = counts[:BUCKETS], counts[BUCKETS:]
+    share = word / max(int(word.sum()), 1)
+    rarity = np.minimum(-np.log2(np.maximum(share, 2.0**-RARITY_BITS)), RARITY_BITS).astype(np.float32)
+    return TokenOrder(rarity, share * FREQUENT_SHARE >= 1, shingle >= max(HOT_TIMES * int(shingle.sum()) / BUCKETS, 2 * HOT_TIMES))
 
 
-def index_sets(docs: DataFrame, frequent: np.ndarray, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def index_sets(docs: DataFrame, order: TokenOrder, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n, key, entries, bitmap), one row a document; key is a 128-bit digest of the set."""
     edges = band_edges(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, entries, bitmaps = [], [], [], []
-            for u in shingle_sets(batch.column(1), n, frequent):
+            for u in shingle_sets(batch.column(1), n, order):
                 sizes.append(len(u))
                 keys.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
                 entries.append(entries_of(u, percent, edges).view(np.int64))
@@ -190,10 +228,10 @@ def index_sets(docs: DataFrame, frequent: np.ndarray, n: int, percent: int, id_c
     return hashed.mapInArrow(run, f"id {dict(hashed.dtypes)['id']}, n long, key binary, entries array<long>, bitmap binary")
 
 
-def token_sets(docs: DataFrame, frequent: np.ndarray, n: int, id_col: str, text_col: str) -> DataFrame:
+def token_sets(docs: DataFrame, order: TokenOrder, n: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [u.view(np.int64) for u in shingle_sets(batch.column(1), n, frequent)]
+            sets = [u.view(np.int64) for u in shingle_sets(batch.column(1), n, order)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "tokens"])
 
     hashed = _hashed(docs, id_col, text_col)
@@ -224,11 +262,11 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, frequent: np.ndarray, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, order: TokenOrder, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """pairs (stored): the links among them, by their full sets. Only the texts of these pairs are read into sets."""
     ids = stored(pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct(), "ngram-ids")
     texts = small_join(docs.select(id_col, text_col), ids, [id_col], "left_semi", CANDIDATE_IDS)
-    tokens = stored(token_sets(texts, frequent, n, id_col, text_col), "ngram-tokens")
+    tokens = stored(token_sets(texts, order, n, id_col, text_col), "ngram-tokens")
     left = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -310,6 +348,22 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def _meetings(entries: DataFrame) -> DataFrame:
+    """entries: entry, id, n. Rows of the entries that several sets have, with another set of the entry: other, other_n, null for the first.
+
+    Rare tokens are in few documents, so their entries are sorted by size, after one shuffle, and each set meets the one
+    before it. Pairs of frequent tokens may be in any number of them and meet the first, found by an aggregate.
+    """
+    order = Window.partitionBy("entry").orderBy("n", "id")
+    odd = F.col("entry").bitwiseAND(F.lit(1)) == 1
+    before = F.lag(F.struct("id", "n")).over(order)
+    rare = entries.where(~odd).withColumns({"_before": before, "_after": F.lead("n").over(order)}).where(F.col("_before").isNotNull() | F.col("_after").isNotNull())
+    pairs = entries.where(odd)
+    firsts = pairs.groupBy("entry").agg(F.min(F.struct("id", "n")).alias("_first"), F.count("*").alias("_members")).where("_members > 1")
+    star = pairs.join(firsts, "entry").withColumn("_before", F.when(F.col("id") != F.col("_first.id"), F.col("_first")))
+    return rare.drop("_after").unionByName(star.drop("_first", "_members")).select("entry", "id", "n", F.col("_before.id").alias("other"), F.col("_before.n").alias("other_n"))
+
+
 def ngram_links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id), one row for each row of docs. id_col is a whole number or a string."""
     with small_batches(docs.sparkSession):
@@ -318,30 +372,27 @@ def ngram_links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "d
 
 def _links(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col), F.col(text_col))
-    frequent = frequent_buckets(docs, text_col)
-    base = stored(index_sets(docs, frequent, n, percent, id_col, text_col), "ngram-sets")
+    order = token_order(docs, n, text_col)
+    base = stored(index_sets(docs, order, n, percent, id_col, text_col), "ngram-sets")
     groups = base.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"))
     chosen = groups.groupBy("rep").agg(F.min("key").alias("key")).where(F.col("rep").isNotNull())
     # What isn't chosen is told by short rows; while it was counted to be little, the sets themselves don't move.
     named = base.where("n > 0").select("id", "key").join(chosen.withColumnRenamed("key", "own"), F.col("id") == F.col("rep"), "left")
     others = stored(named.where(F.col("own").isNull() | (F.col("own") != F.col("key"))).select("id", "key").distinct(), "ngram-others")
     sets = small_join(base.where("n > 0 and id is not null"), others, ["id", "key"], "left_anti", CANDIDATE_IDS)
-    entries = stored(sets.select(F.explode("entries").alias("entry"), "id", "n"), "ngram-entries")
-
-    # First pass: every set against the first one of each of its entries.
-    firsts = entries.groupBy("entry").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
-    star = entries.join(firsts, "entry").where((F.col("id") != F.col("first.id")) | (F.col("members") > 2))
-    star = stored(star.select("entry", "members", "id", F.col("first.id").alias("first"), "n", F.col("first.n").alias("first_n")), "ngram-star")
-    close = (F.col("id") != F.col("first")) & (F.least("n", "first_n") * 100 >= F.greatest("n", "first_n") * percent)
-    pairs = star.where(close).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+
+    # First pass. An entry alone in its set meets nothing and is left behind in the one shuffle of the entries.
+    met = stored(_meetings(sets.select(F.explode("entries").alias("entry"), "id", "n")), "ngram-met")
+    close = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
+    pairs = met.where(F.col("other").isNotNull() & close).select(F.col("other").alias("a"), F.col("id").alias("b")).distinct()
     slim = stored(sets.where(F.length("bitmap") > 0).select("id", "n", "bitmap"), "ngram-bitmaps")
     may = stored(_may_link(_with_sets(pairs, slim, percent), percent), "ngram-pairs")
-    links = stored(verify(may, docs, frequent, n, percent, id_col, text_col), "ngram-links")
+    links = stored(verify(may, docs, order, n, percent, id_col, text_col), "ngram-links")
     labels = components(links)
 
     # Second pass: entries of three sets or more that the first pass didn't bring into one component.
-    labelled = star.where("members > 2").select("entry", "members", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_entries = labelled.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("entry")
+    labelled = met.select("entry", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    open_entries = labelled.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2").select("entry", "members")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("id"), blocks).cast("int")
     members = labelled.join(open_entries, "entry").withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -349,7 +400,7 @@ def _links(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
     members = members.join(slim, "id").select("entry", "part_a", "part_b", "id", "label", "n", "side", "bitmap")
     more = stored(_across(members, percent), "ngram-pairs")
     if more.limit(1).count():
-        links = stored(links.union(verify(more, docs, frequent, n, percent, id_col, text_col)).distinct(), "ngram-links")
+        links = stored(links.union(verify(more, docs, order, n, percent, id_col, text_col)).distinct(), "ngram-links")
         labels = components(links)
 
     named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("label", "rep").alias("component_id"))
