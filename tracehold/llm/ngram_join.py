@@ -14,10 +14,10 @@ A document is the set of its distinct n-word shingles, each a 64-bit hash (sets
     linked sets the one whose prefix ends first keeps a token, or two of one subclass, that its partner's prefix has too.
     So every link shares an index entry. Sizes fall into bands, each with its own number of subclasses; the pairs of a set
     that may have a partner in the next band are indexed there as well.
-3.  First pass: rows of an entry of one rare token are sorted by size, and each set meets the one before it; entries of
-    pairs, which may be held by a large part of all sets, are aggregated before they move, and each set meets the
-    first. Second pass: within entries whose sets are still in several components, the pairs across components, in
-    blocks of bounded size.
+3.  First pass: each set meets the first set of each of its entries. Rows of an entry of one rare token are sorted after
+    one shuffle; entries of pairs, which may be held by a large part of all sets, are aggregated before they move.
+    Second pass: within entries whose sets are still in several components, the pairs across components, in blocks of
+    bounded size.
     A parity bitmap of each set bounds the size of the symmetric difference from below and drops nearly all pairs
     that don't link; it never drops one that does. What is left is verified on the full sets.
 4.  Components of the verified links, by label propagation over tables.
@@ -351,13 +351,14 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 def _meetings(entries: DataFrame) -> DataFrame:
     """entries: entry, id, n. Rows of the entries that several sets have, with another set of the entry: other, other_n, null for the first.
 
-    Rare tokens are in few documents, so their entries are sorted by size, after one shuffle, and each set meets the one
-    before it. Pairs of frequent tokens may be in any number of them and meet the first, found by an aggregate.
+    Each set meets the one with the smallest id, as copies are mostly copies of it. Rare tokens are in few documents,
+    so their entries are sorted after one shuffle; pairs of frequent tokens may be in any number of them and are aggregated first.
     """
-    order = Window.partitionBy("entry").orderBy("n", "id")
+    order = Window.partitionBy("entry").orderBy("id")
     odd = F.col("entry").bitwiseAND(F.lit(1)) == 1
-    before = F.lag(F.struct("id", "n")).over(order)
-    rare = entries.where(~odd).withColumns({"_before": before, "_after": F.lead("n").over(order)}).where(F.col("_before").isNotNull() | F.col("_after").isNotNull())
+    first = F.first(F.struct("id", "n")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rare = entries.where(~odd).withColumns({"_first": first, "_after": F.lead("id").over(order)})
+    rare = rare.withColumn("_before", F.when(F.col("id") != F.col("_first.id"), F.col("_first"))).where(F.col("_before").isNotNull() | F.col("_after").isNotNull()).drop("_first")
     pairs = entries.where(odd)
     firsts = pairs.groupBy("entry").agg(F.min(F.struct("id", "n")).alias("_first"), F.count("*").alias("_members")).where("_members > 1")
     star = pairs.join(firsts, "entry").withColumn("_before", F.when(F.col("id") != F.col("_first.id"), F.col("_first")))
