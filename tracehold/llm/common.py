@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 
 _own_dir: str | None = None
+_spaces: list[list[str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session, as in tests, gets a temporary one; elsewhere executors would write where others can't read, so that is an error."""
     global _own_dir
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tracehold-")
     return f"file://{_own_dir}"
@@ -35,10 +39,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _spaces:
+        _spaces[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def tidily(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make returns, stored; all that it stored on the way is removed."""
+    _spaces.append([])
+    try:
+        df = make()
+        spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+        df.write.parquet(path)
+        if len(_spaces) > 1:
+            _spaces[-2].append(path)
+        return spark.read.schema(df.schema).parquet(path)
+    finally:
+        active = SparkSession.getActiveSession()
+        for path in _spaces.pop():
+            if active is not None:
+                discard(active, path)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of so many rows for the jobs inside: what a Python worker and the JVM hold of texts or sets at once."""

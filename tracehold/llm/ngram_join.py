@@ -5,21 +5,19 @@ A document is the set of its distinct n-word shingles, each a 64-bit hash (sets
 
 1.  Equal sets collapse to one representative, the smallest id.
 2.  All sets share one order of tokens: rare class first, then frequent class. Words are counted over all documents in
-    65536 hashed buckets, and so are shingles. A token's rarity is the product of its words' shares, in 63 classes from
-    rare to common, which come in that order. A token is frequent if all its words fall in buckets of at least 1/2000 of all
-    words, or if its own bucket holds HOT_TIMES the mean or more; so a rare token is in few documents, however many share a
-    passage. A set of n tokens may miss t = n - ceil(n * percent / 100) of them in
+    2^16 hashed buckets and shingles in 2^20. A token is frequent if its bucket holds HOT_TIMES the mean or more, so a rare one
+    is in few documents, whatever passages they share; rare tokens come in 63 classes by the product of their words'
+    shares, rarest first. A set of n tokens may miss t = n - ceil(n * percent / 100) of them in
     a partner. Its prefix is extended until it covers t + 1 misses: a rare token covers one and is indexed alone; the
     frequent class is cut into subclasses, c prefix tokens of a subclass cover c - 1, and their pairs are indexed. Of two
     linked sets the one whose prefix ends first keeps a token, or two of one subclass, that its partner's prefix has too.
-    So every link shares an index entry. Sizes fall into bands, each with its own number of subclasses; the pairs of a set
-    that may have a partner in the next band are indexed there as well.
-3.  First pass: each set meets the first set of each of its entries. Rows of an entry of one rare token are sorted after
-    one shuffle; entries of pairs, which may be held by a large part of all sets, are aggregated before they move.
-    Second pass: within entries whose sets are still in several components, the pairs across components, in blocks of
-    bounded size.
-    A parity bitmap of each set bounds the size of the symmetric difference from below and drops nearly all pairs
-    that don't link; it never drops one that does. What is left is verified on the full sets.
+    So every link shares an index entry. Sizes fall into bands, each with its own number of subclasses; a set that may
+    have a partner in the next band counts there as well.
+3.  Entries that one set alone has are left behind in the one shuffle of the entries. First pass: each set meets the first
+    set of its band in each entry. Second pass: within entries whose sets are still in several components, the pairs
+    across components, in blocks of bounded size. A parity bitmap of each set bounds the size of the symmetric
+    difference from below and drops nearly all pairs that don't link; it never drops one that does. What is left is verified
+    on the full sets, in the second pass a few pairs of each two components at a time, as one link joins them.
 4.  Components of the verified links, by label propagation over tables.
 
 An entry of any size is dealt out in blocks and nothing is capped. Tables that must outlive a stage are written to the
@@ -42,11 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, small_batches, small_join, stored, words
+from .common import ascii_lower, documents, small_batches, small_join, stored, tidily, words
 
-BUCKETS, FREQUENT_SHARE, HOT_TIMES = 1 << 16, 2000, 4
+WORD_BUCKETS, SHINGLE_BUCKETS, CHUNK, HOT_TIMES = 1 << 16, 1 << 20, 1 << 14, 4
 RARITY_BITS = 20  # a word's rarity, as bits: what is rarer than a share of 2^-20 counts as that
 BAND_RATIO, BLOCK = 1.5, 1000
+FEW_PAIRS = 2  # pairs of two components that the second pass verifies first; eight times as many in each turn that follows
 CANDIDATE_IDS = 2_000_000  # so many ids are broadcast to pick texts out of the scan, else they are joined by shuffle
 
 
@@ -64,11 +63,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class TokenOrder:
-    """What the counts say, by bucket: bits of rarity and whether it is frequent for words, whether it is hot for shingles."""
+    """What the counts say, by bucket: bits of rarity for words; whether it is frequent, eight buckets a byte, for shingles."""
 
     rarity: np.ndarray
     frequent: np.ndarray
-    hot: np.ndarray
 
 
 def word_hashes(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,23 +82,23 @@ def shingle_hashes(w: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def bucket_of(x: np.ndarray) -> np.ndarray:
-    return (x % np.uint64(BUCKETS)).astype(np.int64)
+def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
+    return (x % np.uint64(buckets)).astype(np.int64)
 
 
 def shingle_sets(lists: pa.ListArray, n: int, order: TokenOrder) -> Iterator[np.ndarray]:
     """For each list of word hashes its sorted distinct tokens: six bits of class, rarest first, then hash; the lowest bit is set if the token is frequent."""
     w, offsets = word_hashes(lists)
     h = shingle_hashes(w, n)
-    bucket = bucket_of(w)
-    rarity, often = np.zeros(len(h), np.float32), np.ones(len(h), bool)
+    rare = order.rarity[bucket_of(w, WORD_BUCKETS)]
+    rarity = np.zeros(len(h), np.float32)
     for k in range(n):
-        rarity += order.rarity[bucket[k : k + len(h)]]
-        often &= order.frequent[bucket[k : k + len(h)]]
-    hot = order.hot[bucket_of(h)]
+        rarity += rare[k : k + len(h)]
+    bucket = bucket_of(h, SHINGLE_BUCKETS)
+    often = (order.frequent[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1
     kind = 62 - np.minimum(rarity * np.float32(62 / (n * RARITY_BITS)), 62).astype(np.uint64)
-    kind = np.where(hot, np.uint64(63), kind)
-    h = (kind << np.uint64(58)) | ((h >> np.uint64(6)) & ~np.uint64(1)) | (often | hot).astype(np.uint64)
+    kind = np.where(often, np.uint64(63), kind)
+    h = (kind << np.uint64(58)) | ((h >> np.uint64(6)) & ~np.uint64(1)) | often.astype(np.uint64)
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         if b - a >= n:
             yield np.unique(h[a : b - n + 1])
@@ -158,10 +156,10 @@ def entries_of(u: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def parity_bitmap(u: np.ndarray) -> bytes:
-    """Two bits a token or more, a power of two of them; each token flips one. Where two bitmaps differ in d bits, the sets differ in d tokens at least."""
+def parity_bitmap(u: np.ndarray, percent: int) -> bytes:
+    """A power of two of bits, four times the tokens by which a partner may differ or more; each token flips one. Where two bitmaps differ in d bits, the sets differ in d tokens at least."""
     width = 64
-    while width < 2 * len(u):
+    while width * (100 + percent) < 8 * len(u) * (100 - percent):
         width *= 2
     flips = np.bincount(((u >> np.uint64(1)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
@@ -184,30 +182,40 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def token_order(docs: DataFrame, n: int, text_col: str = "text") -> TokenOrder:
-    """Counts of words and of n-word shingles by bucket, over all documents; at most 2 * BUCKETS counts leave a task, and reach the driver."""
+    """Counts of words and of n-word shingles by bucket, over all documents. A task sends its counts in chunks of four bytes a bucket; so many sums, whatever the input, reach the driver."""
+    size = WORD_BUCKETS + SHINGLE_BUCKETS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * BUCKETS, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.uint32)
         for batch in batches:
             w, offsets = word_hashes(batch.column(0))
-            total[:BUCKETS] += np.bincount(bucket_of(w), minlength=BUCKETS)
+            total[:WORD_BUCKETS] += np.bincount(bucket_of(w, WORD_BUCKETS), minlength=WORD_BUCKETS).astype(np.uint32)
             h = shingle_hashes(w, n)
             inside = np.ones(len(h), bool)  # not those that reach into the next document
             for k in range(1, n):
                 at = offsets[1:-1] - k
                 inside[at[(at >= 0) & (at < len(h))]] = False
-            total[BUCKETS:] += np.bincount(bucket_of(h[inside]), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["b", "n"])
+            total[WORD_BUCKETS:] += np.bincount(bucket_of(h[inside], SHINGLE_BUCKETS), minlength=SHINGLE_BUCKETS).astype(np.uint32)
+        for k in range(0, size, CHUNK):
+            if total[k : k + CHUNK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([total[k : k + CHUNK].tobytes()], pa.binary())], ["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums.setdefault(k, np.zeros(CHUNK, np.uint64))
+                sums[k] += np.frombuffer(counts.as_buffer(), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
     hashed = docs.select(F.transform(words(ascii_lower(F.col(text_col))), lambda w: F.xxhash64(w)).alias("w"))
-    counts = np.zeros(2 * BUCKETS, np.int64)
-    for r in hashed.mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
-        counts[r["b"]] = r["n"]
-    word, shingle = counts[:BUCKETS], counts[BUCKETS:]
+    counts = np.zeros(size, np.uint64)
+    for r in hashed.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():
+        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint64)
+    word, shingle = counts[:WORD_BUCKETS], counts[WORD_BUCKETS:]
     share = word / max(int(word.sum()), 1)
     rarity = np.minimum(-np.log2(np.maximum(share, 2.0**-RARITY_BITS)), RARITY_BITS).astype(np.float32)
-    return TokenOrder(rarity, share * FREQUENT_SHARE >= 1, shingle >= max(HOT_TIMES * int(shingle.sum()) / BUCKETS, 2 * HOT_TIMES))
+    return TokenOrder(rarity, np.packbits(shingle >= max(HOT_TIMES * int(shingle.sum()) / SHINGLE_BUCKETS, 8 * HOT_TIMES), bitorder="little"))
 
 
 def index_sets(docs: DataFrame, order: TokenOrder, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -221,7 +229,7 @@ def index_sets(docs: DataFrame, order: TokenOrder, n: int, percent: int, id_col:
                 sizes.append(len(u))
                 keys.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
                 entries.append(entries_of(u, percent, edges).view(np.int64))
-                bitmaps.append(parity_bitmap(u) if len(u) >= edges[0] else b"")
+                bitmaps.append(parity_bitmap(u, percent) if len(u) >= edges[0] else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(entries, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary())], ["id", "n", "key", "entries", "bitmap"])
 
     hashed = _hashed(docs, id_col, text_col)
@@ -291,9 +299,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """members: entry, part_a, part_b, id, label, n, bitmap, side. Pairs (a, b) of different labels that the bitmaps don't rule out, within each block."""
+    """members: entry, band, part_a, part_b, id, label, n, bitmap, side. Pairs (a, b) of different labels that the bitmaps don't rule out, within each block."""
     kind = dict(members.dtypes)["id"]
-    cols = ("entry", "part_a", "part_b", "id", "label", "n", "side", "bitmap")
+    keys = ("entry", "band", "part_a", "part_b")
+    cols = (*keys, "id", "label", "n", "side", "bitmap")
 
     def compare(rows: dict[str, list]) -> Iterator[tuple]:
         width = min(len(x) for x in rows["bitmap"]) // 8
@@ -314,6 +323,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: dict[str, list] = {c: [] for c in cols}
+        last: tuple | None = None
         found: set[tuple] = set()
 
         def flush() -> None:
@@ -322,14 +332,15 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             data = batch.to_pydict()
-            keys = list(zip(data["entry"], data["part_a"], data["part_b"], strict=True))
+            own = list(zip(*[data[c] for c in keys], strict=True))
             start = 0
-            for end in range(1, len(keys) + 1):
-                if end < len(keys) and keys[end] == keys[start]:
+            for end in range(1, len(own) + 1):
+                if end < len(own) and own[end] == own[start]:
                     continue
-                if group["entry"] and (group["entry"][0], group["part_a"][0], group["part_b"][0]) != keys[start]:
+                if last is not None and last != own[start]:
                     flush()
                     group = {c: [] for c in cols}
+                last = own[start]
                 for c in cols:
                     group[c] += data[c][start:end]
                 start = end
@@ -344,31 +355,39 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         kind_pa = pa.int64() if kind in ("bigint", "int", "smallint") else pa.string()
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind_pa) for k in (0, 1)], ["a", "b"])
 
-    dealt = members.select(*cols).repartition("entry", "part_a", "part_b").sortWithinPartitions("entry", "part_a", "part_b")
+    dealt = members.select(*cols).repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _meetings(entries: DataFrame) -> DataFrame:
-    """entries: entry, id, n. Rows of the entries that several sets have, with another set of the entry: other, other_n, null for the first.
+def _shared(entries: DataFrame) -> DataFrame:
+    """entries: entry, id, n. Those that several sets have.
 
-    Each set meets the one with the smallest id, as copies are mostly copies of it. Rare tokens are in few documents,
-    so their entries are sorted after one shuffle; pairs of frequent tokens may be in any number of them and are aggregated first.
+    Rare tokens are in few documents, so their entries are sorted after one shuffle and told by their neighbours. Pairs
+    of frequent tokens may be in any number of them and are counted by an aggregate, which combines before it moves.
     """
     order = Window.partitionBy("entry").orderBy("id")
     odd = F.col("entry").bitwiseAND(F.lit(1)) == 1
-    first = F.first(F.struct("id", "n")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rare = entries.where(~odd).withColumns({"_first": first, "_after": F.lead("id").over(order)})
-    rare = rare.withColumn("_before", F.when(F.col("id") != F.col("_first.id"), F.col("_first"))).where(F.col("_before").isNotNull() | F.col("_after").isNotNull()).drop("_first")
+    rare = entries.where(~odd).withColumns({"_before": F.lag("n").over(order), "_after": F.lead("n").over(order)})
+    rare = rare.where(F.col("_before").isNotNull() | F.col("_after").isNotNull()).select("entry", "id", "n")
     pairs = entries.where(odd)
-    firsts = pairs.groupBy("entry").agg(F.min(F.struct("id", "n")).alias("_first"), F.count("*").alias("_members")).where("_members > 1")
-    star = pairs.join(firsts, "entry").withColumn("_before", F.when(F.col("id") != F.col("_first.id"), F.col("_first")))
-    return rare.drop("_after").unionByName(star.drop("_first", "_members")).select("entry", "id", "n", F.col("_before.id").alias("other"), F.col("_before.n").alias("other_n"))
+    several = pairs.groupBy("entry").agg(F.count("*").alias("_members")).where("_members > 1").select("entry")
+    return rare.unionByName(pairs.join(several, "entry"))
+
+
+def _in_bands(met: DataFrame, percent: int) -> DataFrame:
+    """met (entry, id, n), once for the set's band and, where a partner may be there, once for the next."""
+    edges = band_edges(percent)
+    table = F.array(*[F.lit(e) for e in edges])
+    reach = F.array(*[F.lit(least_partner(e, percent)) for e in edges])
+    band = F.size(F.filter(table, lambda e: e <= F.col("n"))) - 1
+    bands = F.when(F.coalesce(F.get(reach, F.col("_b") + 1) <= F.col("n"), F.lit(False)), F.array(F.col("_b"), F.col("_b") + 1)).otherwise(F.array("_b"))
+    return met.withColumn("_b", band).withColumn("band", F.explode(bands)).drop("_b")
 
 
 def ngram_links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id), one row for each row of docs. id_col is a whole number or a string."""
     with small_batches(docs.sparkSession):
-        return _links(docs, n, percent, id_col, text_col)
+        return tidily("ngram-result", lambda: _links(docs, n, percent, id_col, text_col))
 
 
 def _links(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -382,27 +401,39 @@ def _links(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
     others = stored(named.where(F.col("own").isNull() | (F.col("own") != F.col("key"))).select("id", "key").distinct(), "ngram-others")
     sets = small_join(base.where("n > 0 and id is not null"), others, ["id", "key"], "left_anti", CANDIDATE_IDS)
 
-    # First pass. An entry alone in its set meets nothing and is left behind in the one shuffle of the entries.
-    met = stored(_meetings(sets.select(F.explode("entries").alias("entry"), "id", "n")), "ngram-met")
-    close = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
-    pairs = met.where(F.col("other").isNotNull() & close).select(F.col("other").alias("a"), F.col("id").alias("b")).distinct()
+    # First pass: each set against the first one of its band in each of its entries.
+    met = stored(_in_bands(_shared(sets.select(F.explode("entries").alias("entry"), "id", "n")), percent), "ngram-met")
+    firsts = met.groupBy("entry", "band").agg(F.min(F.struct("id", "n")).alias("first"))
+    close = (F.col("id") != F.col("first.id")) & (F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * percent)
+    pairs = met.join(firsts, ["entry", "band"]).where(close).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
     slim = stored(sets.where(F.length("bitmap") > 0).select("id", "n", "bitmap"), "ngram-bitmaps")
     may = stored(_may_link(_with_sets(pairs, slim, percent), percent), "ngram-pairs")
     links = stored(verify(may, docs, order, n, percent, id_col, text_col), "ngram-links")
     labels = components(links)
 
     # Second pass: entries of three sets or more that the first pass didn't bring into one component.
-    labelled = met.select("entry", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_entries = labelled.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2").select("entry", "members")
+    labelled = met.select("entry", "band", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    open_entries = labelled.groupBy("entry", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2").select("entry", "band", "members")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    members = labelled.join(open_entries, "entry").withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    members = labelled.join(open_entries, ["entry", "band"]).withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = members.withColumns({"part_a": F.least("p", "q"), "part_b": F.greatest("p", "q"), "side": (F.col("p") > F.col("q")).cast("int")})
-    members = members.join(slim, "id").select("entry", "part_a", "part_b", "id", "label", "n", "side", "bitmap")
-    more = stored(_across(members, percent), "ngram-pairs")
-    if more.limit(1).count():
-        links = stored(links.union(verify(more, docs, order, n, percent, id_col, text_col)).distinct(), "ngram-links")
-        labels = components(links)
+    members = members.join(slim, "id").select("entry", "band", "part_a", "part_b", "id", "label", "n", "side", "bitmap")
+    rest, many = stored(_across(members, percent), "ngram-pairs"), FEW_PAIRS
+    while True:
+        both = rest
+        for side in ("a", "b"):
+            both = both.join(labels.select(F.col("id").alias(side), F.col("label").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+        both = both.where("_a <> _b")
+        order_of = Window.partitionBy(F.least("_a", "_b"), F.greatest("_a", "_b")).orderBy("a", "b")
+        apart = stored(both.withColumn("_n", F.row_number().over(order_of)).select("a", "b", "_n"), "ngram-apart")
+        if not apart.limit(1).count():
+            break
+        new = stored(verify(apart.where(F.col("_n") <= many).select("a", "b"), docs, order, n, percent, id_col, text_col), "ngram-links")
+        rest, many = apart.where(F.col("_n") > many).select("a", "b"), many * 8
+        if new.limit(1).count():
+            links = stored(links.union(new), "ngram-links")
+            labels = components(links)
 
     named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("label", "rep").alias("component_id"))
     out = base.select("id", "n", "key").join(named, "key", "left")
