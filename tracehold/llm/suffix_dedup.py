@@ -6,17 +6,16 @@ left). The suffix array of the whole corpus is never built; it is only needed wh
 1.  Whole texts that are equal collapse first; of such a group all but the smallest id go entirely.
 2.  Each window of `width` bytes is assigned an anchor, the least hash among its 32-byte strings, so equal windows have
     equal anchors at equal offsets. The windows of one anchor place form a context of at most 2 * width - 32 bytes.
-    Contexts are sorted by anchor and content. A context seen before goes with all its windows; an anchor with a
-    single content has no other repeats.
-3.  What remains, first contexts whose anchor has several contents, is dealt by anchor and gets suffix arrays in
-    blocks (where an anchor has very many contents, its windows are grouped by digest instead, and all but the first
-    of each go): suffixes smaller than their successor are sorted directly, the
-    rest is induced by scanning the buckets of first bytes, and adjacent common prefixes of `width` bytes or more mark
-    windows that repeat across contexts. The first place of each keeps its bytes.
-4.  The windows that go are united for each document.
-
-Texts are written once to a table bucketed by id, so that the later joins move short rows to the texts and not texts.
-Contexts, and windows of very common anchors, are told apart by 128 bits of hash; other windows in step 3 are compared in full.
+    Anchors only deal out the work: those that come once have no repeats, and of the others all contexts travel.
+3.  Contexts are dealt by anchor and get suffix arrays in blocks, equal ones as one string: suffixes smaller than their
+    successor are sorted directly, the rest is induced by scanning the buckets of first bytes, and adjacent common
+    prefixes of `width` bytes or more mark windows that repeat. The first place of each keeps its bytes. All of it
+    compares bytes.
+4.  An anchor with more than HOT places would make a task too large. Its contexts are told apart by 128 bits of hash and
+    reduced to the first of each before they move, and so are the windows of what remains; no group is held as a list.
+5.  The windows that go are united for each document.
+
+Texts are written once to a table bucketed by id, so that the joins move short rows to the texts and not texts.
 
 Defined results: null text is empty; texts shorter than `width` lose nothing; rows of one id and equal text count as
 one document (an id with several texts is not told apart: its rows may lose each other's windows); a null id
@@ -27,17 +26,18 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_join, stored
+from .common import documents, small_join, stored, tidily
 
 GRAM = 32
-HOT, BLOCK_BYTES = 20_000, 2_000_000
+HOT, BLOCK_BYTES, MOST_FILES = 20_000, 2_000_000, 50_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -71,25 +71,20 @@ def _sliding(x: np.ndarray, width: int, join) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(hash of the anchor, hash of the context, place, first window, last window) for each anchor place of a text of at least `width` bytes."""
+    """(hash of the anchor, place, first window, last window) for each anchor place of a text of at least `width` bytes."""
     n = len(data)
     x = _VALUES[data]
     # Hash of data[l:r]: sum of x[j] * base^(l-j), from running sums.
-    falling = _powers(_BASE_INVERSE, n + 1)
-    rising = _powers(_BASE, n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(x * falling[:n], out=sums[1:])
-    grams = _mix((sums[GRAM:] - sums[:-GRAM]) * rising[: n - GRAM + 1])
+    np.cumsum(x * _powers(_BASE_INVERSE, n), out=sums[1:])
+    grams = _mix((sums[GRAM:] - sums[:-GRAM]) * _powers(_BASE, n - GRAM + 1))
     low = _U((1 << 32) - 1)
     ranked = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     chosen = (_sliding(ranked, width - GRAM + 1, np.minimum) & low).astype(np.int64)
     first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
     last = np.append(first[1:], len(chosen)) - 1
     place = chosen[first]
-    end = last + width
-    context = (sums[end] - sums[first]) * rising[first]
-    shape = ((place - first) * 4096 + (end - first)).astype(np.uint64)
-    return grams[place], _mix(context ^ _mix(shape + _U(1))), place, first, last
+    return grams[place], place, first, last
 
 
 def _pack(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -97,81 +92,56 @@ def _pack(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(width: int):
-    """One row for each anchor place that is the first of its context in its batch: h, c, doc, at. The others are known to go: c is null and h any value."""
+    """One row for each anchor place: h, doc, at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             for doc, text in zip(docs, batch.column(1), strict=True):
-                h, c, place, first, last = anchors(np.frombuffer(text.as_buffer(), np.uint8), width)
-                parts.append((h, c, np.full(len(h), doc, np.int64), _pack(place, first, last)))
-            if not parts:
-                continue
-            h, c, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((at, doc, c, h))
-            h, c, doc, at = h[order], c[order], doc[order], at[order]
-            again = np.append(False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]))
-            head = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
-            same_place = again & (doc == doc[head]) & (at == at[head])
-            gone = again & ~same_place
-            keep = ~same_place
-            h = np.where(gone, _mix(doc.astype(np.uint64) + at.astype(np.uint64)), h)[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c[keep].view(np.int64), mask=gone[keep]), pa.array(doc[keep]), pa.array(at[keep])], ["h", "c", "doc", "at"])
+                h, place, first, last = anchors(np.frombuffer(text.as_buffer(), np.uint8), width)
+                parts.append((h.view(np.int64), np.full(len(h), doc, np.int64), _pack(place, first, last)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["h", "doc", "at"])
 
     return run
 
 
-def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h, c (nulls first), doc, at. Gives (doc, at, h, gone): contexts that go, and first contexts whose anchor has several."""
-    pending = None  # the first context of the present anchor while it is the only one
-    last_h = last_c = None
-    owner = (None, None)
-    for batch in batches:
-        h = batch.column(0).to_numpy()
-        null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-        c = batch.column(1).fill_null(0).to_numpy()
-        doc, at = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        n = len(h)
-        if not n:
-            continue
-        live = np.flatnonzero(~null)
-        out = [(doc[null], at[null], h[null], np.ones(int(null.sum()), bool))]
-        if len(live):
-            h, c, doc, at = h[live], c[live], doc[live], at[live]
-            same_h = np.append(last_h is not None and h[0] == last_h, h[1:] == h[:-1])
-            same_c = same_h & np.append(last_c is not None and c[0] == last_c, c[1:] == c[:-1])
-            heads = np.maximum.accumulate(np.where(same_c, -1, np.arange(len(h))))
-            own_doc = np.where(heads >= 0, doc[heads], owner[0] if owner[0] is not None else 0)
-            own_at = np.where(heads >= 0, at[heads], owner[1] if owner[1] is not None else 0)
-            gone = same_c & ~((doc == own_doc) & (at == own_at))
-            out.append((doc[gone], at[gone], h[gone], np.ones(int(gone.sum()), bool)))
-            # First contexts: of an anchor's several ones all are open, the very first too.
-            new_c, new_h = np.flatnonzero(~same_c), ~same_h
-            later = new_c[~new_h[new_c]]
-            out.append((doc[later], at[later], h[later], np.zeros(len(later), bool)))
-            starts = new_c[new_h[new_c]]
-            group = np.cumsum(new_h)
-            has_more = np.isin(group[starts], group[later])
-            chosen = starts[has_more]
-            out.append((doc[chosen], at[chosen], h[chosen], np.zeros(len(chosen), bool)))
-            if pending is not None and len(later) and group[later[0]] == 0:
-                out.append((*pending, np.zeros(1, bool)))
-                pending = None
-            if len(starts):
-                k = starts[-1]
-                pending = None if has_more[-1] else (doc[k : k + 1], at[k : k + 1], h[k : k + 1])
-            last_h, last_c = h[-1], c[-1]
-            if heads[-1] >= 0:
-                owner = (doc[heads[-1]], at[heads[-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc", "at", "h", "gone"])
+def _several(hot: int):
+    """Rows sorted by h: those of anchors that come twice or more, and one row without doc for each anchor that comes more than `hot` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_h, count = None, 0  # the anchor of the row before, and how many rows it had
+        held: list[np.ndarray] = []  # that row, while it is the only one of its anchor
+        for batch in batches:
+            h, doc, at = (c.to_numpy() for c in batch.columns)
+            if not len(h):
+                continue
+            new = np.append(last_h is None or h[0] != last_h, h[1:] != h[:-1])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            number = np.arange(len(h)) - start + np.where(np.cumsum(new) == 0, count, 0)
+            out = number > 0
+            out[:-1] |= ~new[1:]
+            parts = [(h[out], doc[out], at[out])]
+            if held and not new[0]:
+                parts.append(tuple(held))
+            last_h, count = h[-1], int(number[-1]) + 1
+            held = [x[-1:] for x in (h, doc, at)] if count == 1 else []
+            h, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            crowded = batch.column(0).to_numpy()[number == hot]
+            none = pa.array([None] * len(crowded), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(at)], ["h", "doc", "at"])
+            if len(crowded):
+                yield pa.RecordBatch.from_arrays([pa.array(crowded), none, none], ["h", "doc", "at"])
+
+    return run
 
 
 # Suffix arrays
 
 
-def two_stage_suffix_array(text: np.ndarray) -> np.ndarray:
-    """text: symbols, 0 ends each string and stands last. Order of all suffixes, each compared up to its 0; equal ones by place.
+def two_stage_suffix_array(text: np.ndarray, depth: int = 1 << 30) -> np.ndarray:
+    """text: symbols, 0 ends each string and stands last. Order of all suffixes, each compared up to its 0, or by `depth` symbols at least; equal ones by place, or in any order where depth ended the comparison.
 
     Suffixes smaller than their successor are sorted directly, seven symbols a word, ties only; the others are
     induced: buckets of first symbols are scanned in order, and each suffix met puts its larger predecessor at the
@@ -183,7 +153,7 @@ def two_stage_suffix_array(text: np.ndarray) -> np.ndarray:
     following = turns[np.searchsorted(turns, np.arange(n))]
     smaller = np.append(step, 1)[following] > 0
     smaller |= text == 0
-    direct = _sorted_directly(text, np.flatnonzero(smaller))
+    direct = _sorted_directly(text, np.flatnonzero(smaller), depth)
     order = direct[np.argsort(text[direct], kind="stable")]  # already by first symbol; this only fixes the bounds
     bounds = np.searchsorted(text[order], np.arange(258))
     waiting: list[list[np.ndarray]] = [[] for _ in range(257)]
@@ -223,14 +193,14 @@ def _words(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word, end
 
 
-def _sorted_directly(text: np.ndarray, places: np.ndarray) -> np.ndarray:
+def _sorted_directly(text: np.ndarray, places: np.ndarray, enough: int) -> np.ndarray:
     word, end = _words(text)
     order = places[np.argsort(word[places], kind="stable")]
     key = word[order]
     tied = np.append(False, key[1:] == key[:-1])
     rank = np.cumsum(~tied)
     depth = 7
-    while True:
+    while depth < enough:
         inside = tied | np.append(tied[1:], False)
         # A group whose strings have ended is in the order of places already.
         at = np.flatnonzero(inside & _group_goes_on(rank, inside, order + depth < end[order]))
@@ -248,6 +218,7 @@ def _sorted_directly(text: np.ndarray, places: np.ndarray) -> np.ndarray:
         head = np.maximum.accumulate(np.where(tied, 0, new_rank))
         rank = head
         depth += 7
+    return order
 
 
 def _group_goes_on(rank: np.ndarray, inside: np.ndarray, longer: np.ndarray) -> np.ndarray:
@@ -262,6 +233,8 @@ def _group_goes_on(rank: np.ndarray, inside: np.ndarray, longer: np.ndarray) ->
 
 def repeated_windows(contexts: list[bytes], windows: list[int], width: int) -> list[np.ndarray]:
     """For each context, which of its first windows[k] windows equal one of an earlier context, or an earlier one of its own. Contexts stand in the order of their places."""
+    if not contexts:
+        return []
     lengths = np.array([len(x) for x in contexts]) + 1
     starts = np.append(0, np.cumsum(lengths))
     text = np.zeros(starts[-1], np.uint16)
@@ -272,7 +245,7 @@ def repeated_windows(contexts: list[bytes], windows: list[int], width: int) -> l
     begins = np.zeros(len(text), bool)
     for s, k in zip(starts, windows, strict=False):
         begins[s : s + k] = True
-    order = two_stage_suffix_array(text)
+    order = two_stage_suffix_array(text, width)
     order = order[begins[order]]
     # Adjacent common prefixes, up to width: neighbours that agree in every word.
     word, _ = _words(text)
@@ -311,33 +284,63 @@ def _cut(width: int):
     return run
 
 
-def _hot_windows(width: int):
-    """(doc, data, marks) to the 128-bit digest and place of each window of the marked contexts."""
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _hot_contexts(width: int):
+    """(doc, data, marks) to the digest and the windows of each marked context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text, marks in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 data = text.as_py()
-                places = sorted({p for mark in marks.as_py() for first, last in [_span(mark["at"])] for p in range(first, min(last, len(data) - width) + 1)})
-                digests = [hashlib.blake2b(data[p : p + width], digest_size=16).digest() for p in places]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([doc.as_py()] * len(places), pa.int64()), pa.array(places, pa.int64())], ["digest", "doc", "start"])
+                spans = sorted({_span(mark["at"]) for mark in marks.as_py()})
+                spans = [(a, b) for a, b in spans if b + width <= len(data)]
+                columns = [[_digest(data[a : b + width]) for a, b in spans], [doc.as_py()] * len(spans), [a for a, _ in spans], [b for _, b in spans]]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *[pa.array(x, pa.int64()) for x in columns[1:]]], ["digest", "doc", "low", "high"])
 
     return run
 
 
-def all_but_first(windows: DataFrame) -> DataFrame:
-    """windows (stored): digest, doc, start. (doc, low, high) for all but the first place of each digest; no group is held as a list."""
-    firsts = windows.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last")).where("first <> last")
-    firsts = stored(firsts.select("digest", "first"), "suffix-firsts")
-    return small_join(windows, firsts, ["digest"]).where(F.struct("doc", "start") != F.col("first")).select("doc", F.col("start").alias("low"), F.col("start").alias("high"))
+def _hot_windows(width: int):
+    """(doc, data, spans) to the digest and place of each window of the spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, spans in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                data = text.as_py()
+                places = sorted({p for x in spans.as_py() for p in range(x["low"], min(x["high"], len(data) - width) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(data[p : p + width]) for p in places], pa.binary()), pa.array([doc.as_py()] * len(places), pa.int64()), *[pa.array(places, pa.int64())] * 2], ["digest", "doc", "low", "high"])
+
+    return run
+
+
+def all_but_first(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """spans (stored): digest, doc, low, high. (first place of each digest, (doc, low, high) of all others); aggregates combine before they move, and no group is held as a list."""
+    firsts = stored(spans.groupBy("digest").agg(F.min(F.struct("doc", "low", "high")).alias("first"), F.max(F.struct("doc", "low")).alias("last")), "suffix-firsts")
+    repeated = firsts.where((F.col("first.doc") != F.col("last.doc")) | (F.col("first.low") != F.col("last.low"))).select("digest", "first")
+    others = small_join(spans, repeated, ["digest"]).where((F.col("doc") != F.col("first.doc")) | (F.col("low") != F.col("first.low")))
+    return firsts.select("first.*"), others.select("doc", "low", "high")
 
 
 def _repeats(width: int):
     """Rows sorted by h, doc, start; whole groups of one h go into blocks of about BLOCK_BYTES. Gives (doc, from, to): places of windows that go."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        rows = [r for r in dict.fromkeys(sorted(rows, key=lambda r: (r[1], r[2]))) if len(r[4]) == r[3] + width - 1]
+        first: dict[bytes, tuple] = {}
+        places: set[tuple] = set()
         docs, lows, highs = [], [], []
+        for row in sorted(rows, key=lambda r: (r[1], r[2])):
+            if (row[1], row[2]) in places or len(row[4]) != row[3] + width - 1:
+                continue
+            places.add((row[1], row[2]))
+            if first.setdefault(row[4], row) is not row:  # equal byte by byte: every window of it goes
+                docs.append(row[1])
+                lows.append(row[2])
+                highs.append(row[2] + row[3] - 1)
+        several = Counter(row[0] for row in first.values())
+        rows = [row for row in first.values() if several[row[0]] > 1]
         for row, gone in zip(rows, repeated_windows([r[4] for r in rows], [r[3] for r in rows], width), strict=True):
             if len(gone):
                 cuts = np.flatnonzero(np.append(True, np.diff(gone) > 1))
@@ -384,39 +387,51 @@ def _finish(width: int):
 
 def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256). width is 40 to 250."""
+    spark = docs.sparkSession
+    table = f"suffix_texts_{uuid.uuid4().hex}"
+    try:
+        return tidily("suffix-result", lambda: _remove_repeats(docs, table, width, id_col, text_col, hot))
+    finally:
+        spark.sql(f"drop table if exists {table}")
+
+
+def _remove_repeats(docs: DataFrame, table: str, width: int, id_col: str, text_col: str, hot: int) -> DataFrame:
     spark = docs.sparkSession
     null_id = -(1 << 63)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null_id)).alias("doc"), data.alias("data"), F.sha2(data, 256).alias("sha"))
-    table = f"suffix_texts_{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc").saveAsTable(table)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows.rdd.getNumPartitions() * buckets > MOST_FILES:  # each task writes a file a bucket
+        rows = rows.repartition(buckets, "doc")
+    rows.write.option("compression", "zstd").bucketBy(buckets, "doc").saveAsTable(table)
     texts = spark.table(table)
     owners = stored(texts.groupBy("sha").agg(F.min("doc").alias("doc")), "suffix-owners")
-    held = texts.where(F.length("data") >= width).join(owners.hint("shuffle_hash"), ["doc", "sha"], "left_semi").select("doc", "data")
-
-    places = held.mapInArrow(_anchor_rows(width), "h long, c long, doc long, at long")
-    sorted_places = places.repartition("h").sortWithinPartitions("h", "c", "doc", "at")
-    marks = stored(sorted_places.mapInArrow(_sort_out, "doc long, at long, h long, gone boolean"), "suffix-marks")
-
-    still_open = marks.where("not gone")
-    crowded = stored(still_open.groupBy("h").count().where(F.col("count") > hot).select("h"), "suffix-crowded")
-    own_texts = texts.select("doc", "data", "sha").join(owners.hint("shuffle_hash"), ["doc", "sha"], "left_semi")
-
-    def marked(open_marks: DataFrame) -> DataFrame:
-        return own_texts.join(open_marks.groupBy("doc").agg(F.collect_list(F.struct("at", "h")).alias("marks")), "doc").select("doc", "data", "marks")
-
-    pieces = marked(small_join(still_open, crowded, ["h"], "left_anti")).mapInArrow(_cut(width), "h long, doc long, start long, count long, piece binary")
+    # Joins with the texts are by id alone, which is their bucketing; what else decides is looked at afterwards.
+    owned = stored(owners.groupBy("doc").agg(F.collect_set("sha").alias("shas")), "suffix-owned")
+    held = texts.join(owned.hint("shuffle_hash"), "doc").where(F.array_contains("shas", F.col("sha"))).select("doc", "data")
+
+    def with_texts(short: DataFrame, gathered: Column, name: str) -> DataFrame:
+        """(doc, data, name) of the documents in short (doc, ...), with what it gathers for each."""
+        return held.join(short.groupBy("doc").agg(F.collect_list(gathered).alias(name)).hint("shuffle_hash"), "doc").select("doc", "data", name)
+
+    places = held.where(F.length("data") >= width).mapInArrow(_anchor_rows(width), "h long, doc long, at long")
+    marks = stored(places.repartition("h").sortWithinPartitions("h").mapInArrow(_several(hot), "h long, doc long, at long"), "suffix-marks")
+    crowded = stored(marks.where("doc is null").select("h"), "suffix-crowded")
+    is_crowded = crowded.limit(1).count() > 0
+    usual = marks.where("doc is not null")
+    if is_crowded:
+        usual = small_join(usual, crowded, ["h"], "left_anti")
+    pieces = with_texts(usual, F.struct("at", "h"), "marks").mapInArrow(_cut(width), "h long, doc long, start long, count long, piece binary")
     found = pieces.repartition("h").sortWithinPartitions("h", "doc", "start").mapInArrow(_repeats(width), "doc long, low long, high long")
-    if crowded.limit(1).count():
-        hot_windows = marked(small_join(still_open, crowded, ["h"], "left_semi")).mapInArrow(_hot_windows(width), "digest binary, doc long, start long")
-        found = found.union(all_but_first(stored(hot_windows, "suffix-windows")))
-
-    place = F.shiftright("at", 16)
-    seen = marks.where("gone").select("doc", (place - F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("low"), (place - F.col("at").bitwiseAND(F.lit(255))).alias("high"))
-    ranges = stored(seen.union(found), "suffix-ranges").groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    cut = texts.select("doc", "data", "sha").join(owners.hint("shuffle_hash"), ["doc", "sha"], "left_semi").join(ranges, "doc").select("doc", "data", "ranges")
+    if is_crowded:
+        spans = "digest binary, doc long, low long, high long"
+        contexts = with_texts(small_join(marks.where("doc is not null"), crowded, ["h"], "left_semi"), F.struct("at", "h"), "marks").mapInArrow(_hot_contexts(width), spans)
+        firsts, seen = all_but_first(stored(contexts, "suffix-contexts"))
+        windows = with_texts(firsts, F.struct("low", "high"), "spans").mapInArrow(_hot_windows(width), spans)
+        found = found.union(seen).union(all_but_first(stored(windows, "suffix-windows"))[1])
+
+    cut = with_texts(stored(found, "suffix-ranges"), F.struct("low", "high"), "ranges")
     done = stored(cut.mapInArrow(_finish(width), "doc long, n_removed long, n_spans long, kept_sha256 string"), "suffix-done").dropDuplicates(["doc"])
-
     base = texts.select("doc", "sha", F.length("data").cast("long").alias("n_bytes")).join(owners.withColumnRenamed("doc", "owner"), "sha").join(done, "doc", "left")
     whole = (F.col("doc") != F.col("owner")) & (F.col("n_bytes") >= width)
     own = F.col("doc") == F.col("owner")
