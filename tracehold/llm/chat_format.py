@@ -6,11 +6,12 @@ template that changes what it wrote before (it drops or rewrites earlier turns)
 the conversation is marked; its spans then begin where the outputs part. The loss mask covers the assistant's texts
 alone: rendering a turn once more with another text of the same kind shows where its text stands.
 
-Rows are dealt by conversation and sorted by turn; each task streams through them and holds one conversation.
+Rows are dealt by conversation and sorted by turn; each task streams through them and holds one conversation. As
+every prefix is rendered, a conversation costs its number of turns times its length.
 
-Defined results: null text and null role count as empty, null conversation ids form one conversation; rows of one
-turn are ordered by turn (nulls first), role and text, and repeated rows count as turns of their own; an empty
-table gives an empty result; other columns are ignored. Texts and roles of any content are escaped reversibly.
+Defined results: null text and null role count as empty; a null conversation id doesn't say what belongs together, so
+each such row is a conversation of its own; rows of one turn are ordered by turn (nulls first), role and text, and
+repeated rows count as turns of their own; an empty table gives an empty result; other columns are ignored. Texts and roles of any content are escaped reversibly.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def _text_span(history: list[Turn], role: str, output: str, template: Template,
     write itself, and these two part where the text begins. If the template's own parts change with the text, the
     whole turn is taken."""
     bare = template([*history, (role, "")])
-    mark = next(chr(c) for c in range(0xE000, 0xF8FF) if chr(c) not in bare)
+    mark = next(chr(c) for c in (*range(0xE000, 0xF900), *range(0xF0000, 0x110000)) if chr(c) not in bare)
     left = common_prefix(bare, template([*history, (role, mark)]))
     right = left + len(output) - len(bare)
     if right >= left and output.startswith(bare[:left]) and output[right:] == bare[left:]:
@@ -122,7 +123,7 @@ def format_conversations(conversations: DataFrame, template: Template = marked_t
     """(conv_col, n_turns, formatted, turn_spans, loss_spans, rewritten), one row a conversation."""
     kind = dict(conversations.dtypes)[conv_col]
     rows = conversations.select(
-        F.coalesce(F.to_json(F.struct(F.col(conv_col).alias("k"))), F.lit("")).alias("_conv"),
+        F.when(F.col(conv_col).isNotNull(), F.to_json(F.struct(F.col(conv_col).alias("k")))).otherwise(F.concat(F.lit('{"row":"'), F.uuid(), F.lit('"}'))).alias("_conv"),
         F.col("turn").alias("_turn"),
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")],
     )
@@ -143,26 +144,26 @@ def format_conversations(conversations: DataFrame, template: Template = marked_t
 
     names = ["_conv", "n_turns", "formatted", "turn_spans", "loss_spans", "rewritten"]
     done = ordered.mapInPandas(run, "_conv string, n_turns long, formatted string, turn_spans array<array<long>>, loss_spans array<array<long>>, rewritten boolean")
-    return done.select(F.from_json("_conv", f"k {kind}")["k"].alias(conv_col), *names[1:])
+    return done.select(F.when(F.col("_conv").startswith('{"k"'), F.from_json("_conv", f"k {kind}")["k"]).alias(conv_col), *names[1:])
 
 
 def digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """What the outputs say when they are read back: digests of all turns and of the text under the mask."""
+    """What the outputs say when they are read back: digests of all turns and of the text under the mask; whether the template rewrote history is carried through."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for output, mask in zip(b["formatted"], b["loss_spans"], strict=True):
+            for output, mask, rewritten in zip(b["formatted"], b["loss_spans"], b["rewritten"], strict=True):
                 whole, loss = hashlib.sha256(), "".join(unescape(output[int(x[0]) : int(x[1])]) for x in mask)
                 turns = read_back(output)
                 for role, text in turns:
                     whole.update(f"{role}\n{text}\n".encode())
-                rows.append((len(turns), whole.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(output)))
+                rows.append((len(turns), whole.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(output), rewritten))
             yield pd.DataFrame(rows, columns=names).assign(**{conv_col: b[conv_col]})[[conv_col, *names]]
 
-    names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewritten"]
     kind = dict(formatted.dtypes)[conv_col]
-    return formatted.select(conv_col, "formatted", "loss_spans").mapInPandas(run, f"{conv_col} {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select(conv_col, "formatted", "loss_spans", "rewritten").mapInPandas(run, f"{conv_col} {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewritten boolean")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,5 +185,5 @@ def oracle() -> str:
            sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
            coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
            sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-           sum(15 + {longer('role')} + {longer('text')})::bigint as formatted_chars
-    from t group by conv_id"""
+           sum(15 + {longer('role')} + {longer('text')})::bigint as formatted_chars, false as rewritten
+    from (select *, case when conv_id is null then row_number() over () end as alone from t) group by conv_id, alone"""

@@ -10,13 +10,15 @@ Only rows that hold an @ or a digit reach Python, in Arrow batches; what is shuf
 pattern and instance, aggregated before it moves.
 
 Defined results: null and empty texts have no spans; an empty table gives an empty result; repeated rows are
-scanned and returned as often as they come; other columns are carried through (working columns start with ``_``).
+scanned and returned as often as they come; other columns are carried through, but for those named spans, _row, _text,
+_found, _base or _added, which the operator's own replace.
 Spans count code points, end exclusive. Base spans always stay; an added one never overlaps a base one.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,8 +37,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?<![^ \t-\r])[^ \t-\r0-9]*[0-9][^ \t-\r]*")
-_BEFORE = re.compile(r"([^ \t-\r]+)[ \t-\r]+([^ \t-\r]+)[ \t-\r]*$")
-_AFTER = re.compile(r"[ \t-\r]*([^ \t-\r]+)")
+_WORD = re.compile(r"[^ \t-\r]+")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -71,12 +72,19 @@ def phones(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
 
 
-def context(text: str, start: int, end: int) -> tuple[str, str]:
-    """The two words before and the word after, lower-cased and without their punctuation; digits become 0."""
+def contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str]]:
+    """For each span the two words before and the word after, of any length, lower-cased and without their punctuation; digits become 0. What touches a span counts as a word."""
     clean = lambda x: re.sub("[0-9]+", "0", x.lower()).strip(".,;:!?()[]\"'")
-    before = _BEFORE.search(text[max(0, start - 80) : start])
-    after = _AFTER.match(text, end, end + 40)
-    return " ".join(clean(x) for x in before.groups()) if before else "", clean(after[1]) if after else ""
+    words = [m.span() for m in _WORD.finditer(text)] if spans else []
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    out = []
+    for start, end in spans:
+        k = bisect_left(starts, start)
+        before = [text[a : min(b, start)] for a, b in words[max(0, k - 2) : k]]
+        j = bisect_right(ends, end)
+        after = text[max(starts[j], end) : ends[j]] if j < len(words) else ""
+        out.append((" ".join(clean(x) for x in before) if len(before) == 2 else "", clean(after)))
+    return out
 
 
 def entities(text: str) -> list[tuple[int, int, int, str, str, str]]:
@@ -87,7 +95,7 @@ def entities(text: str) -> list[tuple[int, int, int, str, str, str]]:
     for m in _TOKEN.finditer(text):
         a, b = m.span()
         token = m[0].strip(".,;:!?()[]\"'")
-        if sum(c in "0123456789" for c in token) < 4 or len(token) > 64:
+        if sum(c in "0123456789" for c in token) < 4:
             continue
         a += m[0].index(token)
         b = a + len(token)
@@ -95,7 +103,8 @@ def entities(text: str) -> list[tuple[int, int, int, str, str, str]]:
             at += 1
         if at == len(taken) or taken[at][0] >= b:
             found.append((4, a, b))
-    return [(k, a, b, *context(text, a, b), text[a:b]) for k, a, b in sorted(found)]
+    found.sort()
+    return [(k, a, b, *around, text[a:b]) for (k, a, b), around in zip(found, contexts(text, [(a, b) for _, a, b in found]), strict=True)]
 
 
 def extract(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -131,6 +140,7 @@ def score_patterns(instances: DataFrame, rounds: int = 3, min_seeds: int = 5) ->
 
 def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_pattern: float = 0.8, min_seeds: int = 5, rounds: int = 3) -> DataFrame:
     """docs without their text, with `spans` (rank, start, end; rank 0 to 3 as in BASE, 4 for identifiers that a pattern found). id_col must tell the documents apart; rows that repeat it get the spans of each."""
+    docs = docs.drop(*[c for c in ("spans", "_row", "_text", "_found", "_base", "_added") if c not in (id_col, text_col)])
     rows = docs.withColumn("_row", F.concat_ws(":", F.to_json(F.struct(F.col(id_col))), F.xxhash64(F.coalesce(text_col, F.lit(""))).cast("string")))
     found = stored(extract(rows, text_col, "_row"), "pii-found")
     one = found.select(F.explode("_found").alias("e"))

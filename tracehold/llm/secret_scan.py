@@ -5,13 +5,14 @@ rule versions that have been run on it and the spans they found; a scan runs onl
 rule version that the ledger lacks, and the findings are joined back to every path that holds the blob.
 
 Defined results: null text counts as the empty text; a null path is a path of its own; an empty table gives an empty result and an empty ledger
-batch; repeated rows of one path and version are repeated in the result; other columns are carried through (the
-operator's own working columns start with ``_``). Spans count code points, end exclusive, and don't overlap
+batch; repeated rows of one path and version are repeated in the result; other columns are carried through, but for those
+named blob, spans or as a working column (_path, _text, _want, _todo, _seen, _live, _spans), which the operator's own replace. Spans count code points, end exclusive, and don't overlap
 within a rule.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import documents, scratch_path, stored
 
 SPAN = "array<struct<start:int,rank:int,end:int,rule:string>>"
+FEW = 64
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,20 @@ RULES = (
 BASE = ("assign", "access", "hex")
 
 
+def _fold(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """The array (of type `kind`) of what step gives for each item: (new place, entry, whether it is kept). Entries are gathered in short arrays of FEW, so that a text with very many matches isn't copied once for each."""
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("few"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def one(acc: Column, item: Column) -> Column:
+        at, entry, keep = step(acc, item)
+        full = F.size(acc["few"]) >= FEW
+        more = F.when(full, F.struct(at.alias("at"), F.array(entry).alias("few"), F.array_append(acc["out"], acc["few"]).alias("out")))
+        more = more.otherwise(F.struct(at.alias("at"), F.array_append(acc["few"], entry).alias("few"), acc["out"].alias("out")))
+        return F.when(keep, more).otherwise(F.struct(at.alias("at"), acc["few"].alias("few"), acc["out"].alias("out")))
+
+    return F.aggregate(items, first, one, lambda acc: F.concat(F.flatten(acc["out"]), acc["few"]))
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """All matches with positions: the pieces between matches (split) and the matches give running offsets."""
     pattern = F.lit(rule.pattern)
@@ -56,16 +72,14 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     lens = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.length(m))
     value = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.value_group)), lambda m: F.length(m))
     rows = F.arrays_zip(gaps.alias("gap"), lens.alias("len"), value.alias("value"))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, row: Column) -> Column:
+    def step(acc: Column, row: Column) -> tuple[Column, Column, Column]:
         start = acc["at"] + row["gap"]
         end = start + F.coalesce(row["len"], F.lit(0))
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.name).alias("rule"))
-        keep = row["len"].isNotNull() & (row["value"] >= rule.min_value)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return end, span, row["len"].isNotNull() & (row["value"] >= rule.min_value)
 
-    found = F.aggregate(rows, first, step, lambda acc: acc["out"])
+    found = _fold(rows, SPAN, step)
     return F.when(F.regexp(text, pattern), found).otherwise(F.array().cast(SPAN))
 
 
@@ -95,11 +109,12 @@ def scan_versions(versions: DataFrame, ledger: Ledger, path_col: str = "path", t
     path_col must tell rows apart up to repeats of the same content: it only serves to pick, for each unseen blob,
     one row whose text is scanned.
     """
-    spark = versions.sparkSession
+    own = ("blob", "spans", "_path", "_text", "_want", "_todo", "_seen", "_live", "_spans")
+    versions = versions.drop(*[c for c in own if c not in (path_col, text_col)])
     versions = versions.withColumn("_path", F.coalesce(F.col(path_col).cast("string"), F.lit("")))
     content = F.coalesce(F.col(text_col), F.lit(""))
-    blob = F.unhex(F.sha2(content, 256))
-    held = stored(versions.select(*[c for c in versions.columns if c != text_col], blob.alias("blob")), "blob-paths")
+    blob_of = lambda c: F.unhex(F.sha2(c, 256))
+    held = stored(versions.select(*[c for c in versions.columns if c != text_col], blob_of(content).alias("blob")), "blob-paths")
     pairs = F.array(*[F.lit(r.pair) for r in rules])
     holders = held.groupBy("blob").agg(F.min("_path").alias("_path"))
     if ledger.exists():
@@ -109,9 +124,11 @@ def scan_versions(versions: DataFrame, ledger: Ledger, path_col: str = "path", t
     else:
         holders = holders.withColumn("_todo", pairs)
     # One row stands for each unseen blob. A path with several contents is told apart by the blob itself.
-    texts = versions.select("_path", content.alias("_text"))
-    unseen = texts.join(holders.select("_path", F.col("blob").alias("_want"), "_todo").hint("shuffle_hash"), "_path")
-    unseen = unseen.where(F.unhex(F.sha2("_text", 256)) == F.col("_want")).dropDuplicates(["_path", "_want"]) if _repeats(held) else unseen
+    texts, wanted = versions.select("_path", content.alias("_text")), holders.select("_path", F.col("blob").alias("_want"), "_todo").hint("shuffle_hash")
+    if _repeats(held):
+        unseen = texts.withColumn("_want", blob_of(F.col("_text"))).join(wanted, ["_path", "_want"]).dropDuplicates(["_path", "_want"])
+    else:
+        unseen = texts.join(wanted, "_path")
     found = F.array_sort(F.concat(*[F.when(F.array_contains("_todo", r.pair), _spans(F.col("_text"), r, k)).otherwise(F.array().cast(SPAN)) for k, r in enumerate(rules)]))
     ledger.add(unseen.select(F.col("_want").alias("blob"), F.col("_todo").alias("pairs"), found.alias("spans")))
     # Back to all paths; only blobs with findings take part, and spans of retired rule versions don't.
@@ -136,14 +153,13 @@ def digest(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """text with each run of overlapping spans (sorted by start) replaced by the mark."""
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def step(acc: Column, s: Column) -> tuple[Column, Column, Column]:
+        before = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.greatest(acc["at"], s["end"]), before, s["start"] >= acc["at"]
 
-    return F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.concat(F.array_join(_fold(spans, "array<string>", step), ""), F.substring(text, F.coalesce(end, F.lit(0)) + 1, F.length(text)))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,12 +122,13 @@ def count_tokens(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
             if parts:
                 table = np.concatenate(parts)
                 out = pd.DataFrame(table, columns=["section", "start", "end", "n_tokens", "n_crossing"])
-                out.insert(0, id_col, batch[id_col].to_numpy()[np.concatenate(ids)])
+                out.insert(0, "_id", batch["_id"].to_numpy()[np.concatenate(ids)])
                 yield out
 
-    cols = [F.col(id_col), F.col(text_col).alias("_text"), *([F.col(sections_col).alias("_sections")] if sections_col else [])]
+    cols = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *([F.col(sections_col).alias("_sections")] if sections_col else [])]
     rows = docs.where(F.col(text_col).isNotNull()).select(*cols)
-    return rows.mapInPandas(run, f"{id_col} {kind}, section long, start long, end long, n_tokens long, n_crossing long")
+    counted = rows.mapInPandas(run, f"_id {kind}, section long, start long, end long, n_tokens long, n_crossing long")
+    return counted.toDF(id_col, *counted.columns[1:])
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
