@@ -13,11 +13,12 @@ A document is the set of its distinct n-word shingles, each a 64-bit hash (sets
     linked sets the one whose prefix ends first keeps a token, or two of one subclass, that its partner's prefix has too.
     So every link shares an index entry. Sizes fall into bands, each with its own number of subclasses; a set that may
     have a partner in the next band counts there as well.
-3.  Entries that one set alone has are left behind in the one shuffle of the entries. First pass: each set meets the first
-    set of its band in each entry. Second pass: within entries whose sets are still in several components, the pairs
-    across components, in blocks of bounded size. A parity bitmap of each set bounds the size of the symmetric
+3.  Entries that one set alone has are left behind in the one shuffle of the entries. First the sets of an entry meet one of
+    them, the smallest id and then, while that finds links, others in turn, so that groups of copies grow together by
+    stars and not by all pairs. Then, within entries whose sets are still in several components, the pairs
+    across components are compared, in blocks of bounded size. A parity bitmap of each set bounds the size of the symmetric
     difference from below and drops nearly all pairs that don't link; it never drops one that does. What is left is verified
-    on the full sets, in the second pass a few pairs of each two components at a time, as one link joins them.
+    on the full sets, a few pairs of each two components at a time, as one link joins them.
 4.  Components of the verified links, by label propagation over tables.
 
 An entry of any size is dealt out in blocks and nothing is capped. Tables that must outlive a stage are written to the
@@ -32,7 +33,7 @@ component; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,7 +46,8 @@ from .common import ascii_lower, documents, small_batches, small_join, stored, t
 WORD_BUCKETS, SHINGLE_BUCKETS, CHUNK, HOT_TIMES = 1 << 16, 1 << 20, 1 << 14, 4
 RARITY_BITS = 20  # a word's rarity, as bits: what is rarer than a share of 2^-20 counts as that
 BAND_RATIO, BLOCK = 1.5, 1000
-FEW_PAIRS = 2  # pairs of two components that the second pass verifies first; eight times as many in each turn that follows
+FEW_PAIRS = 2  # pairs of two components that are verified first; eight times as many in each turn that follows
+STARS = 6  # most turns in which the sets of an entry meet one of them; the pass over all pairs makes the result whole
 CANDIDATE_IDS = 2_000_000  # so many ids are broadcast to pick texts out of the scan, else they are joined by shuffle
 
 
@@ -157,9 +159,9 @@ def entries_of(u: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
 
 
 def parity_bitmap(u: np.ndarray, percent: int) -> bytes:
-    """A power of two of bits, four times the tokens by which a partner may differ or more; each token flips one. Where two bitmaps differ in d bits, the sets differ in d tokens at least."""
+    """A power of two of bits, eight times the tokens by which a partner may differ or more; each token flips one. Where two bitmaps differ in d bits, the sets differ in d tokens at least."""
     width = 64
-    while width * (100 + percent) < 8 * len(u) * (100 - percent):
+    while width * (100 + percent) < 16 * len(u) * (100 - percent):
         width *= 2
     flips = np.bincount(((u >> np.uint64(1)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
@@ -384,6 +386,49 @@ def _in_bands(met: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("_b", band).withColumn("band", F.explode(bands)).drop("_b")
 
 
+def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
+    return df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _star(met: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the sets of each entry (met: entry, band, id, n) with one of them, where they aren't in its component yet."""
+    labelled = _labelled(met, labels)
+    rank = F.lit(0).cast("long") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    center = F.min(F.struct(rank.alias("rank"), "id", "n", "label")).alias("center")
+    several = labelled.groupBy("entry", "band").agg(center, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    close = F.least("n", "center.n") * 100 >= F.greatest("n", "center.n") * percent
+    pairs = labelled.join(several, ["entry", "band"]).where((F.col("label") != F.col("center.label")) & close)
+    return pairs.select(F.least("id", "center.id").alias("a"), F.greatest("id", "center.id").alias("b")).distinct()
+
+
+class Found:
+    """Verified links (a, b) and the components (id, label) that they make."""
+
+    def __init__(self, links: DataFrame, labels: DataFrame):
+        self.links, self.labels = links, labels
+
+    def add(self, pairs: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> bool:
+        """Adds the links among pairs (a, b; stored) that join components; whether there were any.
+
+        Each turn verifies a few pairs of each two components that are still apart, and more in the next.
+        """
+        many, any_new = FEW_PAIRS, False
+        while True:
+            for side in ("a", "b"):
+                pairs = pairs.join(self.labels.select(F.col("id").alias(side), F.col("label").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+            pairs = pairs.where("_a <> _b")
+            order = Window.partitionBy(F.least("_a", "_b"), F.greatest("_a", "_b")).orderBy("a", "b")
+            apart = stored(pairs.withColumn("_n", F.row_number().over(order)).select("a", "b", "_n"), "ngram-apart")
+            if not apart.limit(1).count():
+                return any_new
+            new = stored(verified(apart.where(F.col("_n") <= many).select("a", "b")), "ngram-links")
+            pairs, many = apart.where(F.col("_n") > many).select("a", "b"), many * 8
+            if new.limit(1).count():
+                any_new = True
+                self.links = stored(self.links.union(new), "ngram-links")
+                self.labels = components(self.links)
+
+
 def ngram_links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id), one row for each row of docs. id_col is a whole number or a string."""
     with small_batches(docs.sparkSession):
@@ -401,39 +446,25 @@ def _links(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
     others = stored(named.where(F.col("own").isNull() | (F.col("own") != F.col("key"))).select("id", "key").distinct(), "ngram-others")
     sets = small_join(base.where("n > 0 and id is not null"), others, ["id", "key"], "left_anti", CANDIDATE_IDS)
 
-    # First pass: each set against the first one of its band in each of its entries.
     met = stored(_in_bands(_shared(sets.select(F.explode("entries").alias("entry"), "id", "n")), percent), "ngram-met")
-    firsts = met.groupBy("entry", "band").agg(F.min(F.struct("id", "n")).alias("first"))
-    close = (F.col("id") != F.col("first.id")) & (F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * percent)
-    pairs = met.join(firsts, ["entry", "band"]).where(close).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
     slim = stored(sets.where(F.length("bitmap") > 0).select("id", "n", "bitmap"), "ngram-bitmaps")
-    may = stored(_may_link(_with_sets(pairs, slim, percent), percent), "ngram-pairs")
-    links = stored(verify(may, docs, order, n, percent, id_col, text_col), "ngram-links")
-    labels = components(links)
+    found = Found(stored(met.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), "ngram-links"), stored(met.select("id", F.col("id").alias("label")).limit(0), "labels"))
+    settle = lambda pairs: found.add(pairs, lambda some: verify(some, docs, order, n, percent, id_col, text_col))
+    for turn in range(STARS):
+        pairs = _star(met, found.labels, turn, percent)
+        if not settle(stored(_may_link(_with_sets(pairs, slim, percent), percent), "ngram-pairs")):
+            break
 
-    # Second pass: entries of three sets or more that the first pass didn't bring into one component.
-    labelled = met.select("entry", "band", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # Entries of three sets or more that are still in several components.
+    labelled = _labelled(met.select("entry", "band", "id"), found.labels)
     open_entries = labelled.groupBy("entry", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2").select("entry", "band", "members")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("id"), blocks).cast("int")
     members = labelled.join(open_entries, ["entry", "band"]).withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = members.withColumns({"part_a": F.least("p", "q"), "part_b": F.greatest("p", "q"), "side": (F.col("p") > F.col("q")).cast("int")})
     members = members.join(slim, "id").select("entry", "band", "part_a", "part_b", "id", "label", "n", "side", "bitmap")
-    rest, many = stored(_across(members, percent), "ngram-pairs"), FEW_PAIRS
-    while True:
-        both = rest
-        for side in ("a", "b"):
-            both = both.join(labels.select(F.col("id").alias(side), F.col("label").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
-        both = both.where("_a <> _b")
-        order_of = Window.partitionBy(F.least("_a", "_b"), F.greatest("_a", "_b")).orderBy("a", "b")
-        apart = stored(both.withColumn("_n", F.row_number().over(order_of)).select("a", "b", "_n"), "ngram-apart")
-        if not apart.limit(1).count():
-            break
-        new = stored(verify(apart.where(F.col("_n") <= many).select("a", "b"), docs, order, n, percent, id_col, text_col), "ngram-links")
-        rest, many = apart.where(F.col("_n") > many).select("a", "b"), many * 8
-        if new.limit(1).count():
-            links = stored(links.union(new), "ngram-links")
-            labels = components(links)
+    settle(stored(_across(members, percent), "ngram-pairs"))
+    labels = found.labels
 
     named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("label", "rep").alias("component_id"))
     out = base.select("id", "n", "key").join(named, "key", "left")
