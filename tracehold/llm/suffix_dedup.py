@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_join, stored, tidily
+from .common import documents, small_batches, small_join, stored, tidily
 
 GRAM = 32
-HOT, BLOCK_BYTES, MOST_FILES = 20_000, 2_000_000, 50_000
+HOT, BLOCK_BYTES, SOME_CONTEXTS, MOST_FILES = 20_000, 2_000_000, 8_000, 50_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -55,10 +54,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _VALUES = _mix(np.arange(1, 257, dtype=np.uint64))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:] = base
-    return np.multiply.accumulate(out)
+    """The first n powers of base, kept for the next text."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < n:
+        known = np.ones(max(n, 1 << 16), np.uint64)
+        known[1:] = base
+        _POWERS[int(base)] = np.multiply.accumulate(known, out=known)
+    return known[:n]
 
 
 def _sliding(x: np.ndarray, width: int, join) -> np.ndarray:
@@ -77,14 +83,14 @@ def anchors(data: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     # Hash of data[l:r]: sum of x[j] * base^(l-j), from running sums.
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(x * _powers(_BASE_INVERSE, n), out=sums[1:])
-    grams = _mix((sums[GRAM:] - sums[:-GRAM]) * _powers(_BASE, n - GRAM + 1))
+    grams = (sums[GRAM:] - sums[:-GRAM]) * _powers(_BASE, n - GRAM + 1)
     low = _U((1 << 32) - 1)
-    ranked = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    ranked = ((grams * _U(0xFF51AFD7ED558CCD)) & ~low) | np.arange(len(grams), dtype=np.uint64)
     chosen = (_sliding(ranked, width - GRAM + 1, np.minimum) & low).astype(np.int64)
     first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
     last = np.append(first[1:], len(chosen)) - 1
     place = chosen[first]
-    return grams[place], place, first, last
+    return _mix(grams[place]), place, first, last
 
 
 def _pack(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -231,20 +237,18 @@ def _group_goes_on(rank: np.ndarray, inside: np.ndarray, longer: np.ndarray) ->
     return alive[rank]
 
 
-def repeated_windows(contexts: list[bytes], windows: list[int], width: int) -> list[np.ndarray]:
-    """For each context, which of its first windows[k] windows equal one of an earlier context, or an earlier one of its own. Contexts stand in the order of their places."""
-    if not contexts:
-        return []
-    lengths = np.array([len(x) for x in contexts]) + 1
-    starts = np.append(0, np.cumsum(lengths))
+def repeated_windows(data: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """data: the bytes of contexts of so many bytes each, one after the other in the order of their places. (context, first, last) of the runs of windows that equal a window of an earlier context, or an earlier one of their own."""
+    starts = np.append(0, np.cumsum(lengths + 1))
     text = np.zeros(starts[-1], np.uint16)
-    flat = np.frombuffer(b"".join(contexts), np.uint8).astype(np.uint16) + 1
-    is_end = np.zeros(len(text), bool)
-    is_end[starts[1:] - 1] = True
-    text[~is_end] = flat
-    begins = np.zeros(len(text), bool)
-    for s, k in zip(starts, windows, strict=False):
-        begins[s : s + k] = True
+    inside = np.ones(len(text), bool)
+    inside[starts[1:] - 1] = False
+    text[inside] = data.astype(np.uint16) + 1
+    edges = np.zeros(len(text) + 1, np.int64)  # windows begin where `width` bytes or more are left
+    long = lengths >= width
+    np.add.at(edges, starts[:-1][long], 1)
+    np.add.at(edges, (starts[:-1] + lengths - width + 1)[long], -1)
+    begins = np.cumsum(edges[:-1]) > 0
     order = two_stage_suffix_array(text, width)
     order = order[begins[order]]
     # Adjacent common prefixes, up to width: neighbours that agree in every word.
@@ -256,10 +260,13 @@ def repeated_windows(contexts: list[bytes], windows: list[int], width: int) -> l
     gone = np.zeros(len(text), bool)
     if len(order):
         run = np.flatnonzero(np.append(True, ~equal))
-        firsts = np.minimum.reduceat(order, run)
         gone[order] = True
-        gone[firsts] = False
-    return [np.flatnonzero(gone[s : s + k]) for s, k in zip(starts, windows, strict=False)]
+        gone[np.minimum.reduceat(order, run)] = False
+    at = np.flatnonzero(gone)
+    cuts = np.flatnonzero(np.append(True, np.diff(at) > 1)) if len(at) else np.zeros(0, np.int64)
+    first, last = at[cuts], at[np.append(cuts[1:], len(at)) - 1] if len(at) else at
+    context = np.searchsorted(starts, first, "right") - 1
+    return context, first - starts[context], last - starts[context]
 
 
 def _span(at: int) -> tuple[int, int]:
@@ -267,19 +274,41 @@ def _span(at: int) -> tuple[int, int]:
     return (at >> 16) - ((at >> 8) & 255), (at >> 16) - (at & 255)
 
 
+def _gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes data[start : start + length] of each, one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return data[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+
+
+def _bytes_of(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes of a column, offsets of its values and the end)."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets
+
+
 def _cut(width: int):
-    """(doc, data, marks) to one row for each open context."""
+    """(doc, data, marks) to one row for each marked context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text, marks in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                data, doc_id = text.as_py(), doc.as_py()
-                for mark in marks.as_py():
-                    first, last = _span(mark["at"])
-                    for column, x in zip(out, (mark["h"], doc_id, first, last - first + 1, data[first : last + width]), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out[:4]], pa.array(out[4], pa.binary())], ["h", "doc", "start", "count", "piece"])
+            data, texts = _bytes_of(batch.column(1))
+            marks = batch.column(2)
+            ends = marks.offsets.to_numpy().astype(np.int64)
+            at, h = (marks.values.field(k).to_numpy()[ends[0] : ends[-1]] for k in ("at", "h"))
+            row = np.repeat(np.arange(len(batch)), np.diff(ends))
+            first, last = (at >> 16) - ((at >> 8) & 255), (at >> 16) - (at & 255)
+            doc = batch.column(0).to_numpy()[row]
+            lengths = last - first + width
+            begin = texts[row] + first
+            fits = begin + lengths <= texts[row + 1]  # else the mark is of another text with this id
+            h, doc, first, last, lengths, begin = (x[fits] for x in (h, doc, first, last, lengths, begin))
+            for k in range(0, len(h), SOME_CONTEXTS):
+                part = slice(k, k + SOME_CONTEXTS)
+                piece = _gathered(data, begin[part], lengths[part])
+                offsets = np.append(0, np.cumsum(lengths[part])).astype(np.int32)
+                pieces = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(piece)])
+                yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(doc[part]), pa.array(first[part]), pa.array((last - first + 1)[part]), pieces], ["h", "doc", "start", "count", "piece"])
 
     return run
 
@@ -325,43 +354,53 @@ def all_but_first(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _repeats(width: int):
-    """Rows sorted by h, doc, start; whole groups of one h go into blocks of about BLOCK_BYTES. Gives (doc, from, to): places of windows that go."""
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        first: dict[bytes, tuple] = {}
-        places: set[tuple] = set()
-        docs, lows, highs = [], [], []
-        for row in sorted(rows, key=lambda r: (r[1], r[2])):
-            if (row[1], row[2]) in places or len(row[4]) != row[3] + width - 1:
-                continue
-            places.add((row[1], row[2]))
-            if first.setdefault(row[4], row) is not row:  # equal byte by byte: every window of it goes
-                docs.append(row[1])
-                lows.append(row[2])
-                highs.append(row[2] + row[3] - 1)
-        several = Counter(row[0] for row in first.values())
-        rows = [row for row in first.values() if several[row[0]] > 1]
-        for row, gone in zip(rows, repeated_windows([r[4] for r in rows], [r[3] for r in rows], width), strict=True):
-            if len(gone):
-                cuts = np.flatnonzero(np.append(True, np.diff(gone) > 1))
-                docs += [row[1]] * len(cuts)
-                lows += (gone[cuts] + row[2]).tolist()
-                highs += (gone[np.append(cuts[1:], len(gone)) - 1] + row[2]).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, lows, highs)], ["doc", "low", "high"])
+    """Rows sorted by h, doc, start; whole groups of one h go into blocks of about BLOCK_BYTES. Gives (doc, low, high): windows that go."""
+
+    def solve(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        h, doc, start, count = (table.column(k).to_numpy() for k in range(4))
+        pieces = table.column(4).chunk(0)
+        same = np.append(False, (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]))
+        keep = np.flatnonzero(~same)
+        h, doc, start, count = (x[keep] for x in (h, doc, start, count))
+        # Equal contexts, byte by byte, have one code; codes count up as they appear, so the first of each is the first place.
+        coded = pieces.take(pa.array(keep)).dictionary_encode()
+        code = coded.indices.to_numpy()
+        top = np.maximum.accumulate(code)
+        is_first = np.append(True, top[1:] > top[:-1])
+        copies = np.flatnonzero(~is_first)
+        out = [(doc[copies], start[copies], start[copies] + count[copies] - 1)]
+        firsts = np.flatnonzero(is_first)
+        _, back, size = np.unique(h[firsts], return_inverse=True, return_counts=True)
+        firsts = firsts[size[back] > 1]
+        if len(firsts):
+            firsts = firsts[np.lexsort((start[firsts], doc[firsts]))]
+            data, offsets = _bytes_of(coded.dictionary)
+            lengths = np.diff(offsets)[code[firsts]]
+            context, low, high = repeated_windows(_gathered(data, offsets[code[firsts]], lengths), lengths, width)
+            out.append((doc[firsts][context], start[firsts][context] + low, start[firsts][context] + high))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size, last = 0, None
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[0] != last and size > BLOCK_BYTES:
-                    yield solve(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[4])
-                last = row[0]
-        if rows:
-            yield solve(rows)
+            if not len(batch):
+                continue
+            held.append(batch)
+            size += batch.column(4).nbytes
+            h = batch.column(0).to_numpy()
+            if size > BLOCK_BYTES and (len(held) > 1 or h[0] != h[-1]):
+                # Up to the last anchor that is whole for sure.
+                cut = len(h) - int((h[::-1] != h[-1]).argmax()) if h[0] != h[-1] else 0
+                if cut == 0 and held[-2].column(0)[-1].as_py() == h[0]:
+                    continue
+                done = [*held[:-1], batch.slice(0, cut)] if cut else held[:-1]
+                yield solve(done)
+                held = [batch.slice(cut)]
+                size = held[0].column(4).nbytes
+        if held:
+            yield solve(held)
 
     return run
 
@@ -390,7 +429,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     spark = docs.sparkSession
     table = f"suffix_texts_{uuid.uuid4().hex}"
     try:
-        return tidily("suffix-result", lambda: _remove_repeats(docs, table, width, id_col, text_col, hot))
+        with small_batches(spark, 4000):
+            return tidily("suffix-result", lambda: _remove_repeats(docs, table, width, id_col, text_col, hot))
     finally:
         spark.sql(f"drop table if exists {table}")
 
