@@ -12,8 +12,10 @@
 All of it is DataFrame expressions. The items' shingles are broadcast while they were counted to be few, and joined
 by shuffle otherwise.
 
-Words are runs of letters and digits, lower-cased. Defined results: null and empty texts match nothing; items of fewer
-than five words are left out, as any text may hold them; a null id is not matched; empty tables give empty results; repeated documents
+Words are runs of letters and digits, lower-cased. An item of fewer than five words has one shingle, the whole sequence;
+a text holds it where one of its lines, or the text itself, has just these words. Items without words match nothing.
+
+Defined results: null and empty texts match nothing; a null id is not matched; empty tables give empty results; repeated documents
 are reported once for each id and item, and kept or dropped alike; repeated items are reported as items of their own;
 other columns are carried through by `decontaminate`.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import bound, documents, small_join, stored
 
-SLACK = 2
+SLACK = 2  # words that a window may begin before or after the place that a hit names
 BLOCKS, BLOCK_BITS, ITEM_RADIUS, WINDOW_RADIUS = 4, 16, 3, 1
 RADIUS = BLOCKS * (ITEM_RADIUS + WINDOW_RADIUS) + BLOCKS - 1
 
@@ -90,8 +92,10 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id_col, item, similarity, at_word, n_windows): one row for each document and item of which it holds a near copy."""
-    items = bound(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), "w", tokens(F.col("text"))).where(F.size("w") >= n)
+    """(id_col, item, similarity, at_word, n_windows): one row for each document and item of which it holds a near copy; at_word is null for items of fewer than n words."""
+    every = bound(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), "w", tokens(F.col("text")))
+    short = stored(every.where((F.size("w") > 0) & (F.size("w") < n)).select("item", F.concat_ws(" ", "w").alias("content")), "leak-short")
+    items = every.where(F.size("w") >= n)
     items = with_simhash(with_shingles(items, "w", n, "set"), "set", "item_print")
     items = stored(items.select("item", F.size("w").alias("len"), shingle_hashes(F.col("w"), n).alias("hashes"), "set", "item_print"), "leak-items")
     spots = stored(items.select("len", F.posexplode("hashes").alias("item_at", "h")).distinct(), "leak-shingles")
@@ -117,7 +121,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: f
     both = pairs.join(prints.select("content", "set"), "content").join(items.select("item", F.col("set").alias("item_set")), "item")
     close = stored(both.select("content", "item", similarity(F.col("set"), F.col("item_set")).alias("similarity")).where(F.col("similarity") >= threshold), "leak-pairs")
     found = windows.join(close, "content").groupBy("id", "item").agg(F.max("similarity").alias("similarity"), F.min(F.struct(-F.col("similarity"), "start")).alias("best"), F.countDistinct("start").alias("n_windows"))
-    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.round("similarity", 6).alias("similarity"), F.col("best.start").cast("long").alias("at_word"), F.col("n_windows").cast("long").alias("n_windows"))
+    found = found.select("id", "item", "similarity", F.col("best.start").cast("long").alias("at_word"), F.col("n_windows").cast("long").alias("n_windows"))
+    if short.limit(1).count():
+        found = found.unionByName(_short_items(docs, short, n))
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.round("similarity", 6).alias("similarity"), "at_word", "n_windows")
+
+
+def _short_items(docs: DataFrame, short: DataFrame, n: int) -> DataFrame:
+    """Items of fewer than n words (item, content) that are a whole line, or the whole text, of a document (id, text)."""
+    lines = docs.where(F.col("id").isNotNull()).select("id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    lines = bound(lines, "w", tokens(F.col("line"))).where(F.size("w") > 0)
+    whole = bound(docs.where(F.col("id").isNotNull() & F.col("text").contains("\n")), "w", tokens(F.col("text"))).where(F.size("w").between(1, n - 1))
+    some = lines.where(F.size("w") < n).select("id", F.concat_ws(" ", "w").alias("content")).unionByName(whole.select("id", F.concat_ws(" ", "w").alias("content")))
+    met = small_join(some, short, ["content"]).groupBy("id", "item").agg(F.count("*").cast("long").alias("n_windows"))
+    return met.select("id", "item", F.lit(1.0).alias("similarity"), F.lit(None).cast("long").alias("at_word"), "n_windows")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -5,7 +5,8 @@ template has, cut where a chosen bigram of that template occurs (its place less
 paragraphs and headers that touch code are found inside longer files. A unit and a template, both
 normalised to lower-case runs of letters and digits, match if the sets of their word bigrams have a Dice
 coefficient of at least `threshold`. Candidates are pruned twice before that: a match must hold one of a few
-chosen bigrams of its template (so many that no match can lack them all), and its size must lie within the bounds
+chosen bigrams of its template (those of the longest words, which are in few other texts, and so many that no match can
+lack them all), and its size must lie within the bounds
 that the threshold leaves, t / (2 - t) to (2 - t) / t of the template's.
 
 All of it is DataFrame expressions. What is broadcast are the templates' bigrams, counted to be few.
@@ -16,7 +17,7 @@ table gives an empty result; repeated rows give one result row for their id; oth
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound, documents, small_join, stored
@@ -54,7 +55,62 @@ TEMPLATES = {
         FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
         ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
-        distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+        distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+        In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software
+        to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We
+        intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+        are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+        AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY,
+        OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+        INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+        ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+        are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors
+        may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
+        COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY
+        DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+        LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF
+        SUCH DAMAGE.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising
+        from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter
+        it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim
+        that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but
+        is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This
+        notice may not be removed or altered from any source distribution.""",
+    "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+        file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "lgpl-2.1-notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+        published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in
+        the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU Lesser General Public License for more details.""",
+    "agpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the
+        hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+        the GNU Affero General Public License for more details.""",
+    "boost-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation
+        covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works
+        of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the
+        Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies
+        of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of
+        machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+        IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT
+        SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "cc0-1.0-notice": """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.""",
+    "wtfpl": """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the
+        name is changed. TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.""",
 }
 
 
@@ -81,6 +137,13 @@ def all_bigrams(words: str) -> Column:
     return F.when(F.size(w) >= 2, pairs).otherwise(F.array().cast("array<bigint>"))
 
 
+def bigram_words(words: str) -> Column:
+    """struct<h, letters> for each place: the hash of two neighbouring words and how many letters they have."""
+    w = F.col(words)
+    pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1)).alias("h"), (F.length(F.get(w, i)) + F.length(F.get(w, i + 1))).alias("letters")))
+    return F.when(F.size(w) >= 2, pairs).otherwise(F.array().cast("array<struct<h:bigint,letters:int>>"))
+
+
 def windows(docs: DataFrame, offsets: list) -> DataFrame:
     """docs (w, pairs: all_bigrams of w, other columns) once for each distinct window (words): offsets are (bigram, offset, words) of the templates."""
     by_bigram: dict[int, list[tuple[int, int]]] = {}
@@ -104,7 +167,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     # A match shares at least low * size of the template's bigrams, so it holds one of any size - that + 1.
     lacks = F.size("template") - F.ceil(F.size("template") * low).cast("int") + 1
-    chosen = stored(table.select("license", F.explode(F.slice("template", F.lit(1), lacks)).alias("bigram")), "licence-bigrams")
+    named = whole.select("license", lacks.alias("lacks"), F.posexplode(bigram_words("w")).alias("at", "b")).groupBy("license", "lacks", "b.h").agg(F.max("b.letters").alias("letters"), F.min("at").alias("at"))
+    longest = Window.partitionBy("license").orderBy(F.desc("letters"), "at")
+    chosen = stored(named.withColumn("n", F.row_number().over(longest)).where("n <= lacks").select("license", F.col("h").alias("bigram")), "licence-bigrams")
 
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     places = bound(whole, "pairs", all_bigrams("w")).select("license", F.size("w").alias("len"), F.posexplode("pairs").alias("offset", "bigram"))

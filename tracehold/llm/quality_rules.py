@@ -1,18 +1,22 @@
 """Operator 10: quality rules with robust multivariate outliers per language and source.
 
 Word, symbol and repetition statistics are taken natively from each whole text. Documents that pass the fixed
-base rules become vectors of transformed statistics; per language and source a minimum-covariance-determinant
-estimate (deterministic start, concentration steps, regularised towards the unit matrix as small or constant
-statistics would make it singular) gives each vector a Mahalanobis distance, and those far out are rejected.
+base rules become vectors of transformed statistics, in units of the corpus's medians and median deviations. Each group,
+a language's source, gets a minimum-covariance-determinant estimate: from several deterministic starts the
+nearest three quarters of the group are taken again and again, until the determinant of their scatter falls no more, and
+the start that ends lowest is kept. Vectors far out by Mahalanobis distance are rejected.
+
+A group of any size is judged alike: its mean and scatter are drawn towards those of its language as by PRIOR more rows,
+and a language's towards the corpus's medians and scales. Scatters are regularised towards the unit matrix, as small or
+constant statistics would make them singular.
 
 Each concentration step is two aggregations over the vectors: counts of distances in fixed bins, which give the
 distance that the nearest three quarters of a group don't exceed, and sums and products over those. Only
 sums of that kind are shuffled, so a group of any size costs no task more than its share.
 
-Defined results: null text has no words and fails; null language or source is a group of its own; a group of
-fewer than `min_group` vectors is pooled with the other small ones of its language, and if the pool is as small,
-nothing in it is rejected; an empty table gives an empty result; repeated rows count, and come back, as often as
-they come; other columns are carried through (working columns start with ``_``).
+Defined results: null text has no words and fails; null language or source is a group of its own; an empty table gives
+an empty result; repeated rows count, and come back, as often as they come; other columns are carried through, but for
+those named as one of the result's or as a working column (WORKING), which the operator's own replace.
 """
 
 from __future__ import annotations
@@ -27,9 +31,12 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Share of a group that an estimate rests on; factor that makes its scatter consistent for normal vectors of five
 #: parts: 0.75 / F7(q), q the 0.75 quantile of the chi-squared law with 5 degrees, F7 that law's distribution with 7.
 KEEP_SHARE, CONSISTENT = 0.75, 1.41
-#: Least scale of each transformed statistic; weight of the unit matrix; steps.
+#: Least scale of each transformed statistic; weight of the unit matrix; rows that a group's parent counts for; most
+#: steps, which no start has needed.
 LEAST_SCALE = (0.5, 0.1, 0.1, 0.25, 0.25)
-RIDGE, STEPS = 0.25, 3
+RIDGE, PRIOR, MOST_STEPS = 0.25, 50.0, 30
+FEW_ROWS = 50_000  # so many estimates are broadcast, more are joined by shuffle
+WORKING = ("_w", "_p", "_s", "_lines", "_n_lines", "_lang", "_source", "_x", "_z", "_d2", "_mu", "_inv", "_c", "_start", "_det")
 #: Squared distance from which a vector is rejected: the chi-squared law with 5 degrees leaves 1e-7 beyond 41.
 CUT = 41.0
 P = len(LEAST_SCALE)
@@ -96,26 +103,31 @@ def _quantile(df: DataFrame, value: str, keys: list[str], q: float) -> DataFrame
     return cum.where(F.col("_cum") >= F.ceil(F.col("_all") * q)).groupBy(*keys).agg((F.min("_bin") / GRID).alias("_q"), F.max("_all").alias("_all"))
 
 
-def _scales(vectors: DataFrame) -> DataFrame:
-    """(_g, _mid, _scale, _n): the median and the scaled median deviation of each statistic."""
-    long = vectors.select("_g", F.posexplode("_x").alias("_f", "_v"))
-    mid = stored(_quantile(long, "_v", ["_g", "_f"], 0.5).withColumnRenamed("_q", "_mid"), "quality-median")
-    dev = small_join(long, mid.select("_g", "_f", "_mid"), ["_g", "_f"]).withColumn("_d", F.abs(F.col("_v") - F.col("_mid")))
-    dev = _quantile(dev, "_d", ["_g", "_f"], 0.5).select("_g", "_f", F.col("_q").alias("_mad"))
-    least = F.array(*[F.lit(float(x)) for x in LEAST_SCALE])
-    both = mid.join(dev, ["_g", "_f"]).withColumn("_scale", F.greatest(F.col("_mad") * 1.4826, F.get(least, F.col("_f"))))
-    by_f = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_f", c))), lambda x: x[c])
-    return both.groupBy("_g").agg(by_f("_mid").alias("_mid"), by_f("_scale").alias("_scale"), F.max("_all").alias("_n"))
-
-
-def _estimates(moments: DataFrame) -> DataFrame:
-    """(_g, _mu, _inv): centre and the rows of the inverse Cholesky factor of the regularised scatter, one row a group."""
-    e = moments
-    e = e.withColumns({f"_m{i}": F.col(f"_s{i}") / F.col("_k") for i in range(P)})
-    e = e.withColumns({f"_c{i}{j}": (F.col(f"_s{i}{j}") / F.col("_k") - F.col(f"_m{i}") * F.col(f"_m{j}")) * (CONSISTENT * (1 - RIDGE)) + (RIDGE if i == j else 0.0) for i in range(P) for j in range(i + 1)})
+def _scaled(vectors: DataFrame) -> DataFrame:
+    """vectors with _z in place of _x: each statistic less its median over all, by its scaled median deviation."""
+    long = vectors.select(F.posexplode("_x").alias("_f", "_v"))
+    medians = {r["_f"]: r["_q"] for r in _quantile(long, "_v", ["_f"], 0.5).collect()}  # P rows
+    middle = [float(medians.get(f, 0.0)) for f in range(P)]
+    off = long.withColumn("_v", F.abs(F.col("_v") - F.get(F.array(*[F.lit(m) for m in middle]), F.col("_f"))))
+    deviations = {r["_f"]: r["_q"] for r in _quantile(off, "_v", ["_f"], 0.5).collect()}
+    scale = [max(float(deviations.get(f, 0.0)) * 1.4826, LEAST_SCALE[f]) for f in range(P)]
+    z = F.array(*[(F.get("_x", F.lit(f)) - middle[f]) / scale[f] for f in range(P)])
+    return vectors.withColumn("_z", z).drop("_x")
+
+
+def _estimates(moments: DataFrame, prior: DataFrame | None, keys: list[str], weight: float) -> DataFrame:
+    """(keys, _start, _mu, _inv, _c, _det) of sums over vectors: centre, rows of the inverse Cholesky factor and the scatter, both drawn to the prior (mean 0 and the unit matrix if it is None), and the logarithm of the determinant."""
+    e = moments if prior is None else small_join(moments, prior, keys[:1])
+    w = F.col("_k") / (F.col("_k") + F.lit(weight))
+    at = {(i, j): k for k, (i, j) in enumerate((i, j) for i in range(P) for j in range(i + 1))}
+    own = lambda i: F.col(f"_s{i}") / F.col("_k")
+    before = lambda i: F.lit(0.0) if prior is None else F.get("_pmu", F.lit(i))
+    spread = lambda i, j: F.lit(float(i == j)) if prior is None else F.get("_pc", F.lit(at[i, j]))
+    e = e.withColumns({f"_m{i}": w * own(i) + (1 - w) * before(i) for i in range(P)})
+    e = e.withColumns({f"_c{i}{j}": w * CONSISTENT * (F.col(f"_s{i}{j}") / F.col("_k") - own(i) * own(j)) + (1 - w) * spread(i, j) for i, j in at})
     for i in range(P):
         for j in range(i + 1):
-            left = F.col(f"_c{i}{j}")
+            left = F.col(f"_c{i}{j}") * (1 - RIDGE) + (RIDGE if i == j else 0.0)
             for k in range(j):
                 left = left - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
             e = e.withColumn(f"_l{i}{j}", F.sqrt(F.greatest(left, F.lit(1e-6))) if i == j else left / F.col(f"_l{j}{j}"))
@@ -128,7 +140,11 @@ def _estimates(moments: DataFrame) -> DataFrame:
                 for k in range(j, i):
                     total = total + F.col(f"_l{i}{k}") * F.col(f"_v{k}{j}")
                 e = e.withColumn(f"_v{i}{j}", -total / F.col(f"_l{i}{i}"))
-    return e.select("_g", F.array(*[F.col(f"_m{i}") for i in range(P)]).alias("_mu"), F.array(*[F.col(f"_v{i}{j}") for i in range(P) for j in range(i + 1)]).alias("_inv"))
+    listed = lambda name: F.array(*[F.col(f"_{name}{i}{j}") for i, j in at])
+    det = F.lit(0.0)
+    for i in range(P):
+        det = det + 2 * F.ln(f"_l{i}{i}")
+    return e.select(*keys, "_start", F.array(*[F.col(f"_m{i}") for i in range(P)]).alias("_mu"), listed("v").alias("_inv"), listed("c").alias("_c"), det.alias("_det"))
 
 
 def _distance(z: Column, mu: Column, inv: Column) -> Column:
@@ -143,42 +159,72 @@ def _distance(z: Column, mu: Column, inv: Column) -> Column:
     return total
 
 
-def _moments(z: DataFrame) -> DataFrame:
+def _moments(z: DataFrame, keys: list[str]) -> DataFrame:
     part = lambda i: F.get("_z", F.lit(i))
     sums = [F.sum(part(i)).alias(f"_s{i}") for i in range(P)] + [F.sum(part(i) * part(j)).alias(f"_s{i}{j}") for i in range(P) for j in range(i + 1)]
-    return z.groupBy("_g").agg(F.count("*").alias("_k"), *sums)
-
-
-def outlier_distances(vectors: DataFrame, min_group: int = 50) -> DataFrame:
-    """vectors (stored): _lang, _source, _x, and what else is to be kept. Adds _d2, the squared distance, null in groups too small to judge."""
-    sizes = stored(vectors.groupBy("_lang", "_source").agg(F.count("*").alias("_size")), "quality-sizes")
-    own = F.concat_ws("\x1f", F.lit("own"), "_lang", "_source")
-    pooled = F.concat_ws("\x1f", F.lit("pool"), "_lang")
-    grouped = small_join(vectors, sizes, ["_lang", "_source"]).withColumn("_g", F.when(F.col("_size") >= min_group, own).otherwise(pooled)).drop("_size")
-    scales = stored(_scales(grouped), "quality-scales")
-    z = small_join(grouped, scales, ["_g"], "left").withColumn("_z", F.transform(F.sequence(F.lit(0), F.lit(P - 1)), lambda i: (F.get("_x", i) - F.get("_mid", i)) / F.get("_scale", i)))
-    z = stored(z.drop("_mid", "_scale", "_x"), "quality-vectors")
-    # The start takes the statistics as independent; each step then takes the nearest KEEP_SHARE of a group.
-    dist = z.withColumn("_d2", F.aggregate("_z", F.lit(0.0), lambda a, x: a + x * x))
-    estimates = None
-    for _ in range(STEPS):
-        binned = dist.withColumn("_l", F.log1p("_d2"))
-        edge = stored(_quantile(binned, "_l", ["_g"], KEEP_SHARE).select("_g", "_q"), "quality-edges")
-        near = small_join(binned, edge, ["_g"]).where(F.ceil(F.col("_l") * GRID) <= F.round(F.col("_q") * GRID))
-        estimates = stored(_estimates(_moments(near)), "quality-estimates")
-        dist = small_join(z, estimates, ["_g"], "left").withColumn("_d2", _distance(F.col("_z"), F.col("_mu"), F.col("_inv"))).drop("_mu", "_inv")
-    return dist.withColumn("_d2", F.when(F.col("_n") >= min_group, F.col("_d2"))).drop("_z", "_g", "_n")
-
-
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = CUT, min_group: int = 50) -> DataFrame:
+    return z.groupBy(*keys, "_start").agg(F.count("*").alias("_k"), *sums)
+
+
+def least_determinants(z: DataFrame, keys: list[str], prior: DataFrame | None = None, weight: float = PRIOR) -> DataFrame:
+    """z (stored): keys, _z. The estimate of each group (see `_estimates`) that ends with the least determinant; prior: (first key, _pmu, _pinv, _pc).
+
+    Starts: all vectors of the group; those nearest to the prior's centre; those nearest by the prior's own distance.
+    """
+    whole = _estimates(_moments(z.withColumn("_start", F.lit(0)), keys), prior, keys, weight)
+    unit = F.array(*[F.lit(float(i == j)) for i in range(P) for j in range(i + 1)])
+    if prior is None:
+        more = [(F.array(*[F.lit(0.0)] * P), unit)]
+        groups = whole.select(*keys)
+    else:
+        more = [(F.col("_pmu"), unit), (F.col("_pmu"), F.col("_pinv"))]
+        groups = small_join(whole.select(*keys), prior, keys[:1])
+    far = F.lit(float("inf"))
+    best = whole.withColumn("_det", far)
+    for k, (mu, inv) in enumerate(more):
+        best = best.unionByName(groups.select(*keys, F.lit(k + 1).alias("_start"), mu.alias("_mu"), inv.alias("_inv"), unit.alias("_c"), far.alias("_det")))
+    now = best = stored(best, "quality-estimates")
+    both = [*keys, "_start"]
+    few = best.limit(FEW_ROWS + 1).count() <= FEW_ROWS  # as many rows as any of the joined tables below has
+    meet = lambda left, right, on: left.join(F.broadcast(right) if few else right, on)
+    for _ in range(MOST_STEPS):
+        dist = meet(z, now.select(*both, "_mu", "_inv"), keys).withColumn("_l", F.log1p(_distance(F.col("_z"), F.col("_mu"), F.col("_inv")))).select(*both, "_z", "_l")
+        edge = stored(_quantile(dist, "_l", both, KEEP_SHARE).select(*both, "_q"), "quality-edges")
+        near = meet(dist, edge, both).where(F.ceil(F.col("_l") * GRID) <= F.round(F.col("_q") * GRID))
+        found = _estimates(_moments(near, keys), prior, keys, weight)
+        old = best.select(*both, *[F.col(c).alias(f"_old{c}") for c in ("_mu", "_inv", "_c", "_det")])
+        lower = F.col("_det") < F.col("_old_det") - 1e-4
+        judged = meet(found, old, both).withColumn("_fell", lower)
+        judged = judged.select(*both, "_fell", *[F.when(F.col("_fell"), F.col(c)).otherwise(F.col(f"_old{c}")).alias(c) for c in ("_mu", "_inv", "_c", "_det")])
+        # Starts that fell no more have ended; the others go on from where they are.
+        ended = best.join(F.broadcast(now.select(*both)) if few else now.select(*both), both, "left_anti").withColumn("_fell", F.lit(False))
+        judged = stored(judged.unionByName(ended.select(*judged.columns)), "quality-estimates")
+        now, best = judged.where("_fell").drop("_fell"), judged.drop("_fell")
+        if not now.limit(1).count():
+            break
+    least = F.min_by(F.struct("_mu", "_inv", "_c", "_det"), F.struct("_det", "_start"))
+    return stored(best.groupBy(*keys).agg(least.alias("_e")).select(*keys, "_e.*"), "quality-least")
+
+
+def outlier_distances(vectors: DataFrame, weight: float = PRIOR) -> DataFrame:
+    """vectors (stored): _lang, _source, _x, and what else is to be kept. Adds _d2, the squared distance of each."""
+    scaled = stored(_scaled(vectors), "quality-vectors")
+    z = scaled.select("_lang", "_source", "_z")
+    of_lang = least_determinants(z.drop("_source"), ["_lang"], None, weight)
+    prior = of_lang.select("_lang", F.col("_mu").alias("_pmu"), F.col("_inv").alias("_pinv"), F.col("_c").alias("_pc"))
+    own = least_determinants(z, ["_lang", "_source"], prior, weight).select("_lang", "_source", "_mu", "_inv")
+    return small_join(scaled, own, ["_lang", "_source"]).withColumn("_d2", _distance(F.col("_z"), F.col("_mu"), F.col("_inv"))).drop("_z", "_mu", "_inv")
+
+
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = CUT, weight: float = PRIOR) -> DataFrame:
     """docs without their text, with the five statistics, base_failed, distance2 and kept."""
     n = F.col("n_words")
     failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
-    kept_cols = [c for c in docs.columns if c != text_col and c not in STATS]
-    stats = with_statistics(docs.select(*kept_cols, text_col), text_col).drop(text_col)
+    own = {*STATS, "base_failed", "distance2", "kept", *WORKING} - {lang_col, source_col}
+    kept_cols = [c for c in docs.columns if c != text_col and c not in own]
+    stats = with_statistics(docs.select(*kept_cols, F.col(text_col).alias("_text")), "_text").drop("_text")
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (lang_col, source_col))
     stats = stored(stats.withColumns({"base_failed": failed, "_lang": lang, "_source": source, "_x": F.array(*_vector())}).drop("_n_lines"), "quality-statistics")
-    judged = outlier_distances(stats.where(~F.col("base_failed")), min_group).withColumn("kept", F.coalesce(F.col("_d2") <= cut, F.lit(True)))
+    judged = outlier_distances(stats.where(~F.col("base_failed")), weight).withColumn("kept", F.col("_d2") <= cut)
     out = judged.unionByName(stats.where("base_failed").drop("_x").withColumns({"_d2": F.lit(None).cast("double"), "kept": F.lit(False)}))
     return out.select(*kept_cols, *STATS, "base_failed", F.col("_d2").alias("distance2"), "kept")
 

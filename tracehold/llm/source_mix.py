@@ -2,7 +2,8 @@
 
 Documents are counted into cells of source, language and topic by their number of words. The cells' weights are
 raked: scaled to the source targets, then to those of languages, then of topics, again and again, until all three
-marginals hold. The ratio of a cell's fitted share to its present one is what its documents are worth; each document
+marginals hold to within TOLERANCE of a share (or MOST_TURNS are over, which raises an error if the caller asks for
+that). The ratio of a cell's fitted share to its present one is what its documents are worth; each document
 is kept with a probability in proportion to it (at most 1), decided by a hash of its id, so that a rerun keeps the
 same documents. The factor follows from a budget of words, so that no single cell sets the size of the sample; cells
 worth more than they hold are kept whole, and `shortfall` tells what they lack.
@@ -13,7 +14,7 @@ are joined to their cell's probability, by broadcast while the cells were counte
 Defined results: null and blank texts weigh nothing and are kept with their cell's probability; null source,
 language or topic are values of their own; a value without a target keeps its present share (given targets are shares;
 they are scaled to sum to 1 over the values present); an empty table gives an empty result; repeated rows share one fate; other columns
-are carried through (working columns start with ``_``).
+are carried through, but for those in WORKING, which the operator's own replace.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import documents, small_join, stored, unit_hash, words
 
 KEYS = ("_source", "_lang", "_topic")
-TURNS, FEW_CELLS = 12, 100_000
+TURNS, MOST_TURNS, TOLERANCE, FEW_CELLS = 12, 600, 1e-4, 100_000
+WORKING = ("_source", "_lang", "_topic", "_weight", "_p", "_want", "_kept", "_w", "_fit", "_ratio", "_all", "_best")
 
 
 def topic_of(text: Column) -> Column:
@@ -39,30 +41,59 @@ def tempered(cells: DataFrame, key: str, power: float) -> DataFrame:
 
 
 def _scaled(cells: DataFrame, key: str, target: DataFrame) -> DataFrame:
-    """(key, key_target) for all values present, summing to 1; a value without a target has its present share."""
+    """(key, key_target) for all values present, summing to 1; a value without a target has its present share. Rows of one value count together; targets for values that no cell has are left out."""
     total = F.broadcast(cells.agg(F.sum("_w").alias("_all")))  # one row
+    target = target.groupBy(key).agg(F.sum("target").alias("target"))
     sums = cells.groupBy(key).agg(F.sum("_w").alias("_now")).join(target, key, "left").crossJoin(total)
     want = sums.select(key, F.coalesce("target", F.col("_now") / F.col("_all")).alias("_t"))
     one = F.broadcast(want.agg(F.sum("_t").alias("_sum")))  # one row
     return stored(want.crossJoin(one).select(key, (F.col("_t") / F.col("_sum")).alias(key + "_target")), "mix-targets")
 
 
-def fit(cells: DataFrame, targets: dict[str, DataFrame], turns: int = TURNS) -> DataFrame:
+def absent_targets(cells: DataFrame, key: str, target: DataFrame) -> DataFrame:
+    """(key, target): targets above 0 that can't be met, as no words have their value."""
+    return target.where("target > 0").join(cells.select(key).distinct(), key, "left_anti")
+
+
+def residual(fitted: DataFrame, keys: list[str]) -> float:
+    """The largest distance of a marginal of _fit from its target."""
+    worst = 0.0
+    for key in keys:
+        off = fitted.groupBy(key).agg(F.abs(F.sum("_fit") - F.max(key + "_target")).alias("off")).agg(F.max("off")).head()[0]
+        worst = max(worst, off or 0.0)
+    return worst
+
+
+def fit(cells: DataFrame, targets: dict[str, DataFrame], turns: int = TURNS, tolerance: float = TOLERANCE, strict: bool = False) -> DataFrame:
     """cells (stored): the three keys and _w, positive. targets: (key, target) for each key. Adds _fit, shares that meet the targets.
 
     A turn scales the cells to each of the three in order; their sums are window sums over the cells. Up to
-    FEW_CELLS cells, counted, are taken as one partition, so that no turn shuffles.
+    FEW_CELLS cells, counted, are taken as one partition, so that no turn shuffles. After every `turns` turns the cells
+    are written and the residual is looked at: fitting goes on while it is above `tolerance`, MOST_TURNS turns at most.
+    Targets that contradict each other over the cells that there are leave a residual: the last key's then hold, or
+    `strict` raises an error.
     """
     state = cells.withColumn("_fit", F.col("_w"))
     for key, target in targets.items():
         state = small_join(state, _scaled(cells, key, target), [key])
     state = stored(state, "mix-cells")
-    if state.count() <= FEW_CELLS:
-        state = state.coalesce(1)
-    for _ in range(turns):
-        for key in targets:
-            state = state.withColumn("_fit", F.col("_fit") * F.col(key + "_target") / F.sum("_fit").over(Window.partitionBy(key)))
-    return stored(state.select(*cells.columns, "_fit"), "mix-fit")
+    few = state.count() <= FEW_CELLS
+    done = 0
+    while True:
+        state = state.coalesce(1) if few else state
+        for _ in range(turns):
+            for key in targets:
+                total = F.sum("_fit").over(Window.partitionBy(key))
+                state = state.withColumn("_fit", F.coalesce(F.try_divide(F.col("_fit") * F.col(key + "_target"), total), F.lit(0.0)))
+        state, done = stored(state, "mix-fit"), done + turns
+        off = residual(state, list(targets))
+        if off <= tolerance:
+            break
+        if done >= MOST_TURNS:
+            if strict:
+                raise ValueError(f"the targets can't be met together: {off:.3g} is left after {done} turns")
+            break
+    return state.select(*cells.columns, "_fit")
 
 
 def budget_scale(ratio: DataFrame, share: float) -> float | None:
@@ -95,6 +126,8 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: flo
     the targets in expectation, but one small cell can shrink the sample. `least` is a floor under the probabilities,
     which trades closeness for size.
     """
+    named = (text_col, id_col, source_col, lang_col, topic_col)
+    docs = docs.drop(*[c for c in WORKING if c not in named])
     topic = F.col(topic_col) if topic_col else topic_of(F.col(text_col))
     null = F.lit("\x00null")
     keyed = docs.withColumns({"_source": F.coalesce(F.col(source_col).cast("string"), null), "_lang": F.coalesce(F.col(lang_col).cast("string"), null), "_topic": F.coalesce(topic.cast("string"), null), "_weight": F.size(words(F.col(text_col))).cast("double")})
