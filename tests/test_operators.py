@@ -98,6 +98,10 @@ def test_intel_and_suppressions(spark):
     intel = spark.createDataFrame(rows, "id string, kind string, value string, severity int, expires_at timestamp")
     hits = detect.match_intel(events, intel, keep=("asset_id",))
     assert sorted(r.ioc_id for r in hits.collect()) == ["1", "2", "3"]
+    raw = r'{"ip":["[::1]","1.2.3.4",["FE80::1"]],"note":{"ip":"7.7.7.7","x":[{"hostname":"b.example"},"no"],"deep":{"y":1}},"hostname":["a.b."],"sha256":"","q":"\"ip\":"}'
+    got = one(spark, detect.intel_candidates(F.lit(raw)))
+    assert sorted(tuple(c) for c in got) == sorted([("ip", "[::1]"), ("ip", "1.2.3.4"), ("ip", "FE80::1"), ("ip", "7.7.7.7"), ("domain", "b.example"), ("domain", "example"), ("domain", "a.b"), ("domain", "b")])
+    assert one(spark, detect.intel_candidates(F.lit('{"ip": "1.1.1.1"'))) == []
     supp = spark.createDataFrame([("s1", at(-9), "intel:ip:1.2.3.4", None, None), ("s2", at(-8), "intel:ip:1.2.3.4", "A", None), ("s3", T0, "intel:hash:abc", "B", None), ("s4", T0, "intel:domain:evil.example", None, at(-1))], "id string, created_at timestamp, rule_id string, asset_id string, expires_at timestamp")
     kept, quiet = detect.apply_suppressions(hits, supp)
     assert kept.count() == 2 and [r.suppression_id for r in quiet.collect()] == ["s1"]
@@ -192,3 +196,45 @@ def test_views(spark):
     kept, gone = views.retention(events, alerts, now, timedelta(days=30))
     assert sorted(r.id for r in kept.collect()) == ["e1", "e9"] and [r.id for r in gone.collect()] == ["e0"]
     assert views.retention(events, alerts, now, None)[1].count() == 0
+
+
+def test_context_details_and_status(spark):
+    alerts = spark.createDataFrame([("a1", at(0), "r", 4, "e1", "A", "i1", 2, at(1)), ("a2", at(5), "r", 2, "e2", None, "i2", 1, at(5)), ("a3", at(7), "q", 2, None, "A", "i1", 1, at(7))], "id string, ts timestamp, rule_id string, severity int, event_id string, asset_id string, incident_id string, count long, last_ts timestamp")
+    events = spark.createDataFrame([("e1", 4003, None, None, "t", '{"query":{"hostname":"h.example"}}'), ("e2", 1007, "p", "q", None, '{"process":{"name":"sh","pid":7}}')], "id string, class_uid int, process_guid string, parent_process_guid string, conn_tuple string, raw string")
+    assets = spark.createDataFrame([("A", "hostA")], "id string, hostname string")
+    rules = spark.createDataFrame([("r", "Title")], "rule_id string, title string")
+    inc = spark.createDataFrame([("i1", "open", "One"), ("i2", "false_positive", "Two")], "id string, status string, title string")
+    known = views.alerts_with_event_asset(alerts, events, assets).cache()
+    labels = {r.id: r.l for r in known.select("id", correlate.graph_label(F.col("class_uid"), F.col("raw")).alias("l")).collect()}
+    assert labels == {"a1": "DNS h.example", "a2": "sh (7)", "a3": "process"}
+    assigned = known.withColumns({"label": correlate.graph_label(F.col("class_uid"), F.col("raw")), "parent_alert_id": F.lit(None).cast("string"), "reason": F.lit("new")})
+    nodes, edges, _ = correlate.incident_graph(assigned)
+    assert {(r.type, r.label) for r in nodes.collect()} >= {("asset", "hostA"), ("connection", "DNS h.example"), ("process", "sh (7)")}
+    history = views.false_positive_history(alerts, inc, rules, F.lit(at(30)).cast("timestamp"))
+    got = {r.id: r.context for r in views.incident_context(inc, known, rules, graph=(nodes, edges), history=history, max_raw=12).collect()}
+    assert got["i1"].splitlines()[0] == "Incident i1 Open One" and "connection DNS h.example" in got["i1"] and "conn" in got["i1"] and 'event={"query":{"h…' in got["i1"]
+    assert "Judged false positive before:\nTitle 2024-01-01 (Two)" in got["i1"] and "Judged" not in got["i2"]
+    detail = views.incident_alerts(alerts, events, rules).collect()
+    assert sorted((r.incident_id, r.position, r.title, r.evidence != "") for r in detail) == [("i1", 1, "Title", True), ("i1", 2, "q", False), ("i2", 1, "Title", True)]
+    changes = spark.createDataFrame([("i1", "triaged", at(1)), ("i1", "closed", at(2)), ("i2", "open", at(3)), ("zz", "open", at(1)), ("i2", None, at(9))], "id string, status string, ts timestamp")
+    now, bad = views.apply_status_changes(inc, changes)
+    assert {r.id: r.status for r in now.collect()} == {"i1": "closed", "i2": "open"} and sorted(r.reason for r in bad.collect()) == ["id", "status", "status"]
+    summary = {r.id: (r.alerts, r.severity) for r in views.incident_summary(inc.withColumns({"created_at": F.lit(None).cast("timestamp"), "ai_verdict": F.lit(None).cast("string")}), alerts.where("id <> 'a2'")).collect()}
+    assert summary == {"i1": (2, 4), "i2": (0, 0)}
+    rows = views.rule_rows(spark.createDataFrame([("a", 4002), ("b", None), ("c", 1007)], "rule_id string, class_uid int"))
+    assert {r.rule_id: (r.ingested, r.source) for r in rows.collect()} == {"a": (False, None), "b": (True, "all classes"), "c": (True, "process activity")}
+    listed = views.list_rows(spark.createDataFrame([("s", "r")], "id string, rule_id string"), "suppressions", rules).head()
+    assert listed.rule_title == "Title" and listed.reason is None
+    assert [r.hostname for r in views.assets_by_hostname(spark.createDataFrame([("1", "b"), ("2", "a")], "id string, hostname string")).collect()] == ["a", "b"]
+
+
+def test_ancestors_on_a_cycle(spark):
+    parents = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "guid string, parent string")
+    got = sorted((r.guid, r.ancestor, r.level) for r in correlate.ancestors(spark.createDataFrame([("a",), ("x",), ("z",)], "guid string"), parents, 16).collect())
+    assert got == [("a", "b", 1), ("a", "c", 2), ("x", "y", 1)]
+
+
+def test_repeated_process_starts(spark):
+    rows = [("g", "h", at(0), 10, 1), ("g", "h", at(2), 10, 20), ("k", "h", at(1), 20, 10)]
+    got = sorted((r.guid, r.pid, r.parent_guid) for r in windows.resolve_process_instance(spark.createDataFrame(rows, "guid string, host string, ts timestamp, pid int, ppid int")).collect() if r.parent_guid)
+    assert got == [("g", 10, "k"), ("k", 20, "g")]

@@ -13,7 +13,7 @@ BASE = {"logsource": {"category": "process_creation"}}
 
 
 def rule(detection, **more):
-    return compile_rule({"id": "r", **BASE, "detection": detection, **more})
+    return compile_rule({"id": "r", **BASE, **more, "detection": detection})
 
 
 def hit_ids(spark, rules, bodies, os=None, class_uid=1007):
@@ -57,6 +57,22 @@ def test_values_and_modifiers(spark):
         assert [k for k, _ in hit_ids(spark, [rule(detection)], bodies)] == want, detection
 
 
+def test_letters_and_line_ends(spark):
+    bodies = [process(cmd=c) for c in ("éire x", "abc\n", "abc", "a\rc", "a\nc", "ÀB")]
+    cases = [("CommandLine", "ÉIRE*", [0]), ("CommandLine", "a?c", [2, 3]), ("CommandLine", "a*c", [2, 3]), ("CommandLine|re", "^abc$", [2]), ("CommandLine|re", "àb", [5]), ("CommandLine|re", r"a\sc", [3, 4]), ("CommandLine|contains", "Éi?e", [0]), ("CommandLine|endswith", "b*", [2, 5])]
+    for name, value, want in cases:
+        assert [k for k, _ in hit_ids(spark, [rule({"s": {name: value}, "condition": "s"})], bodies)] == want, value
+
+
+def test_many_rules_parse_a_body_once(spark):
+    rules = [rule({"s": {"Image|endswith": f"tool{k}", "CommandLine|contains": "x"}, "condition": "s"}, id=f"r{k}") for k in range(250)]
+    df = spark.createDataFrame([(k, 1007, json.dumps(process(f"/bin/tool{k % 300}", "x"))) for k in range(600)], "id long, class_uid int, raw string").withColumn("ts", F.lit(None).cast("timestamp"))
+    hits = detect.match_rules(df, rules)
+    assert hits.count() == 500
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.lower().count("parsejson") == 1 and plan.count("Union") == 0
+
+
 def test_gates(spark):
     r = compile_rule({"id": "l", "logsource": {"product": "Linux"}, "detection": {"s": {"a": "b"}, "condition": "s"}})
     for os, want in (("linux", 1), ("WINDOWS", 0), (None, 1), ("", 1)):
@@ -77,6 +93,8 @@ def test_gates(spark):
         {"detection": {"s": {"a": "b"}, "condition": "(s"}, **BASE},
         {"detection": {"s": {"a": "b"}, "condition": "s s"}, **BASE},
         {"detection": {"s": {"a|re": "("}, "condition": "s"}, **BASE},
+        {"detection": {"s": {"a|re": "a(?=b)"}, "condition": "s"}, **BASE},
+        {"detection": {"s": {"a": "b"}, "condition": "0 of them"}, **BASE},
         {"detection": {"s": 5, "condition": "s"}, **BASE},
         {},
     ],

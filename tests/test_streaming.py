@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import json
+import shutil
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from tracehold.functions.rules import compile_rule
-from tracehold.operators import detect, sinks, windows
+from tracehold.operators import detect, flows, sinks, windows
 from tracehold.schemas import ENVELOPE
 from tracehold.sources import readers
 from tracehold.streaming import pipeline
@@ -32,7 +33,7 @@ def test_detection_stream_equals_batch(spark, tmp_path):
         q.awaitTermination(120)
         assert q.exception() is None
     assert spark.read.parquet(f"{out}/events").count() == 7
-    got = sorted((r.first_ts, r["count"]) for r in spark.read.parquet(f"{out}/alerts").collect())
+    got = sorted((r.first_ts, r["count"]) for r in sinks.read_alerts(spark, f"{out}/alerts").collect())
     assert got == [(T0, 3), (T0 + timedelta(minutes=5), 1), (T0 + timedelta(minutes=11), 2)]
     events = spark.read.schema(ENVELOPE).json(str(src)).withColumnRenamed("timestamp", "ts").dropDuplicates(["id"])
     hits = detect.match_rules(events, [compile_rule(RULE)], None, ("partition_key",))
@@ -67,8 +68,117 @@ def test_sinks_may_be_replayed(spark, tmp_path):
         sinks.write_events_idempotent(df, path)
     assert spark.read.parquet(path).count() == 2
     counters = spark.createDataFrame([("a", 2, T0)], "k string, hits long, last timestamp")
-    for _ in range(2):
-        sinks.write_counters(counters, f"file://{tmp_path}/counters", "k")
-    assert spark.read.parquet(f"file://{tmp_path}/counters").head().hits == 4
+    at = f"file://{tmp_path}/counters"
+    for number in (0, 0, 1, 1, 2):
+        sinks.write_counters(counters, at, "k", number)
+    assert sinks.current(spark, at).head().hits == 6 and sinks.versions(spark, at) == [1, 2]
     inventory = readers.hash_inventory(spark, str(tmp_path / "counters"))
     assert inventory.count() >= 1 and inventory.where(F.length("sha256") != 64).count() == 0
+
+
+def auth(k, minutes, status):
+    return json.dumps({"version": 1, "id": f"a{k}", "partition_key": "A", "timestamp": (T0 + timedelta(minutes=minutes)).isoformat() + "Z", "class_uid": 3002, "source": "agent", "asset_id": "A", "username": "u", "raw": json.dumps({"status_id": status})})
+
+
+def outputs(spark, out):
+    rows = lambda df: sorted(tuple(str(v) for v in r) for r in df.collect())
+    return {
+        "events": rows(spark.read.parquet(f"{out}/events").select("id")),
+        "hits": rows(spark.read.parquet(f"{out}/hits").select("id", "rule_id", "fingerprint")),
+        "alerts": rows(sinks.read_alerts(spark, f"{out}/alerts")),
+        "quiet": rows(sinks.current(spark, f"{out}/suppressions")),
+        "intel": rows(sinks.current(spark, f"{out}/intel_counters")),
+        "metrics": rows(spark.read.parquet(f"{out}/metrics")),
+        "open": rows(sinks.current(spark, f"{out}/open")),
+    }
+
+
+def test_a_batch_that_fails_at_any_write_and_comes_again(spark, tmp_path, monkeypatch):
+    rules = detect.rule_set(spark, [("r", RULE), ("q", {**RULE, "id": "q"})])
+    quiet = spark.createDataFrame([("s", T0, "q", None, None)], "id string, created_at timestamp, rule_id string, asset_id string, expires_at timestamp")
+    intel = spark.createDataFrame([("i", "hash", "abc", 4, None)], "id string, kind string, value string, severity int, expires_at timestamp")
+    batches = [[envelope(0, 0), envelope(1, 1), *(auth(k, k, 2) for k in range(3))], [envelope(1, 1), envelope(2, 2), envelope(3, 6, "/bin/ls"), *(auth(k, k, 2) for k in range(3, 5)), auth(9, 6, 1)]]
+    frames = [spark.read.schema(ENVELOPE).json(spark.sparkContext.parallelize([x.replace('\\"path', '\\"md5\\": \\"ABC\\", \\"path') for x in lines])).withColumnRenamed("timestamp", "ts") for lines in batches]
+    names = ("write_log", "advance", "upsert_alerts", "write_events_idempotent")
+
+    def play(out, fail_at):
+        """The second batch after the first, which is copied; fails after its write number fail_at and comes again."""
+        calls = {"n": 0}
+
+        def guarded(inner):
+            def f(*args, **more):
+                inner(*args, **more)  # what was written stays written
+                calls["n"] += 1
+                if calls["n"] == fail_at:
+                    raise RuntimeError("lost")
+
+            return f
+
+        shutil.copytree(tmp_path / "first", out)
+        run = pipeline.detection_batch(spark, lambda: rules, lambda: intel, lambda: quiet, f"file://{out}")
+        with monkeypatch.context() as m:
+            for name in names:
+                m.setattr(sinks, name, guarded(getattr(sinks, name)))
+            try:
+                run(frames[1], 1)
+            except RuntimeError:
+                run(frames[1], 1)
+        return calls["n"]
+
+    pipeline.detection_batch(spark, lambda: rules, lambda: intel, lambda: quiet, f"file://{tmp_path}/first")(frames[0], 0)
+    total = play(tmp_path / "clean", 0)
+    want = outputs(spark, f"file://{tmp_path}/clean")
+    assert len(want["events"]) == 10 and want["quiet"][0][:2] == ("s", "3") and want["intel"][0][:2] == ("i", "4")
+    assert sum(r[1] == "bruteforce:success" for r in want["hits"]) == 1
+    for k in range(1, total + 1):
+        play(tmp_path / f"fail{k}", k)
+        assert outputs(spark, f"file://{tmp_path}/fail{k}") == want, k
+
+
+def test_late_hits_form_windows_of_their_own(spark):
+    hits = lambda *minutes: spark.createDataFrame([("f", "r", "A", "s", f"h{m}", T0 + timedelta(minutes=m), 3) for m in minutes], "fingerprint string, rule_id string, asset_id string, source string, id string, ts timestamp, severity int")
+    opened = spark.createDataFrame([("f", T0 + timedelta(minutes=10)), ("g", T0)], "fingerprint string, first_ts timestamp")
+    got = sorted((r.first_ts, r.added, r.is_new, r.late) for r in pipeline.alert_deltas(hits(8, 11, 14, 15), opened, timedelta(minutes=5)).collect())
+    at = lambda m: T0 + timedelta(minutes=m)
+    assert got == [(at(8), 1, True, True), (at(10), 2, False, False), (at(15), 1, True, False)]
+
+
+def test_correlation_batches(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    events = spark.createDataFrame([], "event_id string, ts timestamp, asset_id string, process_guid string, parent_process_guid string, conn_tuple string")
+    assets = spark.createDataFrame([("A", ["10.0.0.1"])], "asset_id string, ip_addrs array<string>")
+    run = pipeline.correlation_batch(spark, lambda: events, lambda: assets, out)
+    alerts = lambda *rows: spark.createDataFrame([(i, T0 + timedelta(minutes=m), "A", None, "r") for i, m in rows], "id string, ts timestamp, asset_id string, process_guid string, rule_id string")
+    run(alerts(("a", 0), ("b", 5)), 0)
+    state = lambda status, at: spark.createDataFrame([("a", status, T0 + at)], "id string, status string, updated_at timestamp")
+    sinks.write_incidents(state("triaged", timedelta(minutes=6)), f"{out}/incidents", 1)
+    for _ in range(2):
+        run(alerts(("b", 5), ("c", 20), ("d", 90)), 2)
+    got = {r.id: (r.incident_id, r.batch) for r in spark.read.parquet(f"{out}/assigned").collect()}
+    assert got == {"a": ("a", 0), "b": ("a", 0), "c": ("a", 2), "d": ("d", 2)}
+    assert {r.id: r.status for r in sinks.current(spark, f"{out}/incidents").collect()} == {"a": "open", "d": "open"}
+    sinks.write_incidents(state("closed", timedelta(hours=2)), f"{out}/incidents", 3)
+    run(alerts(("e", 25)), 4)
+    assert {r.id: r.incident_id for r in spark.read.parquet(f"{out}/assigned").collect()}["e"] == "e"
+
+
+def test_flows_in_batches(spark, tmp_path):
+    schema = "ts timestamp, src_ip string, sport int, dst_ip string, dport int, proto int, tcp_flags int, frame_len long"
+    at = lambda s: T0 + timedelta(seconds=s)
+    rows = [(at(0), "c", 1, "s", 80, 6, 2, 60), (at(1), "s", 80, "c", 1, 6, 18, 60), (at(20), "c", 1, "s", 80, 6, 16, 40), (at(22), "d", 2, "s", 80, 17, 0, 50), (at(45), "c", 1, "s", 80, 6, 1, 40), (at(60), "e", 3, "s", 80, 17, 0, 70), (at(61), "e", 3, "s", 80, 17, 0, 70)]
+    df = lambda part: spark.createDataFrame(part, schema)
+    key = lambda r: (r.src_ip, r.first_ts, r.src_packets, r.dst_packets)
+    want = sorted(key(r) for r in flows.orient_flow(flows.assemble_flows(df(rows))).collect())
+    out = f"file://{tmp_path}/flows"
+    run = pipeline.flow_batch(out)
+    run(df(rows[:3]), 0)
+    run(df(rows[3:5]), 1)
+    run(df(rows[3:5]), 1)
+    assert spark.read.parquet(f"{out}/flows").count() == 0
+    run(df(rows[5:]), 2)
+    assert spark.read.parquet(f"{out}/flows").count() == 2
+    run(df([]), 3, drain=True)
+    assert sorted(key(r) for r in spark.read.parquet(f"{out}/flows").collect()) == want
+    few = pipeline.flow_batch(f"file://{tmp_path}/few", most_open=1)
+    few(df(rows[:4]), 0)
+    assert tuple(spark.read.parquet(f"file://{tmp_path}/few/dropped").select("flows", "packets").head()) == (1, 1)

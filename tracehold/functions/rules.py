@@ -96,8 +96,10 @@ TACTICS = (
     "credential-access", "discovery", "lateral-movement", "collection", "command-and-control", "exfiltration", "impact",
 )
 _STATISTICS = re.compile(r"\|\s*(count|min|max|avg|sum|near)\b")
-#: Constructs that Java's regular expressions read otherwise than the format's dialect.
-_DIALECT = re.compile(r"\\z|\(\?P<|\\C|\[\[:")
+#: Constructs that Java's regular expressions read otherwise than the format's dialect, or that it doesn't have.
+_DIALECT = re.compile(r"\\z|\\Z|\\C|\\[1-9]|\[\[:|\(\?P<|\(\?[=!>]|\(\?<[=!]|[*+?}]\+")
+#: Letters of all alphabets match in either case, and only \n ends a line.
+_FLAGS = "(?iud)"
 
 
 class RuleRejected(ValueError):
@@ -115,12 +117,7 @@ class Body:
         """The value as text; null if it is absent, null, an object or an array."""
         if path in self.fields:
             return self.fields[path].cast("string")
-        if self.variant is None:
-            return F.lit(None).cast("string")
-        at = "$" + "".join("['{}']".format(p.replace("'", "\\'")) for p in path.split("."))
-        found = F.try_variant_get(self.variant, at, "variant")
-        nested = F.schema_of_variant(found).rlike("^(OBJECT|ARRAY)")
-        return F.when(~nested, F.try_variant_get(self.variant, at, "string"))
+        return F.lit(None).cast("string") if self.variant is None else scalar_at(self.variant, path)
 
     def flat(self) -> Column:
         """All scalar values, lower-cased and joined by line ends; keys don't take part."""
@@ -130,6 +127,29 @@ class Body:
         return F.lower(F.concat_ws("\n", *values))
 
 
+class Reads:
+    """Stands for a body while a predicate is asked what it will read."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, int] = {}
+        self.whole = False
+
+    def text(self, path: str) -> Column:
+        self.paths.setdefault(path, len(self.paths))
+        return F.lit("")
+
+    def flat(self) -> Column:
+        self.whole = True
+        return F.lit("")
+
+
+def scalar_at(variant: Column, path: str) -> Column:
+    at = "$" + "".join("['{}']".format(p.replace("'", "\\'")) for p in path.split("."))
+    found = F.try_variant_get(variant, at, "variant")
+    nested = F.schema_of_variant(found).rlike("^(OBJECT|ARRAY)")
+    return F.when(~nested, F.try_variant_get(variant, at, "string"))
+
+
 def flatten_scalars(raw: Column) -> Column:
     """The scalar values of a JSON text, joined by line ends: strings unescaped, and numbers and booleans that stand as values."""
     string = r'"(?:[^"\\]|\\.)*"'
@@ -163,6 +183,30 @@ def _go_text(value: Any) -> str:
     return "true" if value is True else "false" if value is False else str(value)
 
 
+def _portable(pattern: str) -> str:
+    """The pattern with `$` as the very end of the text (Java's also stands before a last line end) and `\\s` without the vertical tab; in multi-line mode `$` stays."""
+    if re.search(r"\(\?[a-z]*m", pattern):
+        return pattern
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        ch = pattern[at]
+        pair = pattern[at : at + 2]
+        if ch == "\\":
+            out.append((r"\t\n\f\r " if inside else r"[\t\n\f\r ]") if pair == r"\s" else r"[^\t\n\f\r ]" if pair == r"\S" and not inside else pair)
+            at += 2
+            continue
+        inside = ch == "[" or (inside and ch != "]")
+        out.append(r"\z" if ch == "$" and not inside else ch)
+        at += 1
+    return "".join(out)
+
+
+#: Where a pattern with wildcards is tied down, by modifier; without one at both ends.
+_ANCHORS = {"contains": ("", ""), "startswith": (r"\A", ""), "endswith": ("", r"\z")}
+_WILDCARDS = {"*": r"[^\n]*", "?": r"[^\n]"}
+_LITERALS = {"contains": lambda c, v: c.contains(v), "startswith": lambda c, v: c.startswith(v), "endswith": lambda c, v: c.endswith(v)}
+
+
 def match_value(value: str, modifiers: set[str]) -> Callable[[Column], Column]:
     """One value of a field test as a function from the field's text to a boolean; letters match in either case."""
     if "re" in modifiers:
@@ -172,22 +216,14 @@ def match_value(value: str, modifiers: set[str]) -> Callable[[Column], Column]:
             re.compile(value)
         except re.error as e:
             raise RuleRejected(f"regular expression: {e}") from None
-        return lambda c: c.rlike("(?i)" + value)
-    if not set(value) & {"*", "?"}:
-        low = value.lower()
-        if "contains" in modifiers:
-            return lambda c: F.lower(c).contains(low)
-        if "startswith" in modifiers:
-            return lambda c: F.lower(c).startswith(low)
-        if "endswith" in modifiers:
-            return lambda c: F.lower(c).endswith(low)
-        return lambda c: F.lower(c) == low
-    pattern = "".join(".*" if ch == "*" else "." if ch == "?" else re.escape(ch) for ch in value)
-    if not modifiers & {"contains", "startswith", "endswith"}:
-        pattern = f"^{pattern}$"
-    elif "contains" not in modifiers:
-        pattern = "^" + pattern if "startswith" in modifiers else pattern + "$"
-    return lambda c: c.rlike("(?i)" + pattern)
+        return lambda c: c.rlike(_FLAGS + _portable(value))
+    place = next((m for m in _ANCHORS if m in modifiers), None)
+    if any(ch in _WILDCARDS for ch in value):
+        head, tail = _ANCHORS.get(place, (r"\A", r"\z"))
+        pattern = _FLAGS + head + "".join(_WILDCARDS.get(ch) or re.escape(ch) for ch in value) + tail
+        return lambda c: c.rlike(pattern)
+    test = _LITERALS.get(place, lambda c, v: c == v)
+    return lambda c: test(F.lower(c), value.lower())
 
 
 def _test(key: str, value: Any) -> Predicate:
@@ -299,7 +335,7 @@ class _Condition:
             return out
         if token == ")":
             raise RuleRejected("unexpected )")
-        if self.peek() == "of" and (token in ("all", "any") or token.isdigit()):
+        if self.peek() == "of" and (token in ("all", "any") or (token.isdigit() and int(token) > 0)):
             self.take()
             return self.quantified(token, self.take())
         return self.selections.get(token, lambda body: F.lit(False))

@@ -117,7 +117,7 @@ def cut(c: Column | str, n: int) -> Column:
 
 def partition_key(*candidates: Column | str) -> Column:
     """The asset id, or else the agent, the source address or another origin, in the order given."""
-    return F.coalesce(*[empty_to_null(c) for c in candidates])
+    return F.coalesce(*[empty_to_null(_c(c).cast("string")) for c in candidates])
 
 
 def fingerprint(rule_id: Column, key: Column, class_uid: Column, path: Column, user: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_conn_tuple
@@ -21,18 +21,33 @@ def process_parents(events: DataFrame) -> DataFrame:
     return launches.groupBy("process_guid").agg(F.min(F.struct("ts", "parent_process_guid"))["parent_process_guid"].alias("parent")).select(F.col("process_guid").alias("guid"), "parent")
 
 
-def ancestors(guids: DataFrame, parents: DataFrame, depth: int) -> DataFrame:
-    """(guid, ancestor, level) up to `depth` levels above; each level is one equi-join of what still climbs."""
+def ancestors(guids: DataFrame, parents: DataFrame, depth: int, step: int = 4) -> DataFrame:
+    """(guid, ancestor, level), each ancestor once, up to `depth` levels above.
+
+    One row a guid climbs with the path behind it, so nothing is computed twice; after every `step` equi-joins the
+    rows are written, and climbing ends when none has a parent left. A guid that comes again on its path ends it.
+    """
     up = parents.select(F.col("guid").alias("_at"), F.col("parent").alias("_to"))
-    front = guids.select("guid", F.col("guid").alias("ancestor")).distinct()
-    found = None
-    for level in range(1, depth + 1):
-        front = stored(front.join(up, F.col("ancestor") == F.col("_at")).select("guid", F.col("_to").alias("ancestor")).where(F.col("ancestor") != F.col("guid")), "ancestors")
-        if not front.limit(1).count():
-            break
-        step = front.withColumn("level", F.lit(level))
-        found = step if found is None else found.unionByName(step)
-    return found if found is not None else front.withColumn("level", F.lit(0))
+    paths = guids.select("guid").distinct().withColumns({"_top": F.col("guid"), "path": F.array().cast("array<string>")})
+    for level in range(depth):
+        met = F.array_contains("path", F.col("_to")) | (F.col("_to") == F.col("guid"))
+        top = F.when(~met, F.col("_to"))
+        paths = paths.join(up, F.col("_top") == F.col("_at"), "left").select("guid", top.alias("_top"), F.when(top.isNotNull(), F.array_append("path", F.col("_to").cast("string"))).otherwise(F.col("path")).alias("path"))
+        if level % step == step - 1 or level == depth - 1:
+            paths = stored(paths, "ancestors")
+            if level < depth - 1 and not paths.where(F.col("_top").isNotNull()).limit(1).count():
+                break
+    return paths.select("guid", F.posexplode("path").alias("_k", "ancestor")).select("guid", "ancestor", (F.col("_k") + 1).alias("level"))
+
+
+def _last_before(asks: DataFrame, gives: DataFrame, key: str, out: str) -> DataFrame:
+    """asks (key, ts, id, ...) with `out`: struct<ts, id> of the last of gives (key, ts, id) with a smaller (ts, id). An as-of join: the two are united and sorted by key, and no pair is made."""
+    cols = [c for c in asks.columns if c not in (key, "ts", "id")]
+    left = asks.select(key, "ts", "id", *cols, F.lit(0).alias("_give"))
+    both = left.unionByName(gives.select(key, "ts", "id", F.lit(1).alias("_give")), allowMissingColumns=True)
+    order = Window.partitionBy(key).orderBy("ts", "id", "_give").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("_give") == 1, F.struct("ts", "id")), ignorenulls=True).over(order)
+    return both.withColumn(out, last).where("_give = 0").drop("_give")
 
 
 def lineage_parent(alerts: DataFrame, process_events: DataFrame, max_depth: int = 16) -> DataFrame:
@@ -42,11 +57,9 @@ def lineage_parent(alerts: DataFrame, process_events: DataFrame, max_depth: int
     """
     own = alerts.where(F.col("process_guid").isNotNull()).select("id", "ts", F.col("process_guid").alias("guid"))
     climbed = ancestors(own.select("guid"), process_parents(process_events), max_depth)
-    above = own.join(climbed, "guid").select("id", "ts", "ancestor", "level")
-    others = own.select(F.col("id").alias("_pid"), F.col("ts").alias("_pts"), F.col("guid").alias("ancestor"))
-    pairs = above.join(others, "ancestor").where((F.col("_pts") < F.col("ts")) | ((F.col("_pts") == F.col("ts")) & (F.col("_pid") < F.col("id"))))
-    nearest = pairs.groupBy("id").agg(F.min("level").alias("level"))
-    return pairs.join(nearest, ["id", "level"]).groupBy("id").agg(F.max(F.struct("_pts", "_pid"))["_pid"].alias("lineage_parent"))
+    above = own.join(climbed, "guid").select("ancestor", "ts", "id", "level")
+    found = _last_before(above, own.select(F.col("guid").alias("ancestor"), "ts", "id"), "ancestor", "_p").where(F.col("_p").isNotNull())
+    return found.groupBy("id").agg(F.min_by("_p", "level")["id"].alias("lineage_parent"))
 
 
 def gap_parent(alerts: DataFrame, window: timedelta) -> DataFrame:
@@ -59,20 +72,23 @@ def gap_parent(alerts: DataFrame, window: timedelta) -> DataFrame:
 def lateral_parent(alerts: DataFrame, assets: DataFrame, connections: DataFrame, window: timedelta, per_ip: int = 5) -> DataFrame:
     """(id, lateral_parent): of the newest `per_ip` connections of other assets to each of my addresses within the window before me, the newest whose asset had an alert in that window gives its latest alert.
 
-    connections: event_id, ts, asset_id, conn_tuple. Time is cut in windows so that the range joins are equi-joins.
+    connections: event_id, ts, asset_id, conn_tuple. Two as-of joins: each connection carries the last `per_ip` ones to
+    its address, each alert takes those of the last connection before it, and then each of those assets' last alert.
     """
     width = round(window.total_seconds() * 1e6)
-    slot = lambda t: F.floor(F.unix_micros(t) / width)
+    near = lambda t: F.unix_micros("ts") - F.unix_micros(t) <= width
     addresses = assets.select("asset_id", F.explode("ip_addrs").alias("ip"))
-    mine = alerts.where(F.col("asset_id").isNotNull()).join(addresses, "asset_id").select("id", "ts", "asset_id", "ip")
-    mine = mine.withColumn("slot", F.explode(F.array(slot(F.col("ts")), slot(F.col("ts")) - 1)))
-    conns = connections.select(F.col("event_id").alias("conn_id"), F.col("ts").alias("conn_ts"), F.col("asset_id").alias("other"), parse_conn_tuple("conn_tuple")["dst_ip"].alias("ip")).withColumn("slot", slot(F.col("conn_ts")))
-    near = mine.join(conns, ["ip", "slot"]).where((F.col("other") != F.col("asset_id")) & (F.col("conn_ts") <= F.col("ts")) & (F.unix_micros("ts") - F.unix_micros("conn_ts") <= width))
-    newest = near.withColumn("_n", F.row_number().over(Window.partitionBy("id", "ip").orderBy(F.desc("conn_ts"), F.desc("conn_id")))).where(F.col("_n") <= per_ip)
-    theirs = alerts.select(F.col("id").alias("_pid"), F.col("ts").alias("_pts"), F.col("asset_id").alias("other")).withColumn("slot", slot(F.col("_pts")))
-    asked = newest.select("id", "ts", "conn_ts", "conn_id", "other").withColumn("slot", F.explode(F.array(slot(F.col("ts")), slot(F.col("ts")) - 1)))
-    found = asked.join(theirs, ["other", "slot"]).where(((F.col("_pts") < F.col("ts")) | ((F.col("_pts") == F.col("ts")) & (F.col("_pid") < F.col("id")))) & (F.unix_micros("ts") - F.unix_micros("_pts") <= width))
-    return found.groupBy("id").agg(F.max(F.struct("conn_ts", "conn_id", "_pts", "_pid"))["_pid"].alias("lateral_parent"))
+    conns = connections.select(F.col("event_id").alias("conn_id"), F.col("ts").alias("conn_ts"), F.col("asset_id").alias("other"), parse_conn_tuple("conn_tuple")["dst_ip"].alias("ip"))
+    conns = conns.join(addresses, "ip").where(F.col("other") != F.col("asset_id"))
+    recent = Window.partitionBy("asset_id", "ip").orderBy("conn_ts", "conn_id").rowsBetween(1 - per_ip, Window.currentRow)
+    conns = conns.select("asset_id", "ip", F.col("conn_ts").alias("ts"), F.col("conn_id").alias("_order"), F.collect_list(F.struct("conn_ts", "conn_id", "other")).over(recent).alias("_conns"))
+    mine = alerts.where(F.col("asset_id").isNotNull()).join(addresses, "asset_id").select("asset_id", "ip", "ts", "id")
+    both = mine.withColumn("_ask", F.lit(1)).unionByName(conns.withColumn("_ask", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy("asset_id", "ip").orderBy("ts", "_ask", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("_last", F.last("_conns", ignorenulls=True).over(order)).where("_ask = 1").select("id", "ts", F.explode("_last").alias("c")).where(near("c.conn_ts"))
+    asked = met.select(F.col("c.other").alias("asset_id"), "ts", "id", F.col("c.conn_ts").alias("conn_ts"), F.col("c.conn_id").alias("conn_id"))
+    found = _last_before(asked, alerts.where(F.col("asset_id").isNotNull()).select("asset_id", "ts", "id"), "asset_id", "_p").where(F.col("_p").isNotNull() & near("_p.ts"))
+    return found.groupBy("id").agg(F.max(F.struct("conn_ts", "conn_id", F.col("_p.ts").alias("_pts"), F.col("_p.id").alias("_pid")))["_pid"].alias("lateral_parent"))
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -120,8 +136,19 @@ def reopened(incidents: DataFrame, assigned: DataFrame) -> DataFrame:
     return incidents.join(gained, "id", "left").withColumn("status", F.when((F.col("status") == "triaged") & F.col("_gained"), "open").otherwise(F.col("status"))).drop("_gained")
 
 
+def graph_label(class_uid: Column, raw: Column) -> Column:
+    """What an event's node is called: DNS name, else server name, else address and port, else `connection` for network events; `name (pid)` or `process` for others."""
+    v = F.try_parse_json(raw)
+    at = lambda path, kind="string": F.try_variant_get(v, path, kind)
+    text = lambda path: F.nullif(at(path), F.lit(""))
+    conn = F.coalesce(F.concat(F.lit("DNS "), text("$.query.hostname")), text("$.tls.sni"), F.concat(text("$.dst_endpoint.ip"), F.lit(":"), F.coalesce(at("$.dst_endpoint.port", "int"), F.lit(0)).cast("string")), F.lit("connection"))
+    name, pid = text("$.process.name"), at("$.process.pid", "bigint").cast("string")
+    process = F.coalesce(F.concat(name, F.lit(" ("), pid, F.lit(")")), name, F.lit("process"))
+    return F.when(class_uid.isin(4001, 4003), conn).otherwise(process)
+
+
 def incident_graph(assigned: DataFrame, titles: DataFrame | None = None, max_nodes: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, overflow) of incidents. assigned: id, ts, incident_id, asset_id, rule_id, process_guid, conn_tuple, parent_alert_id, reason.
+    """(nodes, edges, overflow) of incidents. assigned: id, ts, incident_id, asset_id, rule_id, process_guid, conn_tuple, parent_alert_id, reason, and, if the nodes are to have names, hostname and label (see `graph_label`).
 
     An alert is attached if its incident had fewer than `max_nodes` different nodes before it, else it counts as overflow.
     """
@@ -129,19 +156,20 @@ def incident_graph(assigned: DataFrame, titles: DataFrame | None = None, max_nod
     col = F.col
     named = assigned if titles is None else assigned.join(titles, "rule_id", "left")
     label = F.coalesce("title", "rule_id") if titles is not None else col("rule_id")
-    asset = F.when(col("asset_id").isNotNull(), node("asset", col("asset_id").cast("string"), col("asset_id")))
-    process = F.when(col("process_guid").isNotNull(), node("process", col("process_guid").cast("string"), col("process_guid")))
-    conn = F.when(col("conn_tuple").isNotNull(), node("connection", col("conn_tuple"), col("conn_tuple")))
+    name = lambda own, key: F.coalesce(col(own), col(key).cast("string")) if own in assigned.columns else col(key)
+    asset = F.when(col("asset_id").isNotNull(), node("asset", col("asset_id").cast("string"), name("hostname", "asset_id")))
+    process = F.when(col("process_guid").isNotNull(), node("process", col("process_guid").cast("string"), name("label", "process_guid")))
+    conn = F.when(col("conn_tuple").isNotNull(), node("connection", col("conn_tuple"), name("label", "conn_tuple")))
     alert = node("alert", col("id").cast("string"), label)
     own = named.withColumn("_nodes", F.filter(F.array(asset, alert, process, conn), lambda x: x.isNotNull()))
     order = Window.partitionBy("incident_id").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-    long = own.select("incident_id", "id", "ts", F.explode("_nodes").alias("n"))
+    long = own.select("incident_id", "id", "ts", F.explode("_nodes").alias("n")).withColumn("n", F.col("n.id"))
     first = long.groupBy("incident_id", "n").agg(F.min(F.struct("ts", "id")).alias("f"))
     fresh = first.groupBy("incident_id", col("f.id").alias("id")).agg(F.count("*").alias("_fresh"))
     counted = own.join(fresh, ["incident_id", "id"], "left").withColumn("_before", F.coalesce(F.sum(F.coalesce("_fresh", F.lit(0))).over(order), F.lit(0)))
     attached = counted.where(col("_before") < max_nodes)
     overflow = counted.where(col("_before") >= max_nodes).groupBy("incident_id").agg(F.count("*").alias("overflow"))
-    nodes = attached.select("incident_id", "ts", F.explode("_nodes").alias("n")).groupBy("incident_id", "n.id", "n.type", "n.label").agg(F.min("ts").alias("first_ts"))
+    nodes = attached.select("incident_id", "ts", F.explode("_nodes").alias("n")).groupBy("incident_id", "n.id", "n.type").agg(F.min_by("n.label", F.struct("ts", "n.label")).alias("label"), F.min("ts").alias("first_ts"))
     edge = lambda a, b, rel: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("from"), b.alias("to"), F.lit(rel).alias("rel")))
     actor = F.coalesce(process["id"], conn["id"])
     parent = F.concat_ws(":", F.lit("alert"), col("parent_alert_id").cast("string"))

@@ -1,8 +1,7 @@
 """Detection: rules over events, indicator matches, suppressions.
 
 Events are canonical rows (id, ts, class_uid, asset_id, raw, ...); `fields` may give typed columns for hot paths so that
-no JSON is parsed for them. Every operator keeps the events' partitioning: rules are evaluated in one scan per group of
-classes, and the dimension tables are joined without a hint, so that their size decides.
+no JSON is parsed for them. Every operator keeps the events' partitioning: rules are evaluated in one scan, and the dimension tables are joined without a hint, so that their size decides.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import CLASS_SOURCES, Body, Rule, RuleRejected, compile_rule
+from ..functions.rules import CLASS_SOURCES, Body, Reads, Rule, RuleRejected, compile_rule
 from ..functions.scalars import ioc_kind, parent_domains, technique_match
 
 CHUNK = 100  # rules in one projection, below the size limit of generated methods
@@ -51,25 +50,60 @@ def _in_scope(rule: Rule, class_uid: Column, os: Column) -> Column:
     return out if rule.product is None else out & (os.isNull() | (os == "") | (os == rule.product))
 
 
+def _barrier(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with value as a column that is computed once, however often its name is used: the optimizer moves no expression across a generator."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
+class _Read:
+    """A body whose fields have been read: one column for each path, one for all scalars."""
+
+    def __init__(self, paths: dict[str, int]):
+        self.paths = paths
+
+    def text(self, path: str) -> Column:
+        return F.col("_fields")[f"f{self.paths[path]}"]
+
+    def flat(self) -> Column:
+        return F.col("_fields")["flat"]
+
+
 def match_rules(events: DataFrame, rules: RuleSet | Iterable[Rule], fields: dict[str, Column] | None = None, keep: Iterable[str] = (), raw: str | None = "raw", os: str | None = None) -> DataFrame:
     """One row for each event and rule that hits: id, ts, class_uid, the `keep` columns, rule_id, severity.
 
-    Each chunk of rules is one array expression over one scan; chunks are united.
+    One scan, whatever the number of rules: a body is parsed once, each path that some rule reads is taken out of it
+    once, and an event is held against the rules of its class and those of no class.
     """
     rules = rules.rules if isinstance(rules, RuleSet) else tuple(rules)
-    body = Body(F.col(raw) if raw else None, fields)
-    system = F.lower(F.col(os)) if os else F.lit(None).cast("string")
     cols = ["id", "ts", "class_uid", *keep]
-    out = []
-    for start in range(0, len(rules), CHUNK):
-        part = rules[start : start + CHUNK]
-        classes = {r.class_uid for r in part}
-        scan = events if None in classes else events.where(F.col("class_uid").isin(*sorted(classes)))
-        hits = F.array(*[F.when(_in_scope(r, F.col("class_uid"), system) & r.predicate(body), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"))) for r in part])
-        out.append(scan.select(*cols, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("hit")).select(*cols, "hit.rule_id", "hit.severity"))
-    if not out:
+    if not rules:
         return events.limit(0).select(*cols, F.lit("").alias("rule_id"), F.lit(0).alias("severity"))
-    return reduce(DataFrame.unionByName, out)
+    asked = Reads()
+    for r in rules:
+        r.predicate(asked)
+    classes = {r.class_uid for r in rules}
+    scan = events if None in classes else events.where(F.col("class_uid").isin(*sorted(classes)))
+    body = Body(F.col(raw) if raw else None, fields)
+    if raw and any(p not in body.fields for p in asked.paths):
+        scan = _barrier(scan, "_body", body.variant)
+        body.variant = F.col("_body")
+    read = [body.text(p).alias(f"f{k}") for p, k in asked.paths.items()] + ([body.flat().alias("flat")] if asked.whole else [])
+    scan = _barrier(scan.withColumn("_os", F.lower(F.col(os)) if os else F.lit(None).cast("string")), "_fields", F.struct(*read) if read else F.lit(0))
+    ready = _Read(asked.paths)
+
+    def hits(some: list[Rule]) -> Column:
+        """Arrays of CHUNK rules, so that no generated method gets too long."""
+        one = [F.when(_in_scope(r, F.col("class_uid"), F.col("_os")) & r.predicate(ready), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"))) for r in some]
+        parts = [F.array_compact(F.array(*one[k : k + CHUNK])) for k in range(0, len(one), CHUNK)]
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    none = F.array().cast("array<struct<rule_id:string,severity:int>>")
+    of_class = none
+    for c in sorted(c for c in classes if c is not None):
+        of_class = F.when(F.col("class_uid") == c, hits([r for r in rules if r.class_uid == c])).otherwise(of_class)
+    general = [r for r in rules if r.class_uid is None]
+    found = F.concat(of_class, hits(general)) if general else of_class
+    return _barrier(scan, "_hits", found).select(*cols, F.explode("_hits").alias("hit")).select(*cols, "hit.rule_id", "hit.severity")
 
 
 # Indicators
@@ -78,21 +112,44 @@ def match_rules(events: DataFrame, rules: RuleSet | Iterable[Rule], fields: dict
 LEAF_KINDS = {"ip": "ip", "hostname": "domain", "sni": "domain", **{k: "hash" for k in ("sha256", "sha1", "md5", "hashes", "hash", "ja3_hash", "ja3s_hash")}}
 
 
+def keyed_strings(raw: Column, keys: Iterable[str]) -> Column:
+    """array<struct<key, value>> of the strings in a JSON text that stand under one of the keys, at any depth; strings in arrays, nested ones too, stand under the array's key.
+
+    The text's brackets, keys and strings are folded in order, with the keys of the open brackets as a stack.
+    """
+    string = r'"(?:[^"\\]|\\.)*"'
+    tokens = F.regexp_extract_all(raw, F.lit(rf"{string}\s*:|{string}|[\[\]{{}}]"), F.lit(0))
+    wanted = F.array(*[F.lit(k) for k in keys])
+    out = "array<struct<key:string,value:string>>"
+    start = F.struct(F.lit("").alias("key"), F.array().cast("array<string>").alias("stack"), F.array().cast(out).alias("out"))
+
+    def step(acc: Column, t: Column) -> Column:
+        first, key, stack, found = F.substring(t, 1, 1), acc["key"], acc["stack"], acc["out"]
+        state = lambda k, s, o: F.struct(k.alias("key"), s.alias("stack"), o.alias("out"))
+        value = F.try_variant_get(F.try_parse_json(t), "$", "string")
+        return (
+            F.when(first.isin("{", "["), state(key, F.array_append(stack, key), found))
+            .when(first.isin("}", "]"), state(F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit("")), F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0))), found))
+            .when(t.endswith(":"), state(F.regexp_extract(t, '^"(.*)"', 1), stack, found))
+            .when(F.array_contains(wanted, key) & (value != ""), state(key, stack, F.array_append(found, F.struct(key.alias("key"), value.alias("value")))))
+            .otherwise(acc)
+        )
+
+    any_key = F.concat(F.lit('"('), F.lit("|".join(keys)), F.lit(')"'))
+    return F.when(F.try_parse_json(raw).isNotNull() & F.regexp(raw, any_key), F.aggregate(tokens, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(out))
+
+
 def intel_candidates(raw: Column) -> Column:
-    """array<struct<kind, value>> of a body, by the name of the key a string stands under; strings of an array stand under its key. Names are given with all their parents."""
-    string = r'"((?:[^"\\]|\\.)*)"'
-    keyed = F.lit(rf'"({"|".join(LEAF_KINDS)})"\s*:\s*(?:"(?:[^"\\]|\\.)*"|\[[^\[\]{{}}]*\])')
-    whole = F.regexp_extract_all(raw, keyed, F.lit(0))
+    """array<struct<kind, value>> of a body, by the name of the key a string stands under. Names are given with all their parents."""
     kinds = F.create_map(*[F.lit(x) for kv in LEAF_KINDS.items() for x in kv])
 
     def values(entry: Column) -> Column:
-        kind = F.element_at(kinds, F.regexp_extract(entry, '^"([a-z0-9_]+)"', 1))
-        found = F.regexp_extract_all(F.regexp_replace(entry, r'^"[a-z0-9_]+"\s*:', ""), F.lit(string), F.lit(1))
-        low = F.transform(found, lambda v: F.lower(F.regexp_replace(v, r"\.$", "")))
-        probes = F.when(kind == "domain", F.flatten(F.transform(low, parent_domains))).otherwise(low)
+        kind = F.element_at(kinds, entry["key"])
+        low = F.lower(entry["value"])
+        probes = F.when(kind == "domain", parent_domains(low)).when(kind == "ip", F.array(entry["value"])).otherwise(F.array(low))
         return F.transform(probes, lambda v: F.struct(kind.alias("kind"), v.alias("value")))
 
-    return F.array_distinct(F.flatten(F.transform(whole, values)))
+    return F.array_distinct(F.flatten(F.transform(keyed_strings(raw, LEAF_KINDS), values)))
 
 
 def match_intel(events: DataFrame, intel: DataFrame, candidates: Column | None = None, keep: Iterable[str] = ()) -> DataFrame:
@@ -124,14 +181,19 @@ def union_detections(*hits: DataFrame) -> DataFrame:
 # Suppressions
 
 
-def apply_suppressions(hits: DataFrame, suppressions: DataFrame, key: Iterable[str] = ("id", "rule_id")) -> tuple[DataFrame, DataFrame]:
-    """(kept, suppressed with suppression_id). A suppression holds for its rule, for its asset or all, until it expires; one at most is credited, the oldest."""
-    s = suppressions.select(F.col("id").alias("suppression_id"), F.col("created_at").alias("_created"), F.col("rule_id").alias("_rule"), F.col("asset_id").alias("_asset"), F.col("expires_at").alias("_expires"))
-    matches = (F.col("rule_id") == F.col("_rule")) & (F.col("_asset").isNull() | (F.col("_asset") == F.col("asset_id"))) & (F.col("_expires").isNull() | (F.col("ts") <= F.col("_expires")))
-    keys = list(key)
-    credit = hits.join(s, matches).groupBy(*keys).agg(F.min(F.struct("_created", "suppression_id"))["suppression_id"].alias("suppression_id"))
-    both = hits.join(credit, keys, "left")
-    return both.where(F.col("suppression_id").isNull()).drop("suppression_id"), both.where(F.col("suppression_id").isNotNull())
+def apply_suppressions(hits: DataFrame, suppressions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, suppressed with suppression_id). A suppression holds for its rule, for its asset or all, until it expires; one at most is credited, the oldest.
+
+    Two left joins of the hits with the suppressions of their rule, general ones and those of their asset; the hits enter once.
+    """
+    entry = F.struct(F.col("created_at").alias("created"), F.col("id").cast("string").alias("id"), F.col("expires_at").alias("expires"))
+    listed = suppressions.groupBy(F.col("rule_id").alias("_rule"), F.col("asset_id").alias("_asset")).agg(F.array_sort(F.collect_list(entry)).alias("_s"))
+    general = listed.where(F.col("_asset").isNull()).select("_rule", F.col("_s").alias("_general"))
+    own = listed.where(F.col("_asset").isNotNull()).select(F.col("_rule").alias("_rule2"), "_asset", F.col("_s").alias("_own"))
+    both = hits.join(general, F.col("rule_id") == F.col("_rule"), "left").join(own, (F.col("rule_id") == F.col("_rule2")) & (F.col("asset_id") == F.col("_asset")), "left")
+    valid = lambda c: F.get(F.filter(c, lambda s: s["expires"].isNull() | (F.col("ts") <= s["expires"])), 0)
+    judged = both.withColumn("suppression_id", F.least(valid("_general"), valid("_own"))["id"]).drop("_rule", "_rule2", "_asset", "_general", "_own")
+    return judged.where(F.col("suppression_id").isNull()).drop("suppression_id"), judged.where(F.col("suppression_id").isNotNull())
 
 
 def match_counters(matched: DataFrame, key: str) -> DataFrame:

@@ -12,9 +12,11 @@ from ..functions.scalars import client_is_a, flow_key
 FIN, RST = 1, 4
 
 
-def assemble_flows(packets: DataFrame, idle: timedelta = timedelta(seconds=30), lifetime: timedelta = timedelta(seconds=300), grace: timedelta = timedelta(seconds=5)) -> DataFrame:
+def assemble_flows(packets: DataFrame, idle: timedelta = timedelta(seconds=30), lifetime: timedelta = timedelta(seconds=300), grace: timedelta = timedelta(seconds=5), meta: tuple[str, ...] = ()) -> DataFrame:
     """packets: ts, src_ip, sport, dst_ip, dport, proto, tcp_flags, frame_len. One row a flow, both directions of a pair of ends together.
 
+    meta: columns that decoders add to packets (names, hashes); of each the flow has the first that is not null.
+
     A flow ends when no packet came for `idle`, at `lifetime` after its first packet, and `grace` after its first FIN or RST.
     Idle gaps are window functions; lifetime is the anchored fold of the run between gaps.
     """
@@ -43,14 +45,14 @@ def assemble_flows(packets: DataFrame, idle: timedelta = timedelta(seconds=30),
     count = lambda forward: F.count_if(F.col("forward") == forward)
     size = lambda forward: F.coalesce(F.sum(F.when(F.col("forward") == forward, F.col("frame_len"))), F.lit(0))
     flags = F.bit_or("tcp_flags")
-    out = flows.groupBy(*ends, "flow_start").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), count(True).alias("a_packets"), size(True).alias("a_bytes"), count(False).alias("b_packets"), size(False).alias("b_bytes"), flags.alias("tcp_flags"), first.alias("_first"))
+    out = flows.groupBy(*ends, "flow_start").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), count(True).alias("a_packets"), size(True).alias("a_bytes"), count(False).alias("b_packets"), size(False).alias("b_bytes"), flags.alias("tcp_flags"), first.alias("_first"), F.min(F.when(F.col("tcp_flags").bitwiseAND(F.lit(FIN | RST)) != 0, F.col("ts"))).alias("fin_ts"), *[F.min(F.when(F.col(c).isNotNull(), F.struct("_t", c)))[c].alias(c) for c in meta])
     return out.withColumn("client_is_a", client_is_a(F.col("_first.tcp_flags"), F.col("_first.forward"))).drop("_first", "flow_start")
 
 
-def orient_flow(flows: DataFrame) -> DataFrame:
+def orient_flow(flows: DataFrame, meta: tuple[str, ...] = ()) -> DataFrame:
     """Source is the client; counters follow."""
     client = F.col("client_is_a")
     pick = lambda x, y: F.when(client, F.col(x)).otherwise(F.col(y))
-    return flows.select("proto", pick("a", "b").alias("src_ip"), pick("a_port", "b_port").alias("src_port"), pick("b", "a").alias("dst_ip"), pick("b_port", "a_port").alias("dst_port"), pick("a_packets", "b_packets").alias("src_packets"), pick("a_bytes", "b_bytes").alias("src_bytes"), pick("b_packets", "a_packets").alias("dst_packets"), pick("b_bytes", "a_bytes").alias("dst_bytes"), "tcp_flags", "first_ts", "last_ts")
+    return flows.select("proto", pick("a", "b").alias("src_ip"), pick("a_port", "b_port").alias("src_port"), pick("b", "a").alias("dst_ip"), pick("b_port", "a_port").alias("dst_port"), pick("a_packets", "b_packets").alias("src_packets"), pick("a_bytes", "b_bytes").alias("src_bytes"), pick("b_packets", "a_packets").alias("dst_packets"), pick("b_bytes", "a_bytes").alias("dst_bytes"), "tcp_flags", "first_ts", "last_ts", *meta)
 
 

@@ -1,21 +1,34 @@
-"""Sinks that may be replayed, on plain Parquet folders."""
+"""Sinks that may be replayed, on plain Parquet folders.
+
+Three kinds, all keyed by the number of the micro-batch that writes, so that a batch that failed half-way and comes
+again leaves what it would have left at once:
+
+* events are appended with their batch; ids that another batch stored are left out;
+* logs (hits, alert deltas, assignments) have a folder a batch, which a replay overwrites;
+* state (counters, baselines, incidents, open windows) has a version a batch, made of the last complete version below
+  it and the batch's rows; readers take the last complete one.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: str | None = None
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which all executors share; below a temporary folder where that is unset, as in tests."""
+    """A new folder name below spark.checkpoint.dir, which all executors share. Where that is unset, a local session, as in tests, gets a temporary folder; elsewhere executors would not see it, so it is an error."""
     global _own
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _own = _own or f"file://{tempfile.mkdtemp(prefix='tracehold-')}"
         base = _own
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -28,19 +41,61 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+class Workspace:
+    """Tables stored for the length of one job; `clear` removes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(scratch(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
+
+def _folder(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _folder(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _folder(spark, path)
+    fs.delete(p, True)
+
+
+# Events
 
 
 def _date(df: DataFrame) -> DataFrame:
     return df.withColumn("date", F.to_date("ts"))
 
 
-def write_events_idempotent(batch: DataFrame, path: str) -> None:
-    """Appends events whose id isn't stored; only the batch's own dates and classes are looked at."""
+def unseen(batch: DataFrame, path: str, number: int = 0) -> DataFrame:
+    """Rows of the batch, one an id, that no other batch has stored; only the batch's own dates are looked at."""
     spark = batch.sparkSession
-    new = _date(batch.dropDuplicates(["id"]))
+    new = batch.dropDuplicates(["id"])
+    if not exists(spark, path):
+        return new
+    span = new.agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi")).head()
+    if span["lo"] is None:
+        return new
+    known = spark.read.parquet(path).where(F.col("date").between(span["lo"], span["hi"]) & (F.col("batch") != number)).select("id")
+    return new.join(known, "id", "left_anti")
+
+
+def write_events_idempotent(batch: DataFrame, path: str, number: int = 0) -> None:
+    """Appends events whose id isn't stored, neither by another batch nor by this one before it failed."""
+    spark = batch.sparkSession
+    new = _date(batch.dropDuplicates(["id"])).withColumn("batch", F.lit(number))
     if exists(spark, path):
         span = new.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).head()
         if span["lo"] is None:
@@ -50,28 +105,77 @@ def write_events_idempotent(batch: DataFrame, path: str) -> None:
     new.write.mode("append").partitionBy("date", "class_uid").parquet(path)
 
 
-def _merge(batch: DataFrame, path: str, keys: list[str], merged) -> None:
-    """The stored rows and the batch's, merged by key; replaces the folder by way of a new one, as there is no table format."""
+# Logs
+
+
+def write_log(df: DataFrame, path: str, number: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def read_log(spark: SparkSession, path: str, other_than: int | None = None) -> DataFrame | None:
+    """All batches' rows with their batch, or those of all other batches; None if there is nothing."""
+    if not exists(spark, path):
+        return None
+    df = spark.read.parquet(path)
+    return df if other_than is None else df.where(F.col("batch") != other_than)
+
+
+# State
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions, in order."""
+    fs, p = _folder(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("version=")]
+    return sorted(int(x.getName().split("=")[1]) for x in names if exists(spark, f"{x.toString()}/_SUCCESS"))
+
+
+def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The last complete version, or the last below `before`."""
+    found = [v for v in versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/version={found[-1]}") if found else None
+
+
+def advance(batch: DataFrame, path: str, number: int, merged: Callable[[DataFrame], DataFrame]) -> None:
+    """Writes version `number`: the last version below it united with the batch, and merged. Versions below both go, as their batches are committed."""
     spark = batch.sparkSession
-    both = batch if not exists(spark, path) else spark.read.parquet(path).unionByName(batch, allowMissingColumns=True)
-    out = stored(both.groupBy(*keys).agg(*merged), "merge")
-    out.write.mode("overwrite").parquet(path)
+    before = [v for v in versions(spark, path) if v < number]
+    both = batch if not before else spark.read.parquet(f"{path}/version={before[-1]}").unionByName(batch, allowMissingColumns=True)
+    merged(both).write.mode("overwrite").parquet(f"{path}/version={number}")
+    for v in before[:-1]:
+        remove(spark, f"{path}/version={v}")
+
+
+def by_key(keys: list[str], *merged: Column) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: df.groupBy(*keys).agg(*merged)
+
+
+def write_baselines(batch: DataFrame, path: str, number: int) -> None:
+    advance(batch, path, number, by_key(["asset_id", "exe_path"], F.min("first_seen").alias("first_seen")))
+
+
+def write_counters(batch: DataFrame, path: str, key: str, number: int) -> None:
+    """batch: key, hits, last; added to the totals of the batches before it."""
+    advance(batch, path, number, by_key([key], F.sum("hits").alias("hits"), F.max("last").alias("last")))
 
 
-def upsert_alerts(batch: DataFrame, path: str) -> None:
-    """batch: fingerprint, window_no, rule_id, asset_id, severity, count, first_ts, last_ts, event_id. New alerts are added; known ones gain count and last_ts."""
-    _merge(batch, path, ["fingerprint", "window_no"], [F.first("rule_id").alias("rule_id"), F.first("asset_id").alias("asset_id"), F.max("severity").alias("severity"), F.sum("count").alias("count"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.min_by("event_id", "first_ts").alias("event_id")])
+def write_incidents(batch: DataFrame, path: str, number: int, ts: str = "updated_at") -> None:
+    """batch: id, `ts` and other columns; of each incident the row with the last `ts` stays."""
+    row = F.struct(*[c for c in batch.columns if c != "id"])
+    advance(batch, path, number, lambda df: df.groupBy("id").agg(F.max_by(row, F.col(ts)).alias("_r")).select("id", "_r.*"))
 
 
-def write_baselines(batch: DataFrame, path: str) -> None:
-    _merge(batch, path, ["asset_id", "exe_path"], [F.min("first_seen").alias("first_seen")])
+# Alerts: a log of deltas
 
 
-def write_counters(batch: DataFrame, path: str, key: str) -> None:
-    """batch: key, hits, last; added to the stored totals."""
-    _merge(batch, path, [key], [F.sum("hits").alias("hits"), F.max("last").alias("last")])
+def upsert_alerts(deltas: DataFrame, path: str, number: int) -> None:
+    """deltas: fingerprint, first_ts, rule_id, asset_id, severity, added, last_ts, event_id. A delta begins an alert or adds to the one of its fingerprint and first time."""
+    write_log(deltas, path, number)
 
 
-def write_incidents(batch: DataFrame, path: str, ts: str = "updated_at") -> None:
-    cols = [c for c in batch.columns if c != "id"]
-    _merge(batch, path, ["id"], [F.max_by(c, ts).alias(c) for c in cols])
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """(fingerprint, first_ts, rule_id, asset_id, severity, count, last_ts, event_id), one row an alert."""
+    order = F.struct("batch", "event_id")
+    return spark.read.parquet(path).groupBy("fingerprint", "first_ts").agg(F.min_by("rule_id", order).alias("rule_id"), F.min_by("asset_id", order).alias("asset_id"), F.max("severity").alias("severity"), F.sum("added").alias("count"), F.max("last_ts").alias("last_ts"), F.min_by("event_id", order).alias("event_id"))

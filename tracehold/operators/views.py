@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cut, md_cell, parse_verdict, severity_name, status_name, verdict_name
+from ..functions.rules import CLASS_SOURCES
 from .correlate import ancestors, process_parents
 from .detect import with_rule_title
 
@@ -86,27 +87,126 @@ def process_tree(events: DataFrame, guids: DataFrame, depth: int = 10, children:
 
 
 def false_positive_history(alerts: DataFrame, incidents: DataFrame, rules: DataFrame, now: Column, days: int = 90, newest: int = 20, keep: int = 5) -> DataFrame:
-    """For each incident up to `keep` distinct (rule, title) of recent false positives with one of its rules."""
+    """For each incident up to `keep` distinct (rule, title) of recent false positives with one of its rules.
+
+    Before incidents meet them, false positives are cut to 2 * newest a rule, of one incident `newest` at most: without
+    an incident's own ones, `newest` of those are always left, and they are the newest.
+    """
     false = incidents.where(F.col("status") == "false_positive").select(F.col("id").alias("fp_incident"), F.col("title").alias("fp_title"))
     past = alerts.where(F.col("ts") >= now - F.make_dt_interval(days=F.lit(days))).select("rule_id", F.col("ts").alias("fp_ts"), F.col("id").alias("fp_alert"), F.col("incident_id").alias("fp_incident")).join(false, "fp_incident")
+    ranked = lambda df, keys, n: df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("fp_ts"), F.desc("fp_alert")))).where(F.col("_n") <= n)
+    past = ranked(ranked(past, ["rule_id", "fp_incident"], newest), ["rule_id"], 2 * newest).drop("_n")
     mine = alerts.where(F.col("incident_id").isNotNull()).select("incident_id", "rule_id").distinct()
-    pairs = mine.join(past, "rule_id").where(F.col("incident_id") != F.col("fp_incident"))
-    order = Window.partitionBy("incident_id").orderBy(F.desc("fp_ts"), F.desc("fp_alert"))
-    recent = pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= newest)
-    cases = recent.groupBy("incident_id", "rule_id", "fp_title").agg(F.min("_n").alias("_n"))
+    recent = ranked(mine.join(past, "rule_id").where(F.col("incident_id") != F.col("fp_incident")), ["incident_id"], newest)
+    cases = recent.groupBy("incident_id", "rule_id", "fp_title").agg(F.min("_n").alias("_n"), F.max("fp_ts").alias("fp_ts"))
     kept = cases.withColumn("_k", F.row_number().over(Window.partitionBy("incident_id").orderBy("_n"))).where(F.col("_k") <= keep)
-    return with_rule_title(kept.select("incident_id", "rule_id", F.col("fp_title")), rules)
+    return with_rule_title(kept.select("incident_id", "rule_id", "fp_title", "fp_ts", F.col("_k").alias("position")), rules)
+
 
+def incident_context(incidents: DataFrame, alerts: DataFrame, rules: DataFrame, per_incident: int = 50, graph: tuple[DataFrame, DataFrame] | None = None, history: DataFrame | None = None, max_raw: int = 500) -> DataFrame:
+    """(id, context): header, graph, up to `per_incident` alert lines in order of time, with the event's body if alerts have `raw`, and the false positives of the same rules.
 
-def incident_context(incidents: DataFrame, alerts: DataFrame, rules: DataFrame, per_incident: int = 50) -> DataFrame:
-    """(id, context): header and up to `per_incident` alert lines in order of time."""
+    graph: nodes and edges of `incident_graph`, which caps them; history: of `false_positive_history`.
+    """
+    own = F.col("incident_id")
+    order = Window.partitionBy("incident_id").orderBy("ts", "id")
+    some = with_rule_title(alerts.where(own.isNotNull()).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_incident), rules)
+    body = [F.concat(F.lit("event="), cut("raw", max_raw))] if "raw" in alerts.columns else []
+    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.concat(F.lit("["), severity_name(F.col("severity")), F.lit("]")), "title", F.concat(F.lit("x"), F.col("count").cast("string")), *body)
+
+    def joined(df: DataFrame, head: str, text: Column, *by: str) -> DataFrame:
+        """(incident_id, text) of bounded groups, under a head line."""
+        lines = df.groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct(*by, text.alias("_line")))).alias("_l"))
+        return lines.select("incident_id", F.concat(F.lit(head + "\n"), F.array_join(F.transform("_l", lambda x: x["_line"]), "\n")).alias("_text"))
+
+    parts = []
+    if graph is not None:
+        nodes, edges = graph
+        parts.append(joined(nodes, "Nodes:", F.concat_ws(" ", "type", "label"), "first_ts", "id"))
+        parts.append(joined(edges, "Edges:", F.concat_ws(" ", "from", "rel", "to"), "from", "to", "rel"))
+    parts.append(joined(some, "Alerts:", line, "_n"))
+    if history is not None:
+        past = F.concat_ws(" ", "title", F.date_format("fp_ts", "yyyy-MM-dd"), F.concat(F.lit("("), F.coalesce("fp_title", F.lit("")), F.lit(")")))
+        parts.append(joined(history, "Judged false positive before:", past, "position"))
+    head = F.concat_ws(" ", F.lit("Incident"), F.col("id").cast("string"), status_name(F.col("status")), *([F.col("title")] if "title" in incidents.columns else []))
+    out = incidents.select("id", head.alias("_p"))
+    for k, part in enumerate(parts):
+        out = out.join(part.withColumnsRenamed({"incident_id": f"_i{k}", "_text": f"_t{k}"}), F.col("id") == F.col(f"_i{k}"), "left").drop(f"_i{k}")
+    return out.select("id", F.concat_ws("\n", "_p", *[f"_t{k}" for k in range(len(parts))]).alias("context"))
+
+
+# Lists and details
+
+#: Columns of the lists.
+ROWS = {
+    "events": ("id", "ts", "class_uid", "source", "asset_id", "username", "conn_tuple", "raw"),
+    "intel": ("id", "created_at", "kind", "value", "source", "severity", "note", "expires_at", "matched_count", "last_matched_at"),
+    "suppressions": ("id", "created_at", "rule_id", "asset_id", "reason", "created_by", "expires_at", "matched_count", "last_matched_at"),
+    "commands": ("id", "created_at", "kind", "status", "dry_run", "asset_id", "incident_id", "issued_by", "detail", "completed_at"),
+    "audit": ("id", "ts", "username", "action", "target", "detail", "remote_addr"),
+    "assets": ("id", "hostname", "os", "ip_addrs", "agent_id", "first_seen", "last_seen"),
+}
+
+
+def list_rows(df: DataFrame, kind: str, rules: DataFrame | None = None) -> DataFrame:
+    """The columns that the list of a kind shows; a column that df lacks is null. Suppressions get their rule's title."""
+    out = df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in ROWS[kind]])
+    if kind == "suppressions" and rules is not None:
+        titles = rules.groupBy("rule_id").agg(F.first("title").alias("rule_title"))
+        out = out.join(titles, "rule_id", "left").select(*ROWS[kind], "rule_title")
+    return out
+
+
+def rule_rows(rules: DataFrame) -> DataFrame:
+    """Rules with whether events of their class come in, and from what source; a rule of no class sees all."""
+    sources = F.create_map(*[F.lit(x) for kv in CLASS_SOURCES.items() for x in kv])
+    source = F.when(F.col("class_uid").isNull(), "all classes").otherwise(F.try_element_at(sources, F.col("class_uid")))
+    return rules.withColumns({"source": source, "ingested": source.isNotNull()})
+
+
+def incident_summary(incidents: DataFrame, alerts: DataFrame) -> DataFrame:
+    """(id, created_at, status, title, ai_verdict, alerts, severity); incidents without alerts have 0 of both."""
+    counts = incident_severity_count(alerts).withColumnsRenamed({"severity": "_severity", "alerts": "_alerts"})
+    both = incidents.join(counts, F.col("id") == F.col("incident_id"), "left")
+    return both.select("id", "created_at", "status", "title", "ai_verdict", F.coalesce("_alerts", F.lit(0)).alias("alerts"), F.coalesce("_severity", F.lit(0)).alias("severity"))
+
+
+def assets_by_hostname(assets: DataFrame) -> DataFrame:
+    return list_rows(assets, "assets").orderBy("hostname", "id")
+
+
+def alerts_with_event_asset(alerts: DataFrame, events: DataFrame, assets: DataFrame) -> DataFrame:
+    """Alerts with what the correlation needs of their event and asset; those without either have nulls."""
+    e = events.select(F.col("id").alias("event_id"), F.col("class_uid"), "process_guid", "parent_process_guid", "conn_tuple", "raw")
+    return alerts.join(e, "event_id", "left").join(assets.select(F.col("id").alias("asset_id"), "hostname"), "asset_id", "left")
+
+
+def incident_alerts(alerts: DataFrame, events: DataFrame, rules: DataFrame, limit: int = 500) -> DataFrame:
+    """(incident_id, position, ts, last_ts, count, severity, title, evidence): the first `limit` alerts of each incident with their event's body."""
     order = Window.partitionBy("incident_id").orderBy("ts", "id")
-    some = with_rule_title(alerts.where(F.col("incident_id").isNotNull()).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_incident), rules)
-    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.concat(F.lit("["), severity_name(F.col("severity")), F.lit("]")), "title", F.concat(F.lit("x"), F.col("count").cast("string")))
-    lines = some.groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct("_n", line.alias("line")))).alias("_l"))
-    text = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
-    head = F.concat_ws(" ", F.lit("Incident"), F.col("id").cast("string"), status_name(F.col("status")))
-    return incidents.join(lines, F.col("id") == F.col("incident_id"), "left").select("id", F.concat_ws("\n", head, text).alias("context"))
+    first = alerts.where(F.col("incident_id").isNotNull()).withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
+    evidence = events.select(F.col("id").alias("event_id"), F.col("raw").alias("evidence"))
+    return with_rule_title(first.join(evidence, "event_id", "left"), rules).select("incident_id", "position", "ts", "last_ts", "count", "severity", "title", F.coalesce("evidence", F.lit("")).alias("evidence"))
+
+
+def incident_commands(commands: DataFrame, newest_first: bool = False) -> DataFrame:
+    """(incident_id, position, created_at, kind, status, dry_run, issued_by, detail): the commands of each incident in order of time."""
+    at = [F.desc(c) if newest_first else F.asc(c) for c in ("created_at", "id")]
+    own = commands.where(F.col("incident_id").isNotNull()).withColumn("position", F.row_number().over(Window.partitionBy("incident_id").orderBy(*at)))
+    return own.select("incident_id", "position", "created_at", "kind", "status", "dry_run", "issued_by", F.coalesce("detail", F.lit("")).alias("detail"))
+
+
+#: What an analyst may set.
+ANALYST_STATUSES = ("open", "closed", "false_positive")
+
+
+def apply_status_changes(incidents: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """changes: id, status, ts. (incidents with the status of their last allowed change, rejected changes with a reason): only an analyst's statuses may be set, and only on known incidents."""
+    known = incidents.select("id").distinct().withColumn("_known", F.lit(True))
+    reason = F.when(~F.coalesce(F.col("status").isin(*ANALYST_STATUSES), F.lit(False)), "status").when(F.col("_known").isNull(), "id")
+    judged = changes.join(known, "id", "left").withColumn("reason", reason).drop("_known")
+    last = judged.where(F.col("reason").isNull()).groupBy("id").agg(F.max_by("status", F.struct("ts", "status")).alias("_new"))
+    return incidents.join(last, "id", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new"), judged.where(F.col("reason").isNotNull())
 
 
 def event_brief(events: DataFrame, n: int = 300) -> DataFrame:
@@ -184,12 +284,14 @@ def incident_entities(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("incident_id").agg(of("asset").alias("hosts"), of("process").alias("processes"))
 
 
-def incident_reports(incidents: DataFrame, alerts: DataFrame, nodes: DataFrame, commands: DataFrame, rules: DataFrame, now: Column) -> DataFrame:
-    """(id, report): one Markdown document an incident."""
+def incident_reports(incidents: DataFrame, alerts: DataFrame, nodes: DataFrame, commands: DataFrame, rules: DataFrame, now: Column, limit: int = 500) -> DataFrame:
+    """(id, report): one Markdown document an incident, with its first `limit` alerts; the counts in its head are of all."""
     order = Window.partitionBy("incident_id").orderBy("ts", "id")
-    step = with_rule_title(alerts.where(F.col("incident_id").isNotNull()).withColumn("_n", F.row_number().over(order)), rules)
+    every = alerts.where(F.col("incident_id").isNotNull())
+    step = with_rule_title(every.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit), rules)
     row = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("_n").cast("string"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), severity_name(F.col("severity")), md_cell("title"), F.col("count").cast("string")), F.lit(" |"))
-    chain = step.groupBy("incident_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", row.alias("r")))), lambda x: x["r"]), "\n").alias("_chain"), F.max("severity").alias("_severity"), F.count("*").alias("_alerts"))
+    chain = step.groupBy("incident_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", row.alias("r")))), lambda x: x["r"]), "\n").alias("_chain"))
+    chain = chain.join(every.groupBy("incident_id").agg(F.max("severity").alias("_severity"), F.count("*").alias("_alerts")), "incident_id")
     asked = commands.where(F.col("incident_id").isNotNull()).groupBy("incident_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("created_at", "kind", "status"))), lambda x: F.concat(F.lit("- "), F.concat_ws(" ", x["kind"], x["status"]))), "\n").alias("_commands"))
     both = incidents.join(chain, F.col("id") == chain["incident_id"], "left").drop("incident_id").join(asked.withColumnRenamed("incident_id", "_ci"), F.col("id") == F.col("_ci"), "left").join(incident_entities(nodes).withColumnRenamed("incident_id", "_ei"), F.col("id") == F.col("_ei"), "left")
     v = verdict_of("ai_verdict")

@@ -105,11 +105,11 @@ def latest_open_alert(alerts: DataFrame, incidents: DataFrame, since: Column) ->
 
 def resolve_process_instance(starts: DataFrame, host: str = "host", pid: str = "pid", ppid: str = "ppid", ts: str = "ts") -> DataFrame:
     """Launch rows (guid, host, pid, ppid, ts) with parent_guid: the latest earlier start of ppid on the host. As-of join by union and a running last value."""
-    asks = starts.select("guid", F.col(host).alias("_h"), F.col(ppid).alias("_p"), F.col(ts).alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast("string").alias("_g"))
-    gives = starts.select(F.lit(None).cast("string").alias("guid"), F.col(host).alias("_h"), F.col(pid).alias("_p"), F.col(ts).alias("_t"), F.lit(1).alias("_k"), F.col("guid").cast("string").alias("_g"))
+    asks = starts.withColumns({"_h": F.col(host), "_p": F.col(ppid), "_t": F.col(ts), "_k": F.lit(0), "_g": F.lit(None).cast("string")})
+    gives = starts.select(F.col(host).alias("_h"), F.col(pid).alias("_p"), F.col(ts).alias("_t"), F.lit(1).alias("_k"), F.col("guid").cast("string").alias("_g"))
     order = Window.partitionBy("_h", "_p").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = asks.withColumn("guid", F.col("guid").cast("string")).unionByName(gives).withColumn("parent_guid", F.last("_g", ignorenulls=True).over(order)).where("_k = 0")
-    return starts.join(found.select("guid", "parent_guid"), "guid")
+    both = asks.unionByName(gives, allowMissingColumns=True).withColumn("parent_guid", F.last("_g", ignorenulls=True).over(order))
+    return both.where("_k = 0").select(*starts.columns, "parent_guid")
 
 
 def ingest_loss(agent_events: DataFrame, agent: str = "agent_id", ts: str = "ts", dropped: str = "dropped_events") -> DataFrame:

@@ -173,7 +173,7 @@ def suppressed(spark, d):
     one = spark.range(1)
     whole = one.select(F.lit("g").alias("id"), created(F.lit(-1)).alias("created_at"), F.lit("r-name").alias("rule_id"), F.lit(None).cast("long").alias("asset_id"), (start + F.expr("interval 15 days")).alias("expires_at"))
     late = one.select(F.lit("h").alias("id"), created(F.lit(1000000000)).alias("created_at"), F.lit("r-fail").alias("rule_id"), F.lit(8).cast("long").alias("asset_id"), none.alias("expires_at"))
-    return detect.apply_suppressions(hits_of(t), per.unionByName(whole).unionByName(late), ("event_id", "rule_id"))
+    return detect.apply_suppressions(hits_of(t), per.unionByName(whole).unionByName(late))
 
 
 @query("apply_suppressions", f"{HITS}, {SUPP} select event_id, rule_id from hits anti join credit using (event_id, rule_id)")

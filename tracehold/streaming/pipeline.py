@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..operators import detect, sinks, windows
+from ..functions.scalars import fingerprint, flow_key
+from ..operators import correlate, detect, flows, sinks, windows
 from ..operators.detect import RuleSet
 
 
@@ -68,42 +69,173 @@ def stream_brute_force(auth: DataFrame, window: timedelta = timedelta(minutes=10
     return pairs.groupBy(F.window("s_ts", "1 second"), "id", "asset_id", "username").agg(F.count("*").alias("failures")).where(F.col("failures") >= threshold).select("id", "asset_id", "username", "failures", F.col("window.start").alias("ts"))
 
 
-def detection_batch(spark: SparkSession, rules: Callable[[], RuleSet], intel: Callable[[], DataFrame] | None, suppressions: Callable[[], DataFrame] | None, out: str, window: timedelta = timedelta(minutes=5)) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: events in; events, alerts and counters out, all by sinks that may be replayed. The callables are asked anew at each batch, so rules and tables refresh while running."""
+def alert_deltas(hits: DataFrame, opened: DataFrame | None, window: timedelta) -> DataFrame:
+    """hits (fingerprint, rule_id, asset_id, source, id, ts, severity) to deltas: fingerprint, first_ts, rule_id, asset_id, source, severity, added, last_ts, event_id, is_new, late.
+
+    opened: (fingerprint, first_ts) of windows that earlier batches opened. Hits from then on join them or open the
+    next; hits before then come late and form windows of their own.
+    """
+    rows = hits.select("fingerprint", "rule_id", "asset_id", "source", "id", "ts", "severity", F.lit(1).alias("weight"))
+    if opened is None:
+        rows = rows.withColumn("late", F.lit(False))
+    else:
+        own = opened.join(rows.select("fingerprint").distinct(), "fingerprint", "left_semi").select("fingerprint", F.col("first_ts").alias("ts"), F.lit(0).alias("weight"), F.lit(False).alias("late"))
+        rows = rows.join(opened.withColumnRenamed("first_ts", "_first"), "fingerprint", "left").withColumn("late", F.coalesce(F.col("ts") < F.col("_first"), F.lit(False))).drop("_first").unionByName(own, allowMissingColumns=True)
+    placed = windows.dedup_window(rows, ["fingerprint", "late"], "ts", window)
+    real = F.col("weight") == 1
+    first = F.min(F.when(real, F.struct("ts", "id", "rule_id", "asset_id", "source"))).alias("_f")
+    out = placed.groupBy("fingerprint", "late", "first_ts").agg(F.sum("weight").alias("added"), F.max(F.when(real, F.col("ts"))).alias("last_ts"), F.max("severity").alias("severity"), first, (F.min("weight") == 1).alias("is_new"))
+    return out.where("added > 0").select("fingerprint", "first_ts", "_f.rule_id", "_f.asset_id", "_f.source", "severity", "added", "last_ts", F.col("_f.id").alias("event_id"), "is_new", "late")
+
+
+def brute_force_of(fresh: DataFrame, stored_events: DataFrame | None, keep: tuple[str, ...], window: timedelta = timedelta(minutes=10)) -> DataFrame:
+    """Hits among the fresh authentication events; failures of earlier batches within the window count."""
+    auth = lambda df: df.where(F.col("class_uid") == 3002).withColumn("status_id", F.try_variant_get(F.try_parse_json("raw"), "$.status_id", "int"))
+    cols = list(dict.fromkeys(("id", "ts", "class_uid", "asset_id", "username", "status_id", *keep)))
+    rows = auth(fresh).select(*cols, F.lit(True).alias("_fresh"))
+    if stored_events is not None:
+        past = auth(stored_events)
+        rows = rows.unionByName(past.select(*[c for c in cols if c in past.columns], F.lit(False).alias("_fresh")), allowMissingColumns=True)
+    return windows.brute_force_success(rows, window).where("_fresh").select("id", "ts", "class_uid", *keep, "rule_id", "severity")
+
+
+def detection_batch(spark: SparkSession, rules: Callable[[], RuleSet], intel: Callable[[], DataFrame] | None, suppressions: Callable[[], DataFrame] | None, out: str, window: timedelta = timedelta(minutes=5), late: timedelta = timedelta(minutes=10)) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: events in; events, hits, alerts, counters and metrics out. The callables are asked anew at each batch, so rules and tables refresh while running.
+
+    Every write is keyed by the batch (see `sinks`), so a batch may fail at any place and come again. A batch reads the
+    stored ids of its own dates, the authentication events of the last ten minutes and the windows that are still open;
+    none of these grows with history. Alerts are read by `sinks.read_alerts`, counters and open windows by `sinks.current`.
+    """
+    keep = ("asset_id", "partition_key", "fingerprint_suffix", "username", "source")
 
     def run(batch: DataFrame, number: int) -> None:
-        batch = sinks.stored(batch.dropDuplicates(["id"]), "batch")
-        if sinks.exists(spark, f"{out}/events"):
-            known = spark.read.parquet(f"{out}/events").select("id")
-            batch = sinks.stored(batch.join(known, "id", "left_anti"), "batch")
-        keep = ("asset_id", "partition_key")
-        hits = detect.match_rules(batch, rules(), None, keep)
-        if intel is not None:
-            hits = detect.union_detections(hits, detect.match_intel(batch, intel(), keep=keep))
-        if suppressions is not None:
-            hits, quiet = detect.apply_suppressions(hits, suppressions())
-            sinks.write_counters(detect.match_counters(quiet, "suppression_id"), f"{out}/suppressions", "suppression_id")
-        named = hits.withColumn("fingerprint", F.concat_ws("|", "rule_id", "partition_key"))
-        if sinks.exists(spark, f"{out}/hits"):
-            named = spark.read.parquet(f"{out}/hits").unionByName(named, allowMissingColumns=True)
-        named = sinks.stored(named, "hits")
-        named.write.mode("overwrite").parquet(f"{out}/hits")
-        alerts = windows.alert_rollup(named, ["fingerprint", "rule_id", "asset_id"], "ts", window)
-        sinks.stored(alerts, "alerts").write.mode("overwrite").parquet(f"{out}/alerts")
-        sinks.write_events_idempotent(batch, f"{out}/events")
+        work = sinks.Workspace(spark)
+        try:
+            batch = work.stored(batch, "batch")
+            fresh = work.stored(sinks.unseen(batch, f"{out}/events", number), "fresh")
+            hits = detect.match_rules(fresh, rules(), None, keep, os="asset_os" if "asset_os" in fresh.columns else None)
+            if intel is not None:
+                hits = detect.union_detections(hits, detect.match_intel(fresh, intel(), keep=keep))
+            past, span = None, fresh.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).head()
+            if span["lo"] is not None and sinks.exists(spark, f"{out}/events"):
+                since = F.lit(span["lo"]) - F.expr("interval 10 minutes")
+                past = spark.read.parquet(f"{out}/events").where((F.col("date") >= F.to_date(since)) & (F.col("ts") >= since) & (F.col("ts") <= F.lit(span["hi"])) & (F.col("batch") != number))
+            hits = detect.union_detections(hits, brute_force_of(fresh, past, keep))
+            hits = work.stored(hits if "ioc_id" in hits.columns else hits.withColumn("ioc_id", F.lit(None).cast("string")), "hits")
+            if intel is not None:
+                sinks.write_counters(detect.match_counters(hits.where(F.col("ioc_id").isNotNull()), "ioc_id"), f"{out}/intel_counters", "ioc_id", number)
+            if suppressions is not None:
+                hits, quiet = detect.apply_suppressions(hits, suppressions())
+                sinks.write_counters(detect.match_counters(quiet, "suppression_id"), f"{out}/suppressions", "suppression_id", number)
+            key = F.concat(F.col("partition_key"), F.coalesce("fingerprint_suffix", F.lit("")))
+            named = work.stored(hits.withColumn("fingerprint", fingerprint(F.col("rule_id"), key, F.lit(0), F.lit(""), F.col("username"))), "named")
+            sinks.write_log(named, f"{out}/hits", number)
+            opened = sinks.current(spark, f"{out}/open", number)
+            deltas = work.stored(alert_deltas(named, opened, window), "deltas")
+            sinks.upsert_alerts(deltas, f"{out}/alerts", number)
+            newest = deltas.where("not late").select("fingerprint", "first_ts")
+            live = F.col("first_ts") >= F.lit(span["hi"]) - F.make_dt_interval(secs=F.lit((window + late).total_seconds())) if span["hi"] is not None else F.lit(True)
+            sinks.advance(newest, f"{out}/open", number, lambda df: df.groupBy("fingerprint").agg(F.max("first_ts").alias("first_ts")).where(live))
+            sinks.write_log(batch_metrics(batch, fresh, deltas), f"{out}/metrics", number)
+            sinks.write_events_idempotent(fresh, f"{out}/events", number)
+        finally:
+            work.clear()
+
+    return run
+
+
+def batch_metrics(batch: DataFrame, fresh: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(stage, source, rows) of a batch: published, processed, duplicate, alerts created."""
+    count = lambda df, stage: df.groupBy("source").agg(F.count("*").alias("rows")).select(F.lit(stage).alias("stage"), "source", "rows")
+    published, processed = count(batch, "published"), count(fresh, "processed")
+    both = published.join(processed.select("source", F.col("rows").alias("_p")), "source", "left")
+    duplicate = both.select(F.lit("duplicate").alias("stage"), "source", (F.col("rows") - F.coalesce("_p", F.lit(0))).alias("rows"))
+    return published.unionByName(processed).unionByName(duplicate).unionByName(count(deltas.where("is_new"), "alerts"))
+
+
+def quarantine_batch(out: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over undecodable records (see `normalise.decode_envelopes`): they are kept with their reason, and counted by reason."""
+
+    def run(bad: DataFrame, number: int) -> None:
+        sinks.write_log(bad, f"{out}/quarantine", number)
+        sinks.write_log(bad.groupBy("reason").agg(F.count("*").alias("rows")), f"{out}/failures", number)
 
     return run
 
 
 def first_seen_batch(out: str, learning: timedelta = timedelta(days=7)) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: programs first seen, against the stored baseline; hits are appended."""
+    """For foreachBatch: programs first seen, against the baseline of the batches before."""
 
     def run(batch: DataFrame, number: int) -> None:
+        new, hits = windows.first_seen(batch, learning, sinks.current(batch.sparkSession, f"{out}/baseline", number))
+        sinks.write_log(hits, f"{out}/first_seen", number)
+        sinks.write_baselines(new, f"{out}/baseline", number)
+
+    return run
+
+
+def correlation_batch(spark: SparkSession, events: Callable[[], DataFrame], assets: Callable[[], DataFrame], out: str, window: timedelta = timedelta(minutes=30)) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over new alerts (id, ts, asset_id, process_guid, rule_id): each joins an incident of the batches before or of its own, or begins one.
+
+    Writes `assigned` (the batch's alerts with incident_id, parent_alert_id, reason) and `incidents` (id, status,
+    updated_at): a triaged incident that gains an alert is open again, a closed one gains none.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        work = sinks.Workspace(spark)
+        try:
+            new = work.stored(batch.dropDuplicates(["id"]), "alerts")
+            past = sinks.read_log(spark, f"{out}/assigned", number)
+            incidents = sinks.current(spark, f"{out}/incidents", number)
+            kind = dict(new.dtypes)["id"]
+            every = new.withColumn("incident_id", F.lit(None).cast(kind))
+            if past is not None:
+                new = new.join(past.select("id"), "id", "left_anti")
+                every = past.select(*every.columns).unionByName(new.withColumn("incident_id", F.lit(None).cast(kind)))
+            known = incidents if incidents is not None else spark.createDataFrame([], f"id {kind}, status string, updated_at timestamp")
+            assigned = correlate.assign_incidents(work.stored(every, "alerts"), events(), assets(), window, existing=known)
+            own = work.stored(assigned.join(new.select("id"), "id", "left_semi"), "assigned")
+            sinks.write_log(own, f"{out}/assigned", number)
+            touched = own.groupBy(F.col("incident_id").alias("id")).agg(F.max("ts").alias("updated_at"))
+            status = correlate.reopened(known.select("id", "status"), own).withColumnRenamed("status", "_status")
+            changed = touched.join(status, "id", "left").select("id", F.coalesce("_status", F.lit("open")).alias("status"), "updated_at")
+            sinks.write_incidents(changed, f"{out}/incidents", number)
+        finally:
+            work.clear()
+
+    return run
+
+
+def flow_batch(out: str, idle: timedelta = timedelta(seconds=30), lifetime: timedelta = timedelta(seconds=300), grace: timedelta = timedelta(seconds=5), most_open: int = 1 << 20) -> Callable[..., None]:
+    """For foreachBatch over packets: flows that are over go to `flows`, the packets of open ones are carried to the next batch.
+
+    A flow is over when no later packet can join it: its idle time or lifetime has passed, or its grace after a FIN or
+    RST, by the newest packet seen. Of more than `most_open` open flows the ones seen last are given up, as a full
+    table takes no new flow; their packets are counted in `dropped`. `run(batch, number, drain=True)` lets all flows end.
+    """
+    ends = ["proto", "a", "a_port", "b", "b_port"]
+
+    def run(batch: DataFrame, number: int, drain: bool = False) -> None:
         spark = batch.sparkSession
-        known = spark.read.parquet(f"{out}/baseline") if sinks.exists(spark, f"{out}/baseline") else None
-        new, hits = windows.first_seen(batch, learning, known)
-        sinks.stored(hits.withColumn("batch", F.lit(number)), "first-seen").write.mode("append").partitionBy("batch").parquet(f"{out}/first_seen")
-        sinks.write_baselines(new, f"{out}/baseline")
+        work = sinks.Workspace(spark)
+        try:
+            carried = sinks.current(spark, f"{out}/open", number)
+            packets = work.stored(batch if carried is None else carried.select(*batch.columns).unionByName(batch), "packets")
+            made = work.stored(flows.assemble_flows(packets, idle, lifetime, grace), "flows")
+            now = F.lit(packets.agg(F.max("ts")).head()[0]).cast("timestamp")
+            passed = lambda since, width: F.unix_micros(now) - F.unix_micros(since) >= round(width.total_seconds() * 1e6)
+            over = F.lit(drain) | passed(F.col("last_ts"), idle) | passed(F.col("first_ts"), lifetime) | F.coalesce(passed(F.col("fin_ts"), grace), F.lit(False))
+            judged = work.stored(made.withColumn("_over", over), "judged")
+            sinks.write_log(flows.orient_flow(judged.where("_over")), f"{out}/flows", number)
+            still = judged.where("not _over").orderBy("first_ts", *ends).limit(most_open).select(*ends, "first_ts")
+            k = flow_key(F.col("src_ip"), F.col("sport"), F.col("dst_ip"), F.col("dport"))
+            keyed = packets.select("*", k.alias("_k")).select(*packets.columns, "_k.a", "_k.a_port", "_k.b", "_k.b_port")
+            mine = keyed.join(still, ends).where(F.col("ts") >= F.col("first_ts")).select(*packets.columns)
+            mine.write.mode("overwrite").parquet(f"{out}/open/version={number}")
+            lost = judged.where("not _over").join(still, [*ends, "first_ts"], "left_anti").agg(F.count("*").alias("flows"), F.coalesce(F.sum(F.col("a_packets") + F.col("b_packets")), F.lit(0)).alias("packets"))
+            sinks.write_log(lost, f"{out}/dropped", number)
+        finally:
+            work.clear()
 
     return run
 
