@@ -47,7 +47,7 @@ WORD_BUCKETS, SHINGLE_BUCKETS, CHUNK, HOT_TIMES = 1 << 16, 1 << 20, 1 << 14, 4
 RARITY_BITS = 20  # a word's rarity, as bits: what is rarer than a share of 2^-20 counts as that
 BAND_RATIO, BLOCK = 1.5, 1000
 FEW_PAIRS = 2  # pairs of two components that are verified first; eight times as many in each turn that follows
-STARS = 6  # most turns in which the sets of an entry meet one of them; the pass over all pairs makes the result whole
+STARS = 3  # most turns in which the sets of an entry meet one of them; the pass over all pairs makes the result whole
 CANDIDATE_IDS = 2_000_000  # so many ids are broadcast to pick texts out of the scan, else they are joined by shuffle
 
 
