@@ -36,7 +36,7 @@ KEEP_SHARE, CONSISTENT = 0.75, 1.41
 LEAST_SCALE = (0.5, 0.1, 0.1, 0.25, 0.25)
 RIDGE, PRIOR, MOST_STEPS = 0.25, 50.0, 30
 FEW_ROWS = 50_000  # so many estimates are broadcast, more are joined by shuffle
-WORKING = ("_w", "_p", "_s", "_lines", "_n_lines", "_lang", "_source", "_x", "_z", "_d2", "_mu", "_inv", "_c", "_start", "_det")
+WORKING = ("_text", "_w", "_p", "_s", "_lines", "_n_lines", "_lang", "_source", "_x", "_z", "_d2", "_mu", "_inv", "_c", "_start", "_det")
 #: Squared distance from which a vector is rejected: the chi-squared law with 5 degrees leaves 1e-7 beyond 41.
 CUT = 41.0
 P = len(LEAST_SCALE)
@@ -219,7 +219,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     """docs without their text, with the five statistics, base_failed, distance2 and kept."""
     n = F.col("n_words")
     failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
-    own = {*STATS, "base_failed", "distance2", "kept", *WORKING} - {lang_col, source_col}
+    own = {*STATS, "base_failed", "distance2", "kept", *WORKING} - {text_col, lang_col, source_col}
     kept_cols = [c for c in docs.columns if c != text_col and c not in own]
     stats = with_statistics(docs.select(*kept_cols, F.col(text_col).alias("_text")), "_text").drop("_text")
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (lang_col, source_col))

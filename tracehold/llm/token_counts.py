@@ -93,12 +93,11 @@ def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, rule:
 def _majority(starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A character of the section that holds most of each token; tokens of one section keep their first character."""
     at = starts.copy()
-    for t in np.flatnonzero(np.searchsorted(b, starts, "right") != np.searchsorted(b, ends - 1, "right")):
-        first, last = np.searchsorted(b, starts[t], "right"), min(np.searchsorted(b, ends[t] - 1, "right"), len(a) - 1)
-        shares = np.minimum(ends[t], b[first : last + 1]) - np.maximum(starts[t], a[first : last + 1])
-        if len(shares):
-            k = first + int(np.argmax(shares))
-            at[t] = max(starts[t], a[k])
+    k, last = np.searchsorted(b, starts, "right"), np.searchsorted(b, ends - 1, "right")
+    for t in np.flatnonzero((k != last) | (starts < a[np.minimum(k, len(a) - 1)])):
+        shares = np.minimum(ends[t], b[k[t] : last[t] + 1]) - np.maximum(starts[t], a[k[t] : last[t] + 1])
+        if len(shares) and shares.max() > 0:
+            at[t] = max(starts[t], a[k[t] + int(np.argmax(shares))])
     return at
 
 
