@@ -6,9 +6,8 @@ a language's source, gets a minimum-covariance-determinant estimate: from severa
 nearest three quarters of the group are taken again and again, until the determinant of their scatter falls no more, and
 the start that ends lowest is kept. Vectors far out by Mahalanobis distance are rejected.
 
-A group of any size is judged alike: its mean and scatter are drawn towards those of its language as by PRIOR more rows,
-and a language's towards the corpus's medians and scales. Scatters are regularised towards the unit matrix, as small or
-constant statistics would make them singular.
+A group of any size is judged alike: its mean and scatter are drawn towards the corpus's medians and scales, as by PRIOR
+more rows. Scatters are regularised towards the unit matrix, as small or constant statistics would make them singular.
 
 Each concentration step is two aggregations over the vectors: counts of distances in fixed bins, which give the
 distance that the nearest three quarters of a group don't exceed, and sums and products over those. Only
@@ -31,10 +30,10 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Share of a group that an estimate rests on; factor that makes its scatter consistent for normal vectors of five
 #: parts: 0.75 / F7(q), q the 0.75 quantile of the chi-squared law with 5 degrees, F7 that law's distribution with 7.
 KEEP_SHARE, CONSISTENT = 0.75, 1.41
-#: Least scale of each transformed statistic; weight of the unit matrix; rows that a group's parent counts for; most
-#: steps, which no start has needed.
+#: Least scale of each transformed statistic; weight of the unit matrix; rows that the corpus counts for in each group;
+#: most steps, which no start has needed; by how much the logarithm of a determinant must fall for another step.
 LEAST_SCALE = (0.5, 0.1, 0.1, 0.25, 0.25)
-RIDGE, PRIOR, MOST_STEPS = 0.25, 50.0, 30
+RIDGE, PRIOR, MOST_STEPS, LEAST_FALL = 0.25, 50.0, 30, 1e-3
 FEW_ROWS = 50_000  # so many estimates are broadcast, more are joined by shuffle
 WORKING = ("_text", "_w", "_p", "_s", "_lines", "_n_lines", "_lang", "_source", "_x", "_z", "_d2", "_mu", "_inv", "_c", "_start", "_det")
 #: Squared distance from which a vector is rejected: the chi-squared law with 5 degrees leaves 1e-7 beyond 41.
@@ -115,36 +114,29 @@ def _scaled(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("_z", z).drop("_x")
 
 
-def _estimates(moments: DataFrame, prior: DataFrame | None, keys: list[str], weight: float) -> DataFrame:
-    """(keys, _start, _mu, _inv, _c, _det) of sums over vectors: centre, rows of the inverse Cholesky factor and the scatter, both drawn to the prior (mean 0 and the unit matrix if it is None), and the logarithm of the determinant."""
-    e = moments if prior is None else small_join(moments, prior, keys[:1])
+def _estimates(moments: DataFrame, keys: list[str], weight: float) -> DataFrame:
+    """(keys, _start, _mu, _inv, _det) of sums over vectors: centre and rows of the inverse Cholesky factor of the scatter, both drawn to mean 0 and the unit matrix, and the logarithm of the determinant."""
     w = F.col("_k") / (F.col("_k") + F.lit(weight))
-    at = {(i, j): k for k, (i, j) in enumerate((i, j) for i in range(P) for j in range(i + 1))}
+    lower = [(i, j) for i in range(P) for j in range(i + 1)]
     own = lambda i: F.col(f"_s{i}") / F.col("_k")
-    before = lambda i: F.lit(0.0) if prior is None else F.get("_pmu", F.lit(i))
-    spread = lambda i, j: F.lit(float(i == j)) if prior is None else F.get("_pc", F.lit(at[i, j]))
-    e = e.withColumns({f"_m{i}": w * own(i) + (1 - w) * before(i) for i in range(P)})
-    e = e.withColumns({f"_c{i}{j}": w * CONSISTENT * (F.col(f"_s{i}{j}") / F.col("_k") - own(i) * own(j)) + (1 - w) * spread(i, j) for i, j in at})
-    for i in range(P):
-        for j in range(i + 1):
-            left = F.col(f"_c{i}{j}") * (1 - RIDGE) + (RIDGE if i == j else 0.0)
-            for k in range(j):
-                left = left - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
-            e = e.withColumn(f"_l{i}{j}", F.sqrt(F.greatest(left, F.lit(1e-6))) if i == j else left / F.col(f"_l{j}{j}"))
-    for j in range(P):
-        for i in range(j, P):
-            if i == j:
-                e = e.withColumn(f"_v{i}{j}", 1 / F.col(f"_l{i}{i}"))
-            else:
-                total = F.lit(0.0)
-                for k in range(j, i):
-                    total = total + F.col(f"_l{i}{k}") * F.col(f"_v{k}{j}")
-                e = e.withColumn(f"_v{i}{j}", -total / F.col(f"_l{i}{i}"))
-    listed = lambda name: F.array(*[F.col(f"_{name}{i}{j}") for i, j in at])
-    det = F.lit(0.0)
-    for i in range(P):
-        det = det + 2 * F.ln(f"_l{i}{i}")
-    return e.select(*keys, "_start", F.array(*[F.col(f"_m{i}") for i in range(P)]).alias("_mu"), listed("v").alias("_inv"), listed("c").alias("_c"), det.alias("_det"))
+    c = lambda i, j: w * CONSISTENT * (F.col(f"_s{i}{j}") / F.col("_k") - own(i) * own(j)) + (1 - w) * float(i == j)
+    e = moments.withColumns({f"_c{i}{j}": c(i, j) * (1 - RIDGE) + (RIDGE if i == j else 0.0) for i, j in lower})
+
+    def less(i: int, j: int) -> Column:
+        left = F.col(f"_c{i}{j}")
+        for k in range(j):
+            left = left - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
+        return left
+
+    for j in range(P):  # column by column, so that few projections lie on each other
+        e = e.withColumn(f"_l{j}{j}", F.sqrt(F.greatest(less(j, j), F.lit(1e-6))))
+        if j + 1 < P:
+            e = e.withColumns({f"_l{i}{j}": less(i, j) / F.col(f"_l{j}{j}") for i in range(j + 1, P)})
+    e = e.withColumns({f"_v{i}{i}": 1 / F.col(f"_l{i}{i}") for i in range(P)})
+    for d in range(1, P):
+        e = e.withColumns({f"_v{i}{i - d}": -sum((F.col(f"_l{i}{k}") * F.col(f"_v{k}{i - d}") for k in range(i - d, i)), F.lit(0.0)) / F.col(f"_l{i}{i}") for i in range(d, P)})
+    det = sum((2 * F.ln(f"_l{i}{i}") for i in range(P)), F.lit(0.0))
+    return e.select(*keys, "_start", F.array(*[w * own(i) for i in range(P)]).alias("_mu"), F.array(*[F.col(f"_v{i}{j}") for i, j in lower]).alias("_inv"), det.alias("_det"))
 
 
 def _distance(z: Column, mu: Column, inv: Column) -> Column:
@@ -165,53 +157,39 @@ def _moments(z: DataFrame, keys: list[str]) -> DataFrame:
     return z.groupBy(*keys, "_start").agg(F.count("*").alias("_k"), *sums)
 
 
-def least_determinants(z: DataFrame, keys: list[str], prior: DataFrame | None = None, weight: float = PRIOR) -> DataFrame:
-    """z (stored): keys, _z. The estimate of each group (see `_estimates`) that ends with the least determinant; prior: (first key, _pmu, _pinv, _pc).
+def least_determinants(z: DataFrame, keys: list[str], weight: float = PRIOR) -> DataFrame:
+    """z (stored): keys, _z. (keys, _mu, _inv, _det): the estimate of each group that ends with the least determinant.
 
-    Starts: all vectors of the group; those nearest to the prior's centre; those nearest by the prior's own distance.
+    Starts: all vectors of the group; those nearest to the corpus's medians; those nearest by the last three statistics.
     """
-    whole = _estimates(_moments(z.withColumn("_start", F.lit(0)), keys), prior, keys, weight)
-    unit = F.array(*[F.lit(float(i == j)) for i in range(P) for j in range(i + 1)])
-    if prior is None:
-        more = [(F.array(*[F.lit(0.0)] * P), unit)]
-        groups = whole.select(*keys)
-    else:
-        more = [(F.col("_pmu"), unit), (F.col("_pmu"), F.col("_pinv"))]
-        groups = small_join(whole.select(*keys), prior, keys[:1])
+    whole = _estimates(_moments(z.withColumn("_start", F.lit(0)), keys), keys, weight)
     far = F.lit(float("inf"))
+    diagonal = lambda *d: F.array(*[F.lit(float(d[i]) if i == j else 0.0) for i in range(P) for j in range(i + 1)])
     best = whole.withColumn("_det", far)
-    for k, (mu, inv) in enumerate(more):
-        best = best.unionByName(groups.select(*keys, F.lit(k + 1).alias("_start"), mu.alias("_mu"), inv.alias("_inv"), unit.alias("_c"), far.alias("_det")))
+    for k, inv in enumerate((diagonal(1, 1, 1, 1, 1), diagonal(0, 0, 1, 1, 1))):
+        best = best.unionByName(whole.select(*keys, F.lit(k + 1).alias("_start"), F.array(*[F.lit(0.0)] * P).alias("_mu"), inv.alias("_inv"), far.alias("_det")))
     now = best = stored(best, "quality-estimates")
     both = [*keys, "_start"]
     few = best.limit(FEW_ROWS + 1).count() <= FEW_ROWS  # as many rows as any of the joined tables below has
     meet = lambda left, right, on: left.join(F.broadcast(right) if few else right, on)
     for _ in range(MOST_STEPS):
         dist = meet(z, now.select(*both, "_mu", "_inv"), keys).withColumn("_l", F.log1p(_distance(F.col("_z"), F.col("_mu"), F.col("_inv")))).select(*both, "_z", "_l")
-        edge = stored(_quantile(dist, "_l", both, KEEP_SHARE).select(*both, "_q"), "quality-edges")
-        near = meet(dist, edge, both).where(F.ceil(F.col("_l") * GRID) <= F.round(F.col("_q") * GRID))
-        found = _estimates(_moments(near, keys), prior, keys, weight)
-        old = best.select(*both, *[F.col(c).alias(f"_old{c}") for c in ("_mu", "_inv", "_c", "_det")])
-        lower = F.col("_det") < F.col("_old_det") - 1e-4
-        judged = meet(found, old, both).withColumn("_fell", lower)
-        judged = judged.select(*both, "_fell", *[F.when(F.col("_fell"), F.col(c)).otherwise(F.col(f"_old{c}")).alias(c) for c in ("_mu", "_inv", "_c", "_det")])
-        # Starts that fell no more have ended; the others go on from where they are.
-        ended = best.join(F.broadcast(now.select(*both)) if few else now.select(*both), both, "left_anti").withColumn("_fell", F.lit(False))
-        judged = stored(judged.unionByName(ended.select(*judged.columns)), "quality-estimates")
-        now, best = judged.where("_fell").drop("_fell"), judged.drop("_fell")
+        near = meet(dist, _quantile(dist, "_l", both, KEEP_SHARE).select(*both, "_q"), both).where(F.ceil(F.col("_l") * GRID) <= F.round(F.col("_q") * GRID))
+        found = _estimates(_moments(near, keys), keys, weight).select(*both, F.struct("_mu", "_inv", "_det").alias("_new"))
+        # Starts whose determinant falls no more have ended; the others go on from where they are.
+        both_of = best.select(*both, F.struct("_mu", "_inv", "_det").alias("_old")).join(F.broadcast(found) if few else found, both, "left")
+        fell = F.coalesce(F.col("_new._det") < F.col("_old._det") - LEAST_FALL, F.lit(False))
+        best = stored(both_of.select(*both, F.when(fell, F.col("_new")).otherwise(F.col("_old")).alias("_e"), fell.alias("_fell")).select(*both, "_e.*", "_fell"), "quality-estimates")
+        now, best = best.where("_fell").drop("_fell"), best.drop("_fell")
         if not now.limit(1).count():
             break
-    least = F.min_by(F.struct("_mu", "_inv", "_c", "_det"), F.struct("_det", "_start"))
-    return stored(best.groupBy(*keys).agg(least.alias("_e")).select(*keys, "_e.*"), "quality-least")
+    return best.groupBy(*keys).agg(F.min_by(F.struct("_mu", "_inv", "_det"), F.struct("_det", "_start")).alias("_e")).select(*keys, "_e.*")
 
 
 def outlier_distances(vectors: DataFrame, weight: float = PRIOR) -> DataFrame:
     """vectors (stored): _lang, _source, _x, and what else is to be kept. Adds _d2, the squared distance of each."""
     scaled = stored(_scaled(vectors), "quality-vectors")
-    z = scaled.select("_lang", "_source", "_z")
-    of_lang = least_determinants(z.drop("_source"), ["_lang"], None, weight)
-    prior = of_lang.select("_lang", F.col("_mu").alias("_pmu"), F.col("_inv").alias("_pinv"), F.col("_c").alias("_pc"))
-    own = least_determinants(z, ["_lang", "_source"], prior, weight).select("_lang", "_source", "_mu", "_inv")
+    own = stored(least_determinants(scaled.select("_lang", "_source", "_z"), ["_lang", "_source"], weight).drop("_det"), "quality-least")
     return small_join(scaled, own, ["_lang", "_source"]).withColumn("_d2", _distance(F.col("_z"), F.col("_mu"), F.col("_inv"))).drop("_z", "_mu", "_inv")
 
 
