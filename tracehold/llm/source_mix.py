@@ -78,7 +78,7 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame], turns: int = TURNS, tol
         state = small_join(state, _scaled(cells, key, target), [key])
     state = stored(state, "mix-cells")
     few = state.count() <= FEW_CELLS
-    done = 0
+    turns, done = min(turns, TURNS), 0  # more of them in one plan would nest too deeply
     while True:
         state = state.coalesce(1) if few else state
         for _ in range(turns):
