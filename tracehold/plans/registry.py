@@ -530,10 +530,12 @@ def md_cell(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", S.md_cell("text").alias("cell"))
 
 
-@query("parse_verdict", "@select conv_id, turn, case when turn % 2 = 0 then 'benign' end as verdict, case when turn % 2 = 0 then (turn * 10)::int end as confidence from conversations where not contains(text, '{') and not contains(text, '}')")
+@query("parse_verdict", """@with c as (select conv_id, turn, case when turn % 2 = 0 then text || ' {"verdict": "benign", "confidence": ' || (turn * 10) || '} ' || text else text end as full_text from conversations),
+v as (select conv_id, turn, regexp_extract(full_text, '\\{.*\\}', 0, 's') as j from c)
+select conv_id, turn, case when j <> '' and json_valid(j) then j ->> '$.verdict' end as verdict, case when j <> '' and json_valid(j) then try_cast(j ->> '$.confidence' as int) end as confidence from v""")
 def parse_verdict(spark, d):
     """Verdicts put inside the conversations' texts, and texts without one."""
-    c = spark.read.parquet(f"{d}/conversations.parquet").where(~F.col("text").contains("{") & ~F.col("text").contains("}"))
+    c = spark.read.parquet(f"{d}/conversations.parquet")
     text = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(' {"verdict": "benign", "confidence": '), (F.col("turn") * 10).cast("string"), F.lit("} "), "text")).otherwise(F.col("text"))
     return c.select("conv_id", "turn", views.verdict_of(text).alias("v")).select("conv_id", "turn", "v.verdict", "v.confidence")
 
