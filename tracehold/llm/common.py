@@ -91,6 +91,17 @@ def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c != name], F.inline(F.array(F.struct(value.alias(name)))))
 
 
+def several_texts(rows: DataFrame, id_col: str, text_digest: Column) -> bool:
+    """Whether an id comes with more than one text."""
+    range_of = rows.groupBy(F.col(id_col).alias("_id")).agg(F.min(text_digest).alias("lo"), F.max(text_digest).alias("hi"))
+    return range_of.where("lo <> hi").limit(1).count() > 0
+
+
+def ordered_keys(rows: DataFrame, *cols: str) -> DataFrame:
+    """rows (distinct by cols), stored, with key: a whole number that rises with cols. One sort by ranges."""
+    return stored(rows.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("key", F.monotonically_increasing_id()), "ordered-keys")
+
+
 def words(text: Column) -> Column:
     """Words are runs of characters other than white space; null or blank text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS), lambda w: w != "")

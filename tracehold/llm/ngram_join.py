@@ -26,8 +26,8 @@ shared folder.
 
 Defined results: null or blank text has an empty set, which links with nothing; fewer words than n make one shingle of
 the whole sequence; an empty table gives an empty result; repeated rows of one id and text are returned as often
-as they come; if an id has several texts, its links are those of one of them; a null id links with nothing and has a null
-component; other columns are ignored.
+as they come; an id with several texts is one document to what links with any of them: the rows of an id are in one component; a null id links with nothing and has a null
+component; percent 100 links equal sets only; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, small_batches, small_join, stored, tidily, words
+from .common import ascii_lower, documents, ordered_keys, several_texts, small_batches, small_join, stored, tidily, words
 
 WORD_BUCKETS, SHINGLE_BUCKETS, CHUNK, HOT_TIMES = 1 << 16, 1 << 20, 1 << 14, 4
 RARITY_BITS = 20  # a word's rarity, as bits: what is rarer than a share of 2^-20 counts as that
@@ -120,6 +120,8 @@ def least_partner(n: int, percent: int) -> int:
 
 def band_edges(percent: int, top: int = 1 << 40) -> list[int]:
     """Smaller sets than the first edge link with equal ones only."""
+    if percent >= 100:
+        return [top]
     edges = [max(1, -(-percent // (100 - percent)))]
     while edges[-1] < top:
         edges.append(int(edges[-1] * BAND_RATIO) + 1)
@@ -432,7 +434,27 @@ class Found:
 def ngram_links(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id), one row for each row of docs. id_col is a whole number or a string."""
     with small_batches(docs.sparkSession):
-        return tidily("ngram-result", lambda: _links(docs, n, percent, id_col, text_col))
+        return tidily("ngram-result", lambda: _id_links(docs, n, percent, id_col, text_col))
+
+
+def _id_links(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """_links; where an id has several texts, each text is a document there, and the components that an id's texts are in become one."""
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    digest = F.sha2(F.coalesce("_text", F.lit("")), 256)
+    if not several_texts(docs.where("_id is not null"), "_id", digest):
+        return _links(docs.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col)), n, percent, id_col, text_col)
+    rows = docs.withColumn("_sha", digest)
+    keys = ordered_keys(rows.where("_id is not null").select("_id", "_sha").distinct(), "_id", "_sha")
+    keyed = rows.join(keys, ["_id", "_sha"], "left").select("key", "_text")
+    found = stored(_links(keyed, n, percent, "key", "_text"), "ngram-texts")
+    of_id = stored(keys.select("key", "_id").join(found.where("key is not null").select("key", "component_id").distinct(), "key"), "ngram-text-ids")
+    first = of_id.groupBy("_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("z")).where("a <> z").select("_id", "a")
+    edges = stored(of_id.join(first, "_id").where("a <> component_id").select("a", F.col("component_id").alias("b")).distinct(), "ngram-id-edges")
+    merged = components(edges).select(F.col("id").alias("component_id"), "label")
+    names = keys.select(F.col("key").alias("label"), F.col("_id").alias("component"))
+    of_key = of_id.join(merged, "component_id", "left").withColumn("label", F.coalesce("label", "component_id")).join(names, "label").select("key", "_id", "component")
+    done = found.select("key", "n_shingles").join(of_key, "key", "left")
+    return done.select(F.col("_id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
 
 
 def _links(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:

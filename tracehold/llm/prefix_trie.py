@@ -92,16 +92,16 @@ def _places(k1: np.ndarray, k2: np.ndarray, cells: int) -> tuple[np.ndarray, np.
     return k1 & (cells - 1), (k2 & (cells - 1)) + cells
 
 
-def _counts(cells: int):
+def _counts(cells: int, bits: int):
     """(k1, k2) to (chunk, the counters that are met once, those met more often), some batches together."""
 
     def emit(held: list[np.ndarray]) -> pa.RecordBatch:
         places, counts = np.unique(np.concatenate(held), return_counts=True)
-        chunk = places >> CHUNK
+        chunk = places >> bits
         cuts = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
         columns: list[list] = [[], [], []]
         for a, b in zip(cuts, np.append(cuts[1:], len(places)), strict=True):
-            offsets, often = (places[a:b] & ((1 << CHUNK) - 1)).astype(np.uint16), counts[a:b] > 1
+            offsets, often = (places[a:b] & ((1 << bits) - 1)).astype(np.uint16), counts[a:b] > 1
             for column, value in zip(columns, (int(chunk[a]), offsets[~often].tobytes(), offsets[often].tobytes()), strict=True):
                 column.append(value)
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(x, pa.binary()) for x in columns[1:]]], ["chunk", "once", "often"])
@@ -121,35 +121,39 @@ def _counts(cells: int):
     return run
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(bits: int):
     """Rows sorted by chunk to (chunk, its counters), four counters a byte."""
 
     def packed(key: int, counters: np.ndarray) -> pa.RecordBatch:
         four = counters.reshape(-1, 4)
         return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([(four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()], pa.binary())], ["chunk", "counters"])
 
-    key, counters = None, np.zeros(1 << CHUNK, np.uint8)
-    for batch in batches:
-        for chunk, once, often in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if chunk != key:
-                if key is not None:
-                    yield packed(key, counters)
-                key, counters = chunk, np.zeros(1 << CHUNK, np.uint8)
-            at = np.frombuffer(once, np.uint16)
-            counters[at] = np.minimum(counters[at] + 1, 2)
-            counters[np.frombuffer(often, np.uint16)] = 2
-    if key is not None:
-        yield packed(key, counters)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, counters = None, np.zeros(1 << bits, np.uint8)
+        for batch in batches:
+            for chunk, once, often in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk != key:
+                    if key is not None:
+                        yield packed(key, counters)
+                    key, counters = chunk, np.zeros(1 << bits, np.uint8)
+                at = np.frombuffer(once, np.uint16)
+                counters[at] = np.minimum(counters[at] + 1, 2)
+                counters[np.frombuffer(often, np.uint16)] = 2
+        if key is not None:
+            yield packed(key, counters)
+
+    return run
 
 
 def screen(rows: DataFrame, cells: int | None = None):
     """A column function (k1, k2) -> whether the count-min estimate of that prefix is one. rows is stored."""
     if cells is None:
         cells = 1 << min(max((4 * rows.count()).bit_length(), CHUNK), MOST_CELLS.bit_length() - 1)
-    chunks = rows.select("k1", "k2").mapInArrow(_counts(cells), "chunk long, once binary, often binary")
-    chunks = chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_joined, "chunk long, counters binary")
+    bits = min(CHUNK, (2 * cells).bit_length() - 1)
+    chunks = rows.select("k1", "k2").mapInArrow(_counts(cells, bits), "chunk long, once binary, often binary")
+    chunks = chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_joined(bits), "chunk long, counters binary")
     packed = np.zeros(2 * cells // 4, np.uint8)
-    width = (1 << CHUNK) // 4
+    width = (1 << bits) // 4
     for row in chunks.toLocalIterator():  # of a bounded size: both rows of counters
         packed[row["chunk"] * width : (row["chunk"] + 1) * width] = np.frombuffer(row["counters"], np.uint8)
     sent = rows.sparkSession.sparkContext.broadcast(packed)
@@ -220,11 +224,12 @@ def _prefix_trie(turns: DataFrame, conversations: DataFrame, cells: int | None)
     tails = rows.where("alone")
     tops = tails.where("not parent_alone")
     zero = F.lit(0).cast("long")
-    root = conversations.select("conv", zero.alias("depth"), F.col("len").cast("long").alias("len"), *[zero.alias(c) for c in ("k1", "k2", "p1", "p2", "n_bytes", "before")])
+    # A prefix below one that is proven to be alone may lack a proof of its own; it is grouped, and its parent is its conversation's.
+    root = conversations.select("conv", zero.alias("depth"), F.col("len").cast("long").alias("len"), *[zero.alias(c) for c in ("k1", "k2", "p1", "p2", "n_bytes", "before")], F.lit(False).alias("parent_alone"))
     shared = rows.where("not alone").select(*root.columns).union(root)
     node = ["k1", "k2"]
 
-    nodes = stored(shared.groupBy(*node).agg(F.min("conv").alias("conv_id"), F.count("*").alias("n_convs"), *[F.max(c).alias(c) for c in ("depth", "p1", "p2", "before")]), "trie-nodes")
+    nodes = stored(shared.groupBy(*node).agg(F.min("conv").alias("conv_id"), F.count("*").alias("n_convs"), *[F.max(c).alias(c) for c in ("depth", "p1", "p2", "before", "parent_alone")]), "trie-nodes")
     below = nodes.where("depth > 0").select("p1", "p2").union(tops.select("p1", "p2"))
     children = below.groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(F.count("*").alias("n_children"))
     nodes = stored(nodes.join(children, node, "left").withColumn("n_children", F.coalesce("n_children", zero)), "trie-children")
@@ -238,12 +243,13 @@ def _prefix_trie(turns: DataFrame, conversations: DataFrame, cells: int | None)
 
     # Parents: the owners of the nodes above; of tails, above their tops.
     above = nodes.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
-    own = nodes.join(sums, node).join(ends_of(shared.where("depth = len")), node, "left").select("p1", "p2", "conv_id", "depth", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends", F.lit(NOBODY)).alias("ends_sha256"))
+    own = nodes.join(sums, node).join(ends_of(shared.where("depth = len")), node, "left").select("p1", "p2", "parent_alone", "conv_id", "depth", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends", F.lit(NOBODY)).alias("ends_sha256"))
     ends = F.when(F.col("depth") == F.col("len"), F.sha2(F.col("conv").cast("string"), 256)).otherwise(NOBODY)
     tail = tails.select("p1", "p2", "parent_alone", F.col("conv").alias("conv_id"), "depth", F.lit(1).cast("long").alias("n_convs"), (F.col("depth") < F.col("len")).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), zero.alias("saved_tokens"), ends.alias("ends_sha256"))
-    names = [*own.columns[2:4], "parent_conv_id", *own.columns[4:]]
-    hanging = own.where("depth > 0").union(tail.where("not parent_alone").drop("parent_alone")).join(above, ["p1", "p2"])
-    inner = tail.where("parent_alone").withColumn("parent_conv_id", F.col("conv_id"))
+    names = ["conv_id", "depth", "parent_conv_id", *own.columns[5:]]
+    both = own.where("depth > 0").union(tail)
+    hanging = both.where("not parent_alone").join(above, ["p1", "p2"])
+    inner = both.where("parent_alone").withColumn("parent_conv_id", F.col("conv_id"))
     top = own.where("depth = 0").withColumn("parent_conv_id", F.lit(None).cast("long"))
     return hanging.select(*names).union(inner.select(*names)).union(top.select(*names))
 

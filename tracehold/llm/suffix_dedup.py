@@ -15,11 +15,12 @@ left). The suffix array of the whole corpus is never built; it is only needed wh
     reduced to the first of each before they move, and so are the windows of what remains; no group is held as a list.
 5.  The windows that go are united for each document.
 
-Texts are written once to a table bucketed by id, so that the joins move short rows to the texts and not texts.
+Texts are written once to a table bucketed by id, so that the joins move short rows to the texts and not texts. The table
+lies in the shared folder like all else that is kept, and goes when the result is written.
 
 Defined results: null text is empty; texts shorter than `width` lose nothing; rows of one id and equal text count as
-one document (an id with several texts is not told apart: its rows may lose each other's windows); a null id
-counts as one id before all others; an empty table gives an empty result; other columns are ignored.
+one document; an id's different texts are documents of their own, in the order of their SHA-256 (where there are such ids,
+documents are numbered by one sort first); a null id counts as one id before all others; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, small_join, stored, tidily
+from .common import discard, documents, ordered_keys, scratch_path, several_texts, small_batches, small_join, stored, tidily
 
 GRAM = 32
 HOT, BLOCK_BYTES, SOME_CONTEXTS, MOST_FILES = 20_000, 2_000_000, 8_000, 50_000
@@ -427,23 +428,29 @@ def _finish(width: int):
 def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256). width is 40 to 250."""
     spark = docs.sparkSession
-    table = f"suffix_texts_{uuid.uuid4().hex}"
+    table, path = f"suffix_texts_{uuid.uuid4().hex}", scratch_path(spark, "suffix-texts")
     try:
         with small_batches(spark, 4000):
-            return tidily("suffix-result", lambda: _remove_repeats(docs, table, width, id_col, text_col, hot))
+            return tidily("suffix-result", lambda: _remove_repeats(docs, table, path, width, id_col, text_col, hot))
     finally:
         spark.sql(f"drop table if exists {table}")
+        discard(spark, path)
 
 
-def _remove_repeats(docs: DataFrame, table: str, width: int, id_col: str, text_col: str, hot: int) -> DataFrame:
+def _remove_repeats(docs: DataFrame, table: str, path: str, width: int, id_col: str, text_col: str, hot: int) -> DataFrame:
     spark = docs.sparkSession
     null_id = -(1 << 63)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null_id)).alias("doc"), data.alias("data"), F.sha2(data, 256).alias("sha"))
+    keys = None
+    if several_texts(rows, "doc", F.col("sha")):
+        # Each text of an id has a number of its own, in their order.
+        keys = ordered_keys(rows.select("doc", "sha").distinct(), "doc", "sha").withColumnRenamed("doc", "_doc")
+        rows = rows.withColumnRenamed("doc", "_doc").join(keys, ["_doc", "sha"]).select(F.col("key").alias("doc"), "data", "sha")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if rows.rdd.getNumPartitions() * buckets > MOST_FILES:  # each task writes a file a bucket
         rows = rows.repartition(buckets, "doc")
-    rows.write.option("compression", "zstd").bucketBy(buckets, "doc").saveAsTable(table)
+    rows.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "doc").saveAsTable(table)
     texts = spark.table(table)
     owners = stored(texts.groupBy("sha").agg(F.min("doc").alias("doc")), "suffix-owners")
     # Joins with the texts are by id alone, which is their bucketing; what else decides is looked at afterwards.
@@ -475,13 +482,16 @@ def _remove_repeats(docs: DataFrame, table: str, width: int, id_col: str, text_c
     base = texts.select("doc", "sha", F.length("data").cast("long").alias("n_bytes")).join(owners.withColumnRenamed("doc", "owner"), "sha").join(done, "doc", "left")
     whole = (F.col("doc") != F.col("owner")) & (F.col("n_bytes") >= width)
     own = F.col("doc") == F.col("owner")
-    return base.select(
-        F.when(F.col("doc") != null_id, F.col("doc")).alias(id_col),
+    done = base.select(
+        "doc",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).when(own, F.coalesce("n_removed", F.lit(0))).otherwise(0).cast("long").alias("n_removed"),
         F.when(whole, 1).when(own, F.coalesce("n_spans", F.lit(0))).otherwise(0).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).when(own, F.coalesce("kept_sha256", "sha")).otherwise(F.col("sha")).alias("kept_sha256"),
     )
+    if keys is not None:
+        done = done.join(keys.select(F.col("key").alias("doc"), "_doc"), "doc").withColumn("doc", F.col("_doc")).drop("_doc")
+    return done.select(F.when(F.col("doc") != null_id, F.col("doc")).alias(id_col), *done.columns[1:])
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
