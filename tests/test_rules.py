@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tracehold.functions.rules import RuleRejected, compile_rule, parse_attack_tags
+from tracehold.functions.rule_index import RuleIndex
+from tracehold.functions.rules import RuleRejected, compile_rule, match_value, parse_attack_tags
 from tracehold.operators import detect
 from tracehold.sources import readers
 
@@ -19,7 +22,9 @@ def rule(detection, **more):
 def hit_ids(spark, rules, bodies, os=None, class_uid=1007):
     rows = [(k, class_uid, json.dumps(b), os) for k, b in enumerate(bodies)]
     df = spark.createDataFrame(rows, "id long, class_uid int, raw string, os string").withColumn("ts", F.lit(None).cast("timestamp"))
-    return sorted((r.id, r.rule_id) for r in detect.match_rules(df, rules, os="os").collect())
+    hits = sorted((r.id, r.rule_id) for r in detect.match_rules(df, rules, os="os").collect())
+    assert hits == sorted((r.id, r.rule_id) for r in detect.match_rules(df, rules, os="os", few=0).collect())  # through the index
+    return hits
 
 
 def process(path="", cmd="", **more):
@@ -147,3 +152,43 @@ cases:
     results = detect.replay_corpus(cases, rules)
     assert {r.case_name: r.outcome for r in results.collect()} == {"hit": "detected", "other": "mismatch", "gap": "known_gap", "sub": "detected"}
     assert tuple(detect.corpus_report(results).head()) == (2, 1, 1, 2, 3)
+
+
+def test_index_lets_all_hits_through(spark):
+    """Random rules over a few words, letters that patterns and lower() treat differently among them, tried one by one and through the index."""
+    rng = random.Random(1)
+    parts = ["cmd", "CMD.exe", " /c ", "ſtar", "star", "Kit", "\u212ait", "İnk", "ink", "ınk", "-a", "x", "ΣΑΣ", "abc", "b.c"]
+    text = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
+
+    def test():
+        field = rng.choice(("Image", "CommandLine"))
+        how = rng.choice(("", "|contains", "|startswith", "|endswith", "|contains|all", "|re", "wild"))
+        one = lambda: rng.choice(("^", "")) + re.escape(rng.choice(parts)) + rng.choice((".*", "[a-z]?", "(?:star)?", "", "$"))
+        if how == "|re":
+            return {field + how: one()}
+        if how == "wild":
+            return {field: rng.choice(("*", "")) + text() + rng.choice(("*", "?", ""))}
+        return {field + how: None if how == "" and rng.random() < 0.1 else [rng.choice(parts) if rng.random() < 0.7 else text() for _ in range(rng.randint(0, 3))]}
+
+    def one_rule(k):
+        detection = {f"s{j}": {**test(), **(test() if rng.random() < 0.3 else {})} if rng.random() < 0.85 else [rng.choice(parts)] for j in range(rng.randint(1, 4))}
+        detection["condition"] = rng.choice(("all of s*", "1 of s*", "2 of s*", "s0", "not s0", "s0 and not s1", "s0 or (s1 and not s2)"))
+        return compile_rule({"id": f"r{k}", "detection": detection, "logsource": {"category": "process_creation", **({"product": "linux"} if rng.random() < 0.2 else {})}})
+
+    rules = [one_rule(k) for k in range(150)]
+    bodies = [process(text(), text()) if rng.random() < 0.9 else {"process": {"cmd_line": ""}} for _ in range(120)]
+    assert len(hit_ids(spark, rules, bodies, os="windows")) > 1000
+
+
+def test_index_passes_deep_rules_on():
+    deep = rule({**{f"s{k}": {"Image|contains": f"abc{k}"} for k in range(70)}, "condition": "1 of s*"})
+    flat = rule({"s": {"Image|contains": [f"abc{k}" for k in range(500)]}, "condition": "s"})
+    index = RuleIndex([deep, flat], {"process.file.path": 0})
+    assert index.left == [deep] and len(index.listed) == 1 and not index.open
+    assert 400 < sum(map(len, index.slots)) <= 500  # some of the 500 go by one gram
+
+
+def test_required_literals_of_patterns():
+    found = lambda p: match_value(p, {"re"}).literals
+    assert found(r"job 14 as u[0-9]$") == ("job 14 as u",)
+    assert found(r"a(bc)+d|x") == () and found(r"foo(?:bar)?Baz") == ("foo", "baz") and found(r"\bPower\.Shell\b.{3}X{2,}") == ("power.shell", "x")

@@ -1,14 +1,14 @@
 """Detection rules in the Sigma format, compiled to boolean columns.
 
-`compile_rule` turns the text of one rule into a `Rule`, whose predicate is a plain function from a `Body` (how fields of
-an event are read) to a Column; Catalyst does the rest. A rule that can't be honoured exactly raises `RuleRejected`.
+`compile_rule` turns the text of one rule into a `Rule`, whose predicate is a tree of nodes that, called with a `Body` (how fields of
+an event are read), gives a Column; Catalyst does the rest. A rule that can't be honoured exactly raises `RuleRejected`.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -127,22 +127,6 @@ class Body:
         return F.lower(F.concat_ws("\n", *values))
 
 
-class Reads:
-    """Stands for a body while a predicate is asked what it will read."""
-
-    def __init__(self) -> None:
-        self.paths: dict[str, int] = {}
-        self.whole = False
-
-    def text(self, path: str) -> Column:
-        self.paths.setdefault(path, len(self.paths))
-        return F.lit("")
-
-    def flat(self) -> Column:
-        self.whole = True
-        return F.lit("")
-
-
 def scalar_at(variant: Column, path: str) -> Column:
     at = "$" + "".join("['{}']".format(p.replace("'", "\\'")) for p in path.split("."))
     found = F.try_variant_get(variant, at, "variant")
@@ -160,9 +144,6 @@ def flatten_scalars(raw: Column) -> Column:
     return F.array_join(F.concat(plain, bare), "\n")
 
 
-Predicate = Callable[[Body], Column]
-
-
 @dataclass(frozen=True)
 class Rule:
     id: str
@@ -172,7 +153,7 @@ class Rule:
     product: str | None
     tactics: tuple[str, ...]
     techniques: tuple[str, ...]
-    predicate: Predicate = field(compare=False)
+    predicate: Node = field(compare=False)
     text: str = ""
 
 
@@ -207,8 +188,38 @@ _WILDCARDS = {"*": r"[^\n]*", "?": r"[^\n]"}
 _LITERALS = {"contains": lambda c, v: c.contains(v), "startswith": lambda c, v: c.startswith(v), "endswith": lambda c, v: c.endswith(v)}
 
 
-def match_value(value: str, modifiers: set[str]) -> Callable[[Column], Column]:
-    """One value of a field test as a function from the field's text to a boolean; letters match in either case."""
+@dataclass(frozen=True)
+class Value:
+    """One value of a field test: how it is compared, and with which lower-cased literal or pattern; called with the field's text it gives a boolean."""
+
+    kind: str  # equals, contains, startswith, endswith or re
+    text: str
+    literals: tuple[str, ...] = ()  # parts that are in any text that matches, of letters that a pattern treats like lower()
+
+    def __call__(self, c: Column) -> Column:
+        return c.rlike(self.text) if self.kind == "re" else _LITERALS.get(self.kind, lambda c, v: c == v)(F.lower(c), self.text)
+
+
+def _required(sequence: Any) -> list[str]:
+    """Texts of ASCII letters that stand in whatever a parsed pattern matches, lower-cased; alternatives and what may be left out give none."""
+    out, run = [], []
+    for op, arg in sequence:
+        name = str(op)
+        if name == "LITERAL" and 32 <= arg < 127:
+            run.append(chr(arg).lower())
+            continue
+        if run:
+            out.append("".join(run))
+            run = []
+        if name == "SUBPATTERN":
+            out += _required(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+            out += _required(arg[2])
+    return [*out, "".join(run)] if run else out
+
+
+def match_value(value: str, modifiers: set[str]) -> Value:
+    """One value of a field test; letters match in either case."""
     if "re" in modifiers:
         if _DIALECT.search(value):
             raise RuleRejected(f"regular expression not portable: {value}")
@@ -216,69 +227,106 @@ def match_value(value: str, modifiers: set[str]) -> Callable[[Column], Column]:
             re.compile(value)
         except re.error as e:
             raise RuleRejected(f"regular expression: {e}") from None
-        return lambda c: c.rlike(_FLAGS + _portable(value))
+        return Value("re", _FLAGS + _portable(value), tuple(_required(re._parser.parse(value))))
     place = next((m for m in _ANCHORS if m in modifiers), None)
     if any(ch in _WILDCARDS for ch in value):
         head, tail = _ANCHORS.get(place, (r"\A", r"\z"))
         pattern = _FLAGS + head + "".join(_WILDCARDS.get(ch) or re.escape(ch) for ch in value) + tail
-        return lambda c: c.rlike(pattern)
-    test = _LITERALS.get(place, lambda c, v: c == v)
-    return lambda c: test(F.lower(c), value.lower())
+        return Value("re", pattern, tuple(p.lower() for p in re.findall(r"[\x00-\x29\x2B-\x3E\x40-\x7F]+", value)))
+    return Value(place or "equals", value.lower(), (value.lower(),))
+
+
+# What a rule asks, as a tree of nodes. A node called with a body gives a column; detect.match_rules also reads the tree itself.
+
+
+@dataclass(frozen=True)
+class Test:
+    """Values of a field (path None: of the whole body), any or all of them."""
+
+    path: str | None
+    values: tuple[Value, ...]
+    every: bool = False
+
+    def __call__(self, body: Body) -> Column:
+        out = F.lit(self.every)
+        text = body.flat() if self.path is None else body.text(self.path)
+        for value in self.values:
+            hit = F.coalesce(value(text), F.lit(False))
+            out = out & hit if self.every else out | hit
+        return out
+
+
+@dataclass(frozen=True)
+class Absent:
+    path: str
+
+    def __call__(self, body: Body) -> Column:
+        return body.text(self.path).isNull()
+
+
+@dataclass(frozen=True)
+class Not:
+    part: Node
+
+    def __call__(self, body: Body) -> Column:
+        return ~self.part(body)
+
+
+@dataclass(frozen=True)
+class AtLeast:
+    """So many of the parts: all of none is true, one of none false."""
+
+    least: int
+    parts: tuple[Node, ...]
+
+    def __call__(self, body: Body) -> Column:
+        if self.least == len(self.parts):
+            return reduce(lambda a, b: a & b, [p(body) for p in self.parts], F.lit(True))
+        if self.least == 1:
+            return reduce(lambda a, b: a | b, [p(body) for p in self.parts], F.lit(False))
+        return reduce(lambda a, b: a + b, [p(body).cast("int") for p in self.parts], F.lit(0)) >= self.least
+
 
+Node = Test | Absent | Not | AtLeast
 
-def _test(key: str, value: Any) -> Predicate:
+
+def paths_of(node: Node) -> set[str | None]:
+    """The paths that a node reads; None stands for the whole body."""
+    if isinstance(node, Not):
+        return paths_of(node.part)
+    if isinstance(node, AtLeast):
+        return set().union(*map(paths_of, node.parts))
+    return {node.path}
+
+
+def _test(key: str, value: Any) -> Node:
     name, *mods = key.split("|")
     modifiers = {m.lower() for m in mods}
     if unknown := modifiers - MODIFIERS:
         raise RuleRejected(f"unknown modifier: {sorted(unknown)[0]}")
     path = FIELD_PATHS.get(name.lower(), name)
     if value is None:
-        return lambda body: body.text(path).isNull()
-    tests = [match_value(_go_text(v), modifiers) for v in (value if isinstance(value, list) else [value])]
-    every = "all" in modifiers
-
-    def predicate(body: Body) -> Column:
-        out = F.lit(every)
-        text = body.text(path)
-        for test in tests:
-            hit = F.coalesce(test(text), F.lit(False))
-            out = out & hit if every else out | hit
-        return out
+        return Absent(path)
+    return Test(path, tuple(match_value(_go_text(v), modifiers) for v in (value if isinstance(value, list) else [value])), "all" in modifiers)
 
-    return predicate
 
+def _all_of(parts: list[Node]) -> Node:
+    return AtLeast(len(parts), tuple(parts))
 
-def _all_of(tests: list[Predicate]) -> Predicate:
-    def predicate(body: Body) -> Column:
-        out = F.lit(True)
-        for t in tests:
-            out = out & t(body)
-        return out
 
-    return predicate
+def _any_of(parts: list[Node]) -> Node:
+    return AtLeast(1, tuple(parts))
 
 
-def _any_of(tests: list[Predicate]) -> Predicate:
-    def predicate(body: Body) -> Column:
-        out = F.lit(False)
-        for t in tests:
-            out = out | t(body)
-        return out
-
-    return predicate
-
-
-def _selection(value: Any) -> Predicate:
+def _selection(value: Any) -> Node:
     """A map is a conjunction of field tests, a list of maps a disjunction; plain values are looked for in the whole body, and then maps beside them don't count."""
     if isinstance(value, dict):
         return _all_of([_test(k, v) for k, v in value.items()])
     if isinstance(value, list | str):
         items = value if isinstance(value, list) else [value]
         branches = [_all_of([_test(k, v) for k, v in x.items()]) for x in items if isinstance(x, dict)]
-        keywords = [match_value(_go_text(x), {"contains"}) for x in items if not isinstance(x, dict)]
-        if keywords:
-            return _any_of([lambda body, m=m: F.coalesce(m(body.flat()), F.lit(False)) for m in keywords])
-        return _any_of(branches)
+        keywords = tuple(match_value(_go_text(x), {"contains"}) for x in items if not isinstance(x, dict))
+        return Test(None, keywords) if keywords else _any_of(branches)
     raise RuleRejected(f"selection of type {type(value).__name__}")
 
 
@@ -286,7 +334,7 @@ def _selection(value: Any) -> Predicate:
 
 
 class _Condition:
-    def __init__(self, text: str, selections: dict[str, Predicate]):
+    def __init__(self, text: str, selections: dict[str, Node]):
         self.tokens, self.at, self.selections = re.findall(r"[()]|[^\s()]+", text), 0, selections
 
     def peek(self) -> str | None:
@@ -298,34 +346,33 @@ class _Condition:
         self.at += 1
         return self.tokens[self.at - 1]
 
-    def whole(self) -> Predicate:
+    def whole(self) -> Node:
         out = self.either()
         if self.peek() is not None:
             raise RuleRejected(f"condition goes on after its end: {self.peek()}")
         return out
 
-    def either(self) -> Predicate:
+    def either(self) -> Node:
         parts = [self.both()]
         while self.peek() == "or":
             self.take()
             parts.append(self.both())
         return parts[0] if len(parts) == 1 else _any_of(parts)
 
-    def both(self) -> Predicate:
+    def both(self) -> Node:
         parts = [self.negated()]
         while self.peek() == "and":
             self.take()
             parts.append(self.negated())
         return parts[0] if len(parts) == 1 else _all_of(parts)
 
-    def negated(self) -> Predicate:
+    def negated(self) -> Node:
         if self.peek() == "not":
             self.take()
-            inner = self.negated()
-            return lambda body: ~inner(body)
+            return Not(self.negated())
         return self.single()
 
-    def single(self) -> Predicate:
+    def single(self) -> Node:
         token = self.take()
         if token == "(":
             out = self.either()
@@ -338,21 +385,11 @@ class _Condition:
         if self.peek() == "of" and (token in ("all", "any") or (token.isdigit() and int(token) > 0)):
             self.take()
             return self.quantified(token, self.take())
-        return self.selections.get(token, lambda body: F.lit(False))
+        return self.selections.get(token, _any_of([]))
 
-    def quantified(self, how: str, target: str) -> Predicate:
+    def quantified(self, how: str, target: str) -> Node:
         chosen = [p for name, p in self.selections.items() if target == "them" or (target.endswith("*") and name.startswith(target[:-1])) or name == target]
-        if not chosen:
-            return lambda body: F.lit(False)
-        least = len(chosen) if how == "all" else 1 if how == "any" else int(how)
-
-        def predicate(body: Body) -> Column:
-            total = F.lit(0)
-            for p in chosen:
-                total = total + p(body).cast("int")
-            return total >= least
-
-        return predicate
+        return AtLeast(max(len(chosen), 1) if how == "all" else 1 if how == "any" else int(how), tuple(chosen))
 
 
 def parse_attack_tags(tags: Any) -> tuple[tuple[str, ...], tuple[str, ...]]:

@@ -13,10 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import CLASS_SOURCES, Body, Reads, Rule, RuleRejected, compile_rule
+from ..functions.rules import CLASS_SOURCES, Body, Rule, RuleRejected, compile_rule, paths_of
+from ..functions.rule_index import RuleIndex
 from ..functions.scalars import ioc_kind, parent_domains, technique_match
 
 CHUNK = 100  # rules in one projection, below the size limit of generated methods
+FEW_RULES = 30  # so many are tried one by one, more go through an index; the hits are the same
 
 
 @dataclass(frozen=True)
@@ -50,6 +52,11 @@ def _in_scope(rule: Rule, class_uid: Column, os: Column) -> Column:
     return out if rule.product is None else out & (os.isNull() | (os == "") | (os == rule.product))
 
 
+def _gate(rule_class: Column, product: Column, class_uid: Column, os: Column) -> Column:
+    """_in_scope for a rule that is data."""
+    return (rule_class.isNull() | F.coalesce(class_uid == rule_class, F.lit(False))) & (product.isNull() | os.isNull() | (os == "") | (os == product))
+
+
 def _barrier(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with value as a column that is computed once, however often its name is used: the optimizer moves no expression across a generator."""
     return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
@@ -68,28 +75,29 @@ class _Read:
         return F.col("_fields")["flat"]
 
 
-def match_rules(events: DataFrame, rules: RuleSet | Iterable[Rule], fields: dict[str, Column] | None = None, keep: Iterable[str] = (), raw: str | None = "raw", os: str | None = None) -> DataFrame:
+def match_rules(events: DataFrame, rules: RuleSet | Iterable[Rule], fields: dict[str, Column] | None = None, keep: Iterable[str] = (), raw: str | None = "raw", os: str | None = None, few: int = FEW_RULES) -> DataFrame:
     """One row for each event and rule that hits: id, ts, class_uid, the `keep` columns, rule_id, severity.
 
     One scan, whatever the number of rules: a body is parsed once, each path that some rule reads is taken out of it
-    once, and an event is held against the rules of its class and those of no class.
+    once, and an event is held against the rules of its class and those of no class. More than `few` rules are data
+    and not expressions: an index of their literals says which of them an event may hit, and only those are evaluated.
     """
     rules = rules.rules if isinstance(rules, RuleSet) else tuple(rules)
     cols = ["id", "ts", "class_uid", *keep]
     if not rules:
         return events.limit(0).select(*cols, F.lit("").alias("rule_id"), F.lit(0).alias("severity"))
-    asked = Reads()
-    for r in rules:
-        r.predicate(asked)
+    asked = set().union(*(paths_of(r.predicate) for r in rules))
+    whole = None in asked
+    numbers = {p: k for k, p in enumerate(sorted(asked - {None}))}
     classes = {r.class_uid for r in rules}
     scan = events if None in classes else events.where(F.col("class_uid").isin(*sorted(classes)))
     body = Body(F.col(raw) if raw else None, fields)
-    if raw and any(p not in body.fields for p in asked.paths):
+    if raw and any(p not in body.fields for p in numbers):
         scan = _barrier(scan, "_body", body.variant)
         body.variant = F.col("_body")
-    read = [body.text(p).alias(f"f{k}") for p, k in asked.paths.items()] + ([body.flat().alias("flat")] if asked.whole else [])
+    read = [body.text(p).alias(f"f{k}") for p, k in numbers.items()] + ([body.flat().alias("flat")] if whole else [])
     scan = _barrier(scan.withColumn("_os", F.lower(F.col(os)) if os else F.lit(None).cast("string")), "_fields", F.struct(*read) if read else F.lit(0))
-    ready = _Read(asked.paths)
+    ready = _Read(numbers)
 
     def hits(some: list[Rule]) -> Column:
         """Arrays of CHUNK rules, so that no generated method gets too long."""
@@ -98,11 +106,22 @@ def match_rules(events: DataFrame, rules: RuleSet | Iterable[Rule], fields: dict
         return parts[0] if len(parts) == 1 else F.concat(*parts)
 
     none = F.array().cast("array<struct<rule_id:string,severity:int>>")
+    indexed = none
+    if len(rules) > few:
+        index = RuleIndex(list(rules), numbers | ({None: len(numbers)} if whole else {}))
+        rules = tuple(index.left)
+        texts = [ready.text(p) for p in numbers] + ([ready.flat()] if whole else [])
+        scan = _barrier(scan, "_texts", F.array(*texts) if texts else F.array().cast("array<string>"))
+        scan = _barrier(scan, "_low", F.transform("_texts", F.lower))
+        scan = _barrier(scan, "_maybe", index.candidates(F.col("_low")))
+        indexed = index.hits(F.col("_maybe"), F.col("_texts"), F.col("_low"), lambda c, product: _gate(c, product, F.col("class_uid"), F.col("_os")))
     of_class = none
-    for c in sorted(c for c in classes if c is not None):
+    for c in sorted({r.class_uid for r in rules} - {None}):
         of_class = F.when(F.col("class_uid") == c, hits([r for r in rules if r.class_uid == c])).otherwise(of_class)
     general = [r for r in rules if r.class_uid is None]
     found = F.concat(of_class, hits(general)) if general else of_class
+    if indexed is not none:
+        found = F.concat(indexed, found) if rules else indexed
     return _barrier(scan, "_hits", found).select(*cols, F.explode("_hits").alias("hit")).select(*cols, "hit.rule_id", "hit.severity")
 
 

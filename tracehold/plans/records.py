@@ -177,6 +177,39 @@ def match_many_rules(spark, d):
     return detect.match_rules(t.withColumn("raw", body), [compile_rule(r) for r in some], None, ("event_id",)).select("event_id", "rule_id", "severity")
 
 
+_MIXED = """c as (select *, 'run --job ' || k || ' as u' || (asset_id % 50) as line from t where class_uid = 1007),
+m as (select event_id, 'm' || r.i as rule_id from c, range(2000) r(i) where case r.i % 8
+  when 0 then k = r.i // 8 when 1 then contains(line, '--job ' || (r.i // 8) || ' ') when 2 then starts_with(line, 'run --job ' || (r.i // 8) || ' ') when 3 then ends_with(line, ' as u' || (r.i // 8))
+  when 4 then k < 10 and ends_with(line, ' as u' || (r.i // 8)) when 5 then k = r.i // 8 and asset_id % 50 < 10
+  when 6 then ends_with(exe_path, 'bin' || (r.i // 8)) and k % 7 <> 3
+  else (k = r.i // 8 and k % 7 = (r.i // 8) % 7) or (contains(line, 'job ' || (r.i // 8)) and ends_with(line, 'u' || ((r.i // 8) % 50))) end) select * from m"""
+
+
+@query("match_mixed_rules", _MIXED)
+def match_mixed_rules(spark, d):
+    """Two thousand rules of all kinds of tests; which of them an event is held against, an index of their literals says."""
+    t = events_of(telemetry(spark, d))
+    line = F.concat(F.lit("run --job "), F.col("k").cast("string"), F.lit(" as u"), (F.col("asset_id") % 50).cast("string"))
+    level = F.concat(F.lit("level"), (F.col("k") % 7).cast("string"))
+    body = F.to_json(F.struct(F.struct(F.col("k").alias("pid"), level.alias("integrity"), line.alias("cmd_line"), F.struct(F.col("exe_path").alias("path")).alias("file")).alias("process")))
+
+    def detection(i: int) -> dict:
+        n = i // 8
+        return (
+            {"s": {"ProcessId": n}, "condition": "s"},
+            {"s": {"CommandLine|contains": f"--JOB {n} "}, "condition": "s"},
+            {"s": {"CommandLine|startswith": [f"run --job {n} ", "never"]}, "condition": "s"},
+            {"s": {"CommandLine|endswith": f" as u{n}"}, "condition": "all of them"},
+            {"s": {"CommandLine": f"run --job ? as u{n}"}, "condition": "s"},
+            {"s": {"CommandLine|re": f"job {n} as u[0-9]$"}, "condition": "s"},
+            {"s": {"Image|endswith": f"bin{n}"}, "f": {"IntegrityLevel": "level3"}, "condition": "s and not f"},
+            {"s1": {"ProcessId": n, "IntegrityLevel": f"Level{n % 7}"}, "s2": {"CommandLine|contains": f"job {n}", "CommandLine|endswith": f"u{n % 50}"}, "condition": "1 of s*"},
+        )[i % 8]
+
+    some = [compile_rule({"id": f"m{i}", "logsource": {"category": "process_creation"}, "detection": detection(i)}) for i in range(2000)]
+    return detect.match_rules(t.withColumn("raw", body), some, None, ("event_id",)).select("event_id", "rule_id")
+
+
 @query("flatten_scalars", "@select conv_id, turn, md5(role || chr(10) || text || chr(10) || turn) as flat from conversations where text is not null and role is not null")
 def flatten_scalars(spark, d):
     """The scalars of a nested body, strings first, of every turn."""
