@@ -67,7 +67,7 @@ def test_scalars(spark):
     assert a != b and a == one(spark, S.stable_id(F.lit("a"), F.lit("bc"))) and a[14] == "8" and a[19] in "89ab"
     assert one(spark, S.strip_nul(F.lit('{"a":"x\\u0000y"}'))) == '{"a":"xy"}' and one(spark, S.strip_nul(F.lit("{bad"))) == "{}"
     assert one(spark, S.parse_verdict(F.lit('so {"a": 1} end'))) == '{"a": 1}' and "unparseable" in one(spark, S.parse_verdict(F.lit("none")))
-    assert one(spark, S.md_cell(F.lit("a|b\nc"))) == "a\\|b c" and one(spark, S.md_cell(F.lit(""))) == "-"
+    assert one(spark, S.md_cell(F.lit("a|b\nc"))) == "`a\\|b c`" and one(spark, S.md_cell(F.lit(""))) == "-"
     key = lambda *x: tuple(one(spark, S.flow_key(*map(F.lit, x))))
     assert key("10.0.0.9", 5, "10.0.0.10", 80)[:4] == key("10.0.0.10", 80, "10.0.0.9", 5)[:4] == ("10.0.0.9", 5, "10.0.0.10", 80)
     head = one(spark, S.http_head(F.lit("GET /a?b HTTP/1.1\r\nHost: h.example\r\nuser-agent: curl\r\n\r\nHost: no")))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import shutil
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -50,15 +51,43 @@ def test_first_seen_stream(spark, tmp_path):
 
 
 def test_stateful_dedup(spark, tmp_path):
+    """In two micro-batches: a late hit takes the window's place, and an event dated years ahead ends no other one's window."""
+    at = lambda minutes: T0 + timedelta(minutes=minutes)
+    parts = [[("f", at(0)), ("f", at(5)), ("f", at(10)), ("f", at(12)), ("g", T0), ("k", at(60))], [("h", T0 + timedelta(days=1000))], [("g", at(2)), ("g", at(9)), ("f", at(21)), ("k", at(50)), ("k", at(59)), ("k", at(61))]]
     src = tmp_path / "hits"
     src.mkdir()
-    rows = [("f", T0 + timedelta(minutes=m)) for m in (0, 5, 10, 12)] + [("g", T0)]
-    spark.createDataFrame(rows, "fingerprint string, ts timestamp").coalesce(1).write.mode("overwrite").parquet(str(src / "p"))
-    stream = spark.readStream.schema("fingerprint string, ts timestamp").parquet(str(src / "p"))
-    q = pipeline.stateful_dedup(stream, timedelta(minutes=10)).writeStream.format("memory").queryName("deltas").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
-    got = sorted((r.fingerprint, r.first_ts, r.added) for r in spark.table("deltas").where("added > 0").collect())
-    assert got == [("f", T0, 2), ("f", T0 + timedelta(minutes=10), 2), ("g", T0, 1)]
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for n, rows in enumerate(parts):
+            spark.createDataFrame(rows, "fingerprint string, ts timestamp").coalesce(1).write.mode("append").parquet(str(src / "p"))
+            stream = spark.readStream.schema("fingerprint string, ts timestamp").parquet(str(src / "p"))
+            deltas = pipeline.stateful_dedup(stream, timedelta(minutes=10))
+            q = deltas.writeStream.format("parquet").option("path", f"{tmp_path}/deltas").outputMode("append").trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / "cp")).start()
+            end = time.time() + 90  # a query by the clock on the wall does not end by itself
+            while sum(p["numInputRows"] for p in q.recentProgress) < len(rows) and time.time() < end and q.isActive:
+                time.sleep(0.5)
+            q.stop()
+            assert q.exception() is None
+    finally:
+        spark.conf.unset(provider)
+    got = spark.read.parquet(f"{tmp_path}/deltas").groupBy("fingerprint", "first_ts").agg(F.sum("added").alias("n")).collect()
+    assert sorted((r.fingerprint, r.first_ts, r.n) for r in got) == [("f", at(0), 2), ("f", at(10), 2), ("f", at(21), 1), ("g", T0, 3), ("h", T0 + timedelta(days=1000), 1), ("k", at(50), 2), ("k", at(60), 1), ("k", at(61), 1)]
+
+
+def test_late_hits_and_wrong_clocks(spark, tmp_path):
+    """The same rule in the batches of the detection loop; late hits may also be given windows of their own."""
+    rules = detect.rule_set(spark, [("r", RULE)])
+    parts = [[envelope(1, 60)], [envelope(2, 60 * 24 * 1000)], [envelope(3, 62), envelope(4, 63)], [envelope(5, 50)], [envelope(6, 53), envelope(7, 64)]]
+    for anchor, want in ((True, [(50, 2), (60, 3), (64, 1)]), (False, [(50, 1), (53, 1), (60, 4)])):
+        out = f"file://{tmp_path}/{anchor}"
+        run = pipeline.detection_batch(spark, lambda: rules, None, None, out, window=timedelta(minutes=5), anchor_late=anchor)
+        for number, lines in enumerate(parts):
+            lines = [x.replace('"A"', '"B"') if '"e2"' in x else x for x in lines]
+            df = spark.read.schema(ENVELOPE).json(spark.sparkContext.parallelize(lines)).withColumnRenamed("timestamp", "ts")
+            run(df, number)
+        got = sorted(((r.first_ts - T0).total_seconds() / 60, r["count"]) for r in sinks.read_alerts(spark, f"{out}/alerts").where("asset_id = 'A'").collect())
+        assert got == want
 
 
 def test_sinks_may_be_replayed(spark, tmp_path):
@@ -138,9 +167,11 @@ def test_a_batch_that_fails_at_any_write_and_comes_again(spark, tmp_path, monkey
 def test_late_hits_form_windows_of_their_own(spark):
     hits = lambda *minutes: spark.createDataFrame([("f", "r", "A", "s", f"h{m}", T0 + timedelta(minutes=m), 3) for m in minutes], "fingerprint string, rule_id string, asset_id string, source string, id string, ts timestamp, severity int")
     opened = spark.createDataFrame([("f", T0 + timedelta(minutes=10)), ("g", T0)], "fingerprint string, first_ts timestamp")
-    got = sorted((r.first_ts, r.added, r.is_new, r.late) for r in pipeline.alert_deltas(hits(8, 11, 14, 15), opened, timedelta(minutes=5)).collect())
+    got = sorted((r.first_ts, r.added, r.is_new, r.late) for r in pipeline.alert_deltas(hits(8, 11, 14, 15), opened, timedelta(minutes=5), anchor_late=False).collect())
     at = lambda m: T0 + timedelta(minutes=m)
     assert got == [(at(8), 1, True, True), (at(10), 2, False, False), (at(15), 1, True, False)]
+    anchored = pipeline.alert_deltas(hits(8, 11, 14, 15), opened, timedelta(minutes=5)).collect()
+    assert sorted((r.first_ts, r.added, r.is_new) for r in anchored) == [(at(8), 2, True), (at(14), 2, True)]
 
 
 def test_correlation_batches(spark, tmp_path):

@@ -107,8 +107,10 @@ def parse_verdict(text: Column | str) -> Column:
 
 
 def md_cell(c: Column | str) -> Column:
+    """The text as code in a table cell, of 160 characters at most."""
     v = F.replace(F.replace(F.replace(F.coalesce(_c(c), F.lit("")), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|"))
-    return F.when(v == "", "-").when(F.length(v) > 160, F.concat(F.substring(v, 1, 160), F.lit("…"))).otherwise(v)
+    mark = F.lit("`")
+    return F.when(v == "", "-").otherwise(F.concat(mark, F.when(F.length(v) > 160, F.concat(F.substring(v, 1, 157), F.lit("…"))).otherwise(v), mark))
 
 
 def cut(c: Column | str, n: int) -> Column:
@@ -144,9 +146,9 @@ def ja3s(version: Column, cipher: Column, extensions: Column) -> Column:
 
 
 def http_head(payload: Column | str) -> Column:
-    """struct<method, uri, host, user_agent> of a request's head; null if it is none. Headers over 512 characters are dropped, the URI is cut there."""
+    """struct<method, uri, host, user_agent> of a head in HTTP/1; null if it is none. Headers over 512 characters are dropped, the URI is cut there."""
     p = F.substring(_c(payload), 1, 4096)
-    line = r"^(GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH|CONNECT|TRACE) ([^ \r\n]+)"
+    line = r"^(GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH|CONNECT|TRACE) ([^ \r\n]*) HTTP/1\."
     head = F.regexp_extract(p, r"(?s)^(.*?)(\r?\n\r?\n|$)", 1)
     header = lambda name: F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
     short = lambda v: F.when((v != "") & (F.length(v) <= 512), v)

@@ -6,10 +6,12 @@ no JSON is parsed for them. Every operator keeps the events' partitioning: rules
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,27 @@ def rule_set(spark: SparkSession, sources: Iterable[tuple[str, str | dict]], fin
     return RuleSet(tuple(rules), spark.createDataFrame(table, RULES_SCHEMA), spark.createDataFrame(skipped, "name string, skip_reason string"), fingerprint)
 
 
+def check_rules(sources: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """sources (name, rule: YAML or JSON text): (name, rule_id, title, class_uid, skip_reason), one row each, compiled where the rows lie. known: (rule_id) of stored rules, which a new one may not replace."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, text in zip(batch["name"], batch["rule"], strict=True):
+                try:
+                    rule = compile_rule(json.loads(text) if text.lstrip().startswith("{") else text)
+                    out.append((name, rule.id, rule.title, rule.class_uid, None))
+                except (RuleRejected, ValueError) as e:
+                    out.append((name, None, None, None, str(e)))
+            yield pd.DataFrame(out, columns=["name", "rule_id", "title", "class_uid", "skip_reason"]).astype({"class_uid": "Int32"})
+
+    checked = sources.select("name", F.coalesce("rule", F.lit("")).alias("rule")).mapInPandas(run, "name string, rule_id string, title string, class_uid int, skip_reason string")
+    if known is None:
+        return checked
+    stored = known.select("rule_id").distinct().withColumn("_known", F.lit(True))
+    return checked.join(stored, "rule_id", "left").select("name", "rule_id", "title", "class_uid", F.when(F.col("_known"), F.concat(F.lit("a rule has this id: "), "rule_id")).otherwise(F.col("skip_reason")).alias("skip_reason"))
+
+
 def _in_scope(rule: Rule, class_uid: Column, os: Column) -> Column:
     """Class and system gates: an unknown system doesn't exclude a rule."""
     out = F.lit(True) if rule.class_uid is None else F.coalesce(class_uid == rule.class_uid, F.lit(False))
@@ -241,13 +264,16 @@ def attack_coverage(rules: DataFrame, tactics: Iterable[str]) -> tuple[DataFrame
     return cells, totals, summary
 
 
-def rule_load_report(rules: RuleSet) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(one row: total, loaded, live, rate; rules per class; skip reasons with a sample)."""
+def rule_load_report(rules: RuleSet | DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(one row: total, loaded, live, rate; rules per class; skip reasons with a sample) of a rule set or of what check_rules gives."""
+    if isinstance(rules, RuleSet):
+        loaded, skipped = rules.rules_df, rules.skipped_df
+    else:
+        loaded, skipped = rules.where("skip_reason is null"), rules.where("skip_reason is not null")
     live = F.col("class_uid").isNull() | F.col("class_uid").isin(*CLASS_SOURCES)
-    loaded = rules.rules_df.agg(F.count("*").alias("loaded"), F.count_if(live).alias("live"))
-    skipped = rules.skipped_df.agg(F.count("*").alias("skipped"))
-    one = loaded.join(skipped).select((F.col("loaded") + F.col("skipped")).alias("total"), "loaded", "live", F.try_divide(F.col("loaded"), F.col("loaded") + F.col("skipped")).alias("rate"))
-    return one, rules.rules_df.groupBy("class_uid").count(), rules.skipped_df.groupBy("skip_reason").agg(F.count("*").alias("count"), F.min("name").alias("sample"))
+    counts = loaded.agg(F.count("*").alias("loaded"), F.count_if(live).alias("live"))
+    one = counts.join(skipped.agg(F.count("*").alias("skipped"))).select((F.col("loaded") + F.col("skipped")).alias("total"), "loaded", "live", F.try_divide(F.col("loaded"), F.col("loaded") + F.col("skipped")).alias("rate"))
+    return one, loaded.groupBy("class_uid").count(), skipped.groupBy("skip_reason").agg(F.count("*").alias("count"), F.min("name").alias("sample"))
 
 
 def replay_corpus(cases: DataFrame, rules: RuleSet) -> DataFrame:

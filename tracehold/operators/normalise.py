@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import conn_tuple, empty_to_null, event_xml_field, event_xml_id, event_xml_pid, os_lower, parse_syslog, partition_key, stable_id, strip_nul, syslog_severity
+from ..functions.scalars import conn_tuple, empty_to_null, event_xml_field, event_xml_id, event_xml_pid, os_lower, parse_syslog, partition_key, stable_id, strip_nul
 
 NIL = "00000000-0000-0000-0000-000000000000"
 GUID = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
@@ -56,19 +56,19 @@ def attach_asset_host_then_ip(df: DataFrame, assets: DataFrame, host: str, ip: s
 
 
 def agent_events(df: DataFrame, assets: DataFrame) -> DataFrame:
-    """Agent records to envelopes: times from nanoseconds, bad GUIDs to null, bad bodies to {}, stable ids."""
+    """Agent records to envelopes: times from nanoseconds, bad GUIDs to null, bad bodies to {}, ids fixed by all that tells two events apart."""
     rows = attach_asset_by_agent(df, assets)
     raw = strip_nul("raw_json")
     path = F.try_variant_get(F.try_parse_json(raw), "$.file.path", "string")
     return rows.select(
         F.lit(1).alias("version"),
-        stable_id("agent_id", "ts_unix_ns", "class_uid", "raw_json").alias("id"),
+        stable_id("agent_id", "ts_unix_ns", "class_uid", "process_guid", "parent_process_guid", "conn_tuple", F.when(F.try_parse_json("raw_json").isNotNull(), F.col("raw_json")).otherwise("{}")).alias("id"),
         partition_key(F.col("asset_id"), F.col("agent_id")).alias("partition_key"),
         ns_to_ts("ts_unix_ns").alias("ts"),
         "class_uid", F.lit("agent").alias("source"), "asset_id", "asset_os",
         guid_or_null("process_guid").alias("process_guid"), guid_or_null("parent_process_guid").alias("parent_process_guid"),
         empty_to_null("username").alias("username"), empty_to_null("conn_tuple").alias("conn_tuple"),
-        F.when(F.col("class_uid") == 1001, path).alias("fingerprint_suffix"), raw.alias("raw"),
+        F.when(F.col("class_uid") == 1001, F.concat(F.lit("|"), path)).alias("fingerprint_suffix"), raw.alias("raw"),
     )
 
 
@@ -78,48 +78,69 @@ def _object(**fields: Column) -> Column:
 
 
 def flow_body(df: DataFrame) -> DataFrame:
-    """df of flow records with `body`: duration, totals, both directions, and DNS, TLS and HTTP blocks where they have anything."""
+    """df of flow records with `class_uid` and `body`: duration, totals, both directions, and DNS, TLS and HTTP blocks where they have anything; names in order."""
     e = empty_to_null
     c = F.col
-    end = lambda ip, port, packets, size: F.struct(c(ip).alias("ip"), c(port).alias("port"), c(packets).alias("packets"), c(size).alias("bytes"))
-    answers = F.when(F.size(F.coalesce("dns_answers", F.array().cast("array<string>"))) > 0, F.transform("dns_answers", lambda a: F.struct(a.alias("ip"))))
-    cert = _object(subject=e("tls_cert_subject"), issuer=e("tls_cert_issuer"), self_signed=F.when(e("tls_cert_subject").isNotNull(), c("tls_cert_self_signed")), not_before=e("tls_cert_not_before"), not_after=e("tls_cert_not_after"))
+    text = lambda name: F.coalesce(c(name).cast("string"), F.lit(""))
+    end = lambda ip, port: F.struct(c(ip).alias("ip"), c(port).alias("port"))
+    named = text("dns_query") != ""
+    answers = F.when(named & (F.size(F.coalesce("dns_answers", F.array().cast("array<string>"))) > 0), F.transform("dns_answers", lambda a: F.struct(a.alias("ip"))))
+    cert = F.when(text("tls_cert_subject") != "", F.struct(text("tls_cert_issuer").alias("issuer"), text("tls_cert_not_after").alias("not_after"), text("tls_cert_not_before").alias("not_before"), c("tls_cert_self_signed").alias("self_signed"), c("tls_cert_subject").alias("subject")))
+    request = F.struct(text("http_host").alias("hostname"), F.struct(text("http_uri").alias("path")).alias("url"), text("http_user_agent").alias("user_agent"))
     body = F.struct(
-        F.when(c("dns_query") != "", 4003).otherwise(4001).alias("class_uid"),
+        F.lit(6).alias("activity_id"),
+        answers.alias("answers"),
+        F.struct(c("protocol").alias("protocol_num"), c("tcp_flags").alias("tcp_flags")).alias("connection_info"),
+        end("dst_ip", "dst_port").alias("dst_endpoint"),
         F.expr("(end_unix_ns - start_unix_ns) div 1000000").alias("duration_ms"),
-        end("src_ip", "src_port", "src_packets", "src_bytes").alias("src_endpoint"),
-        end("dst_ip", "dst_port", "dst_packets", "dst_bytes").alias("dst_endpoint"),
-        F.struct(F.when(c("protocol") == 6, "tcp").otherwise("udp").alias("protocol_name"), c("tcp_flags").alias("tcp_flags")).alias("connection_info"),
-        F.struct((c("src_packets") + c("dst_packets")).alias("packets"), (c("src_bytes") + c("dst_bytes")).alias("bytes"), c("dst_bytes").alias("bytes_in"), c("src_bytes").alias("bytes_out"), c("dst_packets").alias("packets_in"), c("src_packets").alias("packets_out")).alias("traffic"),
-        _object(hostname=e("dns_query")).alias("query"), e("dns_rcode").alias("rcode"), answers.alias("answers"),
-        _object(sni=e("tls_sni"), ja3_hash=e("ja3"), ja3s_hash=e("ja3s"), certificate=cert).alias("tls"),
-        _object(hostname=e("http_host"), url=_object(path=e("http_uri")), user_agent=e("http_user_agent")).alias("http_request"),
+        F.when((text("http_host") != "") | (text("http_uri") != ""), request).alias("http_request"),
+        F.when(named, F.struct(c("dns_query").alias("hostname"), F.coalesce(c("dns_rcode").try_cast("int"), F.lit(0)).alias("rcode_id"))).alias("query"),
+        end("src_ip", "src_port").alias("src_endpoint"),
+        _object(cert=cert, ja3_hash=e("ja3"), ja3s_hash=e("ja3s"), sni=e("tls_sni")).alias("tls"),
+        F.struct((c("src_bytes") + c("dst_bytes")).alias("bytes"), c("dst_bytes").alias("bytes_in"), c("src_bytes").alias("bytes_out"), (c("src_packets") + c("dst_packets")).alias("packets"), c("dst_packets").alias("packets_in"), c("src_packets").alias("packets_out")).alias("traffic"),
     )
-    return df.withColumn("body", body)
+    return df.withColumns({"class_uid": F.when(named, 4003).otherwise(4001), "body": body})
 
 
 def read_flows(df: DataFrame, assets: DataFrame, sensor: str = "sensor") -> DataFrame:
+    """Flow records to envelopes, at the time the flow began."""
     rows = attach_asset_by_ip(flow_body(df), assets, "src_ip")
     key = conn_tuple(F.col("protocol"), F.col("src_ip"), F.col("src_port"), F.col("dst_ip"), F.col("dst_port"))
     raw = F.to_json("body")
-    return rows.select(F.lit(1).alias("version"), stable_id(F.lit(sensor), "start_unix_ns", "end_unix_ns", key).alias("id"), partition_key(F.col("asset_id"), F.col("src_ip")).alias("partition_key"), ns_to_ts("end_unix_ns").alias("ts"), F.col("body.class_uid").alias("class_uid"), F.lit("sensor").alias("source"), "asset_id", "asset_os", key.alias("conn_tuple"), raw.alias("raw"))
+    return rows.select(F.lit(1).alias("version"), stable_id(F.lit(sensor), "start_unix_ns", "end_unix_ns", key, raw).alias("id"), partition_key(F.col("asset_id"), F.col("src_ip")).alias("partition_key"), ns_to_ts("start_unix_ns").alias("ts"), "class_uid", F.lit("sensor").alias("source"), "asset_id", "asset_os", key.alias("conn_tuple"), raw.alias("raw"))
+
+
+def _rfc3339(ts: Column) -> Column:
+    """The time in UTC with as many digits after the second as it has."""
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    return F.concat(F.regexp_replace(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0*$", ""), F.lit("Z"))
 
 
 def read_syslog(df: DataFrame, assets: DataFrame | None = None) -> DataFrame:
-    """Lines (line, from_ip, received_at), cut at 65536 characters, to application events."""
+    """Lines (line, from_ip, received_at), cut at 65536 characters, to application events. A line with a time of its own has the same id whenever it comes."""
     rows = df.withColumn("m", parse_syslog(F.substring("line", 1, 65536), F.col("received_at")))
     rows = rows.withColumns({"hostname": F.col("m.hostname"), "ts": F.col("m.ts")})
     rows = attach_asset_host_then_ip(rows, assets, "hostname", "from_ip") if assets is not None else rows.withColumns({"asset_id": F.lit(None).cast("string"), "asset_os": F.lit(None).cast("string")})
-    body = F.struct(F.col("m.content").alias("message"), syslog_severity(F.col("m.severity")).alias("severity_id"), F.struct(F.struct(F.col("m.app").alias("name")).alias("product"), F.lit("syslog").alias("log_name")).alias("metadata"), F.col("m.procid").alias("pid"), F.struct(F.col("m.hostname").alias("hostname")).alias("device"), F.col("m.facility").alias("facility"))
-    origin = F.concat_ws(":", F.lit("syslog"), F.coalesce("hostname", "from_ip"))
-    return rows.select(stable_id(F.lit("syslog"), "from_ip", "received_at", "line").alias("id"), partition_key(F.col("asset_id"), origin).alias("partition_key"), "ts", F.lit(100001).alias("class_uid"), F.lit("syslog").alias("source"), "asset_id", "asset_os", body.alias("body"), F.to_json(body).alias("raw"))
+    part = lambda name: F.coalesce(F.col(f"m.{name}"), F.lit(""))
+    body = F.struct(
+        F.lit(1).alias("activity_id"),
+        F.struct(F.struct(part("procid").alias("pid")).alias("process")).alias("actor"),
+        F.struct(part("hostname").alias("hostname")).alias("device"),
+        F.col("m.facility").alias("facility"),
+        F.col("m.content").alias("message"),
+        F.struct(part("msgid").alias("log_name"), F.struct(part("app").alias("name")).alias("product")).alias("metadata"),
+        F.col("m.severity").alias("severity_id"),
+    )
+    origin = F.coalesce(empty_to_null("hostname"), F.col("from_ip"), F.lit(""))
+    return rows.select(stable_id(F.lit("syslog"), origin, _rfc3339(F.col("ts")), part("app"), part("procid"), part("content")).alias("id"), partition_key(F.col("asset_id"), origin).alias("partition_key"), "ts", F.lit(100001).alias("class_uid"), F.lit("syslog").alias("source"), "asset_id", "asset_os", body.alias("body"), F.to_json(body).alias("raw"))
 
 
 def process_body(df: DataFrame) -> DataFrame:
-    """df: activity (1 launch, 2 terminate), pid, path, cmd_line, sha256, user, parent_pid, parent_path, parent_cmd_line."""
+    """df: activity (1 launch, 2 terminate), pid, path, cmd_line, sha256, user, parent_pid, parent_path, parent_cmd_line; and where it has them uid, parent_uid (process GUIDs) and exit_code."""
     c = F.col
-    parent = F.struct(c("parent_pid").alias("pid"), _object(path=empty_to_null("parent_path")).alias("file"), empty_to_null("parent_cmd_line").alias("cmd_line"))
-    process = F.struct(c("pid"), _object(path=empty_to_null("path"), name=empty_to_null(F.element_at(F.split("path", r"[\\/]"), -1)), sha256=empty_to_null("sha256")).alias("file"), empty_to_null("cmd_line").alias("cmd_line"), F.when(c("activity") == 1, parent).alias("parent_process"))
+    own = lambda name, kind: c(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+    parent = F.struct(c("parent_pid").alias("pid"), empty_to_null(own("parent_uid", "string")).alias("uid"), _object(path=empty_to_null("parent_path")).alias("file"), empty_to_null("parent_cmd_line").alias("cmd_line"))
+    process = F.struct(c("pid"), empty_to_null(own("uid", "string")).alias("uid"), own("exit_code", "int").alias("exit_code"), _object(path=empty_to_null("path"), name=empty_to_null(F.element_at(F.split("path", r"[\\/]"), -1)), sha256=empty_to_null("sha256")).alias("file"), empty_to_null("cmd_line").alias("cmd_line"), F.when(c("activity") == 1, parent).alias("parent_process"))
     return df.withColumn("body", F.struct(F.lit(1007).alias("class_uid"), c("activity").alias("activity_id"), process.alias("process"), _object(user=_object(name=empty_to_null("user"))).alias("actor")))
 
 
@@ -131,40 +152,58 @@ def conn_body(df: DataFrame) -> DataFrame:
 
 
 def change_body(df: DataFrame) -> DataFrame:
-    """Bodies of snapshot changes (kind, key, value, old_value, activity): registry value, file, module, or another persistence object."""
+    """Bodies of snapshot changes (kind, key, value, old_value, activity): registry value, file, module, WMI subscription (a file event with the instance beside its path), or another persistence object."""
     c = F.col
     registry = F.struct(F.lit(201002).alias("class_uid"), c("activity").alias("activity_id"), F.struct(c("key").alias("path")).alias("reg_key"), F.struct(F.coalesce("value", "old_value").alias("data")).alias("reg_value"))
     file = F.struct(F.lit(1001).alias("class_uid"), c("activity").alias("activity_id"), F.struct(c("key").alias("path"), c("value").alias("sha256")).alias("file"))
     module = F.struct(F.lit(1005).alias("class_uid"), c("activity").alias("activity_id"), F.struct(F.struct(c("key").alias("path")).alias("file"), c("value").alias("base_address")).alias("module"))
+    wmi = F.struct(F.lit(1001).alias("class_uid"), c("activity").alias("activity_id"), F.struct(c("key").alias("path")).alias("file"), F.struct(F.coalesce("value", "old_value").alias("data")).alias("wmi"))
     other = F.struct(F.lit(100001).alias("class_uid"), c("activity").alias("activity_id"), c("kind").alias("object"), c("key").alias("name"), F.coalesce("value", "old_value").alias("data"))
     kind = c("kind")
-    class_uid = F.when(kind == "registry", 201002).when(kind == "file", 1001).when(kind == "module", 1005).otherwise(100001)
-    raw = F.when(kind == "registry", F.to_json(registry)).when(kind == "file", F.to_json(file)).when(kind == "module", F.to_json(module)).otherwise(F.to_json(other))
+    class_uid = F.when(kind == "registry", 201002).when(kind.isin("file", "wmi"), 1001).when(kind == "module", 1005).otherwise(100001)
+    raw = F.when(kind == "registry", F.to_json(registry)).when(kind == "file", F.to_json(file)).when(kind == "module", F.to_json(module)).when(kind == "wmi", F.to_json(wmi)).otherwise(F.to_json(other))
     return df.withColumns({"class_uid": class_uid, "raw": raw})
 
 
 #: Security-log event ids and their activities.
-AUTH_ACTIVITIES = {4624: 1, 4625: 1, 4634: 2, 4647: 2, 4648: 1, 4672: 10, 4720: 11, 4726: 12, 4728: 13, 4732: 13, 4738: 14, 1102: 15}
+AUTH_ACTIVITIES = {4624: 1, 4625: 1, 4720: 10, 4726: 11, 4732: 12, 1102: 13, 4648: 14, 4719: 15}
 
 
 def windows_events(df: DataFrame) -> DataFrame:
-    """df (agent_id, ts, xml) to authentication (3002) and script block (1007) events; machine and service logons and empty blocks are dropped."""
+    """df (agent_id, ts, xml) to authentication (3002) and script block (1007) events.
+
+    Logons, accounts and explicit credentials of machine and service accounts, service logons and empty blocks are dropped. A change of a group
+    is about the member (- is none), and names the group; audit policy and cleared logs are about who did it.
+    """
     event, xml = F.col("event_id"), F.col("xml")
     field = lambda name: event_xml_field(xml, name)
+    given = lambda name: F.coalesce(field(name), F.lit(""))
+    only = lambda *ids: lambda c: F.when(event.isin(*ids), c)
     activity = F.element_at(F.create_map(*[F.lit(x) for kv in AUTH_ACTIVITIES.items() for x in kv]), event)
-    status = field("Status")
-    auth = F.struct(F.lit(3002).alias("class_uid"), activity.alias("activity_id"), F.when(event == 4625, 2).when(activity.isNotNull(), 1).alias("status_id"), F.struct(field("TargetUserName").alias("name"), field("TargetDomainName").alias("domain")).alias("user"), F.struct(F.struct(field("SubjectUserName").alias("name")).alias("user"), F.struct(field("TargetLogonId").alias("uid")).alias("session")).alias("actor"), _object(ip=F.when(field("IpAddress") != "-", field("IpAddress"))).alias("src_endpoint"), field("LogonType").try_cast("int").alias("logon_type_id"), F.when((event == 4625), status).alias("status_code"), F.when(event == 4625, field("SubStatus")).alias("status_detail"))
+    logon, failed, account, group, policy, explicit = only(4624, 4625), only(4625), only(4720, 4726), only(4732), only(4719), only(4648)
+    member = F.when(given("MemberName") == "-", "").otherwise(given("MemberName"))
+    target = given("TargetUserName")
+    user = F.when(event == 4732, member).when(event.isin(1102, 4719), given("SubjectUserName")).otherwise(target)
+    auth = F.struct(
+        F.lit(3002).alias("class_uid"), activity.alias("activity_id"), F.when(event == 4625, 2).otherwise(1).alias("status_id"), F.struct(user.alias("name")).alias("user"),
+        only(4720, 4726, 4732, 4648)(given("SubjectUserName")).alias("actor_user"), account(given("TargetDomainName")).alias("target_domain"), group(target).alias("group_name"),
+        only(4624, 4625, 4648)(F.struct(given("IpAddress").alias("ip"))).alias("src_endpoint"), logon(F.struct(F.concat(F.lit("logon-type-"), given("LogonType")).alias("name"))).alias("service"),
+        logon(empty_to_null(given("Status"))).alias("status_code"), logon(empty_to_null(given("SubStatus"))).alias("status_detail"), only(1102)(F.lit(True)).alias("log_cleared"),
+        explicit(given("TargetServerName")).alias("target_server"), explicit(given("ProcessName")).alias("process_name"),
+        policy(F.coalesce(field("Category"), given("CategoryId"))).alias("policy_category"), policy(F.coalesce(field("Subcategory"), given("SubcategoryId"))).alias("policy_subcategory"), policy(given("AuditPolicyChanges")).alias("policy_changes"),
+    )
     script = F.struct(F.lit(1007).alias("class_uid"), F.lit(1).alias("activity_id"), F.struct(event_xml_pid(xml).alias("pid"), field("ScriptBlockText").alias("cmd_line"), F.struct(field("Path").alias("path")).alias("file")).alias("process"), F.struct(field("MessageNumber").try_cast("int").alias("number"), field("MessageTotal").try_cast("int").alias("total")).alias("fragment"))
     is_script = event == 4104
-    user = field("TargetUserName")
-    dropped = (~is_script & F.coalesce(user.endswith("$"), F.lit(False))) | ((event == 4624) & field("LogonType").isin("0", "5")) | (is_script & (F.coalesce(F.trim(field("ScriptBlockText")), F.lit("")) == ""))
+    machine = target.isin("", "-") | target.endswith("$") | (F.upper(target) == "SYSTEM")
+    dropped = (event.isin(4624, 4625, 4720, 4726, 4648) & machine) | ((event == 4732) & member.endswith("$")) | ((event == 4624) & given("LogonType").isin("0", "5")) | (is_script & (F.trim(given("ScriptBlockText")) == ""))
     rows = df.withColumn("event_id", event_xml_id("xml")).where(is_script | activity.isNotNull()).where(~dropped)
     return rows.select("agent_id", "ts", "event_id", F.when(is_script, 1007).otherwise(3002).alias("class_uid"), F.when(~is_script, user).alias("username"), F.when(is_script, F.to_json(script)).otherwise(F.to_json(auth)).alias("raw"))
 
 
 def login_records(df: DataFrame) -> DataFrame:
-    """df (user, host, line, failure, ts) to authentication events."""
-    body = F.struct(F.lit(3002).alias("class_uid"), F.lit(1).alias("activity_id"), F.when(F.col("failure"), 2).otherwise(1).alias("status_id"), F.struct(F.col("user").alias("name")).alias("user"), _object(ip=empty_to_null("host")).alias("src_endpoint"), F.struct(F.col("line").alias("terminal")).alias("session"))
+    """df (user, host, line, failure, ts) to authentication events; the terminal is the service."""
+    text = lambda name: F.coalesce(name, F.lit(""))
+    body = F.struct(F.lit(3002).alias("class_uid"), F.lit(1).alias("activity_id"), F.when(F.col("failure"), 2).otherwise(1).alias("status_id"), F.struct(F.col("user").alias("name")).alias("user"), F.struct(text("host").alias("ip")).alias("src_endpoint"), F.struct(text("line").alias("name")).alias("service"))
     return df.select("ts", F.lit(3002).alias("class_uid"), F.col("user").alias("username"), F.to_json(body).alias("raw"))
 
 

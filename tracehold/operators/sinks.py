@@ -79,16 +79,18 @@ def _date(df: DataFrame) -> DataFrame:
     return df.withColumn("date", F.to_date("ts"))
 
 
+def _of_dates(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """Stored events of the dates that rows have: partitions are pruned by the set of dates, of which there is one for each day at most, so an old event doesn't read the days between."""
+    return stored.join(F.broadcast(rows.select("date").distinct()), "date", "left_semi")
+
+
 def unseen(batch: DataFrame, path: str, number: int = 0) -> DataFrame:
     """Rows of the batch, one an id, that no other batch has stored; only the batch's own dates are looked at."""
     spark = batch.sparkSession
     new = batch.dropDuplicates(["id"])
     if not exists(spark, path):
         return new
-    span = new.agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi")).head()
-    if span["lo"] is None:
-        return new
-    known = spark.read.parquet(path).where(F.col("date").between(span["lo"], span["hi"]) & (F.col("batch") != number)).select("id")
+    known = _of_dates(spark.read.parquet(path).where(F.col("batch") != number), _date(new)).select("id")
     return new.join(known, "id", "left_anti")
 
 
@@ -97,11 +99,7 @@ def write_events_idempotent(batch: DataFrame, path: str, number: int = 0) -> Non
     spark = batch.sparkSession
     new = _date(batch.dropDuplicates(["id"])).withColumn("batch", F.lit(number))
     if exists(spark, path):
-        span = new.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).head()
-        if span["lo"] is None:
-            return
-        known = spark.read.parquet(path).where(F.col("date").between(span["lo"], span["hi"])).select("id")
-        new = new.join(known, "id", "left_anti")
+        new = new.join(_of_dates(spark.read.parquet(path), new).select("id"), "id", "left_anti")
     new.write.mode("append").partitionBy("date", "class_uid").parquet(path)
 
 

@@ -210,7 +210,7 @@ def apply_status_changes(incidents: DataFrame, changes: DataFrame) -> tuple[Data
 
 
 def event_brief(events: DataFrame, n: int = 300) -> DataFrame:
-    return events.select("ts", "class_uid", "source", cut("raw", n).alias("raw"))
+    return events.select(*[c for c in ("id", "ts", "class_uid", "source") if c in events.columns], cut("raw", n).alias("raw"))
 
 
 def verdict_of(c: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -40,10 +40,10 @@ _AGENT_RAW = "case when k % 10 = 3 then 'bad {' when k % 10 = 4 then '{\"a\":\"x
 
 
 @query("agent_events", f"""r as (select *, 'ag' || asset_id as agent_id, epoch_us(ts) * 1000 as ns, {_AGENT_RAW} as raw_json from t)
-select {_stable_sql('agent_id', 'ns', 'class_uid', 'raw_json')} as id, case when asset_id % 5 = 0 then agent_id else asset_id::varchar end as partition_key, ts, class_uid, case when asset_id % 5 <> 0 then asset_id end as asset_id, case when asset_id % 5 <> 0 then os end as asset_os,
+select {_stable_sql('agent_id', 'ns', 'class_uid', 'guid', "'parent' || k % 3", 'conn_tuple', "case when k % 10 = 3 then '{}' else raw_json end")} as id, case when asset_id % 5 = 0 then agent_id else asset_id::varchar end as partition_key, ts, class_uid, case when asset_id % 5 <> 0 then asset_id end as asset_id, case when asset_id % 5 <> 0 then os end as asset_os,
   case when k % 2 = 0 then lower(substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12)) end as process_guid, username, conn_tuple,
-  case when class_uid = 1001 and k % 10 not in (3, 4) then '/opt/x' || k end as fingerprint_suffix, case when k % 10 = 3 then '{{}}' when k % 10 = 4 then '{{"a":"xy"}}' else raw_json end as raw
-from (select *, md5(event_id::varchar) as m from r)""")
+  case when class_uid = 1001 and k % 10 not in (3, 4) then '|/opt/x' || k end as fingerprint_suffix, case when k % 10 = 3 then '{{}}' when k % 10 = 4 then '{{"a":"xy"}}' else raw_json end as raw
+from (select *, case when k % 2 = 0 then upper(substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12)) else 'no guid' end as guid from (select *, md5(event_id::varchar) as m from r))""")
 def agent_events(spark, d):
     t = telemetry(spark, d)
     raw = F.expr("case when k % 10 = 3 then 'bad {' when k % 10 = 4 then '{\"a\":\"x\\\\u0000y\"}' else concat('{\"file\":{\"path\":\"/opt/x', k, '\"}}') end")
@@ -51,7 +51,7 @@ def agent_events(spark, d):
     guid = F.when(F.col("k") % 2 == 0, F.concat_ws("-", F.substring(m, 1, 8), F.substring(m, 9, 4), F.substring(m, 13, 4), F.substring(m, 17, 4), F.substring(m, 21, 12))).otherwise("no guid")
     agent = F.concat(F.lit("ag"), F.col("asset_id").cast("string"))
     blank = lambda c: F.coalesce(c, F.lit(""))
-    records = t.select(agent.alias("agent_id"), (F.unix_micros("ts") * 1000).alias("ts_unix_ns"), "class_uid", guid.alias("process_guid"), blank("username").alias("username"), blank("conn_tuple").alias("conn_tuple"), raw.alias("raw_json"), F.lit(None).cast("string").alias("parent_process_guid"), F.lit(0).cast("long").alias("dropped_events"))
+    records = t.select(agent.alias("agent_id"), (F.unix_micros("ts") * 1000).alias("ts_unix_ns"), "class_uid", guid.alias("process_guid"), blank("username").alias("username"), blank("conn_tuple").alias("conn_tuple"), raw.alias("raw_json"), F.concat(F.lit("parent"), (F.col("k") % 3).cast("string")).alias("parent_process_guid"), F.lit(0).cast("long").alias("dropped_events"))
     assets = assets_of(t).where("asset_id % 5 <> 0").withColumn("agent_id", agent).withColumn("os", F.initcap("os"))
     return normalise.agent_events(records, assets).select("id", "partition_key", "ts", "class_uid", "asset_id", "asset_os", "process_guid", "username", "conn_tuple", "fingerprint_suffix", "raw")
 
@@ -64,34 +64,38 @@ def flow_records(t):
     columns = {
         "start_unix_ns": start, "end_unix_ns": start + F.col("k").cast("long") * 1_000_000, "src_port": F.lit(40000), "protocol": F.when(F.col("k") % 3 == 0, 17).otherwise(6),
         "src_packets": F.lit(2).cast("long"), "src_bytes": F.col("k").cast("long"), "dst_packets": F.lit(1).cast("long"), "dst_bytes": F.lit(100).cast("long"), "tcp_flags": F.lit(18),
-        "dns_query": of(0, F.concat(F.lit("q"), k, F.lit(".example"))), "tls_sni": of(1, F.concat(F.lit("s"), k)), "ja3": none, "http_host": of(2, F.concat(F.lit("h"), k)), "http_uri": of(2, F.lit("/x")), "http_user_agent": none, "dns_rcode": none,
+        "dns_query": of(0, F.concat(F.lit("q"), k, F.lit(".example"))), "tls_sni": of(1, F.concat(F.lit("s"), k)), "ja3": none, "http_host": of(2, F.concat(F.lit("h"), k)), "http_uri": of(2, F.lit("/x")), "http_user_agent": none, "dns_rcode": F.col("k") % 3,
         "dns_answers": F.when(F.col("k") % 4 == 0, F.array(F.concat(F.lit("1.1.1."), k))), "ja3s": none, "tls_cert_subject": of(1, F.lit("cn")), "tls_cert_issuer": none, "tls_cert_self_signed": F.lit(True), "tls_cert_not_before": none, "tls_cert_not_after": none,
     }
     return t.where("class_uid = 4001").select("src_ip", "dst_ip", "dst_port", *[v.alias(c) for c, v in columns.items()])
 
 
-@query("read_flows", f"""c as (select *, case when k % 3 = 0 then 'udp' else 'tcp' end || ':' || src_ip || ':40000>' || dst_ip || ':' || dst_port as tuple from t where class_uid = 4001)
-select {_stable_sql("'sensor'", 'epoch_us(ts) * 1000', 'epoch_us(ts) * 1000 + k::bigint * 1000000', 'tuple')} as id, asset_id::varchar as partition_key, ts + k * interval 1 millisecond as ts, case when k % 4 = 0 then 4003 else 4001 end as class_uid, asset_id, os as asset_os, tuple as conn_tuple,
-  k as duration_ms, 100 + k as bytes, 3 as packets, case when k % 4 = 0 then 'q' || k || '.example' end as query, case when k % 4 = 0 then '1.1.1.' || k end as answer, case when k % 4 = 1 then 's' || k end as sni, case when k % 4 = 1 then true end as self_signed, case when k % 4 = 2 then 'h' || k end as host from c""")
+_FLOW_RAW = """'{"activity_id":6,' || case when k % 4 = 0 then '"answers":[{"ip":"1.1.1.' || k || '"}],' else '' end || '"connection_info":{"protocol_num":' || case when k % 3 = 0 then 17 else 6 end || ',"tcp_flags":18},"dst_endpoint":{"ip":"' || dst_ip || '","port":' || dst_port || '},"duration_ms":' || k
+  || case when k % 4 = 2 then ',"http_request":{"hostname":"h' || k || '","url":{"path":"/x"},"user_agent":""}' else '' end || case when k % 4 = 0 then ',"query":{"hostname":"q' || k || '.example","rcode_id":' || k % 3 || '}' else '' end || ',"src_endpoint":{"ip":"' || src_ip || '","port":40000}'
+  || case when k % 4 = 1 then ',"tls":{"cert":{"issuer":"","not_after":"","not_before":"","self_signed":true,"subject":"cn"},"sni":"s' || k || '"}' else '' end || ',"traffic":{"bytes":' || (100 + k) || ',"bytes_in":100,"bytes_out":' || k || ',"packets":3,"packets_in":1,"packets_out":2}}'"""
+
+
+@query("read_flows", f"""c as (select *, case when k % 3 = 0 then 'udp' else 'tcp' end || ':' || src_ip || ':40000>' || dst_ip || ':' || dst_port as tuple, {_FLOW_RAW} as raw from t where class_uid = 4001)
+select {_stable_sql("'sensor'", 'epoch_us(ts) * 1000', 'epoch_us(ts) * 1000 + k::bigint * 1000000', 'tuple', 'raw')} as id, asset_id::varchar as partition_key, ts, case when k % 4 = 0 then 4003 else 4001 end as class_uid, asset_id, os as asset_os, tuple as conn_tuple, raw from c""")
 def read_flows(spark, d):
+    """Whole bodies, with names in order, and ids over all of them."""
     t = telemetry(spark, d)
-    out = normalise.read_flows(flow_records(t), assets_of(t))
-    f = body_fields(out, duration_ms="$.duration_ms:int", bytes="$.traffic.bytes:int", packets="$.traffic.packets:int", query="$.query.hostname:string", answer="$.answers[0].ip:string", sni="$.tls.sni:string", self_signed="$.tls.certificate.self_signed:boolean", host="$.http_request.hostname:string")
-    return out.select("id", "partition_key", "ts", "class_uid", "asset_id", "asset_os", "conn_tuple", *f.values())
+    return normalise.read_flows(flow_records(t), assets_of(t)).select("id", "partition_key", "ts", "class_uid", "asset_id", "asset_os", "conn_tuple", "raw")
 
 
 @query("read_syslog", f"""l as (select *, case when k % 3 = 0 then 'nobody' else 'HOST' || asset_id end as host from t)
-select event_id, date_trunc('second', ts) as ts, case (k + 10) % 8 when 0 then 5 when 1 then 5 when 2 then 5 when 3 then 4 when 4 then 3 when 5 then 2 when 6 then 2 else 1 end as severity_id, (k + 10) // 8 as facility, 'app' as app, (k + 1)::varchar as pid, host as hostname,
-  case when k % 3 = 0 and k % 2 = 0 then null else asset_id end as asset_id, case when k % 3 = 0 and k % 2 = 0 then 'syslog:nobody' else asset_id::varchar end as partition_key from l""")
+select {_stable_sql("'syslog'", 'host', "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')", "'app'", '(k + 1)::varchar', 'event_id')} as id, event_id, date_trunc('second', ts) as ts, (k + 10) % 8 as severity_id, (k + 10) // 8 as facility, 'app' as app, (k + 1)::varchar as pid, case when k % 2 = 0 then 'ID' || k else '' end as log_name, host as hostname,
+  case when k % 3 = 0 and k % 2 = 0 then null else asset_id end as asset_id, case when k % 3 = 0 and k % 2 = 0 then 'nobody' else asset_id::varchar end as partition_key from l""")
 def read_syslog(spark, d):
-    """Hosts are known by name in any case, else by address, else neither."""
+    """Hosts are known by name in any case, else by address, else neither. Every line comes twice, an hour apart: both have one id."""
     t = telemetry(spark, d)
     host = F.when(F.col("k") % 3 == 0, "nobody").otherwise(F.concat(F.lit("HOST"), F.col("asset_id").cast("string")))
-    line = F.concat(F.lit("<"), (F.col("k") + 10).cast("string"), F.lit(">1 "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" "), host, F.lit(" app "), (F.col("k") + 1).cast("string"), F.lit(" - - "), F.col("event_id").cast("string"), F.lit("\r\n"))
-    lines = t.select(line.alias("line"), F.when(F.col("k") % 2 == 0, "192.168.0.1").otherwise(address(F.col("asset_id"))).alias("from_ip"), F.col("ts").alias("received_at"))
-    out = normalise.read_syslog(lines, assets_of(t))
-    f = body_fields(out, event_id="$.message:bigint", severity_id="$.severity_id:int", facility="$.facility:int", app="$.metadata.product.name:string", pid="$.pid:string", hostname="$.device.hostname:string")
-    return out.select("ts", "asset_id", "partition_key", *f.values())
+    message_id = F.when(F.col("k") % 2 == 0, F.concat(F.lit("ID"), F.col("k").cast("string"))).otherwise("-")
+    line = F.concat(F.lit("<"), (F.col("k") + 10).cast("string"), F.lit(">1 "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" "), host, F.lit(" app "), (F.col("k") + 1).cast("string"), F.lit(" "), message_id, F.lit(" - "), F.col("event_id").cast("string"), F.lit("\r\n"))
+    lines = t.select(line.alias("line"), F.when(F.col("k") % 2 == 0, "192.168.0.1").otherwise(address(F.col("asset_id"))).alias("from_ip"), F.explode(F.array(F.col("ts"), F.col("ts") + F.expr("interval 1 hour"))).alias("received_at"))
+    out = normalise.read_syslog(lines, assets_of(t)).dropDuplicates(["id"])
+    f = body_fields(out, event_id="$.message:bigint", severity_id="$.severity_id:int", facility="$.facility:int", app="$.metadata.product.name:string", pid="$.actor.process.pid:string", log_name="$.metadata.log_name:string", hostname="$.device.hostname:string")
+    return out.select("id", "ts", "asset_id", "partition_key", *f.values())
 
 
 def _xml(event, fields):
@@ -99,28 +103,34 @@ def _xml(event, fields):
     return F.concat(F.lit("<Event><System><EventID>"), event.cast("string"), F.lit("</EventID><Execution ProcessID='77'/></System><EventData>"), data, F.lit("</EventData></Event>"))
 
 
-@query("windows_events", """w as (select event_id as source_event, case when status_id = 2 then 4625 when status_id = 1 then 4624 when class_uid in (1001, 1007) then 4104 else 1 end as event_id, username || case when k % 9 = 0 then '$' else '' end as username, k % 6 as logon_type, exe_path, k from t)
-select source_event, event_id, case event_id when 4104 then 1007 else 3002 end as class_uid, case when event_id <> 4104 then username end as username, case event_id when 4625 then 2 when 4624 then 1 end as status_id, case when event_id <> 4104 then logon_type end as logon_type_id, case when event_id = 4104 then exe_path end as cmd_line, case when event_id = 4104 then 77 end as pid
-from w where event_id <> 1 and not (event_id <> 4104 and k % 9 = 0) and not (event_id = 4624 and logon_type in (0, 5)) and not (event_id = 4104 and k % 10 = 0)""")
+@query("windows_events", """w as (select event_id as source_event, case when status_id = 2 then 4625 when status_id = 1 then 4624 when class_uid in (1001, 1007) then 4104 when class_uid = 4001 then [4720, 4732, 1102, 4648, 4719][1 + k % 5] else 1 end as event_id, coalesce(username, 'who' || k) || case when k % 9 = 0 then '$' else '' end as username, k % 6 as logon_type, exe_path, k from t)
+select source_event, event_id, case event_id when 4104 then 1007 else 3002 end as class_uid, case event_id when 4104 then null when 4732 then case when k % 2 = 0 then '' else 'CN=m' || k end when 1102 then 'by' || k when 4719 then 'by' || k else username end as username,
+  case event_id when 4625 then 2 when 4104 then null else 1 end as status_id, case event_id when 4624 then 1 when 4625 then 1 when 4720 then 10 when 4732 then 12 when 1102 then 13 when 4648 then 14 when 4719 then 15 else 1 end as activity_id, case when event_id in (4624, 4625) then 'logon-type-' || logon_type end as service, case event_id when 4732 then username end as group_name,
+  case when event_id in (4720, 4732, 4648) then 'by' || k end as actor_user, case event_id when 1102 then true end as log_cleared, case event_id when 4648 then 'srv' end as target_server, case event_id when 4719 then 'c1' end as policy_category, case event_id when 4625 then '0xC000006A' end as status_code, case when event_id = 4104 then exe_path end as cmd_line, case when event_id = 4104 then 77 end as pid
+from w where event_id <> 1 and not (event_id in (4624, 4625, 4720, 4648) and k % 9 = 0) and not (event_id = 4624 and logon_type in (0, 5)) and not (event_id = 4104 and k % 10 = 0)""")
 def windows_events(spark, d):
-    """Machine accounts, service logons and empty blocks are left out."""
+    """Machine accounts, service logons and empty blocks are left out; a change of a group is about its new member."""
     t = telemetry(spark, d)
     k = F.col("k")
-    event = F.when(F.col("status_id") == 2, 4625).when(F.col("status_id") == 1, 4624).when(F.col("class_uid").isin(1001, 1007), 4104).otherwise(1)
-    user = F.concat("username", F.when(k % 9 == 0, "$").otherwise(""))
+    others = F.element_at(F.array(*[F.lit(x) for x in (4720, 4732, 1102, 4648, 4719)]), (k % 5 + 1).cast("int"))
+    event = F.when(F.col("status_id") == 2, 4625).when(F.col("status_id") == 1, 4624).when(F.col("class_uid").isin(1001, 1007), 4104).when(F.col("class_uid") == 4001, others).otherwise(1)
+    user = F.concat(F.coalesce("username", F.concat(F.lit("who"), k.cast("string"))), F.when(k % 9 == 0, "$").otherwise(""))
+    member = F.when(k % 2 == 0, "-").otherwise(F.concat(F.lit("CN=m"), k.cast("string")))
     script = F.when(k % 10 == 0, "  ").otherwise(F.col("exe_path"))
-    xml = F.when(event == 4104, _xml(event, {"ScriptBlockText": script, "MessageNumber": F.lit(1)})).otherwise(_xml(event, {"TargetUserName": user, "LogonType": k % 6, "IpAddress": F.lit("-")}))
+    fields = {"TargetUserName": user, "LogonType": k % 6, "IpAddress": F.lit("-"), "MemberName": member, "SubjectUserName": F.concat(F.lit("by"), k.cast("string")), "TargetServerName": F.lit("srv"), "CategoryId": F.lit("c1"), "Status": F.when(event == 4625, "0xC000006A").otherwise("")}
+    xml = F.when(event == 4104, _xml(event, {"ScriptBlockText": script, "MessageNumber": F.lit(1)})).otherwise(_xml(event, fields))
     out = normalise.windows_events(t.select(F.col("event_id").cast("string").alias("agent_id"), "ts", xml.alias("xml")))
-    f = body_fields(out, status_id="$.status_id:int", logon_type_id="$.logon_type_id:int", cmd_line="$.process.cmd_line:string", pid="$.process.pid:int")
+    text = {c: f"$.{c}:string" for c in ("group_name", "actor_user", "target_server", "policy_category", "status_code")}
+    f = body_fields(out, status_id="$.status_id:int", activity_id="$.activity_id:int", service="$.service.name:string", log_cleared="$.log_cleared:boolean", cmd_line="$.process.cmd_line:string", pid="$.process.pid:int", **text)
     return out.select(F.col("agent_id").cast("long").alias("source_event"), "event_id", "class_uid", "username", *f.values())
 
 
-@query("login_records", "l as (select ts, username, status_id, 'tty' || (k % 5) as terminal, case when k % 2 = 0 then src end as ip from (select *, '10.1.1.' || k as src from t where class_uid = 3002)) select * from l")
+@query("login_records", "l as (select ts, username, status_id, 'tty' || (k % 5) as terminal, case when k % 2 = 0 then src else '' end as ip from (select *, '10.1.1.' || k as src from t where class_uid = 3002)) select * from l")
 def login_records(spark, d):
     t = telemetry(spark, d).where("class_uid = 3002")
     rows = t.select("ts", F.col("username").alias("user"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("10.1.1."), F.col("k").cast("string"))).otherwise("").alias("host"), F.concat(F.lit("tty"), (F.col("k") % 5).cast("string")).alias("line"), (F.col("status_id") == 2).alias("failure"))
     out = normalise.login_records(rows)
-    return out.select("ts", "username", *body_fields(out, status_id="$.status_id:int", terminal="$.session.terminal:string", ip="$.src_endpoint.ip:string").values())
+    return out.select("ts", "username", *body_fields(out, status_id="$.status_id:int", terminal="$.service.name:string", ip="$.src_endpoint.ip:string").values())
 
 
 @query("process_body", "p as (select event_id, 1 + k % 2 as activity_id, k as pid, exe_path as path, 'bin' || (k % 20) as name, case when k % 3 = 0 then 'u' end as user_name, case when k % 2 = 0 then k + 1 end as parent_pid, case when k % 2 = 0 then '/sbin/init' end as parent_path from t where exe_path is not null) select * from p")
@@ -138,15 +148,15 @@ def conn_body(spark, d):
     return normalise.conn_body(rows).select("event_id", b["process"]["pid"].alias("pid"), b["connection_info"]["protocol_name"].alias("protocol_name"), b["src_endpoint"]["ip"].alias("src_ip"), b["dst_endpoint"]["ip"].alias("dst_ip"), b["dst_endpoint"]["port"].alias("dst_port"), b["connection_info"]["direction"].alias("direction"))
 
 
-@query("change_body", """c as (select event_id, ['registry', 'file', 'module', 'service'][1 + k % 4] as kind, 'key' || k as key, case when k % 5 = 0 then null else 'v' || k end as value, 'o' || k as old_value, 1 + k % 3 as activity from t)
-select event_id, case kind when 'registry' then 201002 when 'file' then 1001 when 'module' then 1005 else 100001 end as class_uid, activity as activity_id, key, case kind when 'file' then value when 'module' then value else coalesce(value, old_value) end as data from c""")
+@query("change_body", """c as (select event_id, ['registry', 'file', 'module', 'service', 'wmi'][1 + k % 5] as kind, 'key' || k as key, case when k % 3 = 0 then null else 'v' || k end as value, 'o' || k as old_value, 1 + k % 3 as activity from t)
+select event_id, case kind when 'registry' then 201002 when 'file' then 1001 when 'wmi' then 1001 when 'module' then 1005 else 100001 end as class_uid, activity as activity_id, key, case kind when 'file' then value when 'module' then value else coalesce(value, old_value) end as data from c""")
 def change_body(spark, d):
     k = F.col("k")
-    rows = telemetry(spark, d).select("event_id", F.get(F.array(*[F.lit(x) for x in ("registry", "file", "module", "service")]), (k % 4).cast("int")).alias("kind"), F.concat(F.lit("key"), k.cast("string")).alias("key"), F.when(k % 5 != 0, F.concat(F.lit("v"), k.cast("string"))).alias("value"), F.concat(F.lit("o"), k.cast("string")).alias("old_value"), (k % 3 + 1).alias("activity"))
+    rows = telemetry(spark, d).select("event_id", F.get(F.array(*[F.lit(x) for x in ("registry", "file", "module", "service", "wmi")]), (k % 5).cast("int")).alias("kind"), F.concat(F.lit("key"), k.cast("string")).alias("key"), F.when(k % 3 != 0, F.concat(F.lit("v"), k.cast("string"))).alias("value"), F.concat(F.lit("o"), k.cast("string")).alias("old_value"), (k % 3 + 1).alias("activity"))
     out = normalise.change_body(rows)
     v = F.try_parse_json("raw")
     at = lambda *paths: F.coalesce(*[F.try_variant_get(v, p, "string") for p in paths])
-    return out.select("event_id", "class_uid", F.try_variant_get(v, "$.activity_id", "int").alias("activity_id"), at("$.reg_key.path", "$.file.path", "$.module.file.path", "$.name").alias("key"), at("$.reg_value.data", "$.file.sha256", "$.module.base_address", "$.data").alias("data"))
+    return out.select("event_id", "class_uid", F.try_variant_get(v, "$.activity_id", "int").alias("activity_id"), at("$.reg_key.path", "$.file.path", "$.module.file.path", "$.name").alias("key"), at("$.reg_value.data", "$.file.sha256", "$.module.base_address", "$.wmi.data", "$.data").alias("data"))
 
 
 # Rules
@@ -236,14 +246,16 @@ def _fields():
     return FIELDS()
 
 
-@query("rule_load_report", "p as (select distinct exe_path, regexp_extract(exe_path, '[0-9]+$')::int as n from t where exe_path is not null) select count(*) as total, count(*) filter (n % 4 <> 0) as loaded, count(*) filter (n % 4 not in (0, 1)) as live, round(count(*) filter (n % 4 <> 0) / count(*)::double, 6) as rate from p")
+@query("rule_load_report", "p as (select event_id % 8 as r from t) select count(*) as total, count(*) filter (r in (1, 2, 3, 5, 7)) as loaded, count(*) filter (r in (2, 3, 5, 7)) as live, round(count(*) filter (r in (1, 2, 3, 5, 7)) / count(*)::double, 6) as rate from p")
 def rule_load_report(spark, d):
-    """One rule for each program of the events; some can't be read, some have a class without a source."""
-    paths = telemetry(spark, d).where("exe_path is not null").select("exe_path").distinct().limit(1000).collect()  # 20 programs
-    number = lambda p: int(p.rsplit("bin", 1)[1])
-    of = lambda n: {"title": f"n{n}", "logsource": {"category": "proxy" if n % 4 == 1 else "process_creation"}, "detection": {"s": {"Image|cidr" if n % 4 == 0 else "Image": "x"}, "condition": "s"}}
-    one, _, _ = detect.rule_load_report(detect.rule_set(spark, [(r.exe_path, of(number(r.exe_path))) for r in paths]))
-    return one.select("total", "loaded", "live", F.round("rate", 6).alias("rate"))
+    """A rule for each event, compiled in tasks: some can't be read, some have a class without a source, some have the id of a stored rule."""
+    t = telemetry(spark, d)
+    n = F.col("event_id") % 8
+    field = F.when(n == 0, "Image|cidr").otherwise("Image")
+    text = F.concat(F.lit('{"id":"n'), F.col("event_id").cast("string"), F.lit('","logsource":{"category":"'), F.when(n == 1, "proxy").otherwise("process_creation"), F.lit('"},"detection":{"s":{"'), field, F.lit('":"x"},"condition":"s"}}'))
+    sources = t.select(F.col("event_id").cast("string").alias("name"), F.when(n == 4, "{no JSON").otherwise(text).alias("rule"))
+    stored = t.where(n == 6).select(F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("rule_id"))
+    return detect.rule_load_report(detect.check_rules(sources, stored))[0].select("total", "loaded", "live", F.round("rate", 6).alias("rate"))
 
 
 @query("corpus_report", f"{HITS}, c as (select t.event_id, class_uid = 3002 as auth, bool_or(coalesce(h.rule_id in ('r-tool', 'r-fail'), false)) as found from (select event_id, class_uid from t) t left join hits h using (event_id, class_uid) group by 1, 2) select count(*) filter (found) as detected, 0::bigint as known_gap, count(*) filter (not found) as mismatch, count(distinct auth) filter (found) as covered, count(distinct auth) as techniques from c")
@@ -331,8 +343,8 @@ def read_events(spark, d):
 def event_rows(spark, d):
     t = with_ids(telemetry(spark, d)).withColumns({"source": F.lit("agent"), "raw": F.col("props")})
     rows = views.list_rows(t, "events")
-    brief = views.event_brief(rows, 9).select("ts", "class_uid", "raw")
-    return rows.drop("raw").join(brief, ["ts", "class_uid"]).select("id", "ts", "class_uid", "asset_id", "username", "conn_tuple", "raw")
+    brief = views.event_brief(rows, 9).select("id", "raw")
+    return rows.drop("raw").join(brief, "id").select("id", "ts", "class_uid", "asset_id", "username", "conn_tuple", "raw")
 
 
 @query("rule_rows", f"{HITS}, r(rule_id, severity, source, ingested) as (values ('r-port', 4, 'network activity', true), ('r-name', 3, 'dns activity', true), ('r-tool', 2, 'process activity', true), ('r-file', 5, 'file activity', true), ('r-fail', 1, 'authentication', true)) select r.*, (select count(*) from hits h where h.rule_id = r.rule_id) as hits from r")
@@ -460,30 +472,65 @@ def parts_of(t, n: int):
             yield k, rows
 
 
-_FINGERPRINT = "rule_id || '|' || asset_id || case when class_uid = 1001 then exe_path else '' end"
+_FINGERPRINT = "rule_id || '|' || asset_id || case when class_uid = 1001 then '|' || exe_path else '' end"
+
+
+def sent_events(t):
+    """Events as decoded envelopes."""
+    return events_of(t).select(F.col("event_id").cast("string").alias("id"), "ts", "class_uid", F.lit("agent").alias("source"), F.col("asset_id").cast("string").alias("asset_id"), F.col("asset_id").cast("string").alias("partition_key"), F.col("os").alias("asset_os"), F.when(F.col("class_uid") == 1001, F.concat(F.lit("|"), F.col("exe_path"))).alias("fingerprint_suffix"), "username", "raw")
 
 
 def stream_out(spark, d, name: str):
     out = sinks.scratch(spark, name)
-    t = events_of(telemetry(spark, d))
-    e = t.select(F.col("event_id").cast("string").alias("id"), "ts", "class_uid", F.lit("agent").alias("source"), F.col("asset_id").cast("string").alias("asset_id"), F.col("asset_id").cast("string").alias("partition_key"), F.col("os").alias("asset_os"), F.when(F.col("class_uid") == 1001, F.col("exe_path")).alias("fingerprint_suffix"), "username", "raw")
-    run = pipeline.detection_batch(spark, lambda: detect.rule_set(spark, [(r["id"], r) for r in RULES]), None, None, out, DAY)
+    e = sent_events(telemetry(spark, d))
+    run = pipeline.detection_batch(spark, lambda: detect.rule_set(spark, [(r["id"], r) for r in RULES]), None, None, out, DAY, failures_within=timedelta(days=10))
     for number, part in parts_of(e, 3):
         run(part, number)
     return out
 
 
-@query("alerts_in_batches", f"""{HITS}, fh as (select *, {_FINGERPRINT} as fp from hits),
+@query("alerts_in_batches", f"""{HITS}, tries as (select *, count(*) filter (status_id = 2) over (partition by asset_id, username order by ts range between interval 10 day preceding and current row) as failures from t where class_uid = 3002),
+fh as (select event_id, ts, rule_id, severity, {_FINGERPRINT} as fp from hits union all select event_id, ts, 'bruteforce:success', 5, 'bruteforce:success|' || asset_id || '|' || username from tries where status_id = 1 and failures >= 5),
 nxt as (select a.fp, a.ts, min(b.ts) as nx from (select distinct fp, ts from fh) a left join (select distinct fp, ts from fh) b on a.fp = b.fp and b.ts >= a.ts + interval 1 day group by 1, 2),
 op as (select fp, min(ts) as ts from fh group by 1 union all select op.fp, nxt.nx from op join nxt using (fp, ts) where nxt.nx is not null),
 win as (select h.*, o.ts as first_ts from fh h asof join op o on h.fp = o.fp and h.ts >= o.ts)
 select fp as fingerprint, first_ts, rule_id, max(severity) as severity, count(*) as count, max(ts) as last_ts, arg_min(event_id, (ts, event_id)) as event_id from win group by 1, 2, 3""")
 def alerts_in_batches(spark, d):
-    """Three batches of events, one of which comes twice: the alerts are those of the whole table, without the brute force hits."""
-    alerts = sinks.read_alerts(spark, f"{stream_out(spark, d, 'detection')}/alerts").where("rule_id <> 'bruteforce:success'")
+    """Three batches of events, one of which comes twice: the alerts are those of the whole table, with logins after failures in earlier batches."""
+    alerts = sinks.read_alerts(spark, f"{stream_out(spark, d, 'detection')}/alerts")
     return alerts.select("fingerprint", "first_ts", "rule_id", "severity", F.col("count").cast("long").alias("count"), "last_ts", F.col("event_id").cast("long").alias("event_id"))
 
 
+_LATE = f"""{HITS}, edge as (select min(ts) as lo, max(ts) as hi from t), fh0 as (select *, {_FINGERPRINT} as fp, ts >= lo + (hi - lo) / 3 and ts < lo + (hi - lo) / 3 * 2 as middle, ts >= lo + (hi - lo) / 3 * 2 as latest from hits, edge),
+fh as (select event_id, ts, rule_id, severity, fp, middle and bool_or(latest) over (partition by fp) as late from fh0),
+nxt as (select a.fp, a.late, a.ts, min(b.ts) as nx from (select distinct fp, late, ts from fh) a left join (select distinct fp, late, ts from fh) b on a.fp = b.fp and a.late = b.late and b.ts >= a.ts + interval 1 day group by 1, 2, 3),
+op as (select fp, late, min(ts) as ts from fh group by 1, 2 union all select op.fp, op.late, nxt.nx from op join nxt using (fp, late, ts) where nxt.nx is not null),
+win as (select h.*, o.ts as first_ts from fh h asof join op o on h.fp = o.fp and h.late = o.late and h.ts >= o.ts)
+select fp as fingerprint, first_ts, rule_id, count(*) as count, max(ts) as last_ts, arg_min(event_id, (ts, event_id)) as event_id from win group by 1, 2, 3
+union all select 'r-port|999999', lo + interval 3000 day, 'r-port', 3, lo + interval 3000 day + interval 2 minute, -1 from edge where lo is not null"""
+
+
+@query("alerts_out_of_order", _LATE)
+def alerts_out_of_order(spark, d):
+    """The middle third of the events comes last, and each batch has an event from a wrong clock: late hits take the place of the open window, and no other event's time ends one."""
+    t = telemetry(spark, d)
+    e = sent_events(t)
+    span = t.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).head()
+    out = sinks.scratch(spark, "late")
+    run = pipeline.detection_batch(spark, lambda: detect.rule_set(spark, [(r["id"], r) for r in RULES]), None, None, out, DAY)
+    if span["a"] is None:
+        span = {"a": datetime(2024, 1, 1), "b": datetime(2024, 1, 1)}
+    edges = [span["a"] + (span["b"] - span["a"]) / 3 * k for k in (1, 2)]
+    body = F.lit('{"dst_endpoint":{"port":4444}}')
+    for number, part in enumerate((0, 2, 1)):
+        rows = e.where((F.col("ts") < F.lit(edges[0])) if part == 0 else (F.col("ts") >= F.lit(edges[1])) if part == 2 else (F.col("ts") >= F.lit(edges[0])) & (F.col("ts") < F.lit(edges[1])))
+        wrong = t.groupBy().agg((F.min("ts") + F.expr(f"interval 3000 days {part} minutes")).alias("ts")).where("ts is not null")
+        wrong = wrong.select(F.lit(str(-1 - part)).alias("id"), "ts", F.lit(4001).alias("class_uid"), F.lit("agent").alias("source"), F.lit("999999").alias("asset_id"), F.lit("999999").alias("partition_key"), F.lit("linux").alias("asset_os"), F.lit(None).cast("string").alias("fingerprint_suffix"), F.lit(None).cast("string").alias("username"), body.alias("raw"))
+        run(rows.unionByName(wrong), number)
+    alerts = sinks.read_alerts(spark, f"{out}/alerts").where("rule_id <> 'bruteforce:success'")
+    return alerts.select("fingerprint", "first_ts", "rule_id", F.col("count").cast("long").alias("count"), "last_ts", F.col("event_id").cast("long").alias("event_id"))
+
+
 @query("events_in_batches", "m as (select count(*) as n from t) select 'stored' as stage, n as rows from m union all select 'processed', n from m")
 def events_in_batches(spark, d):
     """Every event is stored and counted once, though many come twice."""

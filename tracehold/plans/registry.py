@@ -525,7 +525,7 @@ def fingerprint(spark, d):
     return hits(spark, d).select("event_id", S.fingerprint(F.col("rule_id"), F.col("asset_id").cast("string"), F.col("class_uid"), F.col("exe_path"), F.col("username")).alias("fingerprint"))
 
 
-@query("md_cell", "@select conv_id, turn, case when text is null or text = '' then '-' else (case when length(c) > 160 then substr(c, 1, 160) || '…' else c end) end as cell from (select *, replace(replace(replace(text, chr(13), ''), chr(10), ' '), '|', '\\|') as c from conversations)")
+@query("md_cell", "@select conv_id, turn, case when text is null or text = '' then '-' else '`' || (case when length(c) > 160 then substr(c, 1, 157) || '…' else c end) || '`' end as cell from (select *, replace(replace(replace(text, chr(13), ''), chr(10), ' '), '|', '\\|') as c from conversations)")
 def md_cell(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", S.md_cell("text").alias("cell"))
 

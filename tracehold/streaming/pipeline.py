@@ -8,7 +8,7 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from ..functions.scalars import fingerprint, flow_key
 from ..operators import correlate, detect, flows, sinks, windows
@@ -28,35 +28,41 @@ def split_late(batch: DataFrame, watermark: str | None) -> tuple[DataFrame, Data
     return batch.where(F.col("ts") >= edge), batch.where(F.col("ts") < edge)
 
 
-def stateful_dedup(hits: DataFrame, window: timedelta, late: str = "10 minutes") -> DataFrame:
-    """hits (fingerprint, rule_id, id, ts, severity) to alert deltas: fingerprint, first_ts, added, last_ts, is_new.
+class _Windows(StatefulProcessor):
+    """An alert window a fingerprint: the first hit's time, and the newest hit's."""
 
-    One state row a fingerprint; rows of a key are taken in order of time inside a micro-batch, and the state goes when
-    the watermark has passed the window.
-    """
-    width = pd.Timedelta(window)
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        first = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("ts")
+    def __init__(self, width: pd.Timedelta, forget: timedelta):
+        self.width, self.forget = width, round(forget.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "first bigint", self.forget)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = pd.Timestamp(self.open.get()[0], unit="us") if self.open.exists() else None
         out: list[list] = []
-        for ts in rows["ts"]:
-            new = first is None or ts - first >= width
+        for ts in pd.concat(list(rows))["ts"].sort_values():
+            new = first is None or not pd.Timedelta(0) <= ts - first < self.width
             if new:
                 first = ts
             if new or not out:
                 out.append([key[0], first, 0, ts, new])
             out[-1][2] += 1
             out[-1][3] = max(out[-1][3], ts)
-        state.update((int(first.value // 1000),))
-        state.setTimeoutTimestamp(max(int((first + width).value // 1_000_000), state.getCurrentWatermarkMs() + 1))
+        self.open.update((int(first.value // 1000),))
         yield pd.DataFrame(out, columns=["fingerprint", "first_ts", "added", "last_ts", "is_new"])
 
-    marked = hits.select("fingerprint", "ts").withWatermark("ts", late)
-    return marked.groupBy("fingerprint").applyInPandasWithState(fold, "fingerprint string, first_ts timestamp, added long, last_ts timestamp, is_new boolean", "first bigint", "append", "EventTimeTimeout")
+    def close(self) -> None:
+        pass
+
+
+def stateful_dedup(hits: DataFrame, window: timedelta, forget: timedelta = timedelta(days=1)) -> DataFrame:
+    """hits (fingerprint, ts) to alert deltas: fingerprint, first_ts, added, last_ts, is_new, by a state store (RocksDB, which the session must name).
+
+    One state row a fingerprint. Its hits are taken in order of time inside a micro-batch; a hit from the first one's time on and within
+    the window joins it, any other, also one that comes late, opens a window of its own, which later hits are held against. A state
+    goes when its fingerprint has had no hit for `forget` of the clock on the wall: no other event's time ends a window.
+    """
+    return hits.select("fingerprint", "ts").groupBy("fingerprint").transformWithStateInPandas(_Windows(pd.Timedelta(window), forget), "fingerprint string, first_ts timestamp, added long, last_ts timestamp, is_new boolean", "Append", "ProcessingTime")
 
 
 def stream_brute_force(auth: DataFrame, window: timedelta = timedelta(minutes=10), threshold: int = 5, late: str = "10 minutes") -> DataFrame:
@@ -69,18 +75,22 @@ def stream_brute_force(auth: DataFrame, window: timedelta = timedelta(minutes=10
     return pairs.groupBy(F.window("s_ts", "1 second"), "id", "asset_id", "username").agg(F.count("*").alias("failures")).where(F.col("failures") >= threshold).select("id", "asset_id", "username", "failures", F.col("window.start").alias("ts"))
 
 
-def alert_deltas(hits: DataFrame, opened: DataFrame | None, window: timedelta) -> DataFrame:
+def alert_deltas(hits: DataFrame, opened: DataFrame | None, window: timedelta, anchor_late: bool = True) -> DataFrame:
     """hits (fingerprint, rule_id, asset_id, source, id, ts, severity) to deltas: fingerprint, first_ts, rule_id, asset_id, source, severity, added, last_ts, event_id, is_new, late.
 
-    opened: (fingerprint, first_ts) of windows that earlier batches opened. Hits from then on join them or open the
-    next; hits before then come late and form windows of their own.
+    opened: (fingerprint, first_ts) of the windows that hits are held against. Hits from its first time on join a window or open the
+    next. A hit before then comes late. It opens a window that takes the place of the open one, as hits are taken in order of time, and the hits after it
+    are held against that; with anchor_late=False late hits form windows of their own, and the open one stays.
     """
     rows = hits.select("fingerprint", "rule_id", "asset_id", "source", "id", "ts", "severity", F.lit(1).alias("weight"))
     if opened is None:
         rows = rows.withColumn("late", F.lit(False))
     else:
-        own = opened.join(rows.select("fingerprint").distinct(), "fingerprint", "left_semi").select("fingerprint", F.col("first_ts").alias("ts"), F.lit(0).alias("weight"), F.lit(False).alias("late"))
-        rows = rows.join(opened.withColumnRenamed("first_ts", "_first"), "fingerprint", "left").withColumn("late", F.coalesce(F.col("ts") < F.col("_first"), F.lit(False))).drop("_first").unionByName(own, allowMissingColumns=True)
+        earliest = rows.groupBy("fingerprint").agg(F.min("ts").alias("_least"))
+        own = opened.join(earliest, "fingerprint").where((F.col("_least") >= F.col("first_ts")) | F.lit(not anchor_late))
+        own = own.select("fingerprint", F.col("first_ts").alias("ts"), F.lit(0).alias("weight"), F.lit(False).alias("late"))
+        late = F.lit(False) if anchor_late else F.coalesce(F.col("ts") < F.col("_first"), F.lit(False))
+        rows = rows.join(opened.select("fingerprint", F.col("first_ts").alias("_first")), "fingerprint", "left").withColumn("late", late).drop("_first").unionByName(own, allowMissingColumns=True)
     placed = windows.dedup_window(rows, ["fingerprint", "late"], "ts", window)
     real = F.col("weight") == 1
     first = F.min(F.when(real, F.struct("ts", "id", "rule_id", "asset_id", "source"))).alias("_f")
@@ -99,12 +109,13 @@ def brute_force_of(fresh: DataFrame, stored_events: DataFrame | None, keep: tupl
     return windows.brute_force_success(rows, window).where("_fresh").select("id", "ts", "class_uid", *keep, "rule_id", "severity")
 
 
-def detection_batch(spark: SparkSession, rules: Callable[[], RuleSet], intel: Callable[[], DataFrame] | None, suppressions: Callable[[], DataFrame] | None, out: str, window: timedelta = timedelta(minutes=5), late: timedelta = timedelta(minutes=10)) -> Callable[[DataFrame, int], None]:
+def detection_batch(spark: SparkSession, rules: Callable[[], RuleSet], intel: Callable[[], DataFrame] | None, suppressions: Callable[[], DataFrame] | None, out: str, window: timedelta = timedelta(minutes=5), forget: int = 50_000, anchor_late: bool = True, failures_within: timedelta = timedelta(minutes=10)) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: events in; events, hits, alerts, counters and metrics out. The callables are asked anew at each batch, so rules and tables refresh while running.
 
     Every write is keyed by the batch (see `sinks`), so a batch may fail at any place and come again. A batch reads the
-    stored ids of its own dates, the authentication events of the last ten minutes and the windows that are still open;
-    none of these grows with history. Alerts are read by `sinks.read_alerts`, counters and open windows by `sinks.current`.
+    stored ids of its own dates, the authentication events that failures are counted over and the window of each fingerprint;
+    none of these grows with history. A window is forgotten when its fingerprint has had no hit in `forget` batches (a day, of two seconds each): the times
+    of other events, which may be wrong, end no window. Alerts are read by `sinks.read_alerts`, counters and open windows by `sinks.current`.
     """
     keep = ("asset_id", "partition_key", "fingerprint_suffix", "username", "source")
 
@@ -118,24 +129,23 @@ def detection_batch(spark: SparkSession, rules: Callable[[], RuleSet], intel: Ca
                 hits = detect.union_detections(hits, detect.match_intel(fresh, intel(), keep=keep))
             past, span = None, fresh.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).head()
             if span["lo"] is not None and sinks.exists(spark, f"{out}/events"):
-                since = F.lit(span["lo"]) - F.expr("interval 10 minutes")
+                since = F.lit(span["lo"]) - F.make_dt_interval(secs=F.lit(failures_within.total_seconds()))
                 past = spark.read.parquet(f"{out}/events").where((F.col("date") >= F.to_date(since)) & (F.col("ts") >= since) & (F.col("ts") <= F.lit(span["hi"])) & (F.col("batch") != number))
-            hits = detect.union_detections(hits, brute_force_of(fresh, past, keep))
+            hits = detect.union_detections(hits, brute_force_of(fresh, past, keep, failures_within))
             hits = work.stored(hits if "ioc_id" in hits.columns else hits.withColumn("ioc_id", F.lit(None).cast("string")), "hits")
             if intel is not None:
                 sinks.write_counters(detect.match_counters(hits.where(F.col("ioc_id").isNotNull()), "ioc_id"), f"{out}/intel_counters", "ioc_id", number)
             if suppressions is not None:
                 hits, quiet = detect.apply_suppressions(hits, suppressions())
                 sinks.write_counters(detect.match_counters(quiet, "suppression_id"), f"{out}/suppressions", "suppression_id", number)
-            key = F.concat(F.col("partition_key"), F.coalesce("fingerprint_suffix", F.lit("")))
+            key = F.concat(F.col("partition_key"), F.coalesce("fingerprint_suffix", F.lit("")))  # the suffix begins with a bar
             named = work.stored(hits.withColumn("fingerprint", fingerprint(F.col("rule_id"), key, F.lit(0), F.lit(""), F.col("username"))), "named")
             sinks.write_log(named, f"{out}/hits", number)
             opened = sinks.current(spark, f"{out}/open", number)
-            deltas = work.stored(alert_deltas(named, opened, window), "deltas")
+            deltas = work.stored(alert_deltas(named, opened, window, anchor_late), "deltas")
             sinks.upsert_alerts(deltas, f"{out}/alerts", number)
-            newest = deltas.where("not late").select("fingerprint", "first_ts")
-            live = F.col("first_ts") >= F.lit(span["hi"]) - F.make_dt_interval(secs=F.lit((window + late).total_seconds())) if span["hi"] is not None else F.lit(True)
-            sinks.advance(newest, f"{out}/open", number, lambda df: df.groupBy("fingerprint").agg(F.max("first_ts").alias("first_ts")).where(live))
+            newest = deltas.where("not late").groupBy("fingerprint").agg(F.max("first_ts").alias("first_ts")).withColumn("batch", F.lit(number).cast("long"))
+            sinks.advance(newest, f"{out}/open", number, lambda df: df.groupBy("fingerprint").agg(F.max_by("first_ts", "batch").alias("first_ts"), F.max("batch").alias("batch")).where(F.col("batch") > number - forget))
             sinks.write_log(batch_metrics(batch, fresh, deltas), f"{out}/metrics", number)
             sinks.write_events_idempotent(fresh, f"{out}/events", number)
         finally:
