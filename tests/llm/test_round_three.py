@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracehold.llm import ngram_join, piece_tokens, prefix_trie, ranked_search, suffix_dedup
+from tracehold.llm import ngram_join, piece_tokens, prefix_trie, ranked_search, suffix_dedup, token_counts
 
 from test_brute_force import brute_repeats, docs_df, text
 
@@ -240,3 +240,24 @@ def test_ngram_links_of_ids_with_several_texts(spark):
 def test_ngram_links_of_equal_sets_only(spark):
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_links(docs_df(spark, [(1, "a b c d"), (2, "a b c d"), (3, "a b c e")]), percent=100).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+# Sections of operator 6
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_sections_in_any_order(rule):
+    """Each section's counts are the same wherever it stands in the list; a token split evenly goes to the section that begins first."""
+    rng = np.random.default_rng(3)
+    for case in range(60):
+        cuts = np.sort(rng.choice(40, 6, replace=False))
+        spans = np.column_stack((cuts[:-1], cuts[1:])) if case % 2 else np.sort(rng.integers(0, 40, (5, 2)), axis=1)
+        bounds = np.append(0, np.cumsum(rng.integers(1, 6, 9)))
+        want = token_counts.attribute(bounds[:-1], bounds[1:], spans[np.lexsort((spans[:, 1], spans[:, 0]))], rule)
+        order = rng.permutation(len(spans))
+        got = token_counts.attribute(bounds[:-1], bounds[1:], spans[order], rule)
+        back = np.lexsort((spans[order][:, 1], spans[order][:, 0]))
+        assert [x[back].tolist() for x in got] == [x.tolist() for x in want]
+    for spans in ([(0, 3), (3, 6)], [(3, 6), (0, 3)]):
+        counts, _ = token_counts.attribute(np.array([2]), np.array([4]), np.array(spans), "majority")
+        assert counts[spans.index((0, 3))] == 1 and counts.sum() == 1

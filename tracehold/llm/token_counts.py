@@ -6,15 +6,15 @@ a column). A token that crosses a boundary is allocated by an explicit rule:
 
 ``start``     to the section that holds its first character;
 ``end``       to the section that holds its last character;
-``majority``  to the section that holds most of its characters, the first of equals.
+``majority``  to the section that holds most of its characters, of equals the one that begins (then ends) first.
 
 The vocabulary is a byte-level one in rank format and its path a parameter; nothing is trained. Encoding and the
 interval join run inside Arrow batches, as a document's tokens are only ever needed together; no row is shuffled.
 
 Defined results: null text gives no rows, empty text one empty section without tokens; an empty table gives an
 empty result; repeated rows give repeated results; other columns are ignored. A character whose bytes are split among
-tokens belongs to each of their spans. Sections that are given may leave gaps or overlap: a token is counted in each
-one that holds the character the rule asks about, and nowhere if none does.
+tokens belongs to each of their spans. Sections that are given may stand in any order, leave gaps or overlap: by the first two rules a token is counted in each
+one that holds the character that the rule asks about, and nowhere if none does.
 """
 
 from __future__ import annotations
@@ -68,12 +68,14 @@ def line_sections(text: str) -> np.ndarray:
 
 
 def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, crossing tokens) of each section. Sections in order that don't overlap are joined by binary search, others one by one."""
+    """(tokens, crossing tokens) of each section, in any order. Sections that don't overlap are joined by binary search, others one by one."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
-    a, b = sections[:, 0], sections[:, 1]
+    order = np.lexsort((sections[:, 1], sections[:, 0]))
+    a, b = sections[order, 0], sections[order, 1]
+    counts, crossed = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
     if not len(starts):
-        return np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        return counts, crossed
     if np.all(a[1:] >= b[:-1]):
         at = {"start": starts, "end": ends - 1}.get(rule)
         if at is None:
@@ -81,12 +83,22 @@ def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, rule:
         first = np.searchsorted(b, at, "right")
         inside = (first < len(a)) & (a[np.minimum(first, len(a) - 1)] <= at)
         where, crossing = first[inside], (ends > b[np.minimum(first, len(a) - 1)])[inside] | (starts < a[np.minimum(first, len(a) - 1)])[inside]
-        return np.bincount(where, minlength=len(a)), np.bincount(where[crossing], minlength=len(a))
-    counts, crossed = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-    for k, (x, y) in enumerate(sections):
-        at = starts if rule == "start" else ends - 1
-        held = (at >= x) & (at < y) if rule != "majority" else 2 * (np.minimum(ends, y) - np.maximum(starts, x)) > ends - starts
-        counts[k], crossed[k] = held.sum(), (held & ((starts < x) | (ends > y))).sum()
+        counts[order], crossed[order] = np.bincount(where, minlength=len(a)), np.bincount(where[crossing], minlength=len(a))
+        return counts, crossed
+    best, chosen = np.zeros(len(starts), np.int64), np.full(len(starts), -1)
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        if rule == "majority":
+            share = np.minimum(ends, y) - np.maximum(starts, x)
+            more = share > best
+            best[more], chosen[more] = share[more], k
+        else:
+            at = starts if rule == "start" else ends - 1
+            held = (at >= x) & (at < y)
+            counts[order[k]], crossed[order[k]] = held.sum(), (held & ((starts < x) | (ends > y))).sum()
+    if rule == "majority":
+        for k in np.unique(chosen[chosen >= 0]):
+            held = chosen == k
+            counts[order[k]], crossed[order[k]] = held.sum(), (held & ((starts < a[k]) | (ends > b[k]))).sum()
     return counts, crossed
 
 
