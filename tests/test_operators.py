@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import ipaddress
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -238,3 +240,22 @@ def test_repeated_process_starts(spark):
     rows = [("g", "h", at(0), 10, 1), ("g", "h", at(2), 10, 20), ("k", "h", at(1), 20, 10)]
     got = sorted((r.guid, r.pid, r.parent_guid) for r in windows.resolve_process_instance(spark.createDataFrame(rows, "guid string, host string, ts timestamp, pid int, ppid int")).collect() if r.parent_guid)
     assert got == [("g", 10, "k"), ("k", 20, "g")]
+
+
+def test_addresses_as_numbers_and_in_one_spelling(spark):
+    rng = random.Random(1)
+    given = ["::", "::1", "1::", "1:0:0:2::3", "fe80::1%eth0", "::ffff:10.1.2.3", "0:0:0:0:0:ffff:0a01:0203", "64:ff9b::1.2.3.4", "10.0.0.1", "255.255.255.255", "2001:DB8:0:1:0:0:0:1"]
+    for _ in range(200):
+        number = [rng.choice((0, 0, rng.randrange(65536))) for _ in range(8)]
+        address = ipaddress.IPv6Address(b"".join(x.to_bytes(2, "big") for x in number))
+        given += [address.exploded.upper(), address.compressed]
+    rows = spark.createDataFrame([(x,) for x in given + ["no address", "1:2", "1::2::3", "300.1.1.1", None]], "a string").select("a", S.ip_hex("a").alias("h"), S.ip_text("a").alias("t")).collect()
+    for a, h, t in rows:
+        try:
+            parsed = ipaddress.ip_address((a or "").split("%")[0])
+        except ValueError:
+            assert h is None and t == a
+            continue
+        four = parsed if parsed.version == 4 else parsed.ipv4_mapped
+        assert h == (b"\0" * 10 + b"\xff\xff" + four.packed if four else parsed.packed).hex(), a
+        assert t == str(four or parsed), a

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,10 +43,10 @@ def parse_conn_tuple(c: Column | str) -> Column:
 
 
 def ioc_kind(c: Column | str) -> Column:
-    """struct<kind, value>: an IP address, a hash of 32, 40 or 64 hex digits, else a domain without one trailing dot; values in lower case."""
+    """struct<kind, value>: an IP address in its one spelling, a hash of 32, 40 or 64 hex digits, else a domain without one trailing dot; values in lower case."""
     v = F.trim(_c(c))
     kind = F.when(v.rlike(IPV4) | v.rlike(IPV6), "ip").when(v.rlike("^([0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})$"), "hash").otherwise("domain")
-    return F.struct(kind.alias("kind"), F.when(kind == "domain", F.lower(F.regexp_replace(v, r"\.$", ""))).otherwise(F.lower(v)).alias("value"))
+    return F.struct(kind.alias("kind"), F.when(kind == "domain", F.lower(F.regexp_replace(v, r"\.$", ""))).when(kind == "ip", ip_text(v)).otherwise(F.lower(v)).alias("value"))
 
 
 def parent_domains(c: Column | str) -> Column:
@@ -156,18 +158,55 @@ def http_head(payload: Column | str) -> Column:
     return F.when(p.rlike(line), found)
 
 
-def ip_number(c: Column | str) -> Column:
-    """A value that orders addresses as numbers: IPv4 as a padded decimal, others as text after them."""
-    parts = F.split(_c(c), r"\.")
-    v4 = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a * 256 + F.coalesce(x.try_cast("bigint"), F.lit(0)))
-    return F.when(_c(c).rlike(IPV4), F.lpad(v4.cast("string"), 10, "0")).otherwise(F.concat(F.lit("x"), _c(c)))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once and not written out at each place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def ip_hex(c: Column | str) -> Column:
+    """The 16 bytes of an address as hex digits, so that they order as numbers: IPv4 as mapped into IPv6, zones left out; null if it is none."""
+    octets = lambda text: F.array_join(F.transform(F.split(text, r"\."), lambda x: F.lpad(F.lower(F.hex(x.try_cast("bigint"))), 2, "0")), "")
+    tail = r"^(.*:)([0-9]{1,3}(?:\.[0-9]{1,3}){3})$"
+    last = lambda v: F.regexp_extract(v, tail, 2)
+    groups = lambda text: F.filter(F.split(text, ":"), lambda g: g != "")
+    plain = lambda v: F.when(last(v).rlike(IPV4), _let(octets(last(v)), lambda low: F.concat(F.regexp_extract(v, tail, 1), F.substring(low, 1, 4), F.lit(":"), F.substring(low, 5, 4)))).otherwise(v)
+
+    def joined(p: Column) -> Column:
+        head, rest = groups(F.regexp_extract(p, "^(.*?)(::|$)", 1)), groups(F.regexp_extract(p, "::(.*)$", 1))
+        gap = lambda ends: F.greatest(F.lit(8) - F.size(ends["head"]) - F.size(ends["rest"]), F.lit(0))
+        whole = _let(F.struct(head.alias("head"), rest.alias("rest")), lambda ends: F.concat(ends["head"], F.array_repeat(F.lit("0"), gap(ends)), ends["rest"]))
+        return F.when(p.rlike(IPV6), F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+
+    six = _let(F.regexp_replace(F.lower(_c(c)), "%.*$", ""), lambda v: _let(plain(v), joined))
+    return F.when(_c(c).rlike(IPV4), F.concat(F.lit("0" * 20 + "ffff"), octets(_c(c)))).otherwise(_let(six, lambda h: F.when(F.length(h) == 32, h)))
+
+
+def ip_text(c: Column | str) -> Column:
+    """One spelling of each address: IPv4 with dots, also if it is mapped into IPv6; else lower-case groups without leading zeros, the first longest run of zero groups as `::`. What is no address stays as it is."""
+    four = lambda h: F.array_join(F.transform(F.array(*[F.lit(k) for k in (25, 27, 29, 31)]), lambda k: F.conv(F.substring(h, k, F.lit(2)), 16, 10)), ".")
+    groups = lambda h: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(29), F.lit(4)), lambda k: F.regexp_replace(F.substring(h, k, F.lit(4)), "^0{1,3}", "")), ":")
+
+    def short(text: Column) -> Column:
+        out = text
+        for n in range(2, 9):  # the longest run is asked for first
+            run = r"(^|:)0(:0){%d}(:|$)" % (n - 1)
+            out = F.when(text.rlike(run), F.concat(F.regexp_extract(text, rf"^(.*?){run}", 1), F.lit("::"), F.regexp_extract(text, rf"^.*?{run}(.*)$", 4))).otherwise(out)
+        return out
+
+    six = _let(ip_hex(c), lambda h: F.when(h.isNull(), _c(c)).when(h.startswith("0" * 20 + "ffff"), four(h)).otherwise(_let(groups(h), short)))
+    return F.when(_c(c).rlike(IPV4), _c(c)).otherwise(six)
 
 
 def flow_key(src: Column, sport: Column, dst: Column, dport: Column) -> Column:
-    """struct<a, a_port, b, b_port, forward>: ends in order, so that both directions share a key."""
-    forward = (ip_number(src) < ip_number(dst)) | ((ip_number(src) == ip_number(dst)) & (sport <= dport))
-    pick = lambda x, y: F.when(forward, x).otherwise(y)
-    return F.struct(pick(src, dst).alias("a"), pick(sport, dport).alias("a_port"), pick(dst, src).alias("b"), pick(dport, sport).alias("b_port"), forward.alias("forward"))
+    """struct<a, a_port, b, b_port, forward>: ends in the order of their numbers and in one spelling, so that both directions share a key."""
+    number = lambda c: F.coalesce(ip_hex(c), F.concat(F.lit("x"), c))
+
+    def key(e: Column) -> Column:
+        pick = lambda x, y: F.when(e["forward"], x).otherwise(y)
+        return F.struct(pick(e["s"], e["d"]).alias("a"), pick(sport, dport).alias("a_port"), pick(e["d"], e["s"]).alias("b"), pick(dport, sport).alias("b_port"), e["forward"].alias("forward"))
+
+    ordered = lambda e: _let(F.struct(e["s"].alias("s"), e["d"].alias("d"), ((number(e["s"]) < number(e["d"])) | ((e["s"] == e["d"]) & (sport <= dport))).alias("forward")), key)
+    return _let(F.struct(ip_text(src).alias("s"), ip_text(dst).alias("d")), ordered)
 
 
 def client_is_a(flags: Column, forward: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import CLASS_SOURCES, Body, Rule, RuleRejected, compile_rule, paths_of
 from ..functions.rule_index import RuleIndex
-from ..functions.scalars import ioc_kind, parent_domains, technique_match
+from ..functions.scalars import ioc_kind, ip_text, parent_domains, technique_match
 
 CHUNK = 100  # rules in one projection, below the size limit of generated methods
 FEW_RULES = 30  # so many are tried one by one, more go through an index; the hits are the same
@@ -188,7 +188,7 @@ def intel_candidates(raw: Column) -> Column:
     def values(entry: Column) -> Column:
         kind = F.element_at(kinds, entry["key"])
         low = F.lower(entry["value"])
-        probes = F.when(kind == "domain", parent_domains(low)).when(kind == "ip", F.array(entry["value"])).otherwise(F.array(low))
+        probes = F.when(kind == "domain", parent_domains(low)).when(kind == "ip", F.array(ip_text(entry["value"]))).otherwise(F.array(low))
         return F.transform(probes, lambda v: F.struct(kind.alias("kind"), v.alias("value")))
 
     return F.array_distinct(F.flatten(F.transform(keyed_strings(raw, LEAF_KINDS), values)))
@@ -198,7 +198,7 @@ def match_intel(events: DataFrame, intel: DataFrame, candidates: Column | None =
     """Hits `intel:<kind>:<value>`, one for each event and indicator that was valid at the event's time: id, ts, class_uid, keep, rule_id, severity, ioc_id."""
     cols = ["id", "ts", "class_uid", *keep]
     probes = events.select(*cols, F.explode(candidates if candidates is not None else intel_candidates(F.col("raw"))).alias("c")).select(*cols, F.col("c.kind").alias("kind"), F.col("c.value").alias("value")).distinct()
-    known = intel.select("kind", F.lower("value").alias("value"), F.col("severity"), F.col("id").alias("ioc_id"), "expires_at")
+    known = intel.select("kind", F.when(F.col("kind") == "ip", ip_text("value")).otherwise(F.lower("value")).alias("value"), F.col("severity"), F.col("id").alias("ioc_id"), "expires_at")
     hits = probes.join(known, ["kind", "value"]).where(F.col("expires_at").isNull() | (F.col("ts") <= F.col("expires_at")))
     return hits.select(*cols, F.concat_ws(":", F.lit("intel"), "kind", "value").alias("rule_id"), "severity", "ioc_id")
 

@@ -21,7 +21,7 @@ def assemble_flows(packets: DataFrame, idle: timedelta = timedelta(seconds=30),
     Idle gaps are window functions; lifetime is the anchored fold of the run between gaps.
     """
     k = flow_key(F.col("src_ip"), F.col("sport"), F.col("dst_ip"), F.col("dport"))
-    rows = packets.withColumn("_k", k).select("*", "_k.*").drop("_k").withColumn("_t", F.unix_micros("ts"))
+    rows = packets.select("*", F.inline(F.array(k))).withColumn("_t", F.unix_micros("ts"))
     ends = ["proto", "a", "a_port", "b", "b_port"]
     order = Window.partitionBy(*ends).orderBy("_t")
     gap = round(idle.total_seconds() * 1e6)

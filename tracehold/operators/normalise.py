@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import conn_tuple, empty_to_null, event_xml_field, event_xml_id, event_xml_pid, os_lower, parse_syslog, partition_key, stable_id, strip_nul
+from ..functions.scalars import conn_tuple, empty_to_null, event_xml_field, event_xml_id, event_xml_pid, ip_text, os_lower, parse_syslog, partition_key, stable_id, strip_nul
 
 NIL = "00000000-0000-0000-0000-000000000000"
 GUID = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
@@ -43,9 +43,9 @@ def attach_asset_by_agent(df: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def attach_asset_by_ip(df: DataFrame, assets: DataFrame, ip: str) -> DataFrame:
-    """Of several assets with one address the one last seen."""
-    by_ip = assets.select(F.explode("ip_addrs").alias("_ip"), "id", "os", "last_seen").groupBy("_ip").agg(F.max_by(F.struct("id", "os"), F.struct("last_seen", "id")).alias("_a"))
-    return df.join(by_ip, F.col(ip) == F.col("_ip"), "left").withColumns({"asset_id": F.col("_a.id"), "asset_os": os_lower(F.col("_a.os"))}).drop("_ip", "_a")
+    """Of several assets with one address, however it is spelled, the one last seen."""
+    by_ip = assets.select(F.explode("ip_addrs").alias("_ip"), "id", "os", "last_seen").select(ip_text("_ip").alias("_ip"), "id", "os", "last_seen").groupBy("_ip").agg(F.max_by(F.struct("id", "os"), F.struct("last_seen", "id")).alias("_a"))
+    return df.join(by_ip, ip_text(ip) == F.col("_ip"), "left").withColumns({"asset_id": F.col("_a.id"), "asset_os": os_lower(F.col("_a.os"))}).drop("_ip", "_a")
 
 
 def attach_asset_host_then_ip(df: DataFrame, assets: DataFrame, host: str, ip: str) -> DataFrame:

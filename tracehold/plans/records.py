@@ -324,6 +324,31 @@ def client_side(spark, d):
     return out.select(F.col("seen").alias("event_id"), "src_ip", "src_port", "src_packets", "dst_packets", "tcp_flags")
 
 
+_SIX = """v as (select event_id, ts, asset_id, lpad(to_hex(asset_id), 4, '0') as g, k from t where class_uid = 4001)"""
+
+
+@query("addresses_six", f"""{_SIX} select event_id, lower('20010db80000000000000000' || g || lpad(to_hex(k), 4, '0')) as number, case when asset_id = 0 then '2001:db8::' else '2001:db8::' || lower(to_hex(asset_id)) || ':' end || lower(to_hex(k)) as spelled, case when k % 4 = 3 then '10.0.0.' || k else 'none' end as mapped from v""")
+def addresses_six(spark, d):
+    """IPv6 addresses in four spellings: one number, one text; addresses of IPv4 inside them are those of IPv4."""
+    t = telemetry(spark, d).where("class_uid = 4001")
+    g, k = F.lower(F.hex("asset_id")), F.lower(F.hex("k"))
+    long = F.concat(F.lit("2001:0DB8:0:0:0000:0:"), F.lpad(g, 4, "0"), F.lit(":"), F.upper(F.lpad(k, 4, "0")))
+    given = F.when(F.col("k") % 3 == 0, long).when(F.col("k") % 3 == 1, F.concat(F.lit("2001:db8::"), g, F.lit(":"), k)).otherwise(F.concat(F.lit("2001:DB8:0::"), g, F.lit(":"), k, F.lit("%eth0")))
+    mapped = F.when(F.col("k") % 4 == 3, F.concat(F.lit("::FFFF:10.0.0."), F.col("k").cast("string"))).otherwise("none")
+    return t.select("event_id", S.ip_hex(given).alias("number"), S.ip_text(given).alias("spelled"), S.ip_text(mapped).alias("mapped"))
+
+
+@query("flows_six", f"{_SIX} select '2001:db8::' || lower(to_hex(asset_id + 1)) as src_ip, '2001:db8::ffff:1' as dst_ip, count(*) as src_packets from v group by asset_id")
+def flows_six(spark, d):
+    """Packets whose ends are spelled in two ways are one flow."""
+    t = telemetry(spark, d).where("class_uid = 4001")
+    host = F.lower(F.hex(F.col("asset_id") + 1))
+    src = F.when(F.col("k") % 2 == 0, F.concat(F.lit("2001:db8::"), host)).otherwise(F.concat(F.lit("2001:0db8:0:0:0:0:0:"), F.lpad(host, 4, "0")))
+    dst = F.when(F.col("k") % 3 == 0, "2001:DB8:0:0:0:0:FFFF:1").otherwise("2001:db8::ffff:0001")
+    packets = t.select("ts", src.alias("src_ip"), F.lit(40000).alias("sport"), dst.alias("dst_ip"), F.lit(443).alias("dport"), F.lit(6).alias("proto"), F.lit(16).alias("tcp_flags"), F.lit(60).cast("long").alias("frame_len"))
+    return flows.orient_flow(flows.assemble_flows(packets, timedelta(days=99), timedelta(days=999))).select("src_ip", "dst_ip", (F.col("src_packets") + F.col("dst_packets")).alias("src_packets"))
+
+
 # Lists, details, sources
 
 

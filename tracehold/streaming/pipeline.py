@@ -239,7 +239,7 @@ def flow_batch(out: str, idle: timedelta = timedelta(seconds=30), lifetime: time
             sinks.write_log(flows.orient_flow(judged.where("_over")), f"{out}/flows", number)
             still = judged.where("not _over").orderBy("first_ts", *ends).limit(most_open).select(*ends, "first_ts")
             k = flow_key(F.col("src_ip"), F.col("sport"), F.col("dst_ip"), F.col("dport"))
-            keyed = packets.select("*", k.alias("_k")).select(*packets.columns, "_k.a", "_k.a_port", "_k.b", "_k.b_port")
+            keyed = packets.select("*", F.inline(F.array(k))).drop("forward")
             mine = keyed.join(still, ends).where(F.col("ts") >= F.col("first_ts")).select(*packets.columns)
             mine.write.mode("overwrite").parquet(f"{out}/open/version={number}")
             lost = judged.where("not _over").join(still, [*ends, "first_ts"], "left_anti").agg(F.count("*").alias("flows"), F.coalesce(F.sum(F.col("a_packets") + F.col("b_packets")), F.lit(0)).alias("packets"))
