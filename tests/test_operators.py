@@ -102,7 +102,7 @@ def test_intel_and_suppressions(spark):
     assert sorted(r.ioc_id for r in hits.collect()) == ["1", "2", "3"]
     raw = r'{"ip":["[::1]","1.2.3.4",["FE80::1"]],"note":{"ip":"7.7.7.7","x":[{"hostname":"b.example"},"no"],"deep":{"y":1}},"hostname":["a.b."],"sha256":"","q":"\"ip\":"}'
     got = one(spark, detect.intel_candidates(F.lit(raw)))
-    assert sorted(tuple(c) for c in got) == sorted([("ip", "[::1]"), ("ip", "1.2.3.4"), ("ip", "FE80::1"), ("ip", "7.7.7.7"), ("domain", "b.example"), ("domain", "example"), ("domain", "a.b"), ("domain", "b")])
+    assert sorted(tuple(c) for c in got) == sorted([("ip", "[::1]"), ("ip", "1.2.3.4"), ("ip", "fe80::1"), ("ip", "7.7.7.7"), ("domain", "b.example"), ("domain", "example"), ("domain", "a.b"), ("domain", "b")])
     assert one(spark, detect.intel_candidates(F.lit('{"ip": "1.1.1.1"'))) == []
     supp = spark.createDataFrame([("s1", at(-9), "intel:ip:1.2.3.4", None, None), ("s2", at(-8), "intel:ip:1.2.3.4", "A", None), ("s3", T0, "intel:hash:abc", "B", None), ("s4", T0, "intel:domain:evil.example", None, at(-1))], "id string, created_at timestamp, rule_id string, asset_id string, expires_at timestamp")
     kept, quiet = detect.apply_suppressions(hits, supp)
@@ -161,7 +161,9 @@ def test_bodies_and_envelopes(spark):
     assert '"duration_ms":2500' in got[1].raw and '"tls"' not in got[1].raw and '"answers":[{"ip":"1.1.1.1"}]' in got[1].raw
     agent = spark.createDataFrame([("ag", 10**18, 1001, "zz", "", "", '{"file":{"path":"/x"}}', None, 0)], "agent_id string, ts_unix_ns long, class_uid int, process_guid string, username string, conn_tuple string, raw_json string, parent_process_guid string, dropped_events long")
     e = normalise.agent_events(agent, assets).head()
-    assert (e.partition_key, e.process_guid, e.username, e.fingerprint_suffix, e.asset_os) == ("A", None, None, "/x", "linux")
+    others = [agent.withColumn(c, F.lit(v)) for c, v in (("process_guid", "g1"), ("parent_process_guid", "g2"), ("conn_tuple", "tcp:a:1>b:2"))]
+    assert len({e.id, *[normalise.agent_events(x, assets).head().id for x in others]}) == 4  # each tells two events apart
+    assert (e.partition_key, e.process_guid, e.username, e.fingerprint_suffix, e.asset_os) == ("A", None, None, "|/x", "linux")
     good = '{"version":1,"id":"1","partition_key":"a","timestamp":"2024-01-01T00:00:00Z","class_uid":1,"source":"s","raw":"{}"}'
     values = [good, good.replace('"version":1', '"version":2'), "junk", good.replace('"raw":"{}"', '"raw":"{x"'), good.replace('"source":"s"', '"source":""')]
     ok, bad = normalise.decode_envelopes(spark.createDataFrame([(v,) for v in values], "value string"), "value", ENVELOPE)
@@ -183,7 +185,7 @@ def test_views(spark):
     assert trend.count() == 24 and trend.agg(F.sum("hits")).head()[0] == 3
     nodes = spark.createDataFrame([("i1", "asset:A", "asset", "A", T0)], "incident_id string, id string, type string, label string, first_ts timestamp")
     report = views.incident_reports(inc, alerts, nodes, commands, rules, now).head().report
-    assert "# Case" in report and "Title\\|x" in report and "Hosts: A" in report and "- isolate sent" in report
+    assert "# Case" in report and "Title\\|x" in report and "Hosts: `A`" in report and "- isolate sent" in report
     assert "x2" in views.incident_context(inc, alerts, rules).head().context
     decided = views.notification_decisions(inc.withColumn("severity", F.lit(4)), F.lit(at(-1)).cast("timestamp"))
     assert decided.head().decision == "send"
