@@ -5,8 +5,8 @@ again leaves what it would have left at once:
 
 * events are appended with their batch; ids that another batch stored are left out;
 * logs (hits, alert deltas, assignments) have a folder a batch, which a replay overwrites;
-* state (counters, baselines, incidents, open windows) has a version a batch, made of the last complete version below
-  it and the batch's rows; readers take the last complete one.
+* state (counters, baselines, incidents, open windows) is a few segments, each the merged rows of a range of batches. A
+  batch writes a segment of its own rows; older ones are merged as they grow to one size, and readers merge what is left.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,14 +121,22 @@ def read_log(spark: SparkSession, path: str, other_than: int | None = None) -> D
 
 # State
 
+Merge = Callable[[DataFrame], DataFrame]
+"""Rows of any number of batches to the state after them. It must not matter in which groups batches are merged: merge(merge(a + b) + c) = merge(a + b + c)."""
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions, in order."""
+
+def _numbered(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """What follows the prefix in the names of complete folders; one that a write left half-way has no mark of success."""
     fs, p = _folder(spark, path)
     if not fs.exists(p):
         return []
-    names = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("version=")]
-    return sorted(int(x.getName().split("=")[1]) for x in names if exists(spark, f"{x.toString()}/_SUCCESS"))
+    names = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith(prefix)]
+    return [x.getName()[len(prefix) :] for x in names if exists(spark, f"{x.toString()}/_SUCCESS")]
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a table that each batch writes anew, in order."""
+    return sorted(int(x) for x in _numbered(spark, path, "version="))
 
 
 def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
@@ -136,33 +145,114 @@ def current(spark: SparkSession, path: str, before: int | None = None) -> DataFr
     return spark.read.parquet(f"{path}/version={found[-1]}") if found else None
 
 
-def advance(batch: DataFrame, path: str, number: int, merged: Callable[[DataFrame], DataFrame]) -> None:
-    """Writes version `number`: the last version below it united with the batch, and merged. Versions below both go, as their batches are committed."""
-    spark = batch.sparkSession
-    before = [v for v in versions(spark, path) if v < number]
-    both = batch if not before else spark.read.parquet(f"{path}/version={before[-1]}").unionByName(batch, allowMissingColumns=True)
-    merged(both).write.mode("overwrite").parquet(f"{path}/version={number}")
-    for v in before[:-1]:
-        remove(spark, f"{path}/version={v}")
+def segments(spark: SparkSession, path: str, before: int | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(first, last batch) of the segments that hold the batches below `before`, in order, and of those that a wider one has replaced."""
+    found = [tuple(map(int, x.split("-"))) for x in _numbered(spark, path, "segment=")]
+    kept, replaced = [], []
+    for low, high in sorted((x for x in found if before is None or x[1] < before), key=lambda x: (x[0], -x[1])):
+        (replaced if kept and low <= kept[-1][1] else kept).append((low, high))
+    return kept, replaced
+
 
+def _read(spark: SparkSession, path: str, found: list[tuple[int, int]]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(f"{path}/segment={low}-{high}") for low, high in found])
 
-def by_key(keys: list[str], *merged: Column) -> Callable[[DataFrame], DataFrame]:
+
+def state(spark: SparkSession, path: str, merge: Merge, before: int | None = None, only: DataFrame | None = None) -> DataFrame | None:
+    """The state after all batches, or after those below `before`; None if there is none. only: a table of keys, where no other key's rows are asked for: they are left out before rows are merged."""
+    found, _ = segments(spark, path, before)
+    if not found:
+        return None
+    rows = _read(spark, path, found)
+    return merge(rows if only is None else rows.join(only.distinct(), only.columns, "left_semi"))
+
+
+def advance(batch: DataFrame, path: str, number: int, merge: Merge) -> None:
+    """Writes batch `number`'s own rows, merged, as a segment, after older segments have been compacted. Batches are numbered from 0."""
+    compact(batch.sparkSession, path, number, merge)
+    merge(batch).write.mode("overwrite").parquet(f"{path}/segment={number}-{number}")
+
+
+def compact(spark: SparkSession, path: str, number: int, merge: Merge, least: int = 4) -> None:
+    """Merges the last segments of the batches below `number`, whose writers are committed, where `least` or more have grown to one size.
+
+    A segment goes in if it is no larger than those after it together. So there are never more than the logarithm of the batches and `least`,
+    and a row is written anew that often at most, whatever the size of the state. A segment that was left half-way is not read, and is written
+    again. What is replaced is removed by the next call, when readers that listed it are through.
+    """
+    found, replaced = segments(spark, path, number)
+    for low, high in replaced:
+        remove(spark, f"{path}/segment={low}-{high}")
+    tail, size = [], 0
+    for low, high in reversed(found):
+        fs, p = _folder(spark, f"{path}/segment={low}-{high}")
+        own = fs.getContentSummary(p).getLength()
+        if tail and own > size:
+            break
+        tail, size = [(low, high), *tail], size + own
+    if len(tail) >= least:
+        merge(_read(spark, path, tail)).write.mode("overwrite").parquet(f"{path}/segment={tail[0][0]}-{tail[-1][1]}")
+
+
+def by_key(keys: list[str], *merged: Column) -> Merge:
     return lambda df: df.groupBy(*keys).agg(*merged)
 
 
+def _baselines() -> Merge:
+    return by_key(["asset_id", "exe_path"], F.min("first_seen").alias("first_seen"))
+
+
 def write_baselines(batch: DataFrame, path: str, number: int) -> None:
-    advance(batch, path, number, by_key(["asset_id", "exe_path"], F.min("first_seen").alias("first_seen")))
+    advance(batch, path, number, _baselines())
+
+
+def read_baselines(spark: SparkSession, path: str, before: int | None = None, only: DataFrame | None = None) -> DataFrame | None:
+    return state(spark, path, _baselines(), before, only)
+
+
+def _counters(key: str) -> Merge:
+    return by_key([key], F.sum("hits").alias("hits"), F.max("last").alias("last"))
 
 
 def write_counters(batch: DataFrame, path: str, key: str, number: int) -> None:
     """batch: key, hits, last; added to the totals of the batches before it."""
-    advance(batch, path, number, by_key([key], F.sum("hits").alias("hits"), F.max("last").alias("last")))
+    advance(batch, path, number, _counters(key))
+
+
+def read_counters(spark: SparkSession, path: str, key: str, before: int | None = None) -> DataFrame | None:
+    return state(spark, path, _counters(key), before)
+
+
+def _last_rows(ts: str) -> Merge:
+    def merge(df: DataFrame) -> DataFrame:
+        row = F.struct(*[c for c in df.columns if c != "id"])
+        return df.groupBy("id").agg(F.max_by(row, F.struct(ts, row)).alias("_r")).select("id", "_r.*")
+
+    return merge
 
 
 def write_incidents(batch: DataFrame, path: str, number: int, ts: str = "updated_at") -> None:
-    """batch: id, `ts` and other columns; of each incident the row with the last `ts` stays."""
-    row = F.struct(*[c for c in batch.columns if c != "id"])
-    advance(batch, path, number, lambda df: df.groupBy("id").agg(F.max_by(row, F.col(ts)).alias("_r")).select("id", "_r.*"))
+    """batch: id, `ts` and other columns; of each incident the row with the last `ts` stays, of equal ones the greatest row."""
+    advance(batch, path, number, _last_rows(ts))
+
+
+def read_incidents(spark: SparkSession, path: str, before: int | None = None, ts: str = "updated_at") -> DataFrame | None:
+    return state(spark, path, _last_rows(ts), before)
+
+
+def _windows() -> Merge:
+    return by_key(["fingerprint"], F.max_by("first_ts", "batch").alias("first_ts"), F.max("batch").alias("batch"))
+
+
+def write_windows(batch: DataFrame, path: str, number: int, forget: int) -> None:
+    """batch: fingerprint, first_ts: the alert window that each has open. Those without a hit in `forget` batches go when segments are merged."""
+    rows = batch.withColumn("batch", F.lit(number).cast("long"))
+    advance(rows, path, number, lambda df: _windows()(df).where(F.col("batch") >= number - forget))
+
+
+def read_windows(spark: SparkSession, path: str, number: int, forget: int, only: DataFrame | None = None) -> DataFrame | None:
+    """What was open before batch `number`, of all fingerprints or of those in `only`."""
+    return state(spark, path, lambda df: _windows()(df).where(F.col("batch") >= number - forget), number, only)
 
 
 # Alerts: a log of deltas

@@ -13,7 +13,7 @@ from ..operators import correlate, detect, flows, normalise, sinks, views, windo
 from ..sources import readers
 from ..streaming import pipeline
 from .adapter import HITS, RULES, address, assets_of, events_of, telemetry
-from .registry import _ASSIGN, DAY, HOURS12, WINDOWED, _R, alerts_of, incidents_of, judged_incidents, now_of, query
+from .registry import _ASSIGN, DAY, FIRST, HOURS12, WINDOWED, _R, alerts_of, hits, incidents_of, judged_incidents, now_of, query
 
 _IP = lambda a: f"'10.0.' || ({a} // 250) || '.' || ({a} % 250)"
 
@@ -497,6 +497,13 @@ def parts_of(t, n: int):
             yield k, rows
 
 
+def thirds(t):
+    """Events in three parts by time, none twice."""
+    span = t.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).head()
+    edges = [F.lit(span["a"] + (span["b"] - span["a"]) / 3 * k) if span["a"] is not None else F.current_timestamp() for k in (1, 2)]
+    return [t.where(F.col("ts") < edges[0]), t.where((F.col("ts") >= edges[0]) & (F.col("ts") < edges[1])), t.where(F.col("ts") >= edges[1])]
+
+
 _FINGERPRINT = "rule_id || '|' || asset_id || case when class_uid = 1001 then '|' || exe_path else '' end"
 
 
@@ -590,3 +597,32 @@ def flows_in_batches(spark, d):
         part = packets if low is None else packets.where(F.col("ts") >= F.lit(low))
         run(part if high is None else part.where(F.col("ts") < F.lit(high)), number, drain=high is None)
     return spark.read.parquet(f"{out}/flows").select("src_ip", "dst_ip", "first_ts", "last_ts", "src_packets")
+
+
+@query("brute_force_streamed", "a as (select *, count(*) filter (status_id = 2) over (partition by asset_id, username order by ts range between interval 10 day preceding and current row) as failures from t where class_uid = 3002) select event_id, asset_id, username, failures from a where status_id = 1 and failures >= 5")
+def brute_force_streamed(spark, d):
+    """Authentication events of the whole table as a stream in three runs by time: failures lie in a state store, and hits are those of the batch operator."""
+    t = with_ids(telemetry(spark, d)).where("class_uid = 3002").select("id", "ts", "asset_id", "username", "status_id")
+    hits = pipeline.in_runs(thirds(t), sinks.scratch(spark, "failures"), lambda s: pipeline.stream_brute_force(s, timedelta(days=10), forget=None))
+    return hits.select(F.col("id").cast("long").alias("event_id"), "asset_id", "username", "failures")
+
+
+@query("first_seen_streamed", f"{FIRST} select asset_id, exe_path, first_seen as ts from f join l using (asset_id) where first_seen >= s + interval 7 day")
+def first_seen_streamed(spark, d):
+    """Programs of the whole table as a stream in three runs by time, against the baselines in a state store."""
+    t = with_ids(telemetry(spark, d)).where("exe_path is not null").select("id", "ts", "asset_id", "exe_path")
+    return pipeline.in_runs(thirds(t), sinks.scratch(spark, "programs"), pipeline.stream_first_seen).select("asset_id", "exe_path", "ts")
+
+
+@query("hits_in_many_batches", f"{HITS} select rule_id, count(*) as hits, max(ts) as last from hits group by 1")
+def hits_in_many_batches(spark, d):
+    """Counters of all hits over ten batches by time, one of which comes twice: segments that are merged as they grow, against one aggregate."""
+    h = hits(spark, d)
+    at, width = sinks.scratch(spark, "counters"), 10
+    span = h.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).head()
+    step = (span["b"] - span["a"]) / width if span["a"] is not None else timedelta(1)
+    place = F.lit(0) if span["a"] is None else F.least(F.lit(width - 1), F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(span["a"]))) / max(round(step.total_seconds() * 1e6), 1)))
+    for number in (0, 1, 2, 2, *range(3, width)):
+        part = h.where(place == number).groupBy("rule_id").agg(F.count("*").alias("hits"), F.max("ts").alias("last"))
+        sinks.write_counters(part, at, "rule_id", number)
+    return sinks.read_counters(spark, at, "rule_id")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,14 +66,87 @@ def stateful_dedup(hits: DataFrame, window: timedelta, forget: timedelta = timed
     return hits.select("fingerprint", "ts").groupBy("fingerprint").transformWithStateInPandas(_Windows(pd.Timedelta(window), forget), "fingerprint string, first_ts timestamp, added long, last_ts timestamp, is_new boolean", "Append", "ProcessingTime")
 
 
-def stream_brute_force(auth: DataFrame, window: timedelta = timedelta(minutes=10), threshold: int = 5, late: str = "10 minutes") -> DataFrame:
-    """Successes with enough failures before them: a stream-stream interval join, then a count for each success."""
-    seconds = int(window.total_seconds())
-    ok = auth.where("status_id = 1").select("id", F.col("ts").alias("s_ts"), "asset_id", "username").withWatermark("s_ts", late)
-    bad = auth.where("status_id = 2").select(F.col("ts").alias("f_ts"), F.col("asset_id").alias("f_asset"), F.col("username").alias("f_user")).withWatermark("f_ts", late)
-    near = (F.col("asset_id") == F.col("f_asset")) & (F.col("username") == F.col("f_user")) & F.expr(f"f_ts <= s_ts and f_ts >= s_ts - interval {seconds} seconds")
-    pairs = ok.join(bad, near)
-    return pairs.groupBy(F.window("s_ts", "1 second"), "id", "asset_id", "username").agg(F.count("*").alias("failures")).where(F.col("failures") >= threshold).select("id", "asset_id", "username", "failures", F.col("window.start").alias("ts"))
+class _Failures(StatefulProcessor):
+    """Times of an asset's and user's failures, and how many each time had."""
+
+    def __init__(self, width: int, threshold: int, forget: timedelta | None):
+        self.width, self.threshold, self.forget = width, threshold, forget and round(forget.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.failed = handle.getMapState("failed", "t bigint", "n bigint", self.forget)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        tries = pd.concat(list(rows))
+        for t, n in tries.loc[tries["status_id"] == 2, "t"].value_counts().items():
+            before = self.failed.getValue((int(t),)) if self.failed.containsKey((int(t),)) else None
+            self.failed.updateValue((int(t),), (int(n) + (before[0] if before else 0),))
+        logins = tries[tries["status_id"] == 1]
+        if logins.empty:
+            return
+        counts = pd.Series({k[0]: v[0] for k, v in self.failed.iterator()}, dtype="int64").sort_index()
+        total = np.concatenate([[0], counts.to_numpy().cumsum()])
+        times, at = counts.index.to_numpy(dtype="int64"), logins["t"].to_numpy()
+        found = total[np.searchsorted(times, at, "right")] - total[np.searchsorted(times, at - self.width, "left")]
+        hits = logins.assign(failures=found)[found >= self.threshold]
+        yield hits.assign(asset_id=key[0], username=key[1])[["id", "asset_id", "username", "t", "failures"]]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_brute_force(auth: DataFrame, window: timedelta = timedelta(minutes=10), threshold: int = 5, forget: timedelta | None = timedelta(days=1)) -> DataFrame:
+    """auth (id, ts, asset_id, username, status_id) to the hits of `windows.brute_force_success`: id, asset_id, username, ts, failures, rule_id, severity.
+
+    One state an asset and user: a row for each time at which it failed, kept for `forget` of the clock on the wall, so
+    that no other one's time ends it (None: kept; such a query ends by itself where its source does). A login is counted against
+    the failures of its own micro-batch and of those before; a failure that comes later makes no hit of it. Rows without a
+    time or a user are left out, a null asset is one asset. Needs RocksDB as the state store, like `stateful_dedup`.
+    """
+    tries = auth.where(F.col("status_id").isin(1, 2) & F.col("username").isNotNull() & F.col("ts").isNotNull())
+    rows = tries.select(F.col("id").cast("string").alias("id"), "asset_id", "username", F.unix_micros("ts").alias("t"), "status_id")
+    kinds = dict(rows.dtypes)
+    processor = _Failures(round(window.total_seconds() * 1e6), threshold, forget)
+    hits = rows.groupBy("asset_id", "username").transformWithStateInPandas(processor, f"id string, asset_id {kinds['asset_id']}, username string, t long, failures long", "Append", "ProcessingTime" if forget else "None")
+    return hits.select("id", "asset_id", "username", F.timestamp_micros("t").alias("ts"), "failures", F.lit("bruteforce:success").alias("rule_id"), F.lit(5).alias("severity"))
+
+
+class _Programs(StatefulProcessor):
+    """An asset's programs, with when each was first seen, and when the first of all was."""
+
+    def __init__(self, learning: int):
+        self.learning = learning
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "exe_path string", "first_seen bigint")
+        self.start = handle.getValueState("start", "t bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = pd.concat([r.sort_values(["t", "id"]).drop_duplicates("exe_path") for r in rows])
+        first = first.sort_values(["t", "id"]).drop_duplicates("exe_path")
+        new = first[[not self.known.containsKey((p,)) for p in first["exe_path"]]]
+        if new.empty:
+            return
+        for path, t in zip(new["exe_path"], new["t"], strict=True):
+            self.known.updateValue((path,), (int(t),))
+        start = min([int(new["t"].min()), *(self.start.get() if self.start.exists() else ())])
+        self.start.update((start,))
+        yield new[new["t"] - start >= self.learning].assign(asset_id=key[0])[["id", "asset_id", "exe_path", "t"]]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_first_seen(events: DataFrame, learning: timedelta = timedelta(days=7)) -> DataFrame:
+    """events (id, ts, asset_id, exe_path) to the hits of `windows.first_seen`: event_id, asset_id, exe_path, ts, rule_id, severity.
+
+    One state an asset: a row a program, as a baseline is never forgotten, and the start of its learning. A program is looked
+    up by its path; the others are not read. An event that comes late may move the start back for the programs after it, but calls
+    back no hit. Rows without a time, an asset or a program are left out. Ids are ordered as text where times are equal.
+    """
+    rows = events.where(F.col("exe_path").isNotNull() & F.col("asset_id").isNotNull() & F.col("ts").isNotNull())
+    rows = rows.select(F.col("id").cast("string").alias("id"), "asset_id", "exe_path", F.unix_micros("ts").alias("t"))
+    found = rows.groupBy("asset_id").transformWithStateInPandas(_Programs(round(learning.total_seconds() * 1e6)), f"id string, asset_id {dict(rows.dtypes)['asset_id']}, exe_path string, t long", "Append", "None")
+    return found.select(F.col("id").alias("event_id"), "asset_id", "exe_path", F.timestamp_micros("t").alias("ts"), F.lit("ueba:first_seen").alias("rule_id"), F.lit(2).alias("severity"))
 
 
 def alert_deltas(hits: DataFrame, opened: DataFrame | None, window: timedelta, anchor_late: bool = True) -> DataFrame:
@@ -115,7 +189,7 @@ def detection_batch(spark: SparkSession, rules: Callable[[], RuleSet], intel: Ca
     Every write is keyed by the batch (see `sinks`), so a batch may fail at any place and come again. A batch reads the
     stored ids of its own dates, the authentication events that failures are counted over and the window of each fingerprint;
     none of these grows with history. A window is forgotten when its fingerprint has had no hit in `forget` batches (a day, of two seconds each): the times
-    of other events, which may be wrong, end no window. Alerts are read by `sinks.read_alerts`, counters and open windows by `sinks.current`.
+    of other events, which may be wrong, end no window. Alerts are read by `sinks.read_alerts`, counters by `sinks.read_counters`.
     """
     keep = ("asset_id", "partition_key", "fingerprint_suffix", "username", "source")
 
@@ -141,11 +215,11 @@ def detection_batch(spark: SparkSession, rules: Callable[[], RuleSet], intel: Ca
             key = F.concat(F.col("partition_key"), F.coalesce("fingerprint_suffix", F.lit("")))  # the suffix begins with a bar
             named = work.stored(hits.withColumn("fingerprint", fingerprint(F.col("rule_id"), key, F.lit(0), F.lit(""), F.col("username"))), "named")
             sinks.write_log(named, f"{out}/hits", number)
-            opened = sinks.current(spark, f"{out}/open", number)
+            opened = sinks.read_windows(spark, f"{out}/open", number, forget, named.select("fingerprint"))
             deltas = work.stored(alert_deltas(named, opened, window, anchor_late), "deltas")
             sinks.upsert_alerts(deltas, f"{out}/alerts", number)
-            newest = deltas.where("not late").groupBy("fingerprint").agg(F.max("first_ts").alias("first_ts")).withColumn("batch", F.lit(number).cast("long"))
-            sinks.advance(newest, f"{out}/open", number, lambda df: df.groupBy("fingerprint").agg(F.max_by("first_ts", "batch").alias("first_ts"), F.max("batch").alias("batch")).where(F.col("batch") > number - forget))
+            newest = deltas.where("not late").groupBy("fingerprint").agg(F.max("first_ts").alias("first_ts"))
+            sinks.write_windows(newest, f"{out}/open", number, forget)
             sinks.write_log(batch_metrics(batch, fresh, deltas), f"{out}/metrics", number)
             sinks.write_events_idempotent(fresh, f"{out}/events", number)
         finally:
@@ -177,7 +251,8 @@ def first_seen_batch(out: str, learning: timedelta = timedelta(days=7)) -> Calla
     """For foreachBatch: programs first seen, against the baseline of the batches before."""
 
     def run(batch: DataFrame, number: int) -> None:
-        new, hits = windows.first_seen(batch, learning, sinks.current(batch.sparkSession, f"{out}/baseline", number))
+        known = sinks.read_baselines(batch.sparkSession, f"{out}/baseline", number, batch.select("asset_id"))
+        new, hits = windows.first_seen(batch, learning, known)
         sinks.write_log(hits, f"{out}/first_seen", number)
         sinks.write_baselines(new, f"{out}/baseline", number)
 
@@ -196,7 +271,7 @@ def correlation_batch(spark: SparkSession, events: Callable[[], DataFrame], asse
         try:
             new = work.stored(batch.dropDuplicates(["id"]), "alerts")
             past = sinks.read_log(spark, f"{out}/assigned", number)
-            incidents = sinks.current(spark, f"{out}/incidents", number)
+            incidents = sinks.read_incidents(spark, f"{out}/incidents", number)
             kind = dict(new.dtypes)["id"]
             every = new.withColumn("incident_id", F.lit(None).cast(kind))
             if past is not None:
@@ -255,6 +330,27 @@ def start(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
 
 
+def in_runs(parts: Iterable[DataFrame], folder: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `made` gives for a stream that is run once for each part, its state kept from run to run: a part is written to the folder, and the query
+    goes on where it stopped. The state store is RocksDB, for these queries only. `made` must have a state without a time of its own, so that a run ends with its input."""
+    provider, out = "spark.sql.streaming.stateStore.providerClass", None
+    for part in parts:
+        spark = part.sparkSession
+        part.write.mode("append").parquet(f"{folder}/in")
+        made_of = made(spark.readStream.schema(part.schema).parquet(f"{folder}/in"))
+        before = spark.conf.get(provider)
+        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        try:
+            query = made_of.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        finally:
+            spark.conf.set(provider, before)
+        query.awaitTermination()
+        out = spark.read.schema(made_of.schema).parquet(f"{folder}/out")
+    if out is None:
+        raise ValueError("no part")
+    return out
+
+
 class Metrics(StreamingQueryListener):
     """Rows, latency and backlog of each micro-batch."""
 
