@@ -136,6 +136,40 @@ def test_correlation(spark):
     assert [tuple(r) for r in over.collect()] == [(1, 1)]
 
 
+def test_parents_of_hot_keys(spark):
+    """Against plain Python: one asset with most alerts, one address with most connections, one ancestor of all, over weeks and on the edges of slices; and the hot address is many groups."""
+    rng, half = random.Random(5), timedelta(minutes=30)
+    when = lambda: at(30 * rng.choice([rng.randrange(40), rng.randrange(2000)]) + rng.choice([0, 0, 7, 29]))
+    alerts = [(k, when(), rng.choice(["A", "A", "A", "B", "C", None]), rng.choice(["p1", "p2", "p3", None]), "r", None) for k in range(250)]
+    tree = [(f"e{k}", at(0), "A", f"p{k}", "p0" if k < 3 else "p1", None) for k in (1, 2, 3)]
+    ips = {"A": "10.0.0.1", "B": "10.0.0.2", "C": "10.0.0.3"}
+    conns = [(f"c{k:03}", when(), rng.choice("ABC"), None, None, f"tcp:10.9.9.9:1>{ips[rng.choice('AAAB')]}:445") for k in range(300)]
+    frame = spark.createDataFrame(alerts, ALERT)
+    key = lambda a: (a[1], a[0])
+    gap, lateral, lineage = {}, {}, {}
+    above = {"p1": ["p0"], "p2": ["p0"], "p3": ["p1", "p0"]}
+    for a in alerts:
+        same = [b for b in alerts if b[2] == a[2] and key(b) < key(a)]
+        if same and a[1] - max(same, key=key)[1] <= half:
+            gap[a[0]] = max(same, key=key)[0]
+        for p in above.get(a[3], []):
+            if older := [b for b in alerts if b[3] == p and key(b) < key(a)]:
+                lineage[a[0]] = max(older, key=key)[0]
+                break
+        met = sorted(((c[1], c[0], c[2]) for c in conns if a[2] and c[2] != a[2] and c[5].split(">")[1].startswith(ips[a[2]] + ":") and timedelta(0) <= a[1] - c[1] <= half), reverse=True)[:5]
+        for _, _, other in met:
+            if near := [b for b in alerts if b[2] == other and key(b) < key(a) and a[1] - b[1] <= half]:
+                lateral[a[0]] = max(near, key=key)[0]
+                break
+    assert {r.id: r.gap_parent for r in correlate.gap_parent(frame, half).collect()} == gap and len(gap) > 50
+    events = spark.createDataFrame([*tree, *conns], EVENT.replace("event_id int", "event_id string"))
+    assets = spark.createDataFrame([(a, [ip]) for a, ip in ips.items()], ASSET)
+    assert {r.id: r.lateral_parent for r in correlate.lateral_parent(frame, assets, events.where("conn_tuple is not null"), half).collect()} == lateral and len(lateral) > 10
+    assert {r.id: r.lineage_parent for r in correlate.lineage_parent(frame, events).collect()} == lineage and len(lineage) > 20
+    slices = frame.where("asset_id = 'A'").groupBy(correlate._bin("ts", half)).count()
+    assert slices.count() > 40 and slices.agg(F.max("count")).head()[0] < 20
+
+
 def test_flows(spark):
     rows = [(at(0), "c", 1000, "s", 80, 6, 2, 60), (at(0, seconds=1), "s", 80, "c", 1000, 6, 18, 60), (at(0, seconds=2), "c", 1000, "s", 80, 6, 1, 40), (at(0, seconds=4), "s", 80, "c", 1000, 6, 16, 40), (at(0, seconds=9), "c", 1000, "s", 80, 6, 2, 60), (at(2), "s", 80, "c", 1000, 6, 18, 60)]
     df = spark.createDataFrame(rows, "ts timestamp, src_ip string, sport int, dst_ip string, dport int, proto int, tcp_flags int, frame_len long")

@@ -40,14 +40,32 @@ def ancestors(guids: DataFrame, parents: DataFrame, depth: int, step: int = 4) -
     return paths.select("guid", F.posexplode("path").alias("_k", "ancestor")).select("guid", "ancestor", (F.col("_k") + 1).alias("level"))
 
 
-def _last_before(asks: DataFrame, gives: DataFrame, key: str, out: str) -> DataFrame:
-    """asks (key, ts, id, ...) with `out`: struct<ts, id> of the last of gives (key, ts, id) with a smaller (ts, id). An as-of join: the two are united and sorted by key, and no pair is made."""
+def _bin(ts: str, width: timedelta) -> Column:
+    return F.floor(F.unix_micros(ts) / F.lit(max(round(width.total_seconds() * 1e6), 1))).alias("_bin")
+
+
+def _last_before(asks: DataFrame, gives: DataFrame, key: str, out: str, within: timedelta | None = None, slice_of: timedelta = timedelta(days=1)) -> DataFrame:
+    """asks (key, ts, id, ...) with `out`: struct<ts, id> of the last of gives (key, ts, id) with a smaller (ts, id). An as-of join: the two are united and sorted, and no pair is made.
+
+    A key's rows are dealt by time, so that a key with most of the rows is many tasks. Where only gives at most `within`
+    before are asked for (others may be given), a slice is that wide, and a give lies in its own and the next one. Else slices are `slice_of` wide, and each takes
+    the last give of the slices before it, found among one row a key and slice. A null key is a key only with `within`.
+    """
     cols = [c for c in asks.columns if c not in (key, "ts", "id")]
-    left = asks.select(key, "ts", "id", *cols, F.lit(0).alias("_give"))
-    both = left.unionByName(gives.select(key, "ts", "id", F.lit(1).alias("_give")), allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy("ts", "id", "_give").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    width = within if within is not None else slice_of
+    left = asks.select(key, "ts", "id", *cols, _bin("ts", width), F.lit(0).alias("_give"))
+    right = gives.select(key, "ts", "id", _bin("ts", width), F.lit(1).alias("_give"))
+    if within is not None:
+        right = right.withColumn("_bin", F.explode(F.array("_bin", F.col("_bin") + 1)))
+    order = Window.partitionBy(key, "_bin").orderBy("ts", "id", "_give").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.last(F.when(F.col("_give") == 1, F.struct("ts", "id")), ignorenulls=True).over(order)
-    return both.withColumn(out, last).where("_give = 0").drop("_give")
+    found = left.unionByName(right, allowMissingColumns=True).withColumn(out, last).where("_give = 0").drop("_give")
+    if within is not None:
+        return found.drop("_bin")
+    slices = right.select(key, "_bin", F.struct("ts", "id").alias("_top")).unionByName(left.select(key, "_bin"), allowMissingColumns=True).groupBy(key, "_bin").agg(F.max("_top").alias("_top"))
+    before = F.last("_top", ignorenulls=True).over(Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    carried = slices.select(key, "_bin", before.alias("_before")).where(F.col("_before").isNotNull())
+    return found.join(carried, [key, "_bin"], "left").withColumn(out, F.coalesce(out, "_before")).drop("_bin", "_before")
 
 
 def lineage_parent(alerts: DataFrame, process_events: DataFrame, max_depth: int = 16) -> DataFrame:
@@ -63,31 +81,34 @@ def lineage_parent(alerts: DataFrame, process_events: DataFrame, max_depth: int
 
 
 def gap_parent(alerts: DataFrame, window: timedelta) -> DataFrame:
-    """(id, gap_parent): the alert before it on the same asset, if not more than `window` earlier; alerts without asset form one bucket."""
-    order = Window.partitionBy("asset_id").orderBy("ts", "id")
-    near = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order)) <= round(window.total_seconds() * 1e6)
-    return alerts.select("id", F.when(near, F.lag("id").over(order)).alias("gap_parent")).where(F.col("gap_parent").isNotNull())
+    """(id, gap_parent): the alert before it on the same asset, if not more than `window` earlier; alerts without asset form one bucket, dealt by time like any other."""
+    rows = alerts.select("asset_id", "ts", "id")
+    near = F.unix_micros("ts") - F.unix_micros("_p.ts") <= round(window.total_seconds() * 1e6)
+    return _last_before(rows, rows, "asset_id", "_p", window).where(near).select("id", F.col("_p.id").alias("gap_parent"))
 
 
 def lateral_parent(alerts: DataFrame, assets: DataFrame, connections: DataFrame, window: timedelta, per_ip: int = 5) -> DataFrame:
     """(id, lateral_parent): of the newest `per_ip` connections of other assets to each of my addresses within the window before me, the newest whose asset had an alert in that window gives its latest alert.
 
     connections: event_id, ts, asset_id, conn_tuple. Two as-of joins: each connection carries the last `per_ip` ones to
-    its address, each alert takes those of the last connection before it, and then each of those assets' last alert.
+    its address, each alert takes those of the last connection before it, and then each of those assets' last alert. Nothing older than the
+    window is asked for, so an address's rows are dealt by time: slices as wide as the window, a connection in its own and the next one.
     """
     width = round(window.total_seconds() * 1e6)
     near = lambda t: F.unix_micros("ts") - F.unix_micros(t) <= width
     addresses = assets.select("asset_id", F.explode("ip_addrs").alias("ip"))
     conns = connections.select(F.col("event_id").alias("conn_id"), F.col("ts").alias("conn_ts"), F.col("asset_id").alias("other"), parse_conn_tuple("conn_tuple")["dst_ip"].alias("ip"))
-    conns = conns.join(addresses, "ip").where(F.col("other") != F.col("asset_id"))
-    recent = Window.partitionBy("asset_id", "ip").orderBy("conn_ts", "conn_id").rowsBetween(1 - per_ip, Window.currentRow)
-    conns = conns.select("asset_id", "ip", F.col("conn_ts").alias("ts"), F.col("conn_id").alias("_order"), F.collect_list(F.struct("conn_ts", "conn_id", "other")).over(recent).alias("_conns"))
-    mine = alerts.where(F.col("asset_id").isNotNull()).join(addresses, "asset_id").select("asset_id", "ip", "ts", "id")
+    conns = conns.join(addresses, "ip").where(F.col("other") != F.col("asset_id")).withColumn("_bin", _bin("conn_ts", window))
+    conns = conns.withColumn("_bin", F.explode(F.array("_bin", F.col("_bin") + 1)))
+    slices = ["asset_id", "ip", "_bin"]
+    recent = Window.partitionBy(*slices).orderBy("conn_ts", "conn_id").rowsBetween(1 - per_ip, Window.currentRow)
+    conns = conns.select(*slices, F.col("conn_ts").alias("ts"), F.col("conn_id").alias("_order"), F.collect_list(F.struct("conn_ts", "conn_id", "other")).over(recent).alias("_conns"))
+    mine = alerts.where(F.col("asset_id").isNotNull()).join(addresses, "asset_id").select("asset_id", "ip", "ts", "id", _bin("ts", window))
     both = mine.withColumn("_ask", F.lit(1)).unionByName(conns.withColumn("_ask", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy("asset_id", "ip").orderBy("ts", "_ask", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy(*slices).orderBy("ts", "_ask", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = both.withColumn("_last", F.last("_conns", ignorenulls=True).over(order)).where("_ask = 1").select("id", "ts", F.explode("_last").alias("c")).where(near("c.conn_ts"))
     asked = met.select(F.col("c.other").alias("asset_id"), "ts", "id", F.col("c.conn_ts").alias("conn_ts"), F.col("c.conn_id").alias("conn_id"))
-    found = _last_before(asked, alerts.where(F.col("asset_id").isNotNull()).select("asset_id", "ts", "id"), "asset_id", "_p").where(F.col("_p").isNotNull() & near("_p.ts"))
+    found = _last_before(asked, alerts.where(F.col("asset_id").isNotNull()).select("asset_id", "ts", "id"), "asset_id", "_p", window).where(F.col("_p").isNotNull() & near("_p.ts"))
     return found.groupBy("id").agg(F.max(F.struct("conn_ts", "conn_id", F.col("_p.ts").alias("_pts"), F.col("_p.id").alias("_pid")))["_pid"].alias("lateral_parent"))
 
 
