@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from datetime import datetime, timedelta
 
 import duckdb
+from pyspark.sql import functions as F
+from tracehold.operators import views
 from tracehold.plans import records, registry  # noqa: F401  (records adds its queries to the registry)
 
 
@@ -34,3 +37,39 @@ def test_flows_of_hosts_beyond_one_group(spark, tmp_path):
     d = tables(spark, tmp_path, [(u, "click", k) for u in users for k in range(7)])
     got = by_query(spark, d, "flows_six")
     assert got == by_sql(d, "flows_six") and len(got) == len(users)
+
+
+def most_joined(df) -> int:
+    """df is collected; the rows that the largest of its joins made."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        made = node.metrics().get("numOutputRows")
+        if name.endswith("JoinExec") and made.isDefined():
+            most = max(most, made.get().value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_false_positives_do_not_multiply_by_incidents(spark):
+    start, rng = datetime(2024, 1, 1), random.Random(4)
+    alerts = [(i, start + timedelta(minutes=rng.randrange(3000)), rng.choice("abc"), rng.choice([*range(40)] * 3 + [*range(400)] + [None])) for i in range(3000)]
+    alerts += [(3000 + i, start + timedelta(days=3, minutes=i), "a", 0) for i in range(60)]  # the newest are one incident's own
+    incidents = [(i, "false_positive" if i % 3 == 0 else "open", rng.choice(["x", "y", "z", None])) for i in range(400)]
+    frame = spark.createDataFrame(alerts, "id long, ts timestamp, rule_id string, incident_id long")
+    found = views.false_positive_history(frame, spark.createDataFrame(incidents, "id long, status string, title string"), spark.createDataFrame([("a", "A")], "rule_id string, title string"), F.lit(start + timedelta(days=4)).cast("timestamp"))
+    false = {i: title for i, status, title in incidents if status == "false_positive"}
+    newest = sorted(((ts, i, rule, incident) for i, ts, rule, incident in alerts if incident in false), reverse=True)
+    expected = set()
+    for incident in {a[3] for a in alerts} - {None}:
+        own = {a[2] for a in alerts if a[3] == incident}
+        cases = dict.fromkeys((rule, false[other]) for _, _, rule, other in [p for p in newest if p[2] in own and p[3] != incident][:20])
+        expected |= {(incident, rule, title, k + 1) for k, (rule, title) in enumerate([*cases][:5])}
+    assert {(r.incident_id, r.rule_id, r.fp_title, r.position) for r in found.collect()} == expected
+    assert most_joined(found) <= 2000  # rows of alerts, or of incidents; 400 incidents and 40 false positives a rule are far more

@@ -90,17 +90,28 @@ def false_positive_history(alerts: DataFrame, incidents: DataFrame, rules: DataF
     """For each incident up to `keep` distinct (rule, title) of recent false positives with one of its rules.
 
     Before incidents meet them, false positives are cut to 2 * newest a rule, of one incident `newest` at most: without
-    an incident's own ones, `newest` of those are always left, and they are the newest.
+    an incident's own ones, `newest` of those are always left, and they are the newest. Incidents with the same rules meet the same ones, so that
+    these are cut once more for each set of rules that occurs, and an incident gets its set's as one list: no row is made of an incident and a false positive.
     """
     false = incidents.where(F.col("status") == "false_positive").select(F.col("id").alias("fp_incident"), F.col("title").alias("fp_title"))
     past = alerts.where(F.col("ts") >= now - F.make_dt_interval(days=F.lit(days))).select("rule_id", F.col("ts").alias("fp_ts"), F.col("id").alias("fp_alert"), F.col("incident_id").alias("fp_incident")).join(false, "fp_incident")
     ranked = lambda df, keys, n: df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("fp_ts"), F.desc("fp_alert")))).where(F.col("_n") <= n)
-    past = ranked(ranked(past, ["rule_id", "fp_incident"], newest), ["rule_id"], 2 * newest).drop("_n")
-    mine = alerts.where(F.col("incident_id").isNotNull()).select("incident_id", "rule_id").distinct()
-    recent = ranked(mine.join(past, "rule_id").where(F.col("incident_id") != F.col("fp_incident")), ["incident_id"], newest)
-    cases = recent.groupBy("incident_id", "rule_id", "fp_title").agg(F.min("_n").alias("_n"), F.max("fp_ts").alias("fp_ts"))
-    kept = cases.withColumn("_k", F.row_number().over(Window.partitionBy("incident_id").orderBy("_n"))).where(F.col("_k") <= keep)
-    return with_rule_title(kept.select("incident_id", "rule_id", "fp_title", "fp_ts", F.col("_k").alias("position")), rules)
+    newest_of = lambda df, key: ranked(ranked(df, [key, "fp_incident"], newest), [key], 2 * newest).drop("_n")
+    mine = alerts.where(F.col("incident_id").isNotNull() & F.col("rule_id").isNotNull()).select("incident_id", "rule_id").distinct()
+    mine = mine.groupBy("incident_id").agg(F.sort_array(F.collect_list("rule_id")).alias("_rules"))
+    # Dealt by number, as few small sets become 2 * newest rows a rule.
+    parts = int(alerts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = mine.select("_rules").distinct().repartition(parts, "_rules").select("_rules", F.explode("_rules").alias("rule_id"))
+    entry = F.struct("fp_ts", "fp_alert", "rule_id", "fp_title", "fp_incident")
+    lists = newest_of(sets.join(newest_of(past, "rule_id"), "rule_id"), "_rules").groupBy("_rules").agg(F.sort_array(F.collect_list(entry), asc=False).alias("_past"))
+
+    def step(acc: Column, p: Column) -> Column:
+        known = F.exists(acc, lambda q: (q["rule_id"] == p["rule_id"]) & q["fp_title"].eqNullSafe(p["fp_title"]))
+        return F.when(known | (F.size(acc) >= keep), acc).otherwise(F.concat(acc, F.array(p)))
+
+    others = F.slice(F.filter("_past", lambda p: p["fp_incident"] != F.col("incident_id")), 1, newest)
+    cases = mine.join(lists, "_rules").select("incident_id", F.posexplode(F.aggregate(others, F.slice("_past", 1, 0), step)).alias("_k", "_c"))
+    return with_rule_title(cases.select("incident_id", "_c.rule_id", "_c.fp_title", "_c.fp_ts", (F.col("_k") + 1).alias("position")), rules)
 
 
 def incident_context(incidents: DataFrame, alerts: DataFrame, rules: DataFrame, per_incident: int = 50, graph: tuple[DataFrame, DataFrame] | None = None, history: DataFrame | None = None, max_raw: int = 500) -> DataFrame:
