@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 from pyspark.sql import functions as F
-from tracehold.operators import views
+from tracehold.operators import correlate, views
 from tracehold.plans import records, registry  # noqa: F401  (records adds its queries to the registry)
 
 
@@ -73,3 +73,17 @@ def test_false_positives_do_not_multiply_by_incidents(spark):
         expected |= {(incident, rule, title, k + 1) for k, (rule, title) in enumerate([*cases][:5])}
     assert {(r.incident_id, r.rule_id, r.fp_title, r.position) for r in found.collect()} == expected
     assert most_joined(found) <= 2000  # rows of alerts, or of incidents; 400 incidents and 40 false positives a rule are far more
+
+
+def test_only_new_alerts_look_for_parents(spark):
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    rows = [(1, at(0), "A", None, 1), (2, at(5), "A", None, 1), (3, at(6), "B", None, 3), (4, at(9), "A", None, None), (5, at(12), "C", None, None), (6, at(13), "C", None, None), (7, at(14), "B", None, None), (8, at(99), "D", "p2", None), (9, at(7), "Z", "p1", 9)]
+    alerts = spark.createDataFrame(rows, "id long, ts timestamp, asset_id string, process_guid string, incident_id long")
+    # The connection at 0 is more than the window before the first new alert; that from A to C at 11 is not.
+    events = spark.createDataFrame([(1, at(-30), "B", None, None, "tcp:10.0.0.2:1>10.0.0.3:2"), (2, at(11), "A", None, None, "tcp:10.0.0.1:1>10.0.0.3:2"), (3, at(1), "Z", "p2", "p1", None)], "event_id long, ts timestamp, asset_id string, process_guid string, parent_process_guid string, conn_tuple string")
+    assets = spark.createDataFrame([("A", ["10.0.0.1"]), ("B", ["10.0.0.2"]), ("C", ["10.0.0.3"])], "asset_id string, ip_addrs array<string>")
+    existing = spark.createDataFrame([(1, "open"), (3, "closed"), (9, "triaged")], "id long, status string")
+    found = correlate.assign_incidents(alerts, events, assets, timedelta(minutes=20), existing=existing)
+    got = {r.id: (r.parent_alert_id, r.reason, r.incident_id) for r in found.collect()}
+    assert {k: v for k, v in got.items() if k > 3 and k < 9} == {4: (2, "asset", 1), 5: (4, "lateral", 1), 6: (5, "asset", 1), 7: (None, "new", 7), 8: (9, "lineage", 9)}
+    assert {k: got[k] for k in (1, 2, 3, 9)} == {1: (None, None, 1), 2: (None, None, 1), 3: (None, None, 3), 9: (None, None, 9)}

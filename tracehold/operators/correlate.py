@@ -68,26 +68,29 @@ def _last_before(asks: DataFrame, gives: DataFrame, key: str, out: str, within:
     return found.join(carried, [key, "_bin"], "left").withColumn(out, F.coalesce(out, "_before")).drop("_bin", "_before")
 
 
-def lineage_parent(alerts: DataFrame, process_events: DataFrame, max_depth: int = 16) -> DataFrame:
+def lineage_parent(alerts: DataFrame, process_events: DataFrame, max_depth: int = 16, asks: DataFrame | None = None) -> DataFrame:
     """(id, lineage_parent): for each alert of a process the newest earlier alert of its nearest ancestor process that has one.
 
-    alerts: id, ts, process_guid. Earlier means a smaller (ts, id).
+    alerts: id, ts, process_guid. Earlier means a smaller (ts, id). asks: the alerts that parents are looked for, if not all.
     """
-    own = alerts.where(F.col("process_guid").isNotNull()).select("id", "ts", F.col("process_guid").alias("guid"))
-    climbed = ancestors(own.select("guid"), process_parents(process_events), max_depth)
-    above = own.join(climbed, "guid").select("ancestor", "ts", "id", "level")
+    of_process = lambda df: df.where(F.col("process_guid").isNotNull()).select("id", "ts", F.col("process_guid").alias("guid"))
+    own = of_process(alerts)
+    asking = own if asks is None else of_process(asks)
+    climbed = ancestors(asking.select("guid"), process_parents(process_events), max_depth)
+    above = asking.join(climbed, "guid").select("ancestor", "ts", "id", "level")
     found = _last_before(above, own.select(F.col("guid").alias("ancestor"), "ts", "id"), "ancestor", "_p").where(F.col("_p").isNotNull())
     return found.groupBy("id").agg(F.min_by("_p", "level")["id"].alias("lineage_parent"))
 
 
-def gap_parent(alerts: DataFrame, window: timedelta) -> DataFrame:
+def gap_parent(alerts: DataFrame, window: timedelta, asks: DataFrame | None = None) -> DataFrame:
     """(id, gap_parent): the alert before it on the same asset, if not more than `window` earlier; alerts without asset form one bucket, dealt by time like any other."""
     rows = alerts.select("asset_id", "ts", "id")
     near = F.unix_micros("ts") - F.unix_micros("_p.ts") <= round(window.total_seconds() * 1e6)
-    return _last_before(rows, rows, "asset_id", "_p", window).where(near).select("id", F.col("_p.id").alias("gap_parent"))
+    asking = rows if asks is None else asks.select("asset_id", "ts", "id")
+    return _last_before(asking, rows, "asset_id", "_p", window).where(near).select("id", F.col("_p.id").alias("gap_parent"))
 
 
-def lateral_parent(alerts: DataFrame, assets: DataFrame, connections: DataFrame, window: timedelta, per_ip: int = 5) -> DataFrame:
+def lateral_parent(alerts: DataFrame, assets: DataFrame, connections: DataFrame, window: timedelta, per_ip: int = 5, asks: DataFrame | None = None) -> DataFrame:
     """(id, lateral_parent): of the newest `per_ip` connections of other assets to each of my addresses within the window before me, the newest whose asset had an alert in that window gives its latest alert.
 
     connections: event_id, ts, asset_id, conn_tuple. Two as-of joins: each connection carries the last `per_ip` ones to
@@ -103,7 +106,7 @@ def lateral_parent(alerts: DataFrame, assets: DataFrame, connections: DataFrame,
     slices = ["asset_id", "ip", "_bin"]
     recent = Window.partitionBy(*slices).orderBy("conn_ts", "conn_id").rowsBetween(1 - per_ip, Window.currentRow)
     conns = conns.select(*slices, F.col("conn_ts").alias("ts"), F.col("conn_id").alias("_order"), F.collect_list(F.struct("conn_ts", "conn_id", "other")).over(recent).alias("_conns"))
-    mine = alerts.where(F.col("asset_id").isNotNull()).join(addresses, "asset_id").select("asset_id", "ip", "ts", "id", _bin("ts", window))
+    mine = (alerts if asks is None else asks).where(F.col("asset_id").isNotNull()).join(addresses, "asset_id").select("asset_id", "ip", "ts", "id", _bin("ts", window))
     both = mine.withColumn("_ask", F.lit(1)).unionByName(conns.withColumn("_ask", F.lit(0)), allowMissingColumns=True)
     order = Window.partitionBy(*slices).orderBy("ts", "_ask", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = both.withColumn("_last", F.last("_conns", ignorenulls=True).over(order)).where("_ask = 1").select("id", "ts", F.explode("_last").alias("c")).where(near("c.conn_ts"))
@@ -113,7 +116,7 @@ def lateral_parent(alerts: DataFrame, assets: DataFrame, connections: DataFrame,
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """parents: (id, parent), parent null for roots. (id, root) by pointer jumping: each round doubles the distance; each is written to the shared folder."""
+    """parents: (id, parent), parent null for roots; one that is no id is a root, too. (id, root) by pointer jumping: each round doubles the distance; each is written to the shared folder."""
     state = stored(parents.select("id", F.coalesce("parent", "id").alias("root")), "roots")
     while True:
         up = state.select(F.col("id").alias("root"), F.col("root").alias("_next"))
@@ -127,28 +130,35 @@ def assign_incidents(alerts: DataFrame, events: DataFrame, assets: DataFrame, wi
     """alerts with parent_alert_id, reason (`lineage`, `asset`, `lateral` or `new`) and incident_id, the id of the root alert.
 
     alerts: id, ts, asset_id, process_guid. existing: incidents (id, status); alerts already in a closed or
-    false-positive one can't become parents, and alerts already in an incident keep it.
+    false-positive one can't become parents, and alerts already in an incident keep it: no parent is looked for, and they have no reason.
+    The work is then that of the new alerts: theirs are the ancestors that are climbed to and the connections that are read, from `window` before the first of them.
     """
-    eligible = alerts
+    eligible, asks = alerts, None
     if existing is not None:
+        asks = alerts.where(F.col("incident_id").isNull())
         shut = existing.where(F.col("status").isin("closed", "false_positive")).select(F.col("id").alias("incident_id"))
         eligible = alerts.join(shut, "incident_id", "left_anti")
     connections = events.where(F.col("conn_tuple").isNotNull())
+    if asks is not None:
+        span = asks.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).head()
+        since = F.unix_micros(F.lit(span["lo"]).cast("timestamp")) - round(window.total_seconds() * 1e6)
+        connections = connections.where((F.unix_micros("ts") >= since) & (F.col("ts") <= F.lit(span["hi"]).cast("timestamp")))
     picked = (
-        alerts.join(lineage_parent(eligible, events, max_depth), "id", "left")
-        .join(gap_parent(eligible, window), "id", "left")
-        .join(lateral_parent(eligible, assets, connections, window), "id", "left")
+        (alerts if asks is None else asks)
+        .join(lineage_parent(eligible, events, max_depth, asks), "id", "left")
+        .join(gap_parent(eligible, window, asks), "id", "left")
+        .join(lateral_parent(eligible, assets, connections, window, asks=asks), "id", "left")
     )
     reason = F.when(F.col("lineage_parent").isNotNull(), "lineage").when(F.col("gap_parent").isNotNull(), "asset").when(F.col("lateral_parent").isNotNull(), "lateral").otherwise("new")
     chosen = picked.withColumns({"parent_alert_id": F.coalesce("lineage_parent", "gap_parent", "lateral_parent"), "reason": reason}).drop("lineage_parent", "gap_parent", "lateral_parent")
     if existing is None:
         chosen = stored(chosen, "incident-parents")
         return chosen.join(roots(chosen.select("id", F.col("parent_alert_id").alias("parent"))).withColumnRenamed("root", "incident_id"), "id")
-    own = F.col("incident_id").isNotNull()
-    chosen = stored(chosen.withColumn("parent_alert_id", F.when(~own, F.col("parent_alert_id"))), "incident-parents")
+    chosen = stored(chosen.drop("incident_id"), "incident-parents")
     top = roots(chosen.select("id", F.col("parent_alert_id").alias("parent")))
-    of_root = chosen.select(F.col("id").alias("root"), F.col("incident_id").alias("_known"))
-    return chosen.drop("incident_id").join(top, "id").join(of_root, "root", "left").withColumn("incident_id", F.coalesce("_known", "root")).drop("_known", "root")
+    of_root = alerts.select(F.col("id").alias("root"), F.col("incident_id").alias("_known"))
+    placed = chosen.join(top, "id").join(of_root, "root", "left").withColumn("incident_id", F.coalesce("_known", "root")).drop("_known", "root")
+    return alerts.where(F.col("incident_id").isNotNull()).unionByName(placed, allowMissingColumns=True)
 
 
 def reopened(incidents: DataFrame, assigned: DataFrame) -> DataFrame:
